@@ -1,0 +1,67 @@
+"""Follow-up tasks: planning, dependencies, matching of returns, status and active records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import chem
+
+#: Step priorities and dependencies (fixed values).
+PRIORITY = {"structure": 100, "verification": 96, "conditions": 94, "conflict": 90, "novelty": 86, "stability": 82, "target": 72, "experiment": 60}
+NEEDS = [("novelty", "structure"), ("stability", "structure"), ("stability", "conditions"), ("conflict", "conditions"), ("target", "structure"), ("target", "stability"), ("experiment", "stability"), ("experiment", "target")]
+
+
+def campaign_scope(df: DataFrame, excluded: list[str], allowed: list[str], least: float) -> DataFrame:
+    """reason: why a row is outside the campaign, or 'in scope'."""
+    found = chem.formula_elements(F.col("formula"))
+    lists = [F.array(*[F.lit(x) for x in xs]) for xs in (excluded, allowed)]
+    reason = F.when(F.arrays_overlap(found, lists[0]), "excluded element").when(F.size(F.array_except(found, lists[1])) > 0, "outside allowed set").when(F.col("value") < least, "below threshold").otherwise("in scope")
+    return df.withColumn("reason", reason)
+
+
+def plan_tasks(groups: DataFrame) -> DataFrame:
+    """One task for each group and required step, with priority and a stable id."""
+    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(p).cast("long").alias("priority")) for s, p in PRIORITY.items()])
+    wanted = F.filter(steps, lambda s: F.when(s["step"] == "conflict", F.col("props") > 1).when(s["step"] == "verification", F.col("trusted")).otherwise(F.lit(True)))
+    out = groups.select("identity", F.explode(wanted).alias("s")).select("identity", "s.step", "s.priority")
+    return out.withColumn("task_id", F.concat(F.lit("task-"), F.substring(F.sha2(F.concat_ws("~", "identity", "step"), 256), 1, 16)))
+
+
+def dependencies(tasks: DataFrame) -> DataFrame:
+    """(identity, step, needs) for steps whose prerequisite is planned too; the step table has eight rows."""
+    edges = tasks.sparkSession.createDataFrame(NEEDS, "step string, needs string")
+    planned = tasks.select("identity", F.col("step").alias("needs"))
+    return tasks.join(F.broadcast(edges), "step").join(planned, ["identity", "needs"]).select("identity", "step", "needs")
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """All prerequisites of each step, direct or through others; the step table is three deep, so three joins."""
+    reach = edges
+    for _ in range(3):
+        further = reach.alias("r").join(edges.alias("e"), (F.col("r.identity") == F.col("e.identity")) & (F.col("r.needs") == F.col("e.step"))).select("r.identity", "r.step", "e.needs")
+        reach = reach.union(further).distinct()
+    return reach
+
+
+def match_returns(records: DataFrame, assigned: DataFrame) -> DataFrame:
+    """match: whether a returned record belongs to a task of its lineage and comes from the task's executor."""
+    status = F.when(F.col("executor").isNull(), "unknown task").when(F.col("executor") != F.col("family"), "unauthorised executor").otherwise("matched")
+    return records.join(assigned, "identity", "left").withColumn("match", status)
+
+
+def status(records: DataFrame, key: str) -> DataFrame:
+    back = F.col("status") == "O"
+    g = records.groupBy(key).agg(F.count_if(back & F.col("trusted")).alias("verified"), F.count_if(back).alias("returned"))
+    return g.withColumn("task_status", F.when(F.col("verified") > 0, "verified").when(F.col("returned") > 0, "returned_unverified").otherwise("assigned"))
+
+
+def authoritative(records: DataFrame, key: str) -> DataFrame:
+    """The record with the best (trusted, applicability, smallest id) of each key."""
+    return records.groupBy(key).agg(F.max_by("record_id", F.struct("trusted", "applicability", -F.col("record_id"))).alias("record_id"))
+
+
+def active(records: DataFrame) -> DataFrame:
+    """Records that no later experimental return with the same evidence supersedes."""
+    last = records.where("status = 'O' and stage = 'experiment'").groupBy("evidence_id").agg(F.max("record_id").alias("last"))
+    return records.join(last, "evidence_id", "left").where(F.col("last").isNull() | (F.col("last") <= F.col("record_id"))).drop("last")
