@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ SYMBOLS = (
 NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def normalize_formula(c: Column) -> Column:
     """Subscripts as digits, one kind of dash, delta spelt out."""
     s = F.translate(F.trim(F.coalesce(c, F.lit(""))), "₀₁₂₃₄₅₆₇₈₉ₓ−–—", "0123456789x---")
@@ -21,16 +28,19 @@ def normalize_formula(c: Column) -> Column:
 
 
 def _symbols() -> Column:
-    return F.array(*[F.lit(s) for s in SYMBOLS])
+    return F.split(F.lit(" ".join(SYMBOLS)), " ")
 
 
 def formula_elements(c: Column) -> Column:
     """Elements of a formula in order; empty if it isn't one or has an unknown symbol."""
-    s = F.regexp_replace(normalize_formula(c), r"^[0-9]+[HTR]-", "")
-    found = F.array_distinct(F.regexp_extract_all(s, F.lit(r"([A-Z][a-z]?)"), F.lit(1)))
-    whole = s.rlike(r"^([A-Z][a-z]?|delta|[xyztnm0-9.,+\-_/()\[\]{}=])+$")
-    known = F.size(F.array_except(found, _symbols())) == 0
-    return F.when(whole & known, found).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def parsed(s: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(s, F.lit(r"([A-Z][a-z]?)"), F.lit(1)))
+        whole = s.rlike(r"^([A-Z][a-z]?|delta|[xyztnm0-9.,+\-_/()\[\]{}=])+$")
+        return F.when(whole, let(found, lambda e: F.when(F.size(F.array_except(e, _symbols())) == 0, e).otherwise(none))).otherwise(none)
+
+    return let(F.regexp_replace(normalize_formula(c), r"^[0-9]+[HTR]-", ""), parsed)
 
 
 def elements_of(materials: Column, most: int = 24) -> Column:
@@ -71,8 +81,6 @@ def composition(c: Column) -> Column:
     Tokens are read from the right with a stack of multipliers: a number waits for the symbol or closing bracket
     before it; a closing bracket pushes its multiplier, an opening one pops it.
     """
-    s = normalize_formula(c)
-    tokens = F.reverse(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(1)))
     start = F.struct(F.array(F.lit(1.0)).alias("stack"), F.lit(1.0).alias("n"), F.array().cast("array<struct<e:string,n:double>>").alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
@@ -85,13 +93,18 @@ def composition(c: Column) -> Column:
             .otherwise(keep(acc["stack"], F.lit(1.0), F.concat(acc["out"], F.array(F.struct(t.alias("e"), (top * acc["n"]).alias("n"))))))
         )
 
-    parts = F.aggregate(tokens, start, step)["out"]
-    symbols = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["e"])))
-    count = lambda e: F.aggregate(F.filter(parts, lambda p: p["e"] == e), F.lit(0.0), lambda a, p: a + p["n"])
-    sums = F.map_from_arrays(symbols, F.transform(symbols, count))
-    opened = F.length(F.regexp_replace(s, r"[^(\[{]", "")) == F.length(F.regexp_replace(s, r"[^)\]}]", ""))
-    valid = s.rlike(r"^([A-Z][a-z]?|\d+(\.\d{1,8})?|[()\[\]{}])+$") & s.rlike(r"^[A-Z(\[{]") & opened & (F.size(symbols) > 0) & (F.size(F.array_except(symbols, _symbols())) == 0)
-    return F.when(valid, sums)
+    def counted(parts: Column) -> Column:
+        count = lambda e: F.aggregate(F.filter(parts, lambda p: p["e"] == e), F.lit(0.0), lambda a, p: a + p["n"])
+        symbols = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["e"])))
+        return let(symbols, lambda e: F.when((F.size(e) > 0) & (F.size(F.array_except(e, _symbols())) == 0), F.map_from_arrays(e, F.transform(e, count))))
+
+    def parsed(s: Column) -> Column:
+        tokens = F.reverse(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(1)))
+        balanced = F.length(F.regexp_replace(s, r"[^(\[{]", "")) == F.length(F.regexp_replace(s, r"[^)\]}]", ""))
+        valid = s.rlike(r"^([A-Z][a-z]?|\d+(\.\d{1,8})?|[()\[\]{}])+$") & s.rlike(r"^[A-Z(\[{]") & balanced
+        return F.when(valid, let(F.aggregate(tokens, start, step)["out"], counted))
+
+    return let(normalize_formula(c), parsed)
 
 
 def formula_error(c: Column) -> Column:
@@ -110,35 +123,41 @@ def formula_error(c: Column) -> Column:
 
 def _gcd(a: Column, b: Column) -> Column:
     """Euclid's steps over a bounded sequence (counts are below 2^53)."""
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(80)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("long")).otherwise(F.try_mod(s["a"], s["b"])).alias("b")))
     return end["a"]
 
 
 def composition_key(comp: Column) -> Column:
     """Alphabetical symbols with counts divided by their greatest common divisor (to 8 places)."""
     whole = F.transform(F.map_values(comp), lambda n: F.round(n * 1e8).cast("long"))
-    g = F.aggregate(whole, F.lit(0).cast("long"), lambda a, b: F.when(a == 0, b).otherwise(_gcd(a, b)))
-    # map keys are sorted already
-    return F.array_join(F.zip_with(F.map_keys(comp), whole, lambda e, n: F.concat(e, (n / F.nullif(g, F.lit(0))).cast("long").cast("string"))), " ")
+    gcd = lambda ns: F.aggregate(ns, F.lit(0).cast("long"), lambda a, b: F.when(a == 0, b).otherwise(_gcd(a, b)))
+    reduced = let(whole, lambda ns: let(gcd(ns), lambda g: F.transform(ns, lambda n: F.try_divide(n, g).cast("long").cast("string"))))
+    # The map's keys are sorted already.
+    return F.array_join(F.zip_with(F.map_keys(comp), reduced, lambda e, n: F.concat(e, n)), " ")
 
 
 def fractions(comp: Column) -> Column:
     total = F.aggregate(F.map_values(comp), F.lit(0.0), lambda a, n: a + n)
-    return F.transform_values(comp, lambda _, n: n / total)
+    return let(total, lambda t: F.transform_values(comp, lambda _, n: n / t))
 
 
 def fraction_key(comp: Column) -> Column:
     """Fractions to 8 places by atomic number."""
-    z = F.create_map(*[x for s, n in NUMBER.items() for x in (F.lit(s), F.lit(n))])
-    parts = F.array_sort(F.transform(F.map_entries(fractions(comp)), lambda e: F.struct(F.element_at(z, e["key"]).alias("z"), e["key"].alias("e"), e["value"].alias("f"))))
+    parts = F.array_sort(F.transform(F.map_entries(fractions(comp)), lambda e: F.struct(F.array_position(_symbols(), e["key"]).alias("z"), e["key"].alias("e"), e["value"].alias("f"))))
     return F.array_join(F.transform(parts, lambda p: F.concat(p["e"], F.lit(":"), F.format_number(p["f"], 8))), "|")
 
 
+def per_formula(df: DataFrame, formula: str, **columns: Callable[[Column], Column]) -> DataFrame:
+    """``df`` with functions of its formulas' compositions; each distinct formula is parsed once."""
+    known = df.select(formula).distinct().withColumn("__c", composition(F.col(formula)))
+    known = known.select(formula, *[f(F.col("__c")).alias(name) for name, f in columns.items()])
+    return df.join(known, formula, "left")
+
+
 def features(df: DataFrame, key: str, comp: str) -> DataFrame:
     """Statistics of each composition over its fractions and atomic numbers, by one grouped aggregation."""
-    z = F.create_map(*[x for s, n in NUMBER.items() for x in (F.lit(s), F.lit(n))])
     long = df.select(key, F.explode(fractions(F.col(comp))).alias("e", "f"), F.aggregate(F.map_values(comp), F.lit(0.0), lambda a, n: a + n).alias("total"))
-    long = long.withColumn("z", F.element_at(z, F.col("e")).cast("double"))
+    long = long.withColumn("z", F.array_position(_symbols(), F.col("e")).cast("double"))
     mean = F.sum(F.col("f") * F.col("z"))
     return long.groupBy(key).agg(
         (F.count("*") / 10).alias("n_elements"),

@@ -48,8 +48,8 @@ def eligible(stage: Column, trusted: Column) -> Column:
 
 def identity_key(df: DataFrame) -> DataFrame:
     """identity: reduced composition (or the text) and structure."""
-    comp = chem.composition_key(chem.composition(F.col("formula")))
-    return df.withColumn("identity", F.concat_ws("~", F.coalesce(F.nullif(comp, F.lit("")), F.concat(F.lit("text:"), F.lower("formula"))), F.col("structure").cast("string")))
+    parsed = chem.per_formula(df, "formula", composition_key=chem.composition_key)
+    return parsed.withColumn("identity", F.concat_ws("~", F.coalesce(F.nullif("composition_key", F.lit("")), F.concat(F.lit("text:"), F.lower("formula"))), F.col("structure").cast("string")))
 
 
 def entry_weight(df: DataFrame) -> DataFrame:

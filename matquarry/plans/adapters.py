@@ -40,13 +40,13 @@ SELECT '10.1000/abc.' || CAST(o_orderkey % 500 AS VARCHAR(20)) AS doi,
 FROM {orders} GROUP BY o_orderkey % 500"""
 
 CLAIMS = """
-SELECT l_orderkey * 10 + l_linenumber AS record_id,
+SELECT (l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS record_id,
   'model-' || CAST(l_suppkey % 9 AS VARCHAR(20)) AS model,
   'family-' || CAST(l_suppkey % 4 AS VARCHAR(20)) AS family,
   CASE l_linenumber WHEN 1 THEN 'experiment' WHEN 2 THEN 'dft' WHEN 3 THEN 'database' WHEN 4 THEN 'ml' WHEN 5 THEN 'literature' WHEN 6 THEN 'llm' ELSE 'task_planning' END AS stage,
   CASE l_partkey % 20 """ + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(["FeSe", "SeFe", "Fe2Se2", "MgB2", "B2Mg", "TiO2", "O2Ti", "H3S", "SnSe2", "Se2Sn", "Bi2Te3", "WTe2", "MoS2", "NbSe2", "LaH10", "CaO2H2", "FeTe", "SnS", "ZnO", "GaN"])) + """ END AS formula,
   CASE l_linenumber % 5 WHEN 0 THEN 'tc' WHEN 1 THEN 'gap' WHEN 2 THEN 'formation' WHEN 3 THEN 'hull' ELSE 'moment' END AS property,
-  CAST(l_extendedprice / 20000.0 AS DOUBLE) AS value, CAST(l_tax AS DOUBLE) AS q90, CAST(l_discount * 10 AS DOUBLE) AS applicability,
+  CAST(l_extendedprice / 25000.0 AS DOUBLE) AS value, CAST(l_tax AS DOUBLE) AS q90, CAST(l_discount * 10 AS DOUBLE) AS applicability,
   'ev-' || CAST(l_orderkey % 3000 AS VARCHAR(20)) AS evidence_id,
   l_returnflag <> 'R' AS trusted, l_linestatus AS status, CAST(l_quantity AS BIGINT) % 3 AS structure
 FROM {lineitem}"""

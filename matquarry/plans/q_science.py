@@ -54,7 +54,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chm_07_composition_key", ctes("claims_v") + f" SELECT record_id, {_KEY} AS composition FROM claims_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").select("record_id", chem.composition_key(chem.composition(F.col("formula"))).alias("composition"))
+    return chem.per_formula(view(spark, d, "claims_v"), "formula", composition=chem.composition_key).select("record_id", "composition")
 
 
 _LONG = f""", f AS (SELECT record_id, unnest(string_split({_KEY}, ' ')) AS p FROM claims_v),
@@ -64,7 +64,7 @@ _LONG = f""", f AS (SELECT record_id, unnest(string_split({_KEY}, ' ')) AS p FRO
 
 @query("chm_08_fraction_key", ctes("claims_v") + _LONG + f", z(e, z) AS (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {n})' for s, n in chem.NUMBER.items())}) SELECT l.record_id, string_agg(l.e || ':' || printf('%.8f', n / total), '|' ORDER BY z) AS fractions FROM l JOIN s USING (record_id) JOIN z ON z.e = l.e GROUP BY l.record_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").select("record_id", chem.fraction_key(chem.composition(F.col("formula"))).alias("fractions"))
+    return chem.per_formula(view(spark, d, "claims_v"), "formula", fractions=chem.fraction_key).select("record_id", "fractions")
 
 
 @query(
@@ -75,8 +75,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
       round((max(z) - min(z)) / 118, 6) AS range_z, round(max(f), 6) AS max_fraction, round(sqrt(sum(f * f)), 6) AS norm FROM x GROUP BY record_id""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = view(spark, d, "claims_v").select("record_id", chem.composition(F.col("formula")).alias("c"))
-    f = chem.features(c, "record_id", "c")
+    claims = view(spark, d, "claims_v")
+    c = claims.select("formula").distinct().withColumn("c", chem.composition(F.col("formula")))
+    f = claims.select("record_id", "formula").join(chem.features(c, "formula", "c"), "formula")
     return f.select("record_id", "n_elements", *[F.round(x, 6).alias(x) for x in ("entropy", "mean_z", "std_z", "range_z", "max_fraction", "norm")])
 
 
@@ -168,11 +169,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").select("record_id", F.round(consensus.to_unit(F.col("value"), unit, consensus.ENERGY), 6).alias("energy_ev"))
 
 
-@query("clm_02_conditions", ctes("claims_v") + " SELECT record_id, round(CASE structure WHEN 0 THEN value WHEN 1 THEN value * 0.1 ELSE value * 0.0001 END, 8) AS pressure_gpa, round(CASE WHEN structure = 0 THEN value + 273.15 ELSE value END, 6) AS temperature_k FROM claims_v")
+@query("clm_02_conditions", ctes("claims_v") + " SELECT record_id, round(CASE structure WHEN 0 THEN value WHEN 1 THEN value * 0.1 ELSE value * 0.0001 END, 10) AS pressure_gpa, round(CASE WHEN structure = 0 THEN value + 273.15 ELSE value END, 6) AS temperature_k FROM claims_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
     unit = F.when(F.col("structure") == 0, "GPa").when(F.col("structure") == 1, "kbar").otherwise("bar")
     kelvin = F.when(F.col("structure") == 0, "C").otherwise("K")
-    return view(spark, d, "claims_v").select("record_id", F.round(consensus.to_unit(F.col("value"), unit, consensus.PRESSURE), 8).alias("pressure_gpa"), F.round(consensus.to_kelvin(F.col("value"), kelvin), 6).alias("temperature_k"))
+    return view(spark, d, "claims_v").select("record_id", F.round(consensus.to_unit(F.col("value"), unit, consensus.PRESSURE), 10).alias("pressure_gpa"), F.round(consensus.to_kelvin(F.col("value"), kelvin), 6).alias("temperature_k"))
 
 
 @query("clm_05_identity", ctes("claims_v") + f" SELECT record_id, {_IDENTITY} AS identity FROM claims_v")
