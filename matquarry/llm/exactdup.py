@@ -80,7 +80,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns; of rows with the same doc_id and text, one."""
     best = winners(docs).select("keep_id", "sha")
     one = F.row_number().over(_over("doc_id", "text"))
-    named = docs.where(F.col("doc_id").isNotNull()).join(best.where("keep_id is not null").select("keep_id").distinct(), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    named = docs.where(F.col("doc_id").isNotNull()).join(best.where("keep_id is not null").select(F.col("keep_id").alias("__keep")).distinct(), F.col("doc_id") == F.col("__keep"), "left_semi")
     named = named.withColumn("__row", one).where("__row = 1").drop("__row")
     if docs.where(F.col("doc_id").isNull()).isEmpty():
         return named.select(*docs.columns)

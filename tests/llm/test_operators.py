@@ -1,0 +1,274 @@
+"""Operators of the llm subpackage against brute force, exact round trips and held-out accuracy."""
+
+import base64
+import gzip
+import hashlib
+import os
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from matquarry.llm import bpe, exactdup, fingerprints, langid, neardup, packing, quality, queries, toxicity, urlfilter, warc
+
+RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def words(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def edited(text, n, seed):
+    r, w = random.Random(seed), text.split()
+    for _ in range(n):
+        w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    base = words(300, 1)
+    texts = [words(80, k) for k in range(20)] + [base, base.upper(), base] + [edited(base, 3, k) for k in range(12)]
+    texts += ["", None, "one two", "one two", "é" * 5000 + " " * 40 + "漢字 <|endoftext|>", "\n\n \t x  y\n", words(6000, 9)]
+    out = [(i, t, "en", "s", len(t or ""), "clash") for i, t in enumerate(texts)]
+    return out + [out[3], (None, "no id", None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(t):
+    w = (t or "").split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints(docs, rows, empty):
+    got = [r for r in fingerprints.with_neighbour(docs).collect() if r.doc_id is not None]
+    assert len(got) == len(rows) - 1
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    expected = set()
+    for i, r in enumerate(order):
+        t, nxt = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        h = len(t) // 2
+        expected.add((r[0], hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest()))
+    assert {(r.doc_id, r.edited_sha256) for r in got} <= expected
+    by_text = {}
+    for r in got:
+        t = next(x[1] or "" for x in rows if x[0] == r.doc_id)
+        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint
+    assert fingerprints.with_neighbour(empty).count() == 0
+
+
+def test_sketches_estimate_and_merge(docs):
+    a, b = words(3000, 1).encode(), (words(3000, 1) + " " + words(1500, 2)).encode()
+    x, y = fingerprints.sketches([a, b])
+    true = len(shingles(a.decode()) & shingles(b.decode())) / len(shingles(a.decode()) | shingles(b.decode()))
+    assert abs(fingerprints.resemblance(x, y) - true) < 0.12
+    assert abs(fingerprints.containment(x, y) - 1) < 0.15
+    assert abs(fingerprints.distinct(y) / len(shingles(b.decode())) - 1) < 0.25
+    whole = fingerprints.fingerprint(docs.withColumn("k", F.lit(1)))
+    assert fingerprints.merged(whole, ["k"]).count() == 1
+
+
+def test_bpe_equals_the_library(docs, rows, empty):
+    e = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = {r.doc_id: r for r in bpe.round_trip(docs, RANKS, PATTERN).collect()}
+    for doc_id, t, *_ in rows:
+        ids = e.encode_ordinary(t or "")
+        assert got[doc_id].n_tokens == len(ids)
+        assert got[doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[doc_id].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    own, r = bpe.Encoder(bpe.read_ranks(RANKS), PATTERN), random.Random(3)
+    for _ in range(200):
+        w = "".join(r.choice(r.choice(["ab", "etaoin", " \n", "é漢'", "=-_"])) for _ in range(r.choice([3, 40, 300])))
+        assert np.frombuffer(own.packed(w), "<u4").tolist() == e.encode_ordinary(w)
+    assert bpe.round_trip(empty, RANKS, PATTERN).count() == 0
+    back = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN, out="again")
+    assert back.where("coalesce(text, '') <> again").count() == 0
+
+
+def test_packing(docs, rows, empty):
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    got = packing.pack(docs, JSON, 512).collect()
+    space, ids = {}, {r[0]: np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4") for r in rows}
+    for r in got:
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        space.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in space.values():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end <= 512
+    total = sum(len(ids[r[0]]) for r in rows)
+    assert sum(r.length for r in got) == total
+    assert len(space) <= -(-total // 512) + 1
+    assert packing.pack(empty, JSON).count() == 0
+
+
+def test_exact_dedup_with_colliding_digests(docs, rows, empty):
+    norm = lambda s: (s or "").translate({c: c + 32 for c in range(65, 91)})
+    for bytes_ in (16, 1):
+        got = exactdup.report(docs, digest_bytes=bytes_).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t = next(norm(x[1]) for x in rows if x[0] == r.doc_id)
+            same = [x[0] for x in rows if norm(x[1]) == t]
+            assert (r.keep_id, r.group_size) == (max((x for x in same if x is not None), default=None), len(same))
+            assert r.text_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    kept = exactdup.dedup(docs)
+    assert kept.columns == docs.columns
+    assert kept.count() == len({norm(r[1]) for r in rows})
+    assert exactdup.report(empty).count() == 0
+    assert exactdup.dedup(empty).count() == 0
+
+
+def test_near_duplicates(docs, rows, empty):
+    got = {r.doc_id: r for r in neardup.classes(docs).collect()}
+    texts = {r[0]: r[1] or "" for r in rows if r[0] is not None}
+    for a in texts:
+        for b in texts:
+            x, y = shingles(texts[a]), shingles(texts[b])
+            if texts[a] == texts[b] or (x | y and len(x & y) / len(x | y) >= 0.82):
+                assert got[a].class_id == got[b].class_id
+    assert got[0].class_id != got[1].class_id
+    one = neardup.one_each(docs)
+    assert one.columns == docs.columns
+    assert one.where("doc_id is not null").count() == len({r.class_id for r in got.values() if r.class_id is not None})
+    assert neardup.classes(empty).count() == 0
+
+
+def test_signatures_estimate_weighted_similarity():
+    a = [words(3, 5)] * 150 + [words(200, 6)]
+    b = [words(3, 5)] * 110 + [words(200, 6)]
+    texts = [" ".join(x).encode() for x in (a, b)]
+    x, y = neardup.occurrences(texts)
+    true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    owner, element, weight = neardup.weighted(texts)
+    s = neardup.signatures(owner, element, weight, 2, 3000)
+    assert weight.max() > 100
+    assert abs((s[0] == s[1]).mean() - true) < 0.04
+
+
+def test_warc_ranges_and_revisits(spark):
+    noise = random.Random(1).randbytes(400).hex()
+    html = ["a" * 3000, "same", "same", None, "", "x\x1f\x8b\x08y" + noise, "é漢"] * 3
+    pages = spark.createDataFrame([(i, f"http://a.example/{i} b" if i % 5 else None, h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
+    expected = {}
+    for i, h in enumerate(html):
+        last = max(k for k, g in enumerate(html) if (g or "") == (h or ""))
+        raw = (h or "").encode()
+        expected[i] = (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if i == last else "revisit", None if i == last else last)
+    for size in (64, 700, 1 << 20):
+        got = warc.archive(pages, size=size).collect()
+        assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected
+        assert len(got) == len(html)
+    member = warc.record(1, "http://a.example/", b"hi", None)
+    assert gzip.decompress(member + warc.EMPTY_MEMBER + member).count(b"WARC/1.1") == 2
+    assert warc.archive(pages.limit(0)).count() == 0
+    assert warc.archive(pages, min_revisit=10**6).where("record_type = 'revisit'").count() == 0
+
+
+def test_url_rules_and_verdicts(spark):
+    urls = [f"https://a{i}.example.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/{i}" for i in range(300)]
+    odd = ["http://ORG/x", "http://example.org/en/12", "http://org.net/", "no scheme", None, "http://x.com", "http://good.net/fr/1?q"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls + odd)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlfilter.judge(pages, queries.RULES).collect()}
+    assert len(got) == len(urls + odd)
+    at = lambda k: got[len(urls) + k]
+    assert (at(0).host, at(0).path, at(0).rule, at(0).verdict) == ("org", "/x", "org/", "allow")
+    assert (at(1).rule, at(1).verdict) == ("example.org/en/1", "block")
+    assert [at(k).rule for k in (2, 3, 4, 5)] == [None] * 4
+    assert (at(3).host, at(3).path, at(5).path) == ("", "", "")
+    assert urlfilter.judge(pages.limit(0), queries.RULES).count() == 0
+
+
+def labelled(spark, n=240):
+    bad, junk = ["vile", "awful"], "### $$$ %%% ### &&& ***"
+    texts, labels = [], []
+    for i in range(n):
+        t = words(60, 1000 + i)
+        toxic, quality_ = int(i % 6 == 0), int(i % 5 != 0)
+        t += f" {bad[i % 2]} {bad[0]}" if toxic else ""
+        t = t if quality_ else " ".join(f"{w} {junk}" for w in t.split())
+        texts.append((i, t, "en", "s", len(t), None))
+        if i % 7:
+            labels.append((i, quality_, toxic))
+    docs = spark.createDataFrame([*texts, (None, None, None, None, None, None), (999, "", None, None, 0, None)], SCHEMA)
+    return docs, spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_quality(spark, empty):
+    docs, labels = labelled(spark)
+    got = {r.doc_id: r.accepted for r in quality.classify(docs, labels).collect()}
+    right = sum(got[i] == (i % 5 != 0) for i in range(240))
+    assert right >= 235
+    kept = quality.accept(docs, labels)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {k for k, v in got.items() if v}
+    assert quality.classify(docs, labels.limit(0)).where("accepted").count() == docs.count()
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_kth_largest(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SORTED", 10)
+    monkeypatch.setattr(quality, "BINS", 8)
+    values = [random.Random(2).gauss(0, 1) ** 5 for _ in range(500)] + [1.0] * 50
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 7, 250, 550):
+        assert quality.kth_largest(keys, "key", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_toxicity(spark, empty):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.grade(docs, model).collect()}
+    assert all(got[i].toxic == (i % 6 == 0) for i in range(240))
+    assert all(0 <= r.severity <= toxicity.GRADES - 1 for r in got.values())
+    kept = toxicity.harmless(docs, labels)
+    assert kept.columns == docs.columns
+    assert kept.count() == 202
+    assert toxicity.harmless(docs, labels.limit(0)).count() == docs.count()
+    assert toxicity.harmless(empty, labels).count() == 0
+
+
+def test_language(spark, empty):
+    r = random.Random(4)
+    say = {"en": ["the", "and", "thing", "with"], "de": ["und", "der", "schön", "nicht"], "fr": ["où", "les", "été", "dans"]}
+    rows = [(i, " ".join(r.choice(say[lang]) for _ in range(30)), lang, "s", 0, None) for i in range(300) for lang in [list(say)[i % 3]]]
+    rows += [(1000, None, "en", None, None, None), (1001, "12 !!", "en", None, None, None), (None, "the thing", None, None, None, None)]
+    got = langid.predict(spark.createDataFrame(rows, SCHEMA)).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == len(rows)
+    assert sum(by[i].lang_pred == list(say)[i % 3] for i in range(300) if by[i].held_out) >= 0.95 * sum(by[i].held_out for i in range(300))
+    assert all(by[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(300))
+    assert by[1000].lang_pred == by[1001].lang_pred == "und"
+    assert langid.predict(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data here")
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ids = {r.doc_id for r in got.select("doc_id").distinct().collect()}
+    assert 0 < len(ids) < docs.count()
+    kept = [r.text.lower() for r in docs.where(F.col("doc_id").isin(sorted(ids))).collect()]
+    assert len(kept) == len(set(kept))
