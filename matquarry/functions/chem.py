@@ -101,7 +101,7 @@ def composition(c: Column) -> Column:
     def parsed(s: Column) -> Column:
         tokens = F.reverse(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(1)))
         balanced = F.length(F.regexp_replace(s, r"[^(\[{]", "")) == F.length(F.regexp_replace(s, r"[^)\]}]", ""))
-        valid = s.rlike(r"^([A-Z][a-z]?|\d+(\.\d{1,8})?|[()\[\]{}])+$") & s.rlike(r"^[A-Z(\[{]") & balanced
+        valid = s.rlike(r"^([A-Z][a-z]?|\d+(\.\d{1,8})?|[()\[\]{}])+$") & ~s.rlike(r"\.\d{9}") & s.rlike(r"^[A-Z(\[{]") & balanced
         return F.when(valid, let(F.aggregate(tokens, start, step)["out"], counted))
 
     return let(normalize_formula(c), parsed)

@@ -57,12 +57,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return chem.per_formula(view(spark, d, "claims_v"), "formula", composition=chem.composition_key).select("record_id", "composition")
 
 
-_LONG = f""", f AS (SELECT record_id, unnest(string_split({_KEY}, ' ')) AS p FROM claims_v),
-  l AS (SELECT record_id, regexp_extract(p, '[A-Za-z]+') AS e, CAST(regexp_extract(p, '[0-9]+') AS DOUBLE) AS n FROM f),
-  s AS (SELECT record_id, sum(n) AS total FROM l GROUP BY record_id)"""
+_LONG = f""", f AS (SELECT formula, unnest(string_split({_KEY}, ' ')) AS p FROM (SELECT DISTINCT formula FROM claims_v)),
+  l AS (SELECT formula, regexp_extract(p, '[A-Za-z]+') AS e, CAST(regexp_extract(p, '[0-9]+') AS DOUBLE) AS n FROM f),
+  s AS (SELECT formula, sum(n) AS total FROM l GROUP BY formula)"""
 
 
-@query("chm_08_fraction_key", ctes("claims_v") + _LONG + f", z(e, z) AS (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {n})' for s, n in chem.NUMBER.items())}) SELECT l.record_id, string_agg(l.e || ':' || printf('%.8f', n / total), '|' ORDER BY z) AS fractions FROM l JOIN s USING (record_id) JOIN z ON z.e = l.e GROUP BY l.record_id")
+@query("chm_08_fraction_key", ctes("claims_v") + _LONG + f", z(e, z) AS (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {n})' for s, n in chem.NUMBER.items())}) SELECT c.record_id, g.fractions FROM claims_v c JOIN (SELECT l.formula, string_agg(l.e || ':' || printf('%.8f', n / total), '|' ORDER BY z) AS fractions FROM l JOIN s USING (formula) JOIN z ON z.e = l.e GROUP BY l.formula) g USING (formula)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return chem.per_formula(view(spark, d, "claims_v"), "formula", fractions=chem.fraction_key).select("record_id", "fractions")
 
@@ -70,9 +70,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "chm_09_features",
     ctes("claims_v") + _LONG + f""", z(e, z) AS (VALUES {', '.join(f'({chr(39)}{s}{chr(39)}, {n})' for s, n in chem.NUMBER.items())}),
-      x AS (SELECT l.record_id, n / total AS f, CAST(z AS DOUBLE) AS z FROM l JOIN s USING (record_id) JOIN z ON z.e = l.e)
-      SELECT record_id, count(*) / 10 AS n_elements, round(-sum(f * ln(f)) / 3, 6) AS entropy, round(sum(f * z) / 118, 6) AS mean_z, round(sqrt(greatest(0, sum(f * z * z) - sum(f * z) * sum(f * z))) / 118, 6) AS std_z,
-      round((max(z) - min(z)) / 118, 6) AS range_z, round(max(f), 6) AS max_fraction, round(sqrt(sum(f * f)), 6) AS norm FROM x GROUP BY record_id""",
+      x AS (SELECT l.formula, n / total AS f, CAST(z AS DOUBLE) AS z FROM l JOIN s USING (formula) JOIN z ON z.e = l.e),
+      g AS (SELECT formula, count(*) / 10 AS n_elements, round(-sum(f * ln(f)) / 3, 6) AS entropy, round(sum(f * z) / 118, 6) AS mean_z, round(sqrt(greatest(0, sum(f * z * z) - sum(f * z) * sum(f * z))) / 118, 6) AS std_z,
+      round((max(z) - min(z)) / 118, 6) AS range_z, round(max(f), 6) AS max_fraction, round(sqrt(sum(f * f)), 6) AS norm FROM x GROUP BY formula) SELECT record_id, n_elements, entropy, mean_z, std_z, range_z, max_fraction, norm FROM claims_v JOIN g USING (formula)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     claims = view(spark, d, "claims_v")
@@ -273,7 +273,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "con_05_independent_evidence",
     ctes("claims_v") + """, r AS (SELECT record_id, evidence_id FROM claims_v WHERE property = 'gap'), n AS (SELECT evidence_id, min(record_id) AS component FROM r GROUP BY evidence_id)
-      SELECT record_id, component FROM r JOIN n USING (evidence_id)""",
+      SELECT DISTINCT record_id, component FROM r JOIN n USING (evidence_id)""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return consensus.evidence_components(view(spark, d, "claims_v").where("property = 'gap'"), "record_id", "evidence_id")

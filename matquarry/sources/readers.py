@@ -1,0 +1,124 @@
+"""Readers of landed files with explicit schemas, and sinks.  Fetching is left to whatever lands the files."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+WORK = (
+    "id string, doi string, display_name string, publication_year int, cited_by_count int, authorships array<struct<author:struct<display_name:string>>>, "
+    "primary_location struct<source:struct<display_name:string>>, open_access struct<oa_url:string>, concepts array<struct<display_name:string>>, abstract_inverted_index map<string,array<int>>"
+)
+ATOM = ("id string, title string, summary string, published string, author array<struct<name:string>>, link array<struct<_href:string,_type:string,_title:string>>")
+ARTICLE = ("id string, title string, year int, source string, doi string, url string, abstract string, materials array<string>, keywords array<string>")
+DFT = ("jid string, atoms struct<elements:array<string>>, formation_energy_peratom string, optb88vdw_bandgap string")
+SAMPLE = ("id string, material string, features array<double>, createdAt string")
+MODEL = ("name string, model string, candidates array<struct<formula:string,property:string,value:string>>, results array<struct<formula:string,property:string,value:string>>")
+
+
+def read_article_texts(spark: SparkSession, path: str) -> DataFrame:
+    """source_file, text of all .txt, .md, .xml and .tei files below ``path``."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,xml,tei}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("text"))
+
+
+def _header(name: str) -> str:
+    return " ".join("".join(c if c.isalnum() else " " for c in name.lower()).split())
+
+
+def read_index_export(spark: SparkSession, path: str) -> DataFrame:
+    """A delimited export with any of ',', tab or ';' and any header names; names are lower-cased, '_' between words."""
+    first = spark.read.text(path).first()
+    line = first.value.lstrip("﻿") if first else ""
+    sep = max(",\t;", key=line.count)
+    df = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+    return df.toDF(*[_header(c.lstrip("﻿")).replace(" ", "_") for c in df.columns])
+
+
+def read_tagged(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Tab-delimited exports with two-letter tags; rows without a title are skipped."""
+    df = spark.read.option("header", True).option("sep", "\t").option("encoding", encoding).option("quote", "").csv(path)
+    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.where(F.trim(F.coalesce("TI", F.lit(""))) != "")
+
+
+def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
+    """key, fields (map from lower-case name to value without braces)."""
+    entry = r"(?s)@\w+\s*\{([^,]+),(.*?)\n\s*\}"
+    files = spark.read.text(path, wholetext=True)
+    found = files.select(F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(entry), F.lit(1)).alias("key"), F.regexp_extract_all("value", F.lit(entry), F.lit(2)).alias("body"))).alias("e"))
+    field = r'(\w+)\s*=\s*[{"]((?:[^{}"]|\{[^{}]*\})*)[}"]'
+    body = F.col("e.body")
+    clean = lambda v: F.replace(F.regexp_replace(v, r"[{}]", ""), F.lit("\\&"), F.lit("&"))
+    pairs = F.zip_with(F.regexp_extract_all(body, F.lit(field), F.lit(1)), F.regexp_extract_all(body, F.lit(field), F.lit(2)), lambda k, v: F.struct(F.lower(k), clean(v)))
+    return found.select(F.trim(F.col("e.key")).alias("key"), F.map_from_entries(pairs).alias("fields"))
+
+
+def read_works_json(spark: SparkSession, path: str) -> DataFrame:
+    w = spark.read.schema(WORK).json(path)
+    return w.select(
+        "id", F.col("display_name").alias("title"), F.col("publication_year").alias("year"), "doi", F.col("cited_by_count").alias("citations"),
+        F.transform("authorships", lambda a: a["author"]["display_name"]).alias("authors"), F.col("primary_location.source.display_name").alias("venue"),
+        F.col("open_access.oa_url").alias("url"), F.transform("concepts", lambda c: c["display_name"]).alias("concepts"), F.col("abstract_inverted_index").alias("words"),
+    )
+
+
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    e = spark.read.format("xml").option("rowTag", "entry").schema(ATOM).load(path)
+    pdf = F.filter("link", lambda x: x["_title"] == "pdf")
+    return e.select("id", F.trim("title").alias("title"), "summary", F.left("published", F.lit(4)).try_cast("int").alias("year"), F.transform("author", lambda a: a["name"]).alias("authors"), F.get(pdf, F.lit(0))["_href"].alias("pdf"))
+
+
+def first_present(*columns: Column) -> Column:
+    """The first column that isn't null, '' or blank."""
+    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in columns])
+
+
+def read_articles(spark: SparkSession, *paths: str) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.schema(ARTICLE).option("multiLine", True).json(p) for p in paths])
+
+
+def read_catalog(topics: DataFrame) -> DataFrame:
+    """One row for each material of each topic, with its family's name."""
+    m = topics.select("topic", "families", F.explode("materials").alias("m"))
+    family = F.get(F.filter("families", lambda f: f["id"] == F.col("m.family")), F.lit(0))["name"]
+    return m.select("topic", F.col("m.name").alias("material"), F.coalesce(family, F.col("m.family")).alias("family"), F.coalesce("m.transition_temperature_K", "m.tc_K").alias("tc_K"))
+
+
+def read_training(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) records; rejected ones carry an error code."""
+    rows = spark.read.schema(DFT).json(path).withColumns({"formation": F.col("formation_energy_peratom").try_cast("double"), "gap": F.col("optb88vdw_bandgap").try_cast("double")})
+    return split_errors(rows, F.when(F.col("jid").isNull(), "no_id").when(F.coalesce(F.size("atoms.elements"), F.lit(0)) < 1, "no_elements").when(F.col("formation").isNull() & F.col("gap").isNull(), "no_target"))
+
+
+def split_errors(rows: DataFrame, code: Column) -> tuple[DataFrame, DataFrame]:
+    coded = rows.withColumn("error_code", code)
+    return coded.where(F.col("error_code").isNull()).drop("error_code"), coded.where(F.col("error_code").isNotNull())
+
+
+def read_model_results(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each candidate or result of each block; the model's name comes from the block or the file."""
+    b = spark.read.schema(MODEL).json(path).withColumn("file", F.col("_metadata.file_name"))
+    rows = F.concat(F.coalesce("candidates", F.array()), F.coalesce("results", F.array()))
+    return b.select(first_present(F.col("model"), F.col("name"), F.col("file")).alias("model"), F.explode(rows).alias("r")).select("model", "r.formula", "r.property", F.col("r.value").try_cast("double").alias("value"))
+
+
+def read_samples(spark: SparkSession, path: str, least: int = 20) -> tuple[DataFrame, DataFrame]:
+    rows = spark.read.schema(SAMPLE).json(path).withColumn("features", F.transform("features", lambda x: F.round(x, 4)))
+    return split_errors(rows, F.when(F.coalesce(F.trim("material"), F.lit("")) == "", "no_material").when(F.coalesce(F.size("features"), F.lit(0)) < least, "too_few_features"))
+
+
+def read_band_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """dataset, band, seq, k, energy from files of rows 'k e1 e2 ...'; words that are no numbers are gaps."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("dataset"), F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
+    cells = F.split(F.trim(F.regexp_replace("line", r"(?<=\d)[dD](?=[+-]?\d)", "e")), r"[\s,;]+")
+    rows = lines.where(F.trim("line").rlike(r"^[+-]?[\d.]")).select("dataset", "seq", cells.alias("c"))
+    return rows.select("dataset", "seq", F.get("c", F.lit(0)).try_cast("double").alias("k"), F.posexplode(F.slice("c", 2, 100_000)).alias("band", "e")).select("dataset", "band", "seq", "k", F.col("e").try_cast("double").alias("energy"))
+
+
+def write_extraction(df: DataFrame, path: str) -> None:
+    """JSON lines with lists, and a CSV summary with lists joined by '; '."""
+    df.write.mode("overwrite").json(f"{path}/json")
+    flat = [F.array_join(c, "; ").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
+    df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
