@@ -467,10 +467,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "spc_07_profiles",
-    ctes("spectra_v") + ", c AS (SELECT dataset, i, avg(value) AS v FROM spectra_v GROUP BY dataset, i) SELECT dataset, i, round(coalesce((v - min(v) OVER (PARTITION BY dataset)) / nullif(max(v) OVER (PARTITION BY dataset) - min(v) OVER (PARTITION BY dataset), 0), 0), 6) AS profile FROM c",
+    ctes("spectra_v") + ", c AS (SELECT dataset, i, avg(value) AS v FROM spectra_v GROUP BY dataset, i) SELECT dataset, i, round(coalesce((v - min(v) OVER (PARTITION BY dataset)) / nullif(max(v) OVER (PARTITION BY dataset) - min(v) OVER (PARTITION BY dataset), 0), 0), 4) AS profile FROM c",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return spectra.profile(view(spark, d, "spectra_v"), "i").select("dataset", "i", F.round("profile", 6).alias("profile"))
+    return spectra.profile(view(spark, d, "spectra_v"), "i").select("dataset", "i", F.round("profile", 4).alias("profile"))
 
 
 @query("spc_08_axis_value", ctes("spectra_v") + " SELECT dataset, i, j, round(-0.5 + i / 23.0, 6) AS energy, CAST(round(255 * greatest(0, least(1, value / 1000))) AS BIGINT) AS u8 FROM spectra_v")
