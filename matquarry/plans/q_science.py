@@ -558,3 +558,44 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("str_02_flag_bursts")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return streams.flag_bursts(table(spark, d, "events"), "user_id", "ts", 3600, 3)
+
+
+# ---------------------------------------------------------------- further claims
+
+
+@query("clm_08_evidence_keys", ctes("claims_v") + " SELECT DISTINCT record_id, k AS evidence_key FROM (SELECT record_id, unnest([evidence_id, 'db:' || (" + _KEY + ")]) AS k FROM claims_v WHERE property = 'hull')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = chem.per_formula(view(spark, d, "claims_v").where("property = 'hull'"), "formula", composition=chem.composition_key)
+    keys = F.array_distinct(F.array("evidence_id", F.concat(F.lit("db:"), F.col("composition"))))
+    return c.select("record_id", F.explode(keys).alias("evidence_key")).distinct()
+
+
+@query(
+    "agg_09_weighted_mad",
+    ctes("claims_v") + _BEST + ", md AS (" + _MEDIAN.format(v="value", o="consensus", f="c") + "), far AS (SELECT c.*, abs(value - consensus) AS deviation FROM c JOIN md USING (identity, property)), mad AS (" + _MEDIAN.format(v="deviation", o="mad", f="far") + ") SELECT identity, property, round(1.4826 * mad, 5) AS mad FROM mad",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = consensus.property_consensus(consensus.identity_key(view(spark, d, "claims_v")))
+    return r.select("identity", "property", F.round("mad", 5).alias("mad"))
+
+
+@query(
+    "con_09_next_steps",
+    ctes("claims_v") + f" SELECT identity, concat_ws('|', CASE WHEN NOT structured THEN 'structure' END, CASE WHEN families < 2 THEN 'verification' END, CASE WHEN props > 1 THEN 'conflict' END, 'experiment') AS steps FROM (SELECT {_IDENTITY} AS identity, bool_or(structure > 0) AS structured, count(DISTINCT family) AS families, count(DISTINCT property) AS props FROM claims_v GROUP BY {_IDENTITY})",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    g = consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity").agg(F.bool_or(F.col("structure") > 0).alias("structured"), F.countDistinct("family").alias("families"), F.countDistinct("property").alias("props"))
+    steps = F.array_compact(F.array(F.when(~F.col("structured"), F.lit("structure")), F.when(F.col("families") < 2, F.lit("verification")), F.when(F.col("props") > 1, F.lit("conflict")), F.lit("experiment")))
+    return g.select("identity", F.array_join(F.slice(steps, 1, 4), "|").alias("steps"))
+
+
+@query("jon_12_trusted", ctes("claims_v") + " SELECT record_id, family IN ('family-1', 'family-2') AS trusted_family FROM claims_v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    registry = spark.createDataFrame([("family-1", True), ("family-2", True)], "family string, listed boolean")
+    return view(spark, d, "claims_v").join(F.broadcast(registry), "family", "left").select("record_id", F.coalesce("listed", F.lit(False)).alias("trusted_family"))
+
+
+@query("srt_02_top_labels", ctes("claims_v") + " SELECT formula, record_id FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY value DESC, record_id) AS n FROM claims_v) WHERE n <= 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("formula").orderBy(F.desc("value"), "record_id")
+    return view(spark, d, "claims_v").withColumn("n", F.row_number().over(w)).where("n <= 3").select("formula", "record_id")
