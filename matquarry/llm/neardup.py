@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, textkit
@@ -28,8 +28,11 @@ BANDS, ROWS = 21, 5
 #: Ranks below this form the first region; each further region doubles the rank.
 BASE = 1 / 16
 #: In the second round, buckets of up to ``SMALL`` texts compare all texts of different classes; in larger ones
-#: ``LEADERS`` texts outside the first leader's class are compared with all others.
+#: ``LEADERS`` texts outside the first leader's class are compared with all others, which only saves pairs of the
+#: exact join that follows.
 SMALL, LEADERS = 32, 2
+#: Parts that the rows of one shingle are dealt to in joins on shingles.
+SALTS = 8
 _U = 2.0**-64
 
 
@@ -203,6 +206,71 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(label, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
 
 
+def _with_token(entries: DataFrame, *aggregates: Column) -> DataFrame:
+    """The entries with aggregates over all entries of their token; tokens of one text are dropped."""
+    per = entries.groupBy("token").agg(F.count("*").alias("__n"), *aggregates).where("__n > 1").drop("__n")
+    per = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return entries.withColumn("salt", F.pmod("node", F.lit(SALTS))).join(per, ["token", "salt"]).drop("salt")
+
+
+def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """token, node, size, at: the tokens that a text may share first with a text of ``similarity``.
+
+    Tokens are in one order for all texts, rare ones first.  Two sets of that similarity share at least
+    ``similarity * size`` tokens, so the first one they share is among the first size - that + 1 of each.
+    Tokens of a single text can't be shared; they count for the places but are left out.
+    """
+
+    @F.pandas_udf("array<int>")
+    def numbers(s: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int32) for x in s], dtype=object)
+
+    size = (F.octet_length("set") / 4).cast("int")
+    tokens = shared.cut(sets.join(texts, "node").select("node", size.alias("size"), F.explode(numbers("set")).alias("token")))
+    common = _with_token(tokens, F.count("*").alias("n"))
+    # Places among the common tokens follow those of the tokens that the text has for itself.
+    order = Window.partitionBy("node").orderBy("n", "token")
+    common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
+    common = common.withColumn("at", F.col("at") + F.col("size") - F.col("common"))
+    return common.where(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)).select("token", "node", "size", "at")
+
+
+def _reach(similarity: float, size: str | Column, at: Column, other: str | Column) -> Column:
+    """Whether a set of ``size`` whose first shared token is at ``at`` can have the similarity to one of size ``other``."""
+    size, other = (F.col(x) if isinstance(x, str) else x for x in (size, other))
+    return (1 + similarity) * (size - at) >= similarity * (size + other) - 1e-6
+
+
+def close_pairs(entries: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
+    """(a, b) of different classes that share a token of ``entries`` (from ``prefixes``) and can be similar by
+    their sizes and the token's places.  No pair of that similarity and of different classes is left out, except with
+    ``lead``, where each token compares its texts with one leader only."""
+    able = _with_token(entries, F.min("size").alias("least")).where(_reach(similarity, "size", F.col("at"), F.greatest(F.col("least"), similarity * F.col("size"))))
+    able = able.drop("least").join(label, "node")
+    mixed = _with_token(able, F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(F.struct("at", "node", "size", "class")).alias("led")).where("c0 <> c1")
+    one = mixed.select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("class").alias("class_a"), "led")
+    far = F.col("class_a") != F.col("class_b")
+    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
+    fit = far & sizes & _reach(similarity, "size_a", F.col("at_a"), "size_b") & _reach(similarity, "size_b", F.col("at_b"), "size_a")
+    if lead:
+        both = one.withColumns({"b": F.col("led.node"), "size_b": F.col("led.size"), "at_b": F.col("led.at"), "class_b": F.col("led.class")}).where(fit)
+    else:
+        one = shared.cut(one.drop("led").withColumn("salt", F.pmod("a", F.lit(SALTS))))
+        other = one.select(F.col("token").alias("token_b"), F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("at_a").alias("at_b"), F.col("class_a").alias("class_b"))
+        other = other.withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = one.join(other, (F.col("token") == F.col("token_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & fit)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of ``label`` after the links ``found`` between them."""
+    edges = found.join(label.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a").join(label.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b")
+    edges = shared.cut(edges.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b").distinct())
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    to = components(nodes, edges).select(F.col("node").alias("class"), F.col("class").alias("to"))
+    return shared.cut(label.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
+
+
 def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, links, copies, kept: one row for each input row.
 
@@ -213,9 +281,10 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
 
     First, every text of a bucket is compared with the bucket's leader, the text that shares most buckets with
     most texts (the original of a group of edited copies), so n texts cost n pairs.  Buckets that then hold
-    several classes are compared again: small ones completely, large ones with a few more leaders.  So in a
-    bucket of more than ``SMALL`` texts a link between two texts that no leader links is found only through
-    another of their common buckets.
+    several classes are compared again: small ones completely, large ones with a few more leaders.  The texts of
+    large buckets that hold several classes even then are joined on their rarest shingles, which misses no pair of
+    the similarity: first each with one leader of a shingle, then all pairs of different classes.  So any two similar
+    texts that share a bucket get one class.
     """
     spark = docs.sparkSession
     shared.bounded_batches(spark)
@@ -265,6 +334,17 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     found = shared.cut(_verify(again.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
     links = links.union(found)
     label = shared.cut(components(busy, links))
+
+    classed = classed.where(F.col("n") > SMALL).select("bucket", "node").join(label, "node")
+    mixed = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
+    rest = shared.cut(classed.join(mixed, "bucket", "left_semi").select("node").distinct())
+    if not rest.isEmpty():
+        entries = shared.cut(prefixes(rest, sets, similarity))
+        for lead in (True, False):
+            # Links found before lie inside a class, so none is found twice.
+            found = shared.cut(_verify(close_pairs(entries, label, similarity, lead), sets, similarity))
+            if not found.isEmpty():
+                links, label = links.union(found), _merged(label, found)
     degree = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
     named = groups.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     top = named.groupBy("class").agg(F.max("best").alias("class_id"))
@@ -274,8 +354,6 @@ def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
 
 def one_each(docs: DataFrame) -> DataFrame:
     """The rows that ``classes`` keeps, with their columns; of rows with the same doc_id, one."""
-    from pyspark.sql import Window
-
     found = shared.cut(classes(docs).where("kept").select("doc_id").distinct())
     named = docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias("__kept")), docs.doc_id == F.col("__kept"), "left_semi")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))

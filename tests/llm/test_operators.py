@@ -154,6 +154,31 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.classes(empty).count() == 0
 
 
+def test_near_duplicates_of_large_mixed_buckets(spark):
+    """Edits of one absent base share its buckets, but only those of one chain are similar: held against all pairs."""
+    base, texts = words(300, 1), []
+    for k in range(150):
+        at = random.Random(k).sample(range(5, 290, 6), 11)
+        for chosen in (at[:5], at[:2] + at[5:8], at[5:8] + at[9:])[: 3 if k % 3 == 0 else 2]:
+            texts.append(" ".join(f"x{k}-{i}" if i in chosen else t for i, t in enumerate(base.split())))
+    found, column = [], {}
+    for t in texts:
+        w, seen = t.split(), {}
+        each = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        nth = [seen[s] for s in each if not seen.update({s: seen.get(s, 0) + 1})]
+        found.append([column.setdefault(x, len(column)) for x in zip(each, nth, strict=True)])
+    x = np.zeros((len(texts), len(column)), np.float32)
+    for i, f in enumerate(found):
+        x[i, f] = 1
+    both, n = x @ x.T, x.sum(1)
+    near = both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-6
+    label = np.arange(len(texts))
+    while (new := np.array([label[row].max() for row in near])).tolist() != label.tolist():
+        label = new
+    got = neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(label.tolist()))
+
+
 def test_signatures_estimate_weighted_similarity():
     a = [words(3, 5)] * 150 + [words(200, 6)]
     b = [words(3, 5)] * 110 + [words(200, 6)]
