@@ -224,6 +224,40 @@ def test_url_rules_and_verdicts(spark):
     assert urlfilter.judge(pages.limit(0), queries.RULES).count() == 0
 
 
+def test_url_models_count_every_gram(spark):
+    """More grams than 2**18 for each verdict: differences against Witten-Bell smoothing over all counts."""
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789-/"
+    tail = lambda: "".join(r.choice(letters) for _ in range(40))
+    urls = [f"http://{'org' if i % 2 else 'net'}/{tail()}" for i in range(6000)] + [f"http://x.com/{tail()}" for _ in range(50)]
+    rules = [urlfilter.Rule("allow", "org", "/"), urlfilter.Rule("block", "net", "/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    aside = {x.page_id: x.aside for x in pages.select("page_id", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("aside")).collect()}
+    counts = ({}, {})
+    for i, u in enumerate(urls[:6000]):
+        t = u[7:].encode()
+        for j in range(len(t) if not aside[i] else 0):
+            for k in range(min(j, 5) + 1):
+                here = counts[i % 2].setdefault(t[j - k : j], {})
+                here[t[j]] = here.get(t[j], 0) + 1
+    assert all(sum(len(x) for x in c.values()) > 1 << 18 for c in counts)
+
+    def log_likelihood(c, t):
+        total = 0.0
+        for j in range(len(t)):
+            p = 1 / 256
+            for k in range(min(j, 5) + 1):
+                if here := c.get(t[j - k : j]):
+                    p = (here.get(t[j], 0) + len(here) * p) / (sum(here.values()) + len(here))
+            total += np.log(p)
+        return total
+
+    got = {x.page_id: x.difference for x in urlfilter.judge(pages, rules).collect()}
+    for i in [*range(100), *range(6000, 6050)]:
+        t = urls[i][7:].encode()
+        assert abs(got[i] - (log_likelihood(counts[1], t) - log_likelihood(counts[0], t)) / len(t)) < 1e-9
+
+
 def labelled(spark, n=240):
     bad, junk = ["vile", "awful"], "### $$$ %%% ### &&& ***"
     texts, labels = [], []
