@@ -44,7 +44,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The classifiers and the tokenizer have no SQL form; tests hold the pipeline against a brute-force version.
+#: The classifiers and the tokenizer have no SQL form; tests check invariants of the pipeline's result.
 ORACLE_SQL = None
 
 
