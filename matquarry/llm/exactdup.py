@@ -2,8 +2,9 @@
 
 Texts are equal when identical after lower-casing A-Z only; a null text counts as empty.  Each map task first
 folds its own copies, groups of a hot digest are merged in salted shares, and the winners of the shares are
-combined last.  Every stage groups on the full content beside the digest, so a digest collision never joins
-different texts.  Of equal texts the row with the largest doc_id stays.
+combined last.  The stages group on the full content beside the digest, so a collision of the short digest never
+joins different texts; the last combine of groups that aren't hot and ``report``'s join back go by SHA-256 alone.
+Of equal texts the row with the largest doc_id stays.
 """
 
 from __future__ import annotations
