@@ -22,8 +22,8 @@ from . import pieces, shared
 
 #: Pieces of up to so many bytes are leaves; leaves are encoded by merging the lowest rank first.
 LEAF = 12
-#: Leaves and pairs that a task remembers at most; when full, it starts anew.
-MEMO = 400_000
+#: Leaves and pairs that a task remembers at most (when full, it starts anew), and the longest leaf in bytes.
+MEMO, LONGEST = 400_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,9 +47,11 @@ class Encoder:
 
     def leaf(self, raw: bytes) -> tuple[int, ...]:
         if (known := self.leaves.get(raw)) is None:
+            known = self.merged(raw)
             if len(self.leaves) >= MEMO:
                 self.leaves.clear()
-            known = self.leaves[raw] = self.merged(raw)
+            if len(raw) <= LONGEST:
+                self.leaves[raw] = known
         return known
 
     def merged(self, raw: bytes) -> tuple[int, ...]:

@@ -1,25 +1,29 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
-Bulk-synchronous best-fit, longest pieces first.  Lengths are integers up to the capacity, so the range-sorted
-documents and gaps are kept as runs of equal size: a run of documents is (length, ranks), a run of gaps is
-(gap, sequences).  In a superstep one run of documents sweeps to its successor, the run of the smallest gaps
-that hold it; which document takes which gap is settled by rank; the gaps shrink and move to their new size;
-the sweep repeats until no document of the run is left, opening sequences where no gap fits.  Runs number a
-few thousand whatever the corpus is.  The ranks of single documents are distributed: each task numbers its
-own, and prefix sums over the tasks' counts give the place in the run.
+Bulk-synchronous best-fit, longest pieces first.  Range-sorted documents and gaps are kept as runs of equal size:
+(length, ranks) and (gap, sequences), a few thousand whatever the corpus is.  In a superstep every run of
+documents looks up its successor, the smallest gap that holds it.  Runs with one successor form a group with that
+gap and the idle gaps up to the next successor; each group is swept in a task of its own, where conflicts are
+resolved by rank: the longest documents take the tightest gaps first, and a gap that shrinks within the group's
+range can be taken again.  Gaps are updated, documents that found none go to the next superstep.  Documents longer
+than every gap get empty sequences, as many as their lengths need, for the longest half of lengths at a time.
+
+The ranks of single documents are distributed: each task numbers its own, and prefix sums over the tasks' counts
+give the place in the run.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyspark
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -29,8 +33,6 @@ CAPACITY, END = 2048, 0
 #: The split pattern of the byte-level tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_packers: dict[str, pieces.Packer] = {}
-
 
 def _alphabet() -> dict[int, int]:
     """Bytes to the characters that stand for them in byte-level vocabularies: printable ones for themselves,
@@ -39,63 +41,88 @@ def _alphabet() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
 
 
-def _packer(path: str) -> pieces.Packer:
-    """Pieces go straight to the tokenizer's model, which needs no pre-tokenizer for a single piece."""
-    if path not in _packers:
-        model, table = Tokenizer.from_file(path).model, _alphabet()
-        _packers[path] = pieces.Packer(PATTERN, lambda x: [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))])
-    return _packers[path]
+class Ids:
+    """Packed ids (little-endian unsigned 32-bit) as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    Pieces go straight to the tokenizer's model and are remembered, where the file describes a plain byte-level
+    tokenizer; texts that hold one of its added tokens, and files of any other kind, go to the library whole.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            described = json.load(f)
+        self.added = [x["content"] for x in described["added_tokens"]]
+        split = described["pre_tokenizer"] or {}
+        self.plain = described["normalizer"] is None and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split["use_regex"]
+        model, table = self.library.model, _alphabet()
+        self.packed = pieces.Packer(PATTERN, lambda x: [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))]).packed
+
+    def __call__(self, text: str) -> bytes:
+        if self.plain and not any(x in text for x in self.added):
+            return self.packed(text)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_ids: dict[str, Ids] = {}
+
+
+def _ids_of(path: str) -> Ids:
+    """One for each worker process."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
+
+
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each document's ids and ``end``, cut into pieces.
+    """doc_id, piece, start, length, ids_crc32, task, nth: each document's ids and ``end``, cut into pieces.
 
-    Only documents of more than ``capacity`` ids are cut; all their pieces but the first are full.
+    Only documents of more than ``capacity`` ids are cut; all their pieces but the first are full.  ``nth``
+    numbers the pieces of one length within the task; both hold for one computation, so cut before use.
     """
     last = np.array([end], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = [x.split()[0] for x in _PIECE.split(", ")] + ["task", "nth"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = _packer(path).packed
+        ids_of, seen = _ids_of(path), [0] * (capacity + 1)
+        task = pyspark.TaskContext.get().partitionId()
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = tuple([] for _ in types)
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = memoryview(packed(text.as_py() or "") + last)
+                ids = memoryview(ids_of(text.as_py() or "") + last)
                 total = len(ids) // 4
                 first = total % capacity or capacity
                 for k, stop in enumerate(range(first, total + 1, capacity)):
                     start = max(0, stop - capacity) if k else 0
-                    for column, x in zip(out, (doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
+                    n = stop - start
+                    for column, x in zip(out, (doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * stop]), task, seen[n]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=names)
+                    seen[n] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     shared.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECE + ", task long, nth long")
 
 
-@dataclass
-class Plan:
-    """Where runs of documents go: ranks from ``rank`` on of ``length`` take sequences from ``sequence`` on, at ``offset``."""
+#: Rows of a superstep: runs of documents (size, first rank, n) and of gaps (size, first sequence, n) that are
+#: left, and placements (length, first rank, n, first sequence, offset).
+_RUN = "kind string, size long, first long, n long, sequence long, offset long"
+_RUN_NAMES = [x.split()[0] for x in _RUN.split(", ")]
 
-    capacity: int
-    length: list[int] = field(default_factory=list)
-    rank: list[int] = field(default_factory=list)
-    sequence: list[int] = field(default_factory=list)
-    offset: list[int] = field(default_factory=list)
-    sequences: int = 0
 
-    def place(self, length: int, rank: int, sequence: int, offset: int) -> None:
-        self.length.append(length)
-        self.rank.append(rank)
-        self.sequence.append(sequence)
-        self.offset.append(offset)
+def sweep_group(runs: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Best-fit of a group's runs of documents, longest first, into its runs of gaps.
 
-
-def sweep(count: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Supersteps over the runs, longest documents first."""
-    plan = Plan(capacity)
-    sizes: list[int] = []  # sorted sizes of gaps
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size: runs of (first sequence, how many)
+    A run of documents fills each gap it takes with as many of its documents as fit.
+    """
+    gaps: dict[int, list[tuple[int, int]]] = {}
+    for size, first, n in runs.loc[runs["kind"] == "gap", ["size", "first", "n"]].sort_values(["size", "first"]).itertuples(index=False):
+        gaps.setdefault(size, []).append((first, n))
+    sizes, out = sorted(gaps), []
 
     def add(size: int, first: int, n: int) -> None:
         if n and size:
@@ -104,71 +131,98 @@ def sweep(count: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 gaps[size] = []
             gaps[size].append((first, n))
 
-    for length in sorted(count, reverse=True):
-        rank, left = 0, count[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size], sizes[at]
-                taken = min(n, left)
-                plan.place(length, rank, first, capacity - size)
-                add(size - length, first, taken)
-                add(size, first + taken, n - taken)
-                rank, left = rank + taken, left - taken
-            else:
-                each = capacity // length
-                n = max(1, left // each)
-                for k in range(min(each, left)):
-                    plan.place(length, rank, plan.sequences, k * length)
-                    rank, left = rank + n, left - n
-                    held = k + 1
-                add(capacity - held * length, plan.sequences, n)
-                plan.sequences += n
-    return plan
-
-
-_OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    for length, rank, left in runs.loc[runs["kind"] == "doc", ["size", "first", "n"]].sort_values(["size", "first"], ascending=[False, True]).itertuples(index=False):
+        while left and (at := bisect.bisect_left(sizes, length)) < len(sizes):
+            size = sizes[at]
+            first, n = gaps[size].pop()
+            if not gaps[size]:
+                del gaps[size], sizes[at]
+            # ``layers`` documents in each of ``taken`` gaps.
+            layers = min(size // length, left)
+            taken = min(n, left // layers)
+            for k in range(layers):
+                out.append(("placed", length, rank, taken, first, capacity - size + k * length))
+                rank += taken
+            left -= layers * taken
+            add(size - layers * length, first, taken)
+            add(size, first + taken, n - taken)
+        if left:
+            out.append(("doc", length, rank, left, None, None))
+    out += [("gap", size, first, n, None, None) for size, some in gaps.items() for first, n in some]
+    frame = pd.DataFrame(out, columns=_RUN_NAMES)
+    return frame.astype({"sequence": "Int64", "offset": "Int64"})
+
+
+def superstep(state: DataFrame, capacity: int) -> DataFrame:
+    """One matching of all runs of documents with their successors; groups are swept in parallel tasks.
+
+    The distinct sizes of gaps and successors that travel to all tasks are ``capacity`` numbers at most.
+    """
+    docs, gaps = state.where("kind = 'doc'"), state.where("kind = 'gap'")
+    sizes = F.broadcast(gaps.agg(F.collect_set("size").alias("sizes")))
+    aimed = docs.join(sizes, F.lit(True)).withColumn("successor", F.expr("array_min(filter(sizes, s -> s >= size))")).drop("sizes")
+    aims = F.broadcast(aimed.agg(F.collect_set("successor").alias("aims")))
+    held = gaps.join(aims, F.lit(True)).withColumn("successor", F.expr("array_max(filter(aims, s -> s <= size))")).drop("aims")
+    both = aimed.unionByName(held)
+    swept = both.where("successor is not null").groupBy("successor").applyInPandas(lambda pdf: sweep_group(pdf, capacity), _RUN)
+    return swept.unionByName(both.where("successor is null").drop("successor"))
+
+
+def match(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Placements of runs of documents: length, rank, n, sequence, offset.
+
+    ``counts`` holds length and n.  The driver sees three numbers of each superstep: the longest document left, the
+    largest gap, and how many empty sequences the documents beyond it need.
+    """
+    spark = counts.sparkSession
+    null = F.lit(None).cast("long")
+    state = shared.cut(counts.select(F.lit("doc").alias("kind"), F.col("length").cast("long").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), null.alias("sequence"), null.alias("offset")))
+    placed: list[DataFrame] = []
+    opened = 0
+    while True:
+        doc, gap = F.col("kind") == "doc", F.col("kind") == "gap"
+        top = state.agg(F.max(F.when(doc, F.col("size"))), F.max(F.when(gap, F.col("size")))).first()
+        if top[0] is None:
+            break
+        beyond = state.where(doc & (F.col("size") > max(top[1] or 0, top[0] // 2)))
+        half = F.col("size") > capacity // 2
+        need = beyond.agg(F.sum(F.when(half, F.col("n")).otherwise(0)), F.sum(F.when(half, 0).otherwise(F.col("n") * F.col("size")))).first()
+        fresh = int(need[0] or 0) + -(-int(need[1] or 0) // capacity)
+        empty = spark.range(1 if fresh else 0).select(F.lit("gap").alias("kind"), F.lit(capacity).cast("long").alias("size"), F.lit(opened).cast("long").alias("first"), F.lit(fresh).cast("long").alias("n"), null.alias("sequence"), null.alias("offset"))
+        opened += fresh
+        result = shared.cut(superstep(state.unionByName(empty), capacity))
+        placed.append(result.where("kind = 'placed'"))
+        state = result.where("kind <> 'placed'")
+    if not placed:
+        return spark.createDataFrame([], "length long, rank long, n long, sequence long, offset long")
+    out = placed[0]
+    for more in placed[1:]:
+        out = out.unionByName(more)
+    return out.select(F.col("size").alias("length"), F.col("first").alias("rank"), "n", "sequence", "offset")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row for each piece with its sequence_id and offset; sequences are filled without gaps from 0.
 
-    A null or empty text is the end id alone.  Repeated rows are packed like any others; an empty table gives no
-    rows.  Texts aren't shuffled; the pieces (40 bytes each) are, once.
+    A null or empty text is the end id alone.  Null and repeated ids are packed like any others; an empty table
+    gives no rows.  Texts aren't shuffled; the pieces (60 bytes each) are, once.  The placements of runs, a few
+    thousand rows whatever the corpus is, are broadcast.
     """
-    spark = docs.sparkSession
-    cut = shared.cut(tokenise(docs, path, capacity, end)).withColumn("task", F.spark_partition_id())
-    counts = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
-    counts = shared.cut(counts)
-    plan = sweep({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
+    spark: SparkSession = docs.sparkSession
+    cut = shared.cut(tokenise(docs, path, capacity, end))
+    counts = shared.cut(cut.groupBy("task", "length").agg(F.count("*").alias("n")))
+    plan = match(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity).toPandas().sort_values(["length", "rank"])
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select("task", F.col("length").alias("of_length"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
-
-    keys = np.array(plan.length, np.int64) << 40 | np.array(plan.rank, np.int64)
-    order = np.argsort(keys, kind="stable")
-    sent = spark.sparkContext.broadcast(tuple(np.array(x, np.int64)[order] for x in (keys, plan.rank, plan.sequence, plan.offset)))
+    ranks = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank"))
+    sent = spark.sparkContext.broadcast((plan["length"].to_numpy(np.int64) << 40 | plan["rank"].to_numpy(np.int64), *(plan[c].to_numpy(np.int64) for c in ("rank", "sequence", "offset"))))
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(capacity + 1, np.int64)
-        for pdf in batches:
-            length = pdf["length"].to_numpy()
-            pdf["nth"] = seen[length] + pdf.groupby("length").cumcount().to_numpy()
-            np.add.at(seen, length, 1)
-            yield pdf
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, sequence, offset = sent.value
-        for pdf in batches:
-            rank = (pdf["rank"] + pdf["nth"]).to_numpy()
-            at = np.searchsorted(keys, pdf["length"].to_numpy() << 40 | rank, "right") - 1
-            pdf["sequence_id"], pdf["offset"] = sequence[at] + rank - first[at], offset[at]
-            yield pdf[[x.split()[0] for x in _OUT.split(", ")]]
+        for b in batches:
+            rank = b.column("rank").to_numpy() + b.column("nth").to_numpy()
+            at = np.searchsorted(keys, b.column("length").to_numpy() << 40 | rank, "right") - 1
+            names = [x.split()[0] for x in _PIECE.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
     shared.bounded_batches(spark, 10_000)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
-    numbered = cut.mapInPandas(number, schema)
-    joined = numbered.join(ranks.withColumnRenamed("task", "of_task"), (F.col("task") == F.col("of_task")) & (F.col("length") == F.col("of_length"))).drop("of_task", "of_length")
-    return joined.mapInPandas(assign, _OUT)
+    return cut.join(ranks, ["task", "length"]).mapInArrow(assign, _PIECE + ", sequence_id long, offset long")

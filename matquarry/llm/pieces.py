@@ -14,8 +14,8 @@ from collections.abc import Callable, Sequence
 
 import regex
 
-#: Pieces, and units, that a task remembers at most; when full, it starts anew.
-MEMO = 700_000
+#: Pieces, and units, that a task remembers at most (when full, it starts anew), and their longest size.
+MEMO, LONGEST = 700_000, 48
 #: Texts below this code point are split by the standard library.
 LATIN = 0x250
 #: White space that a text must not hold for its units to be the pieces' own: runs, or rarer kinds.
@@ -49,7 +49,9 @@ class _Memo(dict):
     def __missing__(self, key: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
 

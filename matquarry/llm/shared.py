@@ -1,15 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, batch bounds, labelled samples."""
+"""What the operators of this subpackage share: the shared folder, cuts, skew-safe joins, labelled samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch.  Texts are long, so a batch stays small; tasks work through one at a time.
 BATCH_ROWS = 512
+#: A key is heavy if it holds a thousandth of all rows, so at most so many keys are.
+HEAVY = 1000
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -18,15 +20,17 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, a local master gets a temporary folder (tests); a cluster must name one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
@@ -34,15 +38,39 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once and cuts its lineage with a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Computes ``df`` once, as Parquet in the shared folder, and reads it back.
+
+    Lost executors can't lose it, the plan starts anew from a scan of known size, so small tables are broadcast by
+    Spark's own limit, and no constraints pile up in loops.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(big: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``table``, which holds one row for each key at most; heavy keys are dealt to many tasks.
+
+    ``big`` should be cheap to read again (a cut).  The rows of a heavy key go to as many parts as there are
+    shuffle partitions, and its row of ``table`` to each of them; the list of heavy keys (``HEAVY`` at most) is
+    broadcast.  Null keys match nothing.
+    """
+    spark = big.sparkSession
+    parts, least = tasks(spark), max(big.count() / HEAVY, HEAVY)
+    heavy = big.groupBy(on).agg(F.count("*").alias("__n")).where((F.col("__n") >= least) & F.col(on).isNotNull()).limit(HEAVY).select(on, F.lit(True).alias("__heavy"))
+    heavy = F.broadcast(cut(heavy))
+    deal = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int")).otherwise(0)
+    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(heavy, on, "left").withColumn("__part", deal).drop("__heavy")
+    right = table.join(heavy, on, "left").withColumn("__part", F.explode(copies)).drop("__heavy")
+    return left.join(right, [on, "__part"], how).drop("__part")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents, chosen by a hash of doc_id.
 
@@ -57,3 +85,27 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> Dat
         .limit(bound)
     )
     return docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+
+
+def text_sha(text: Column) -> Column:
+    """SHA-256 of a text (null: empty) as bytes."""
+    return F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
+
+
+def one_row_each(docs: DataFrame, chosen: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each (sha, id) of ``chosen`` one of the rows of ``docs`` with that text and doc_id (null equals null).
+
+    ``rows`` (doc_id, sha) tells which of them repeat; only these are numbered, the others are found by a semi-join.
+    Columns of ``docs`` travel in a struct, so their names can't clash.
+    """
+    wanted = chosen.select(F.col("sha").alias("of"), "id")
+    same = rows.join(wanted, (F.col("sha") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    times = cut(same.groupBy("of", "id").agg(F.count("*").alias("times")))
+    named = docs.select(F.struct(*docs.columns).alias("row"), text_sha(F.col("text")).alias("own"), F.col("doc_id").cast("long").alias("own_id"))
+    on = (F.col("own") == F.col("of")) & F.col("own_id").eqNullSafe(F.col("id"))
+    once = named.join(times.where("times = 1"), on, "left_semi").select("row.*")
+    if times.where("times > 1").isEmpty():
+        return once
+    order = Window.partitionBy("of", "id").orderBy("own")
+    more = named.join(times.where("times > 1"), on).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return once.unionByName(more.select("row.*"))
