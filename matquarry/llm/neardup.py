@@ -7,16 +7,20 @@ keeps the accepted dart of the smallest rank.  Two texts agree on a coordinate w
 weighted Jaccard similarity.  Few darts lie in the small ranks that a long text needs, which makes it fast.
 
 Texts that agree on a whole band of coordinates are candidates; pairs are verified on the exact weighted
-Jaccard similarity.  Classes are the connected components of the verified links.
+Jaccard similarity.  Classes are the connected components of the links between candidates.  Pairs that are in
+one class already need no check, so a group of n copies costs about n pairs and not n * n.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyspark
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +31,9 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 21, 5
 #: Ranks below this form the first region; each further region doubles the rank.
 BASE = 1 / 16
-#: In the second round, buckets of up to ``SMALL`` texts compare all texts of different classes; in larger ones
-#: ``LEADERS`` texts outside the first leader's class are compared with all others, which only saves pairs of the
-#: exact join that follows.
-SMALL, LEADERS = 32, 2
+#: Buckets of up to so many texts compare all texts of different classes; larger ones are joined on shingles.  Both
+#: ways are exact, so this only chooses the cheaper one.
+SMALL = 32
 #: Parts that the rows of one shingle are dealt to in joins on shingles.
 SALTS = 8
 _U = 2.0**-64
@@ -165,7 +168,10 @@ def occurrences(texts: pa.Array | list[bytes], words: int = WORDS) -> list[np.nd
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' weighted Jaccard similarity is ``similarity`` at least."""
+    """The pairs (a, b) whose texts' weighted Jaccard similarity is ``similarity`` at least; ``pairs`` is a cut.
+
+    A leader has very many pairs; they are dealt to many tasks.
+    """
 
     @F.pandas_udf("double")
     def jaccard(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -182,18 +188,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         return pd.Series(out, dtype=float)
 
     shared.bounded_batches(pairs.sparkSession)
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    with_a = shared.spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     both = with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     return both.where(jaccard("set_a", "set_b") >= similarity).select("a", "b")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, class): the smallest node of each connected component, by min-label rounds with shortcuts.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, class) of all nodes of ``edges`` (a, b): the smallest node of each connected component.
 
     Each round a label falls to the smallest of its neighbours' labels, and to that label's own label, so chains
-    halve.  Rounds cut lineage in the shared folder; they end when no label changes.
+    halve.  Every round is written and read anew, so its plan stays as small as the first; rounds end when no
+    label changes.
     """
-    both = shared.cut(edges.union(edges.select("b", "a")).distinct())
+    both = shared.cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = shared.cut(both.select(F.col("a").alias("node")).distinct().withColumn("class", F.col("node")))
     while True:
         near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("class").alias("least"))
@@ -202,8 +209,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = shared.cut(fell.join(jump, "to").select("node", F.least("to", "then").alias("class"), "was"))
         label = new.select("node", "class")
         if new.where("class <> was").isEmpty():
-            break
-    return nodes.join(label, "node", "left").select("node", F.coalesce("class", "node").alias("class"))
+            return label
+
+
+def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes of ``label`` (node, class) after the links ``found`` (a, b); both are cuts."""
+    if found.isEmpty():
+        return label
+    ends = [label.select(F.col("node").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab"]
+    edges = shared.cut(found.join(ends[0], "a").join(ends[1], "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b").distinct())
+    to = components(edges).select(F.col("node").alias("class"), F.col("class").alias("to"))
+    return shared.cut(shared.spread_join(label, to, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
 
 
 def _with_token(entries: DataFrame, *aggregates: Column) -> DataFrame:
@@ -262,102 +278,115 @@ def close_pairs(entries: DataFrame, label: DataFrame, similarity: float, lead: b
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
-    """The classes of ``label`` after the links ``found`` between them."""
-    edges = found.join(label.select(F.col("node").alias("a"), F.col("class").alias("class_a")), "a").join(label.select(F.col("node").alias("b"), F.col("class").alias("class_b")), "b")
-    edges = shared.cut(edges.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).where("a <> b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    to = components(nodes, edges).select(F.col("node").alias("class"), F.col("class").alias("to"))
-    return shared.cut(label.join(to, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
+def _read(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, at, sha, bands of every row: a number of its own, the text's digest and its band hashes.
 
+    Only the first of equal texts in a task carries bands.
+    """
 
-def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, links, copies, kept: one row for each input row.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen = pyspark.TaskContext.get().partitionId() << 33, set()
+        for b in batches:
+            text = b.column("text")
+            sha = [hashlib.sha256((t.as_py() or "").encode()).digest() for t in text]
+            first = [i for i, x in enumerate(sha) if x not in seen and not seen.add(x)]
+            hashes: list[bytes | None] = [None] * len(sha)
+            for i, h in zip(first, bands(text.take(pa.array(first, pa.int64())), words), strict=True):
+                hashes[i] = h.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(range(at, at + len(sha)), pa.int64()), pa.array(sha, pa.binary()), pa.array(hashes, pa.binary())], names=["doc_id", "at", "sha", "bands"])
+            at += len(sha)
 
-    Rows of one text (null: empty) are one node, so copies cost nothing.  class_id is the largest doc_id of the
-    class; links counts the links found from the row's text to other texts; copies counts the rows of its text;
-    kept marks the row of class_id (repeated rows share it).  Texts without words only equal each other.  Null
-    ids lose against any other; a class of null ids alone has a null class_id and keeps its rows.
-
-    First, every text of a bucket is compared with the bucket's leader, the text that shares most buckets with
-    most texts (the original of a group of edited copies), so n texts cost n pairs.  Buckets that then hold
-    several classes are compared again: small ones completely, large ones with a few more leaders.  The texts of
-    large buckets that hold several classes even then are joined on their rarest shingles, which misses no pair of
-    the similarity: first each with one leader of a shingle, then all pairs of different classes.  So any two similar
-    texts that share a bucket get one class.
-    """
-    spark = docs.sparkSession
-    shared.bounded_batches(spark)
+    shared.bounded_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, at long, sha binary, bands binary")
 
-    @F.pandas_udf("array<long>")
-    def band_hashes(s: pd.Series) -> pd.Series:
-        return pd.Series(bands(pa.array(s, pa.string()), words), dtype=object)
+
+def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): doc_id and sha of every row; sha, node, best, copies, class_id and lead of every text.
+
+    ``lead`` marks one text of each class, the one of class_id (of texts that share that id, one).
+    """
 
     @F.pandas_udf("binary")
     def occurrence_set(s: pd.Series) -> pd.Series:
         return pd.Series([x.tobytes() for x in occurrences(pa.array(s, pa.string()), words)], dtype=object)
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # A node is a text, named by 64 bits of its SHA-256 digest.
-    node = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), node.alias("node"))
-    ids = shared.cut(rows.select("doc_id", "node"))
-    groups = shared.cut(ids.groupBy("node").agg(F.max("doc_id").alias("best"), F.count("*").alias("copies")))
-    members = rows.select("node", F.posexplode(band_hashes("text")).alias("band", "hash"))
-    members = members.select("node", F.xxhash64("band", "hash").alias("bucket")).distinct()
+    @F.pandas_udf("array<long>")
+    def split(s: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in s], dtype=object)
+
+    rows = shared.cut(_read(docs, words))
+    # A text is named by the number of its first row; its bands are those of that row.
+    texts = shared.cut(rows.groupBy("sha").agg(F.max("doc_id").alias("best"), F.count("*").alias("copies"), F.min("at").alias("node")))
+    held = rows.where("bands is not null").select(F.col("at").alias("node"), "bands").join(texts.select("node"), "node")
+    members = shared.cut(held.select("node", F.posexplode(split("bands")).alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket")))
     size = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared_buckets = members.join(size, "bucket")
-    score = shared_buckets.groupBy("node").agg(F.sum("n").alias("score"))
-    placed = shared.cut(shared_buckets.join(score, "node"))
-    busy = shared.cut(placed.select("node").distinct())
-    sets = rows.join(busy, "node", "left_semi").select("node", occurrence_set("text").alias("set"))
-    sets = shared.cut(sets.groupBy("node").agg(F.first("set").alias("set")))
-
-    best = F.max_by("node", F.struct("score", "node"))
-    leader = placed.groupBy("bucket").agg(best.alias("leader"))
-    pairs = placed.join(leader, "bucket").where("node <> leader")
-    pairs = shared.cut(pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
-    links = shared.cut(_verify(pairs, sets, similarity))
-    label = shared.cut(components(busy, links))
-
-    classed = placed.join(label, "node")
-    mixed = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.max_by("class", F.struct("score", "node")).alias("led")).where("c0 <> c1").select("bucket", "led")
-    classed = shared.cut(classed.join(mixed, "bucket"))
-    one = classed.select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"))
-    other = classed.select("bucket", F.col("node").alias("b"), F.col("class").alias("class_b"), "n")
-    share = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
-    more = classed.where((F.col("n") > SMALL) & (F.col("class") != F.col("led"))).groupBy("bucket", share.alias("share")).agg(F.max_by(F.struct("node", "class"), F.struct("score", "node")).alias("x"))
-    more = more.select("bucket", F.col("x.node").alias("a"), F.col("x.class").alias("class_a"))
-    small = one.join(other.where(F.col("n") <= SMALL), "bucket").where("a < b and class_a <> class_b")
-    large = more.join(other.where(F.col("n") > SMALL), "bucket").where("class_a <> class_b")
-    again = small.select("a", "b").union(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    found = shared.cut(_verify(again.join(pairs, ["a", "b"], "left_anti"), sets, similarity))
-    links = links.union(found)
-    label = shared.cut(components(busy, links))
-
-    classed = classed.where(F.col("n") > SMALL).select("bucket", "node").join(label, "node")
-    mixed = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1")
-    rest = shared.cut(classed.join(mixed, "bucket", "left_semi").select("node").distinct())
-    if not rest.isEmpty():
-        entries = shared.cut(prefixes(rest, sets, similarity))
+    placed = shared.cut(shared.spread_join(members, size, "bucket"))
+    busy = shared.cut(placed.groupBy("node").agg(F.sum("n").alias("score")))
+    placed = shared.cut(placed.join(busy, "node"))
+    # The texts of busy nodes, one row each (several only where rows repeat).
+    wanted = texts.join(busy.select("node"), "node").select("sha", "best", "node")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sha", shared.text_sha(F.col("text")))
+    chosen = chosen.join(wanted.withColumnRenamed("sha", "of"), (F.col("sha") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("best"))).select("node", occurrence_set("text").alias("set"))
+    sets = shared.cut(chosen.groupBy("node").agg(F.first("set").alias("set")))
+
+    # First, every text of a bucket is compared with the bucket's leader, the text that shares most buckets with most
+    # texts (the original of a group of edited copies).
+    leader = placed.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("led")).select("bucket", F.col("led.node").alias("leader"))
+    led = shared.spread_join(placed, leader, "bucket").where("node <> leader")
+    pairs = shared.cut(led.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct())
+    label = shared.cut(busy.select("node", F.col("node").alias("class")))
+    label = _merged(label, shared.cut(_verify(pairs, sets, similarity)))
+
+    def mixed(table: DataFrame) -> DataFrame:
+        """The rows (bucket, node, n) of buckets that hold several classes, with their class."""
+        classed = shared.cut(table.join(label, "node"))
+        several = classed.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 <> c1").select("bucket", F.lit(True).alias("several"))
+        return shared.cut(shared.spread_join(classed, several, "bucket").drop("several"))
+
+    # Then small buckets compare all their texts of different classes.
+    rest = mixed(placed.select("bucket", "node", "n"))
+    one = rest.where(F.col("n") <= SMALL).select("bucket", F.col("node").alias("a"), F.col("class").alias("class_a"))
+    other = one.select("bucket", F.col("a").alias("b"), F.col("class_a").alias("class_b"))
+    again = one.join(other, "bucket").where("a < b and class_a <> class_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    label = _merged(label, shared.cut(_verify(shared.cut(again), sets, similarity)))
+
+    # Texts of larger ones are joined on their rarest shingles, which misses no pair of the similarity: first each with
+    # one leader of a shingle, then all pairs of different classes.
+    large = shared.cut(mixed(rest.where(F.col("n") > SMALL).select("bucket", "node", "n")).select("node").distinct())
+    if not large.isEmpty():
+        entries = shared.cut(prefixes(large, sets, similarity))
         for lead in (True, False):
-            # Links found before lie inside a class, so none is found twice.
-            found = shared.cut(_verify(close_pairs(entries, label, similarity, lead), sets, similarity))
-            if not found.isEmpty():
-                links, label = links.union(found), _merged(label, found)
-    degree = links.union(links.select("b", "a")).groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
-    named = groups.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    top = named.groupBy("class").agg(F.max("best").alias("class_id"))
-    table = named.join(top, "class").join(degree, "node", "left").select("node", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    return ids.join(table, "node").select("doc_id", "class_id", "links", "copies", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+            label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(entries, label, similarity, lead)), sets, similarity)))
+
+    named = shared.cut(texts.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    of_class = named.groupBy("class").agg(F.max("best").alias("class_id"))
+    named = shared.cut(shared.spread_join(named, of_class, "class"))
+    lead = named.where(F.col("best").eqNullSafe(F.col("class_id"))).groupBy("class").agg(F.min("node").alias("first"))
+    named = shared.spread_join(named, lead, "class").withColumn("lead", F.col("node") == F.col("first"))
+    return rows.select("doc_id", "sha"), shared.cut(named.select("sha", "node", "best", "copies", "class_id", "lead"))
+
+
+def classes(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, copies, kept: one row for each input row.
+
+    Rows of one text (null: empty) are one node, so copies cost nothing.  class_id is the largest doc_id of the
+    class; copies counts the rows of its text; kept marks the rows of the text that stands for the class (one
+    text, also where several share class_id; repeated rows share it).  Texts without words only equal each
+    other.  Null ids lose against any other; a class of null ids alone has a null class_id.  An empty table gives
+    no rows.
+
+    Any two texts of the similarity that share a bucket get one class, whatever the size of the bucket.
+    """
+    rows, texts = _classes(docs, words, similarity)
+    kept = F.col("lead") & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return shared.spread_join(rows, texts, "sha").select("doc_id", "class_id", "copies", kept.alias("kept"))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The rows that ``classes`` keeps, with their columns; of rows with the same doc_id, one."""
-    found = shared.cut(classes(docs).where("kept").select("doc_id").distinct())
-    named = docs.join(found.where("doc_id is not null").select(F.col("doc_id").alias("__kept")), docs.doc_id == F.col("__kept"), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text"))
-    named = named.withColumn("__row", one).where("__row = 1").select(*docs.columns)
-    if found.where("doc_id is null").isEmpty():
-        return named
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """One row of each class of ``classes``, with its columns: the row of class_id's text (of repeated rows, one).
+
+    Rows are told apart by their whole text's digest, so different texts that share a doc_id lose nothing.
+    """
+    rows, texts = _classes(docs, WORDS, SIMILARITY)
+    lead = texts.where("lead").select("sha", F.col("class_id").alias("id"))
+    return shared.one_row_each(docs, lead, rows)
