@@ -13,12 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared, textkit
 
 K, WORDS = 256, 5
+#: Keys that a task folds before it sends them on, and the parts that one key's hashes are ranked in.
+FOLDED, SHARES = 20_000, 32
 
 
 def sketches(texts: list[bytes], k: int = K, words: int = WORDS) -> list[np.ndarray]:
@@ -87,27 +90,43 @@ def fingerprint(df: DataFrame, text: str = "text", k: int = K, words: int = WORD
 
 
 def merged(df: DataFrame, keys: list[str], column: str = "fingerprint", k: int = K) -> DataFrame:
-    """One sketch for each key from the sketches of its parts.
+    """One sketch for each key from the sketches of its parts; null keys are one key, no keys give one row.
 
-    Parts merge inside each partition first, so a key with most of the rows sends one sketch from each task.
+    Each task folds its own parts first.  Folded sketches are split into their hashes, of which the k smallest
+    distinct ones of each key are found by ranking; a key with most of the rows sends k hashes from each task, and
+    their ranking is dealt to ``SHARES`` parts before it is joined.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        have: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for *key, s in pdf[[*keys, column]].itertuples(index=False):
-                x = load(s or "")
-                at = tuple(key)
-                have[at] = merge(have[at], x, k) if at in have else x[:k]
-            if len(have) > 20_000:
-                yield pd.DataFrame([(*a, dump(v)) for a, v in have.items()], columns=[*keys, column])
+    names = [f"__key{i}" for i in range(len(keys))]
+    source = df.select(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True)), F.coalesce(column, F.lit("")).alias("__sketch"))
+    source = source.withColumn("__id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}) if names else F.lit(""))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(have), pa.string()), pa.array([x.view(np.int64) for x in have.values()], pa.list_(pa.int64()))], names=["__id", "__hashes"])
+
+        for b in batches:
+            for at, s in zip(b.column("__id").to_pylist(), b.column("__sketch").to_pylist(), strict=True):
+                x = load(s)[:k]
+                have[at] = merge(have[at], x, k) if at in have else x
+            if len(have) > FOLDED:
+                yield out()
                 have = {}
-        if have:
-            yield pd.DataFrame([(*a, dump(v)) for a, v in have.items()], columns=[*keys, column])
+        yield out()
 
-    local = df.select(*keys, column).mapInPandas(fold, f"{fields}, `{column}` string")
-    return local.repartition(*keys).mapInPandas(fold, f"{fields}, `{column}` string") if keys else local.coalesce(1).mapInPandas(fold, f"`{column}` string")
+    # Unsigned order as an order of signed numbers.
+    hashes = source.select("__id", "__sketch").mapInArrow(fold, "__id string, __hashes array<long>").select("__id", F.explode("__hashes").alias("__h"))
+    hashes = hashes.select("__id", F.expr("__h ^ -9223372036854775808L").alias("__h")).distinct().withColumn("__share", F.pmod("__h", F.lit(SHARES)))
+    for part in (["__id", "__share"], ["__id"]):
+        hashes = hashes.withColumn("__nth", F.row_number().over(Window.partitionBy(*part).orderBy("__h"))).where(F.col("__nth") <= k)
+
+    def pack(s: pd.Series) -> pd.Series:
+        return pd.Series([dump(np.sort(np.asarray(x, np.int64).view(np.uint64) ^ np.uint64(1 << 63))) for x in s], dtype=object)
+
+    sketches_ = hashes.groupBy("__id").agg(F.collect_list("__h").alias("__h")).select("__id", F.pandas_udf(pack, "string")("__h").alias(column))
+    one = source.dropDuplicates(["__id"]).drop("__sketch")
+    return one.join(sketches_, "__id", "left").select(*(F.col(n).alias(c) for c, n in zip(keys, names, strict=True)), F.coalesce(column, F.lit("")).alias(column))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, next_in_doc double"
@@ -125,17 +144,13 @@ def with_neighbour(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame
     spark = docs.sparkSession
     shared.bounded_batches(spark, 256)
     parts = shared.tasks(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ranges = 8 * parts
-    cuts = np.unique(np.array(docs.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)), dtype=float))
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0] or []))
+    # Large ids come first; a null id falls in the last range.
+    bucket = F.lit(len(cuts)) - F.coalesce(_reached(cuts), F.lit(0))
 
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        # Large ids come first; a null id falls in the last range.
-        at = np.searchsorted(cuts, pd.to_numeric(ids).fillna(-np.inf).to_numpy(float), "right")
-        return pd.Series((len(cuts) - at).astype(np.int32))
-
-    ids = docs.select("doc_id", bucket("doc_id").alias("bucket"))
+    ids = docs.select("doc_id", bucket.alias("bucket"))
     heads = sorted((r.bucket, r.head) for r in ids.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
     if not heads:
         return spark.createDataFrame([], _OUT)
@@ -146,32 +161,40 @@ def with_neighbour(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame
         .agg(F.min("text").alias("text"))
         .select("doc_id", "text", "bucket", F.lit(1).alias("tail"))
     )
-    rows = docs.select("doc_id", "text", bucket("doc_id").alias("bucket"), F.lit(0).alias("tail")).unionByName(tails)
+    rows = docs.select("doc_id", "text", bucket.alias("bucket"), F.lit(0).alias("tail")).unionByName(tails)
     rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for b in batches:
+            texts = b.column("text").to_pylist()
             prints = sketches([x.encode() for x in texts], k, words)
             todo: list[tuple] = []
-            for one in zip(pdf["doc_id"], texts, pdf["bucket"], pdf["tail"], prints, strict=True):
-                if last is not None and not last[3]:
-                    todo.append((*last, one[1], one[4]))
+            for one in zip(b.column("doc_id").to_pylist(), texts, b.column("tail").to_pylist(), prints, strict=True):
+                if last is not None and not last[2]:
+                    todo.append((*last, one[1], one[3]))
                 last = one
-            if not todo:
-                continue
             edits, out = [], []
-            for _, text, _, _, _, after, _ in todo:
+            for _, text, _, _, after, _ in todo:
                 half = len(text) // 2
                 edits.append((text[: len(text) - half] + after[:half]).encode())
-            for (doc_id, text, _, _, own, _, nxt), edit, other in zip(todo, edits, sketches(edits, k, words), strict=True):
+            for (doc_id, text, _, own, _, nxt), edit, other in zip(todo, edits, sketches(edits, k, words), strict=True):
                 out.append((doc_id, len(text), hashlib.sha256(edit).hexdigest(), dump(own), dump(other), resemblance(own, other, k), resemblance(own, nxt, k), distinct(own, k), containment(nxt, own, k)))
-            frame = pd.DataFrame(out, columns=_NAMES)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(_TYPES)], names=_NAMES)
+
+    return rows.mapInArrow(run, _OUT)
+
+
+def _reached(cuts: list[int]) -> Column:
+    """How many of the sorted ``cuts`` a doc_id reaches; null for a null id."""
+
+    @F.pandas_udf("int")
+    def reached(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy(np.int64), "right").astype(np.int32))
 
-    return rows.mapInPandas(run, _OUT)
+    # Null ids are told apart in SQL, so ids reach the task as whole numbers.
+    return F.when(F.col("doc_id").isNotNull(), reached(F.coalesce("doc_id", F.lit(0).cast("long"))))
 
 
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in _OUT.split(", ")]

@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +38,23 @@ def roles(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
 
     Of rows with equal payloads of at least ``min_revisit`` bytes, those with the largest page_id are responses
     (more than one only if rows repeat) and the others refer to them; a null page_id refers to the largest of
-    its group and is a response if the group has only nulls.  Groups are counted on the tasks first; the join
-    on the digest is one that adaptive execution splits where a digest is hot.
+    its group and is a response if the group has only nulls.  Groups are counted on the tasks first; the largest
+    of the hot contents are broadcast, those of the rest joined.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("content", F.unhex(F.sha2("payload", 256)))
-    best = rows.groupBy("content").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
+    best = shared.cut(rows.groupBy("content").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     refers = F.when((F.length("payload") >= min_revisit) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(best, "content", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    # Contents of a thousandth of all copies or more are few: they are broadcast, so their rows stay where they are.
+    least = (best.agg(F.sum("n")).first()[0] or 0) / shared.HEAVY
+    hot = F.broadcast(best.where(F.col("n") >= least).select("content", F.col("first").alias("hot"), F.lit(True).alias("is_hot")))
+    known = rows.join(hot, "content", "left")
+    # Rows of hot contents have no match in the join of the rest and are dealt out evenly.
+    deal = F.when(F.col("is_hot"), F.pmod(F.xxhash64("page_id", "url"), F.lit(shared.tasks(pages.sparkSession))) + 1).otherwise(0)
+    rest = best.where(F.col("n") < least).select("content", F.col("first").alias("cold"), F.lit(0).cast("long").alias("deal"))
+    found = known.withColumn("deal", deal.cast("long")).join(rest, ["content", "deal"], "left")
+    return found.withColumn("first", F.coalesce("hot", "cold")).select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -79,20 +86,16 @@ def write(records: DataFrame, path: str) -> None:
     lost task leaves nothing behind.  An empty gzip member separates them, which readers skip.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = zip(pdf["page_id"].astype(object), pdf["url"], pdf["payload"], pdf["refers_to"].astype(object), strict=True)
-            yield pd.DataFrame({"value": [record(_whole(a), b, bytes(c), _whole(d)) for a, b, c, d in rows]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([record(*x) for x in rows], pa.binary())], names=["value"])
 
     shared.bounded_batches(records.sparkSession)
-    rows = records.select("page_id", "url", "payload", "refers_to").mapInPandas(run, "value binary")
+    rows = records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def _whole(x) -> int | None:
-    return None if x is None or x != x else int(x)
-
-
 _RECORD = "page_id long, record_type string, refers_to long, target_uri string, payload_digest string, payload_bytes long, payload binary, file string, position long"
 
 
@@ -100,33 +103,33 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """All records of the archives under ``path``, with their payload (null for revisits) and place.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload; a response whose payload doesn't
-    match its digest raises.  Ranges of ``size`` bytes are dealt to tasks; memory holds one record at a time.
+    match its digest raises, as do bytes between records that are no member and a member cut short.  Ranges of
+    ``size`` bytes are dealt to tasks; memory holds one record at a time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("path", "length")
-    ranges = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("begin"))
+    ranges = shared.cut(files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("begin")))
     n = max(1, min(shared.tasks(spark) * 4, ranges.count()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, length, begin in pdf[["path", "length", "begin"]].itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, length, begin in zip(*(b.column(c).to_pylist() for c in ("path", "length", "begin")), strict=True):
                 rows, held = [], 0
                 for row in _scan(file, length, begin, min(length, begin + size)):
                     rows.append(row)
                     held += len(row[6] or b"")
                     if held > 8 << 20 or len(rows) >= 2000:
-                        yield _frame(rows)
+                        yield _batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield _frame(rows)
+                    yield _batch(rows)
 
-    return ranges.repartition(n, F.xxhash64("path", "begin")).mapInPandas(run, _RECORD)
+    return ranges.repartition(n, F.xxhash64("path", "begin")).mapInArrow(run, _RECORD)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=[x.split()[0] for x in _RECORD.split(", ")])
-    for c in ("page_id", "refers_to"):
-        pdf[c] = pdf[c].astype("Int64")
-    return pdf
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = [x.split() for x in _RECORD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(columns)], names=[c for c, _ in columns])
 
 
 def _open(uri: str) -> pa.NativeFile:
@@ -136,26 +139,36 @@ def _open(uri: str) -> pa.NativeFile:
 
 
 def _scan(file: str, length: int, begin: int, end: int) -> Iterator[tuple]:
-    """Records whose member starts in [begin, end)."""
+    """Records whose member starts in [begin, end).
+
+    From the file's start, and after each record, a member must follow or the file end; only before a range's first
+    member, where a record of an earlier range may end, are bytes passed over.
+    """
     with _open(file) as f:
-        at = begin
+        at, aligned = begin, begin == 0
         while at < end:
-            window = f.read_at(min(BLOCK, end - at) + len(MAGIC) - 1, at)
-            hit = window.find(MAGIC)
-            if hit < 0:
-                at += max(1, len(window) - len(MAGIC) + 1) if len(window) >= len(MAGIC) else end - at
-                continue
-            at += hit
-            if at >= end:
-                return
+            if not aligned:
+                window = f.read_at(min(BLOCK, end - at) + len(MAGIC) - 1, at)
+                hit = window.find(MAGIC)
+                if hit < 0:
+                    at += max(1, len(window) - len(MAGIC) + 1) if len(window) >= len(MAGIC) else end - at
+                    continue
+                at += hit
+                if at >= end:
+                    return
             got = _member(f, at, length)
             if got is None:
+                if aligned:
+                    raise ValueError(f"{file}, byte {at}: a damaged or truncated record")
                 at += 1
                 continue
             text, used = got
             if text:
                 yield _parsed(text, file, at)
-            at += used
+            at, aligned = at + used, True
+        # The next range can't tell damage at its start from the end of this record.
+        if aligned and at < length and f.read_at(len(MAGIC), at) != MAGIC:
+            raise ValueError(f"{file}, byte {at}: a damaged or truncated record")
 
 
 def _member(f: pa.NativeFile, at: int, length: int) -> tuple[bytes, int] | None:
