@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from . import shared, textkit
 
-SPECTRUM, BUCKETS, LANDMARKS, RIDGE = 3, 1 << 13, 192, 1e-3
-#: Training texts of each language, languages, and bytes of text that a kernel row is computed from at once.
-PER_LANG, MAX_LANGS, BATCH = 400, 256, 128
+SPECTRUM, BUCKETS, RIDGE = 3, 1 << 15, 1e-3
+#: Landmarks in all, and of each language at least; training texts of each language, about; texts of one product.
+LANDMARKS, PER_LANG_LANDMARKS, PER_LANG, BATCH = 192, 8, 400, 128
 #: A learned language's score is turned into a share of all by this factor.
 SHARPNESS = 8.0
 
@@ -67,32 +67,45 @@ class Model:
         return out
 
 
-def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fits on a bounded sample: landmarks are taken evenly from all languages in the given order."""
+def train(sets: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Fits on a bounded sample: landmarks are taken evenly from all languages in the given order.
+
+    ``sets`` are the texts' sets of buckets as bitmaps; the rows of a batch are unpacked at a time.
+    """
     names = sorted(set(langs))
     y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang in langs])
-    x = np.concatenate([presence(texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)])
     nth = pd.Series(langs).groupby(langs).cumcount().to_numpy()
-    chosen = x[np.argsort(nth, kind="stable")[:landmarks]]
+    chosen = _rows([sets[i] for i in np.argsort(nth, kind="stable")[: max(landmarks, PER_LANG_LANDMARKS * len(names))]])
     value, vector = np.linalg.eigh((chosen @ chosen.T).astype(np.float64))
     good = value > 1e-6 * value[-1]
     to_feature = vector[:, good] / np.sqrt(value[good])
-    z = (x @ chosen.T) @ to_feature
+    z = np.concatenate([_rows(sets[i : i + BATCH]) @ chosen.T for i in range(0, len(sets), BATCH)]) @ to_feature
     solved = np.linalg.solve(z.T @ z + ridge * len(z) * np.eye(z.shape[1]), z.T @ y)
     return Model(names, chosen, (to_feature @ solved).astype(np.float32))
 
 
-def sample(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
-    """(text, lang) of about ``per_lang`` texts of each of the ``max_langs`` most frequent languages.
+def _rows(sets: list[bytes]) -> np.ndarray:
+    out = np.unpackbits(np.frombuffer(b"".join(sets), np.uint8).reshape(len(sets), -1), axis=1).astype(np.float32)
+    size = np.sqrt(out.sum(1, keepdims=True))
+    return np.divide(out, size, out=out, where=size > 0)
+
+
+def bitmap(text: str) -> bytes:
+    """The buckets of a text's n-grams, one bit each."""
+    return np.packbits(presence([text])[0] > 0).tobytes()
+
+
+def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
+    """(doc_id, lang, grams) of about ``per_lang`` texts of each language, as bitmaps of ``BUCKETS`` bits.
 
-    Only rows that aren't held out and have a language.  A share of each language is kept by a hash of doc_id,
-    so no language is gathered in one task; the bound holds for what is collected.
+    Only rows that aren't held out, hold text and have a language; all languages are taken.  A share of each is kept
+    by a hash of doc_id, so no language is gathered in one task.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0)).select("doc_id", "text", "lang")
-    size = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    share = size.select("lang", (F.lit(per_lang) / F.col("n")).alias("share"))
+    share = shared.cut(rows.groupBy("lang").agg((F.lit(per_lang) / F.count("*")).alias("share")))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1_000_000
-    return rows.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("doc_id", "lang", "text")
+    grams = F.pandas_udf(lambda s: s.map(bitmap), "binary")
+    return rows.join(share, "lang").where(chance < F.col("share")).select("doc_id", "lang", grams(F.col("text").cast("string")).alias("grams"))
 
 
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -102,12 +115,12 @@ def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every whole text, learnt from the rows that aren't held out.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every text if there is nothing to learn
-    from.  lang, source and doc_id are no inputs of a prediction.  Repeated rows give repeated results.
+    from; an empty table gives no rows.  lang, source and doc_id are no inputs of a prediction.  Repeated rows give repeated results.
     """
     spark = docs.sparkSession
     shared.bounded_batches(spark)
-    got = sample(docs).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * PER_LANG * MAX_LANGS).toPandas()
-    model = train(got["text"].tolist(), got["lang"].tolist()) if len(got) else None
+    got = sample(docs).toPandas().sort_values(["doc_id", "grams"])
+    model = train(got["grams"].tolist(), got["lang"].tolist()) if len(got) else None
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

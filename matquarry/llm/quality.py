@@ -21,8 +21,6 @@ from . import shared, textkit
 GRAM, BITS, PRIOR = 2, 15, 4.0
 #: Labelled texts that the target model and the size of the sample are fitted on, at most.
 LABELLED = 20_000
-#: Noise is scaled by this: 1 samples in proportion to the weights, less keeps closer to the largest.
-TEMPERATURE = 0.25
 #: A level of the k-th key's histogram has so many bins; from so few rows on, they are sorted.
 BINS, SORTED = 4096, 20_000
 
@@ -137,7 +135,7 @@ def score(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
 
 def key(seed: int = 2) -> Column:
     """What Gumbel top-k ranks by."""
-    return F.col("log_weight") + TEMPERATURE * gumbel(F.col("doc_id"), seed)
+    return F.col("log_weight") + gumbel(F.col("doc_id"), seed)
 
 
 def top_k(scored: DataFrame, k: int, seed: int = 2) -> float | None:
@@ -177,4 +175,4 @@ def accept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def weigh(s: pd.Series) -> pd.Series:
         return pd.Series(weights(sent.value, pa.array(s, pa.string())))
 
-    return docs.where(weigh(F.col("text").cast("string")) + TEMPERATURE * gumbel(F.col("doc_id").cast("long")) >= least)
+    return docs.where(weigh(F.col("text").cast("string")) + gumbel(F.col("doc_id").cast("long")) >= least)

@@ -1,13 +1,14 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-A text's features are the hashed words it holds (presence).  One weight vector is shared by all thresholds:
+A text's features are the hashed words it holds (presence), all of them.  Grades are the ordered values of the
+label column, as many as it has (0/1 labels give two).  One weight vector is shared by all thresholds:
 P(grade > j) = sigmoid(w.x - theta_j) with theta_1 < theta_2 < ...  The output is the expected severity, the sum
 of those probabilities, beside the most probable grade.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,9 @@ from pyspark.sql import functions as F
 
 from . import shared, textkit
 
-BITS, GRADES = 20, 4
+BITS = 20
 #: Labelled texts that are fitted on, at most; gradient steps; L1 penalty.
 LABELLED, STEPS, PENALTY = 20_000, 400, 1e-3
-#: Words with a weight, at most; words in fewer toxic texts, or that stand out less there, have none.
-WORDS, MIN_TEXTS, MIN_Z, MIN_RATIO = 4096, 3, 3.5, 4.0
 
 
 def features(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +39,9 @@ def features(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     buckets: np.ndarray  # sorted buckets with a weight
     weights: np.ndarray
-    theta: np.ndarray
-    reject: float = float("inf")
+    theta: np.ndarray  # one threshold between each two neighbouring grades
+    grades: list[int] = field(default_factory=lambda: [0, 1])
+    reject: float = float("inf")  # severity from which on a text counts as toxic
 
     def linear(self, n: int, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
         if not len(self.buckets):
@@ -49,6 +49,10 @@ class Model:
         at = np.minimum(np.searchsorted(self.buckets, cell), len(self.buckets) - 1)
         return np.bincount(row, np.where(self.buckets[at] == cell, self.weights[at], 0.0), n)
 
+    def severity(self, n: int, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The expected number of grades above the lowest."""
+        return _sigmoid(self.linear(n, row, cell)[:, None] - self.theta).sum(1)
+
     def above(self, texts: pa.Array | list[bytes]) -> np.ndarray:
         """P(grade > j) for each text and threshold."""
         return _sigmoid(self.linear(len(texts), *features(texts))[:, None] - self.theta)
@@ -58,47 +62,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def screen(some: DataFrame, bound: int = WORDS, least: float = MIN_Z) -> pd.DataFrame:
-    """The buckets that stand out in toxic texts: (cell, z) with z at least ``least``, largest first.
-
-    z compares the shares of toxic and of other texts that hold the bucket.  The share must also be ``MIN_RATIO``
-    times as large in toxic texts: long or much-copied texts alone make small differences significant.
-    """
-    size = some.agg(F.sum("y"), F.count("*")).first()
-    bad, fine = float(size[0] or 0), float(size[1] - (size[0] or 0))
-    if not bad or not fine:
-        return pd.DataFrame({"cell": np.zeros(0, np.int64), "z": np.zeros(0)})
-    seen = some.select("y", F.explode("cells").alias("cell")).groupBy("cell").agg(F.sum("y").alias("b"), F.count("*").alias("n"))
-    share = F.col("n") / (bad + fine)
-    z = (F.col("b") / bad - (F.col("n") - F.col("b")) / fine) / F.sqrt(share * (1 - share) * (1 / bad + 1 / fine) + 1e-12)
-    often = F.col("b") / bad >= MIN_RATIO * (F.col("n") - F.col("b") + 0.5) / fine
-    return seen.where((F.col("b") >= MIN_TEXTS) & often).select("cell", z.alias("z")).where(F.col("z") >= least).orderBy(F.desc("z"), "cell").limit(bound).toPandas()
-
-
-def grades(toxic: np.ndarray, held: np.ndarray, levels: int = GRADES) -> np.ndarray:
-    """Grades 0 (not toxic) to levels-1 from 0/1 labels.
-
-    Toxic texts are ordered by how many words they hold that the labels show to be toxic, and cut at quantiles.
-    """
-    out = np.zeros(len(toxic), np.int64)
-    if toxic.any():
-        out[toxic] = 1 + np.searchsorted(np.quantile(held[toxic], np.arange(1, levels - 1) / (levels - 1)), held[toxic], "left")
-    return out
-
-
-def train(row: np.ndarray, cell: np.ndarray, toxic: np.ndarray, levels: int = GRADES) -> Model:
+def train(row: np.ndarray, cell: np.ndarray, label: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Model:
     """Accelerated proximal gradient on the L1-penalised likelihood of the cumulative-link model.
 
-    The penalty leaves weights to the few words that explain the labels.
+    ``row`` and ``cell`` are the pairs of texts and buckets, ``label`` the grade of each text.  Every grade weighs
+    alike; the penalty leaves weights to the words that explain the labels.  Labels of one grade alone give a model
+    without weights that rejects nothing.
     """
-    n = len(toxic)
+    n, names = len(label), sorted(set(label.tolist()))
+    if len(names) < 2 or not len(row):
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(max(1, len(names) - 1)) + 10.0, names if len(names) > 1 else [0, 1])
+    levels = len(names)
+    y = np.searchsorted(names, label)
     kinds, column = np.unique(cell, return_inverse=True)
-    if not toxic.any() or toxic.all() or not len(row):
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1) + 10.0)
-    y = grades(toxic, np.bincount(row, minlength=n).astype(float), levels)
     target = (y[:, None] > np.arange(levels - 1)).astype(float)
-    # Toxic texts are few: both classes weigh alike.
-    weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean()) / n
+    weight = 1 / (levels * np.bincount(y, minlength=levels))[y]
     size = len(kinds)
     direction, curvature = np.ones(size), 1.0
     for _ in range(20):  # the largest curvature, by power iteration
@@ -108,18 +86,16 @@ def train(row: np.ndarray, cell: np.ndarray, toxic: np.ndarray, levels: int = GR
     step = 1 / ((levels - 1) * (0.25 * curvature + 0.25))
     w, theta = np.zeros(size), np.arange(levels - 1, dtype=float)
     v, edge, t = w, theta, 1.0
-    for _ in range(STEPS):
+    for _ in range(steps):
         error = (_sigmoid(np.bincount(row, v[column], n)[:, None] - edge) - target) * weight[:, None]
         moved = v - step * np.bincount(column, error.sum(1)[row], size)
-        fresh = np.sign(moved) * np.maximum(np.abs(moved) - step * PENALTY, 0)
+        fresh = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty, 0)
         cut = np.maximum.accumulate(edge + step * error.sum(0) + 1e-4 * np.arange(levels - 1))
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, edge = fresh + (t - 1) / following * (fresh - w), cut + (t - 1) / following * (cut - theta)
         w, theta, t = fresh, cut, following
-    used = w != 0
-    row, cell, kinds, x, size = row[used[column]], cell[used[column]], kinds[used], w[used], int(used.sum())
-    model = Model(kinds, x[:size], theta)
-    model.reject = _cut(_sigmoid(model.linear(n, row, cell)[:, None] - theta).sum(1), toxic)
+    model = Model(kinds[w != 0], w[w != 0], theta, names)
+    model.reject = _cut(model.severity(n, row, cell), y > 0)
     return model
 
 
@@ -132,34 +108,30 @@ def _cut(s: np.ndarray, toxic: np.ndarray) -> float:
     return float(s[0] if at == 0 else np.inf if at == len(s) else (s[at - 1] + s[at]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
-    """Fits on at most ``bound`` labelled texts; only their screened words (``WORDS`` at most) reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int = LABELLED) -> Model:
+    """Fits on the words of at most ``bound`` labelled texts (copies count once), which reach the driver as numbers.
+
+    ``column`` holds whole-numbered grades, the lowest meaning harmless.
+    """
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def cells(s: pd.Series) -> pd.Series:
         row, cell = features(pa.array(s, pa.string()))
-        return pd.Series(np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, len(s)))), dtype=object)
+        return pd.Series([x.tobytes() for x in np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, len(s))))], dtype=object)
 
     shared.bounded_batches(docs.sparkSession)
-    some = shared.labelled(docs, labels, "toxic", bound).select("y", cells(F.col("text").cast("string")).alias("cells"))
-    some = shared.cut(some.groupBy("cells").agg(F.max("y").alias("y")))  # copies count once
-    words = screen(some)
-    kept = words["cell"].to_numpy(np.int64)
-
-    @F.pandas_udf("array<int>")
-    def screened(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x[np.isin(x, kept)])
-
-    got = some.select("y", screened("cells").alias("cells")).toPandas()
-    row = np.repeat(np.arange(len(got)), got["cells"].map(len).to_numpy(np.int64)) if len(got) else np.zeros(0, np.int64)
-    cell = np.concatenate([np.asarray(x, np.int64) for x in got["cells"]]) if len(row) else np.zeros(0, np.int64)
-    return train(row, cell, got["y"].to_numpy(int) == 1)
+    some = shared.labelled(docs, labels, column, bound).select("y", cells(F.col("text").cast("string")).alias("cells"))
+    got = some.groupBy("cells").agg(F.max("y").alias("y")).orderBy("cells").toPandas()
+    cell = [np.frombuffer(x, np.int32) for x in got["cells"]]
+    row = np.repeat(np.arange(len(cell)), [len(x) for x in cell])
+    return train(row.astype(np.int64), np.concatenate([*cell, np.zeros(0, np.int32)]).astype(np.int64), got["y"].to_numpy(np.int64))
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (0 to GRADES-1), grade, toxic of every row; nothing is shuffled.
+    """doc_id, severity (0 to the number of thresholds), grade, toxic of every row; nothing is shuffled.
 
-    Null and empty texts have no words and so the lowest severity; repeated rows repeat their result.
+    Null and empty texts have no words and so the lowest severity; repeated rows repeat their result; an empty
+    table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -167,7 +139,8 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     def rate(s: pd.Series) -> pd.DataFrame:
         above = sent.value.above(pa.array(s, pa.string()))
         edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
-        return pd.DataFrame({"severity": above.sum(1), "grade": (edge[:, :-1] - edge[:, 1:]).argmax(1).astype(np.int32)})
+        best = (edge[:, :-1] - edge[:, 1:]).argmax(1)
+        return pd.DataFrame({"severity": above.sum(1), "grade": np.array(sent.value.grades)[best].astype(np.int32)})
 
     shared.bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rate(F.col("text").cast("string")).alias("r")).select("doc_id", "r.severity", "r.grade", (F.col("r.severity") >= model.reject).alias("toxic"))
