@@ -44,7 +44,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: The classifiers and the tokenizer have no SQL form; tests check invariants of the pipeline's result.
+#: The classifiers and the tokenizer have no SQL form; a test does every stage again in plain Python on a fixture.
 ORACLE_SQL = None
 
 
