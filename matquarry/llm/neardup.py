@@ -34,8 +34,6 @@ BASE = 1 / 16
 #: Buckets of up to so many texts compare all texts of different classes; larger ones are joined on shingles.  Both
 #: ways are exact, so this only chooses the cheaper one.
 SMALL = 32
-#: Parts that the rows of one shingle are dealt to in joins on shingles.
-SALTS = 8
 _U = 2.0**-64
 
 
@@ -222,60 +220,53 @@ def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
     return shared.cut(shared.spread_join(label, to, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
 
 
-def _with_token(entries: DataFrame, *aggregates: Column) -> DataFrame:
-    """The entries with aggregates over all entries of their token; tokens of one text are dropped."""
-    per = entries.groupBy("token").agg(F.count("*").alias("__n"), *aggregates).where("__n > 1").drop("__n")
-    per = per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return entries.withColumn("salt", F.pmod("node", F.lit(SALTS))).join(per, ["token", "salt"]).drop("salt")
-
-
-def prefixes(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """token, node, size, at: the tokens that a text may share first with a text of ``similarity``.
-
-    Tokens are in one order for all texts, rare ones first.  Two sets of that similarity share at least
-    ``similarity * size`` tokens, so the first one they share is among the first size - that + 1 of each.
-    Tokens of a single text can't be shared; they count for the places but are left out.
-    """
+def spelt(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, size, score, minor, token: the tokens (occurrence hashes) of ``texts`` (node, score, minor)."""
 
     @F.pandas_udf("array<int>")
     def numbers(s: pd.Series) -> pd.Series:
         return pd.Series([np.frombuffer(x, np.int32) for x in s], dtype=object)
 
+    shared.bounded_batches(texts.sparkSession)
     size = (F.octet_length("set") / 4).cast("int")
-    tokens = shared.cut(sets.join(texts, "node").select("node", size.alias("size"), F.explode(numbers("set")).alias("token")))
-    common = _with_token(tokens, F.count("*").alias("n"))
-    # Places among the common tokens follow those of the tokens that the text has for itself.
-    order = Window.partitionBy("node").orderBy("n", "token")
-    common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
-    common = common.withColumn("at", F.col("at") + F.col("size") - F.col("common"))
-    return common.where(F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)).select("token", "node", "size", "at")
+    return shared.cut(sets.join(texts, "node").select("node", size.alias("size"), "score", "minor", F.explode(numbers("set")).alias("token")))
 
 
-def _reach(similarity: float, size: str | Column, at: Column, other: str | Column) -> Column:
+def _reach(similarity: float, size: Column, at: Column, other: Column) -> Column:
     """Whether a set of ``size`` whose first shared token is at ``at`` can have the similarity to one of size ``other``."""
-    size, other = (F.col(x) if isinstance(x, str) else x for x in (size, other))
     return (1 + similarity) * (size - at) >= similarity * (size + other) - 1e-6
 
 
-def close_pairs(entries: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
-    """(a, b) of different classes that share a token of ``entries`` (from ``prefixes``) and can be similar by
-    their sizes and the token's places.  No pair of that similarity and of different classes is left out, except with
-    ``lead``, where each token compares its texts with one leader only."""
-    able = _with_token(entries, F.min("size").alias("least")).where(_reach(similarity, "size", F.col("at"), F.greatest(F.col("least"), similarity * F.col("size"))))
-    able = able.drop("least").join(label, "node")
-    mixed = _with_token(able, F.min("class").alias("c0"), F.max("class").alias("c1"), F.min(F.struct("at", "node", "size", "class")).alias("led")).where("c0 <> c1")
-    one = mixed.select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("at").alias("at_a"), F.col("class").alias("class_a"), "led")
-    far = F.col("class_a") != F.col("class_b")
-    sizes = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6
-    fit = far & sizes & _reach(similarity, "size_a", F.col("at_a"), "size_b") & _reach(similarity, "size_b", F.col("at_b"), "size_a")
+def close_pairs(tokens: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
+    """(a, b) of a minor text and a text of another class that can have the similarity.
+
+    Tokens are in one order for all texts: those that only one class has, then rare ones first.  A text that shares
+    ``similarity * size`` tokens with another has the first of them among its first size - that + 1, and all that follow
+    must nearly suffice.  So most texts that no other class can match have no token left and cost no pair.  The places are
+    those in the minor text; no pair of the similarity is left out, except with ``lead``, where each token is compared with
+    one text only.
+    """
+    of = label.select("node", "class")
+    tokens = tokens.join(of, "node")
+    led = F.max(F.struct("score", "node", "size", "class")).alias("led")
+    per = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("size").alias("least"), F.min("class").alias("c0"), F.max("class").alias("c1"), led).where("c0 <> c1").drop("c0", "c1")
+    minor = shared.cut(tokens.where("minor").drop("minor", "score"))
+    common = shared.spread_join(minor, per, "token")
+    order = Window.partitionBy("node").orderBy("often", "token")
+    common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
+    at = F.col("at") + F.col("size") - F.col("common")
+    able = (at <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)) & _reach(similarity, F.col("size"), at, F.greatest(F.col("least"), similarity * F.col("size")))
+    one = common.where(able).select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), at.alias("at"), F.col("class").alias("class_a"), "led")
+    fit = (F.col("class_a") != F.col("class_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6) & _reach(similarity, F.col("size_a"), F.col("at"), F.col("size_b"))
     if lead:
-        both = one.withColumns({"b": F.col("led.node"), "size_b": F.col("led.size"), "at_b": F.col("led.at"), "class_b": F.col("led.class")}).where(fit)
+        both = one.withColumns({"b": F.col("led.node"), "size_b": F.col("led.size"), "class_b": F.col("led.class")})
     else:
-        one = shared.cut(one.drop("led").withColumn("salt", F.pmod("a", F.lit(SALTS))))
-        other = one.select(F.col("token").alias("token_b"), F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("at_a").alias("at_b"), F.col("class_a").alias("class_b"))
-        other = other.withColumn("salt_b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = one.join(other, (F.col("token") == F.col("token_b")) & (F.col("salt") == F.col("salt_b")) & (F.col("a") < F.col("b")) & fit)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        other = tokens.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
+        one = shared.cut(one.drop("led"))
+        # Only the tokens that minor texts look for; a small list of them is broadcast by its known size.
+        sought = shared.cut(one.select("token").distinct())
+        both = shared.spread_join(shared.cut(other.join(sought, "token", "left_semi")), one, "token")
+    return both.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _read(docs: DataFrame, words: int) -> DataFrame:
@@ -350,13 +341,17 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
     again = one.join(other, "bucket").where("a < b and class_a <> class_b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
     label = _merged(label, shared.cut(_verify(shared.cut(again), sets, similarity)))
 
-    # Texts of larger ones are joined on their rarest shingles, which misses no pair of the similarity: first each with
-    # one leader of a shingle, then all pairs of different classes.
-    large = shared.cut(mixed(rest.where(F.col("n") > SMALL).select("bucket", "node", "n")).select("node").distinct())
+    # In a larger one, at least one text of two different classes is none of the bucket's largest class.  These minor texts
+    # are joined on their rarest shingles with all others, which misses no pair of the similarity: first each with one
+    # text of a shingle, then with all of other classes.
+    large = mixed(rest.where(F.col("n") > SMALL).select("bucket", "node", "n"))
     if not large.isEmpty():
-        entries = shared.cut(prefixes(large, sets, similarity))
+        shares = large.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+        most = shares.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("m")).select("bucket", F.col("m.class").alias("most"))
+        held = shared.spread_join(large, most, "bucket").groupBy("node").agg(F.bool_or(F.col("class") != F.col("most")).alias("minor"))
+        tokens = spelt(shared.cut(held.join(busy, "node")), sets)
         for lead in (True, False):
-            label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(entries, label, similarity, lead)), sets, similarity)))
+            label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(tokens, label, similarity, lead)), sets, similarity)))
 
     named = shared.cut(texts.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")))
     of_class = named.groupBy("class").agg(F.max("best").alias("class_id"))
