@@ -20,7 +20,7 @@ from . import shared, textkit
 
 BITS = 20
 #: Labelled texts that are fitted on, at most; gradient steps; L1 penalty.
-LABELLED, STEPS, PENALTY = 20_000, 400, 1e-3
+LABELLED, STEPS, PENALTY = 10_000, 400, 1e-3
 
 
 def features(texts: pa.Array | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +74,15 @@ def train(row: np.ndarray, cell: np.ndarray, label: np.ndarray, penalty: float =
         return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(max(1, len(names) - 1)) + 10.0, names if len(names) > 1 else [0, 1])
     levels = len(names)
     y = np.searchsorted(names, label)
-    kinds, column = np.unique(cell, return_inverse=True)
     target = (y[:, None] > np.arange(levels - 1)).astype(float)
     weight = 1 / (levels * np.bincount(y, minlength=levels))[y]
+    kinds, column = np.unique(cell, return_inverse=True)
+    # A word whose texts weigh no more than the penalty can never get a weight: leaving it out changes nothing.
+    reach = (levels - 1) * np.bincount(column, weight[row], len(kinds)) > penalty
+    row, column, kinds = row[reach[column]], (np.cumsum(reach) - 1)[column[reach[column]]], kinds[reach]
     size = len(kinds)
+    if not size:
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1) + 10.0, names)
     direction, curvature = np.ones(size), 1.0
     for _ in range(20):  # the largest curvature, by power iteration
         direction = np.bincount(column, (weight * np.bincount(row, direction[column], n))[row], size)
@@ -95,7 +100,7 @@ def train(row: np.ndarray, cell: np.ndarray, label: np.ndarray, penalty: float =
         v, edge = fresh + (t - 1) / following * (fresh - w), cut + (t - 1) / following * (cut - theta)
         w, theta, t = fresh, cut, following
     model = Model(kinds[w != 0], w[w != 0], theta, names)
-    model.reject = _cut(model.severity(n, row, cell), y > 0)
+    model.reject = _cut(model.severity(n, row, kinds[column]), y > 0)
     return model
 
 
@@ -123,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int =
     some = shared.labelled(docs, labels, column, bound).select("y", cells(F.col("text").cast("string")).alias("cells"))
     got = some.groupBy("cells").agg(F.max("y").alias("y")).orderBy("cells").toPandas()
     cell = [np.frombuffer(x, np.int32) for x in got["cells"]]
-    row = np.repeat(np.arange(len(cell)), [len(x) for x in cell])
-    return train(row.astype(np.int64), np.concatenate([*cell, np.zeros(0, np.int32)]).astype(np.int64), got["y"].to_numpy(np.int64))
+    row = np.repeat(np.arange(len(cell)), np.array([len(x) for x in cell], np.int64))
+    return train(row, np.concatenate([*cell, np.zeros(0, np.int32)]), got["y"].to_numpy(np.int64))
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
