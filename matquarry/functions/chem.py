@@ -31,16 +31,25 @@ def _symbols() -> Column:
     return F.split(F.lit(" ".join(SYMBOLS)), " ")
 
 
+#: Elements of names that are no formulas, by the name in capitals (fixed values).
+ACRONYMS = {
+    "YBCO": "Y Ba Cu O", "LSCO": "La Sr Cu O", "LBCO": "La Ba Cu O", "BSCCO": "Bi Sr Ca Cu O", "BI2212": "Bi Sr Ca Cu O", "BI2201": "Bi Sr Cu O", "BAK122": "Ba K Fe As", "BKBO": "Ba K Bi O",
+    "STO": "Sr Ti O", "KTO": "K Ta O", "H-BN": "B N", "BN": "B N", "BP": "B P", "CSH": "C S H", "GRAPHENE": "C", "BLACK PHOSPHORUS": "P", "PHOSPHORENE": "P", "TI3C2TX": "Ti C", "SILICENE": "Si",
+    "GERMANENE": "Ge", "STANENE": "Sn", "BOROPHENE": "B", "ANTIMONENE": "Sb", "BISMUTHENE": "Bi", "PLUMBENE": "Pb",
+}
+
+
 def formula_elements(c: Column) -> Column:
-    """Elements of a formula in order; empty if it isn't one or has an unknown symbol."""
+    """Elements of a formula, or of a name in ``ACRONYMS``, in order; empty if it is neither or has an unknown symbol."""
     none = F.array().cast("array<string>")
+    known = F.element_at(F.create_map(*[F.lit(x) for kv in ACRONYMS.items() for x in kv]), F.upper(F.trim(F.coalesce(c, F.lit("")))))
 
     def parsed(s: Column) -> Column:
         found = F.array_distinct(F.regexp_extract_all(s, F.lit(r"([A-Z][a-z]?)"), F.lit(1)))
         whole = s.rlike(r"^([A-Z][a-z]?|delta|[xyztnm0-9.,+\-_/()\[\]{}=])+$")
         return F.when(whole, let(found, lambda e: F.when(F.size(F.array_except(e, _symbols())) == 0, e).otherwise(none))).otherwise(none)
 
-    return let(F.regexp_replace(normalize_formula(c), r"^[0-9]+[HTR]-", ""), parsed)
+    return F.coalesce(F.split(known, " "), let(F.regexp_replace(normalize_formula(c), r"^[0-9]+[HTR]-", ""), parsed))
 
 
 def elements_of(materials: Column, most: int = 24) -> Column:
@@ -48,7 +57,10 @@ def elements_of(materials: Column, most: int = 24) -> Column:
 
 
 #: Words that look like formulas and aren't (fixed values).
-STOPWORDS = ["OF", "ON", "IN", "BY", "SI", "FS", "SC", "SOC", "SPIN", "BCS", "VHS", "COPY", "BI", "IV", "IP", "OP"]
+STOPWORDS = [
+    "OF", "ON", "IN", "BY", "SI", "FS", "SC", "SOC", "SPIN", "PHYSICS", "PHONON", "PHONONS", "BCS", "VHS", "COPY", "B.V", "BI", "IV", "IP", "OP", "BOSONIC", "ELECTRON", "ELECTRONS",
+    "SUPERCONDUCTIVITY", "TRANSITION", "TEMPERATURE", "MOMENTUM", "ELEMENTS", "THEORY", "STATE", "STATES",
+]
 
 
 def is_plausible(c: Column, trusted: list[str]) -> Column:

@@ -64,14 +64,42 @@ def canonical_doi(c: Column) -> Column:
     return F.lower(F.regexp_replace(s, r"[\s.,;:]+$", ""))
 
 
+#: Query parameters that name no other page (fixed values).
+TRACKING = r"^(utm_[a-z]+|fbclid|gclid|msclkid|mc_[a-z]+|ref|ref_src|src|source)$"
+
+
 def canonical_url(c: Column) -> Column:
-    """Scheme and host lower-cased; user info, default port, fragment, query and trailing slash dropped."""
+    """Scheme and host lower-cased; user info, default port, fragment and trailing slash dropped; '' for no URL.
+
+    Query parameters that tell pages apart stay, sorted; tracking ones go.  urn:, ipfs: and s3: names keep what follows.
+    """
     s = F.trim(F.coalesce(c, F.lit("")))
     scheme = F.lower(F.regexp_extract(s, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     host = F.regexp_replace(F.lower(F.regexp_extract(s, r"://([^/?#]*)", 1)), r"^[^@]*@", "")
-    host = F.regexp_replace(host, r":(80|443)$", "")
+    host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).when(scheme == "https", F.regexp_replace(host, r":443$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(s, r"://[^/?#]*([^?#]*)", 1), r"/+$", "")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path)).otherwise("")
+    # Escapes of unreserved characters are read, others upper-cased.
+    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "(?i)%7e", "~"), "(?i)%2d", "-"), "(?i)%5f", "_")
+    query = F.regexp_extract(s, r"://[^?#]*\?([^#]*)", 1)
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.lower(F.regexp_extract(x, "^([^=]*)", 1)).rlike(TRACKING)))
+    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    name = F.regexp_extract(s, r"(?i)^((?:urn|ipfs|s3):\S+)$", 1)
+    other = F.concat(F.lower(F.regexp_extract(name, r"^([^:]*)", 1)), F.regexp_extract(name, r"^[^:]*(:.*)$", 1))
+    return F.when(scheme.isin("", "urn", "ipfs", "s3") & (name != ""), F.regexp_replace(other, r"/+$", "")).when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host, path, tail)).otherwise("")
+
+
+def strict_doi(c: Column) -> Column:
+    """The canonical DOI if it has the form 10.nnnn/suffix, else ''."""
+    d = canonical_doi(c)
+    return F.when(d.rlike(r"^10\.\d{4,9}/\S+$"), d).otherwise("")
+
+
+def labelled_points(c: Column) -> Column:
+    """Array of (label, position) of 'G=0, M: 1.25', sorted by position; parts of any other form are skipped."""
+    form = r"^\s*([^=:]+?)\s*[=:]\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[Ee][-+]?\d+)?)\s*$"
+    parts = F.filter(F.split(F.coalesce(c, F.lit("")), "[,;，；]+"), lambda p: p.rlike(form))
+    points = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, form, 2).cast("double").alias("position"), F.regexp_extract(p, form, 1).alias("label")))
+    return F.transform(F.array_sort(points), lambda p: F.struct(p["label"].alias("label"), p["position"].alias("position")))
 
 
 def article_key(doi: Column, title: Column, year: Column) -> Column:

@@ -51,3 +51,7 @@ def map_range(df: DataFrame, low: float, high: float) -> DataFrame:
     """k of each dataset mapped linearly to [low, high]."""
     edge = df.groupBy("dataset").agg(F.min("k").alias("a"), F.max("k").alias("b"))
     return df.join(edge, "dataset").withColumn("mapped", low + (high - low) * (F.col("k") - F.col("a")) / F.nullif(F.col("b") - F.col("a"), F.lit(0.0))).drop("a", "b")
+
+
+def map_scale(df: DataFrame, scale: float, offset: float) -> DataFrame:
+    return df.withColumn("mapped", F.col("k") * scale + offset)

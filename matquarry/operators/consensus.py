@@ -82,67 +82,3 @@ def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str, out
     total = F.sum("__w").over(Window.partitionBy(*keys))
     ranked = sums.withColumns({"__run": F.round(run, 9), "__half": F.round(total / 2, 9)})
     return ranked.where("__run >= __half").groupBy(*keys).agg(F.min(value).alias(out))
-
-
-def property_consensus(entries: DataFrame) -> DataFrame:
-    """Weighted median, spread, deviation and conflict of each (identity, property)."""
-    keys = ["identity", "property"]
-    capped = cap_families(best_per_model(entry_weight(entries), keys), keys)
-    median = weighted_median(capped, keys, "value", "capped", "consensus")
-    far = capped.join(median, keys).withColumn("deviation", F.abs(F.col("value") - F.col("consensus")))
-    mad = weighted_median(far, keys, "deviation", "capped", "mad")
-    stats = capped.groupBy(*keys).agg(F.count("*").alias("models"), F.countDistinct("family").alias("families"), F.min("value").alias("low"), F.max("value").alias("high"))
-    base = tolerance(F.col("property"))
-    allowed = F.when(F.col("property") == "tc", F.greatest(base, 0.15 * F.abs("consensus"))).otherwise(base)
-    spread = F.col("high") - F.col("low")
-    ratio = (F.col("property") == "tc") & (F.col("low") > 0) & (F.col("high") / F.nullif("low", F.lit(0.0)) > 1.75)
-    signs = ((F.col("property") == "tc") & (F.col("low") <= 0) & (F.col("high") > 0)) | ((F.col("property") == "gap") & (F.col("low") <= 0.01) & (F.col("high") >= 0.05))
-    joined = stats.join(median, keys).join(mad, keys)
-    return joined.withColumns({"mad": 1.4826 * F.col("mad"), "conflict": (spread > 2 * allowed) | F.coalesce(ratio, F.lit(False)) | signs}).withColumn("agreement", (F.col("families") >= 2) & ~F.col("conflict"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): smallest node reachable over edges (a, b), by min-label rounds with shortcuts.
-
-    Each round cuts lineage with a checkpoint; rounds end when no label falls.
-    """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        fell = label.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "least").alias("to"), F.col("component").alias("was"))
-        jump = label.select(F.col("node").alias("to"), F.col("component").alias("then"))
-        new = fell.join(jump, "to").select("node", F.least("to", "then").alias("component"), "was").checkpoint()
-        label = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return label
-    raise RuntimeError("labels still fall; raise the number of rounds")
-
-
-def evidence_components(records: DataFrame, key: str, evidence: str) -> DataFrame:
-    """(key, component): records that share an evidence key, directly or through others.
-
-    Each record is linked to the smallest record of each of its evidence keys, so a popular key costs one edge a record.
-    """
-    first = records.groupBy(evidence).agg(F.min(key).alias("a"))
-    edges = records.join(first, evidence).select("a", F.col(key).alias("b"))
-    return components(edges).withColumnRenamed("node", key)
-
-
-def review_priority(df: DataFrame) -> Column:
-    """Additive 0..100 score of a group from its flags and counts."""
-    score = (
-        10
-        + F.when(F.col("structured"), 10).otherwise(0)
-        + F.least(F.lit(18), 9 * (F.col("models") - 1))
-        + F.least(F.lit(10), 5 * (F.col("families") - 1))
-        + 15 * F.col("stage_weight")
-        + F.when(F.col("calibrated"), 8).otherwise(0)
-        - F.least(F.lit(18), 8 * F.col("conflicts"))
-    )
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score.cast("double")))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from ..scratch import cut
 
 FEATURES = ["n_elements", "log_total", "entropy", "mean_z", "std_z", "min_z", "max_z", "range_z", "max_fraction", "norm"]
 
@@ -55,45 +55,91 @@ def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, p
 def validate_composition(df: DataFrame, key: str, symbol: str, count: str) -> DataFrame:
     """Status of each composition: element number, repeated symbols, count and total bounds."""
     g = df.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(symbol).alias("kinds"), F.max(count).alias("most"), F.sum(count).alias("total"))
-    status = F.when(F.col("n") < 2, "too_few").when(F.col("kinds") < F.col("n"), "duplicate").when(F.col("most") > 18, "count").when(F.col("total") > 24, "total").otherwise("ok")
+    status = F.when(F.col("n") < 2, "too_few").when(F.col("n") > 18, "too_many").when(F.col("kinds") < F.col("n"), "duplicate").when(F.col("most") > 18, "count").when(F.col("total") > 24, "total").otherwise("ok")
     return g.select(key, status.alias("status"))
 
 
-def training_rows(claims: DataFrame) -> DataFrame:
-    """formula, elements, value (median over replicates), split and features."""
-    rows = claims.groupBy("formula", "property").agg(F.median("value").alias("value"))
-    comps = rows.select("formula").distinct().withColumn("comp", chem.composition(F.col("formula")))
-    features = chem.features(comps.where("comp is not null"), "formula", "comp")
-    labelled = claims.select("formula", "property", "value").join(features, "formula")
-    return labelled.withColumns({"split": hash_split(F.concat_ws(":", F.col("formula"), F.col("property"), F.round("value", 3).cast("string"))), "elements": chem.formula_elements(F.col("formula"))})
+#: Largest value of each target and whether its logarithm is learnt (fixed values).
+TARGETS = {"formation": (None, False), "gap": (15.0, True), "tc": (400.0, True)}
+METAL = 0.05
 
 
-def fit_regressor(rows: DataFrame, target: str, trees: int = 10) -> PipelineModel:
-    gbt = GBTRegressor(labelCol=target, featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector"), gbt]).fit(rows.where("split = 'train'"))
+def training_rows(measured: DataFrame) -> DataFrame:
+    """key, elements, features, split and one target column for each property, of each composition.
 
+    ``measured`` holds formula, property, value.  Targets are medians over all replicates of a composition; rows out
+    of a target's range are left out.  The split goes by composition, so no composition is on two sides.
+    """
+    f = chem.per_formula(measured, "formula", key=chem.composition_key, comp=lambda c: c).where("key is not null")
+    ok = F.lit(False)
+    for name, (most, _) in TARGETS.items():
+        ok = ok | ((F.col("property") == name) & (F.col("value").between(0, most) if most else F.col("value").isNotNull()))
+    f = f.where(ok)
+    targets = f.groupBy("key").pivot("property", list(TARGETS)).agg(F.median("value"))
+    comps = f.select("key", "comp").groupBy("key").agg(F.any_value("comp").alias("comp"))
+    stats = chem.features(comps, "key", "comp")
+    rows = targets.join(comps, "key").join(stats, "key")
+    return cut(rows.select("key", F.map_keys("comp").alias("elements"), chem.feature_vector(F.col("comp")).alias("fractions"), *FEATURES, hash_split(F.col("key")).alias("split"), *TARGETS))
 
-def train_and_measure(rows: DataFrame, target: str) -> DataFrame:
-    scored = fit_regressor(rows, target).transform(rows.where("split = 'test'"))
-    return regression_metrics(scored, ["property"], target, "prediction")
 
+def _vectors(rows: DataFrame) -> DataFrame:
+    """vector: 118 fractions and the statistics."""
+    return rows.withColumn("vector", array_to_vector(F.concat("fractions", F.array(*[F.col(c).cast("double") for c in FEATURES]))))
 
-def train_classifier(rows: DataFrame, target: str) -> DataFrame:
-    gbt = GBTClassifier(labelCol=target, featuresCol="vector", maxIter=5, maxDepth=3, seed=7)
-    model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="vector"), gbt]).fit(rows.where("split = 'train'"))
-    from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(rows.where("split = 'test'")).select((F.col(target) > 0).alias("y"), vector_to_array("probability")[1].alias("p"), (F.col("prediction") > 0).alias("c"), F.lit("all").alias("part"))
+def fit_regressor(rows: DataFrame, target: str, trees: int = 180) -> GBTRegressionModel:
+    """Boosted trees for one property, on log1p where ``TARGETS`` says so; gaps are learnt on non-metals alone."""
+    train = rows.where(F.col(target).isNotNull() & (F.col("split") == "train"))
+    if target == "gap":
+        train = train.where(F.col("gap") > METAL)
+    y = F.log1p(target) if TARGETS[target][1] else F.col(target)
+    gbt = GBTRegressor(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
+    return gbt.fit(_vectors(train).select("vector", y.alias("y")))
+
+
+def predict(model: GBTRegressionModel, rows: DataFrame, target: str) -> Column:
+    """The prediction on the target's own scale, not below 0 where its logarithm is learnt."""
+    return F.greatest(F.lit(0.0), F.expm1("prediction")) if TARGETS[target][1] else F.col("prediction")
+
+
+def measured(model: GBTRegressionModel, rows: DataFrame, target: str) -> DataFrame:
+    test = rows.where(F.col(target).isNotNull() & (F.col("split") == "test"))
+    test = test.where(F.col("gap") > METAL) if target == "gap" else test
+    scored = model.transform(_vectors(test)).select(F.lit(target).alias("property"), F.col(target).alias("y"), predict(model, rows, target).alias("p"))
+    return regression_metrics(scored, ["property"], "y", "p")
+
+
+def train_and_measure(rows: DataFrame, trees: int = 180) -> DataFrame:
+    """Test metrics of one regressor for each target."""
+    return reduce(DataFrame.unionByName, [measured(fit_regressor(rows, t, trees), rows, t) for t in TARGETS])
+
+
+def fit_classifier(rows: DataFrame, trees: int = 180) -> GBTClassificationModel:
+    """Metal (gap of ``METAL`` at most) or not."""
+    train = rows.where(F.col("gap").isNotNull() & (F.col("split") == "train"))
+    gbt = GBTClassifier(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
+    return gbt.fit(_vectors(train).select("vector", (F.col("gap") <= METAL).cast("double").alias("y")))
+
+
+def train_classifier(rows: DataFrame, trees: int = 180) -> DataFrame:
+    test = _vectors(rows.where(F.col("gap").isNotNull() & (F.col("split") == "test")))
+    scored = fit_classifier(rows, trees).transform(test).select((F.col("gap") <= METAL).alias("y"), vector_to_array("probability")[1].alias("p"), (F.col("prediction") > 0).alias("c"), F.lit("all").alias("part"))
     return classification_metrics(scored, ["part"], "y", "p", "c")
 
 
-def score_compositions(rows: DataFrame, target: str) -> DataFrame:
-    """Predictions for each formula, with a flag for elements that training has not seen."""
-    model = fit_regressor(rows, target)
+def score_compositions(rows: DataFrame, trees: int = 180) -> DataFrame:
+    """Predictions of all targets and of the metal class for each composition, each with its test error's 90 % quantile,
+    and whether the composition is inside what training has seen: outside for unseen elements, limited beyond six."""
     seen = rows.where("split = 'train'").select(F.explode("elements").alias("e")).agg(F.array_sort(F.collect_set("e")).alias("seen"))
-    formulas = rows.select("formula", "elements", *FEATURES).dropDuplicates(["formula"])
     domain = F.when(F.size(F.array_except("elements", "seen")) > 0, "outside").when(F.size("elements") > 6, "limited").otherwise("inside")
-    return model.transform(formulas).join(F.broadcast(seen), F.lit(True)).select("formula", F.round(F.greatest(F.lit(0.0), F.col("prediction")), 4).alias("predicted"), domain.alias("domain"))
+    out = _vectors(rows)
+    for t in TARGETS:
+        model = fit_regressor(rows, t, trees)
+        out = model.transform(out).withColumn(f"predicted_{t}", F.round(predict(model, rows, t), 4)).drop("prediction")
+        out = out.join(F.broadcast(measured(model, rows, t).select(F.col("q90").alias(f"q90_{t}"))), F.lit(True), "left")
+    out = fit_classifier(rows, trees).transform(out).withColumn("metal", F.round(vector_to_array("probability")[1], 4))
+    names = [f"{kind}_{t}" for t in TARGETS for kind in ("predicted", "q90")]
+    return out.join(F.broadcast(seen), F.lit(True)).select("key", *names, "metal", domain.alias("domain"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

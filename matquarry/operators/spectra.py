@@ -36,6 +36,47 @@ def mid_slice(cells: DataFrame, index: str, size: int) -> DataFrame:
     return cells.where(F.col(index) == size // 2)
 
 
+#: Points of a plane's dimensions by kind (fixed values).
+PLANE_POINTS = {"energy": 20, "angle": 16, "momentum": 16}
+
+
+def axes_of_dimensions(dimensions: DataFrame, axes: DataFrame) -> DataFrame:
+    """file, dim, axis, kind of each dimension: of the file's axes of its length, the best by score, then path.
+
+    ``dimensions`` hold file, dim, n; ``axes`` hold file, path, n, score.  Few axes share a length in a file.
+    """
+    met = dimensions.join(axes, ["file", "n"], "left")
+    best = met.groupBy("file", "dim", "n").agg(F.max_by("path", F.struct("score", "path")).alias("axis"))
+    return best.withColumn("kind", axis_kind(F.coalesce("axis", F.lit(""))))
+
+
+def pick_plane(dimensions: DataFrame) -> DataFrame:
+    """file, x, y of the best pair of dimensions (file, dim, n, kind): by area, energy, angle or momentum, and size.
+
+    Energy goes on y; otherwise the later dimension is x.
+    """
+    points = F.lit(0)
+    for kind, p in PLANE_POINTS.items():
+        points = F.when(F.col("kind") == kind, p).otherwise(points)
+    d = dimensions.withColumn("points", points + F.when(F.col("n") >= 16, 6).otherwise(0))
+    first, second = d.alias("p"), d.alias("q")
+    pairs = first.join(second, (F.col("p.file") == F.col("q.file")) & (F.col("p.dim") < F.col("q.dim")))
+    score = F.log10(F.col("p.n") * F.col("q.n")) + F.col("p.points") + F.col("q.points")
+    upright = F.col("q.kind") == "energy"
+    pairs = pairs.select(F.col("p.file").alias("file"), F.when(upright, F.col("p.dim")).otherwise(F.col("q.dim")).alias("x"), F.when(upright, F.col("q.dim")).otherwise(F.col("p.dim")).alias("y"), score.alias("score"))
+    return pairs.groupBy("file").agg(F.max_by(F.struct("x", "y", "score"), F.struct("score", -F.col("y"), F.col("x"))).alias("r")).select("file", "r.*")
+
+
+def grid_axes(waves: DataFrame) -> DataFrame:
+    """file, dim, name, coordinates: start + step * index of each dimension; names repeat with a number of their own.
+
+    ``waves`` hold file, dim, kind, start, step, n.
+    """
+    nth = F.row_number().over(Window.partitionBy("file", "kind").orderBy("dim"))
+    name = F.when(nth == 1, F.col("kind")).otherwise(F.concat("kind", F.lit("_"), nth))
+    return waves.select("file", "dim", name.alias("name"), F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("start") + F.col("step") * i).alias("coordinates"))
+
+
 def clip_normalise(cells: DataFrame, low: float = 1.0, high: float = 99.6) -> DataFrame:
     """Values between two percentiles scaled to 0..1; other values clipped.  One row a dataset is joined back."""
     p = cells.groupBy("dataset").agg(F.percentile("value", low / 100).alias("lo"), F.percentile("value", high / 100).alias("hi"))
@@ -61,7 +102,7 @@ def profile(cells: DataFrame, by: str) -> DataFrame:
     """Mean along one dimension, scaled to 0..1 within the dataset."""
     w = Window.partitionBy("dataset")
     mean = cells.groupBy("dataset", by).agg(F.avg("value").alias("v"))
-    return mean.withColumn("profile", F.coalesce((F.col("v") - F.min("v").over(w)) / F.nullif(F.max("v").over(w) - F.min("v").over(w), F.lit(0.0)), F.lit(0.0)))
+    return mean.withColumn("profile", F.coalesce((F.col("v") - F.min("v").over(w)) / F.nullif(F.max("v").over(w) - F.min("v").over(w), F.lit(0.0)), F.lit(0.0)) + 0.0)
 
 
 def axis_value(i: Column, n: Column, first: Column, last: Column) -> Column:
@@ -92,6 +133,43 @@ def fermi_edge(cells: DataFrame) -> DataFrame:
     return slope.groupBy("dataset").agg(F.min_by("i", F.struct("slope", "i")).alias("edge"), F.min("slope").alias("slope"))
 
 
+def fermi_edge_near(cells: DataFrame, first: float, last: float, direction: str = "electron", sigma: float = 2.0) -> DataFrame:
+    """dataset, edge, energy, confidence: the Fermi edge of the smoothed rows over an energy axis from ``first`` to ``last``.
+
+    Rows within 4 % of an end are left out; where the axis holds 0, only rows within 18 % of it are searched.  The slope
+    must have the direction's sign, others count 0.18.  Confidence is the best slope against the median one.  A dataset
+    without contrast, or without a slope beyond the noise floor, has no row.
+    """
+    rows = edc_smooth(cells, sigma)
+    n = rows.groupBy("dataset").agg((F.max("i") + 1).alias("n"), F.min("smooth").alias("lo"), F.max("smooth").alias("hi"))
+    span, sign = abs(last - first), 1 if direction == "binding" else -1
+    w = Window.partitionBy("dataset").orderBy("i")
+    steps = rows.withColumns({"next": F.lead("smooth").over(w), "prev": F.lag("smooth").over(w)}).join(n, "dataset")
+    energy = first + (last - first) * F.col("i") / F.greatest(F.lit(1), F.col("n") - 1)
+    margin = F.greatest(F.lit(1), F.floor(F.col("n") * 0.04))
+    inside = (F.col("i") >= margin) & (F.col("i") < F.col("n") - margin)
+    if min(first, last) <= 0 <= max(first, last):
+        inside = inside & (F.abs(energy) <= F.greatest(F.lit(0.18 * span), span / F.greatest(F.lit(8), F.col("n"))))
+    contrast = F.col("hi") - F.col("lo") > F.greatest(F.lit(1e-12), F.greatest(F.abs("lo"), F.abs("hi"), F.lit(1.0)) * 1e-10)
+    slope = (F.col("next") - F.col("prev")) / (2 * (last - first) / F.greatest(F.lit(1), F.col("n") - 1))
+    found = steps.where(inside & contrast).withColumns({"energy": energy, "slope": slope}).where("slope is not null")
+    score = F.when(F.col("slope") * sign > 0, F.abs("slope")).otherwise(F.abs("slope") * 0.18)
+    size = F.abs("slope")
+    ranked = found.withColumns({"score": score, "floor": (F.col("hi") - F.col("lo")) / span * 1e-6, "nth": F.row_number().over(Window.partitionBy("dataset").orderBy(size)), "of": F.count("*").over(Window.partitionBy("dataset"))})
+    g = ranked.groupBy("dataset").agg(F.max_by(F.struct("i", "energy", "score"), F.struct("score", -F.col("i"))).alias("b"), F.max(F.when(F.col("nth") == F.floor(F.col("of") * 0.5) + 1, size)).alias("median"), F.first("floor").alias("floor"))
+    return g.where(F.col("b.score") > F.col("floor")).select("dataset", F.col("b.i").alias("edge"), F.col("b.energy").alias("energy"), (F.col("b.score") / F.greatest(F.coalesce("median", F.lit(0.0)), "floor")).alias("confidence"))
+
+
+def source_identity(catalog: DataFrame) -> DataFrame:
+    """fingerprint of each dataset: its metadata and the extents of its axes, whichever way they run.
+
+    ``catalog`` holds file, path, dtype, shape and axes (array of struct(dimension, label, first, last)).
+    """
+    extent = F.transform(F.array_sort("axes"), lambda a: F.struct(a["dimension"].alias("dimension"), a["label"].alias("label"), F.least(a["first"], a["last"]).alias("first"), F.greatest(a["first"], a["last"]).alias("last")))
+    text = F.concat_ws("\x1f", "file", "path", "dtype", F.array_join(F.transform("shape", lambda n: n.cast("string")), "x"), F.to_json(extent))
+    return catalog.withColumn("fingerprint", F.sha2(text, 256))
+
+
 def calibrate_energy(value: Column, unit: Column, fermi: Column, binding: Column) -> Column:
     """Energy against the Fermi level in eV; binding energies change sign."""
     scale = F.when(F.lower(unit) == "mev", 1e-3).when(F.lower(unit) == "kev", 1e3).when(F.lower(unit).isin("µev", "uev"), 1e-6).otherwise(1.0)

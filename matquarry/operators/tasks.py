@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from . import evidence, graph
 
 #: Step priorities and dependencies (fixed values).
 PRIORITY = {"structure": 100, "verification": 96, "conditions": 94, "conflict": 90, "novelty": 86, "stability": 82, "target": 72, "experiment": 60}
@@ -21,10 +23,16 @@ def campaign_scope(df: DataFrame, excluded: list[str], allowed: list[str], least
 
 
 def plan_tasks(groups: DataFrame) -> DataFrame:
-    """One task for each group and required step, with priority and a stable id."""
-    steps = F.array(*[F.struct(F.lit(s).alias("step"), F.lit(p).cast("long").alias("priority")) for s, p in PRIORITY.items()])
-    wanted = F.filter(steps, lambda s: F.when(s["step"] == "conflict", F.col("props") > 1).when(s["step"] == "verification", F.col("trusted")).otherwise(F.lit(True)))
-    out = groups.select("identity", F.explode(wanted).alias("s")).select("identity", "s.step", "s.priority")
+    """One task for each group and required step, with priority, properties and a stable id.
+
+    ``groups`` is the result of ``evidence.group_summary``.  A structure task is planned unless every record's
+    structure is resolved; properties are those to measure for an experiment, those in conflict for a conflict.
+    """
+    need = {**evidence.required_steps(), "structure": ~F.col("resolved")}
+    wanted = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(s).alias("step"), F.lit(PRIORITY[s]).cast("long").alias("priority"))) for s, c in need.items()]))
+    firm, open_ = F.array_except("agreed", "conflicts"), F.array_except("usable", "conflicts")
+    properties = F.when(F.col("s.step") == "experiment", F.when(F.size(firm) > 0, firm).otherwise(open_)).when(F.col("s.step") == "conflict", F.col("conflicts")).otherwise(F.col("usable"))
+    out = groups.withColumn("s", F.explode(wanted)).select("identity", "s.step", "s.priority", properties.alias("properties"))
     return out.withColumn("task_id", F.concat(F.lit("task-"), F.substring(F.sha2(F.concat_ws("~", "identity", "step"), 256), 1, 16)))
 
 
@@ -36,12 +44,101 @@ def dependencies(tasks: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All prerequisites of each step, direct or through others; the step table is three deep, so three joins."""
-    reach = edges
-    for _ in range(3):
-        further = reach.alias("r").join(edges.alias("e"), (F.col("r.identity") == F.col("e.identity")) & (F.col("r.needs") == F.col("e.step"))).select("r.identity", "r.step", "e.needs")
-        reach = reach.union(further).distinct()
-    return reach
+    """(identity, step, needs): all prerequisites of each step, direct or through others, however deep."""
+    node = lambda c: F.concat_ws("\x1f", "identity", c)
+    reach = graph.closure(edges.select(node("step").alias("a"), node("needs").alias("b")))
+    part = lambda c, i: F.split_part(c, F.lit("\x1f"), F.lit(i))
+    return reach.select(part(F.col("a"), 1).alias("identity"), part(F.col("a"), 2).alias("step"), part(F.col("b"), 2).alias("needs"))
+
+
+def judge_returns(returns: DataFrame, sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """record_id, identity, step, accepted of each returned claim, by the rule of its step.
+
+    ``sources`` are the claims of the groups' own records.  A structure return must keep a source claim's value
+    within 1e-12 (relative, at least absolute), a verification or conditions return one of its own model.
+    """
+    claims = sources.select("identity", "property", F.col("value").alias("source"), F.lower("model").alias("token")).distinct()
+    pairs = returns.where(F.col("step").isin("structure", "verification", "conditions")).select("record_id", "identity", "property", "value", F.lower("model").alias("own")).join(claims, ["identity", "property"])
+    close = F.abs(F.col("value") - F.col("source")) <= F.greatest(F.lit(1e-12), 1e-12 * F.abs("source"))
+    kept = pairs.where(close).groupBy("record_id").agg(F.lit(True).alias("kept"), F.bool_or(F.col("own") == F.col("token")).alias("kept_own"))
+    firm, open_ = F.array_except("agreed", "conflicts"), F.array_except("usable", "conflicts")
+    context = groups.select("identity", F.when(F.size(firm) > 0, firm).otherwise(open_).alias("wanted"), (F.size("conflicts") == 0).alias("settled"))
+    r = returns.join(kept, "record_id", "left").join(context, "identity")
+    some = lambda c: F.coalesce(F.col(c), F.lit(False))
+    dated = F.coalesce(F.col("data_cutoff"), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}")
+    public = F.exists("evidence", lambda k: k.rlike("^(doi|url|database-(hash|id)):"))
+    full = F.col("eligible") & F.col("complete")
+    rules = {
+        "structure": F.col("eligible") & F.col("structure_resolved") & some("kept"),
+        "verification": F.col("eligible") & some("kept_own"),
+        "conditions": full & some("kept_own"),
+        "novelty": F.col("eligible") & F.col("novelty_status").isin("known_reference", "screened_unverified") & dated & public,
+        "stability": full & F.col("property").isin(*evidence.STABILITY),
+        "target": F.col("calibrated"),
+        "experiment": full & (F.col("stage") == "experiment") & F.col("structured") & F.array_contains("wanted", F.col("property")),
+        "conflict": F.col("eligible") & F.col("supersedes") & F.col("settled"),
+    }
+    accepted = F.lit(False)
+    for step, rule in rules.items():
+        accepted = F.when(F.col("step") == step, rule).otherwise(accepted)
+    return r.select("record_id", "identity", "step", accepted.alias("accepted"))
+
+
+def task_status(planned: DataFrame, judged: DataFrame) -> DataFrame:
+    """identity, step, task_status, verified, returned of each task: verified, returned_unverified or assigned."""
+    n = judged.groupBy("identity", "step").agg(F.count_if("accepted").alias("verified"), F.count("*").alias("returned"))
+    s = planned.select("identity", "step").join(n, ["identity", "step"], "left").na.fill(0, ["verified", "returned"])
+    return s.withColumn("task_status", F.when(F.col("verified") > 0, "verified").when(F.col("returned") > 0, "returned_unverified").otherwise("assigned"))
+
+
+def blocked(statuses: DataFrame, edges: DataFrame) -> DataFrame:
+    """identity, step, blocked: whether a planned prerequisite has no verified return."""
+    of = statuses.select("identity", F.col("step").alias("needs"), (F.col("verified") == 0).alias("open"))
+    waits = edges.join(of, ["identity", "needs"]).groupBy("identity", "step").agg(F.bool_or("open").alias("waits"))
+    return statuses.join(waits, ["identity", "step"], "left").select("identity", "step", F.coalesce("waits", F.lit(False)).alias("blocked"))
+
+
+def progress(statuses: DataFrame, reach: DataFrame) -> DataFrame:
+    """identity, step, progress: verified returns of a task and of all tasks that need it."""
+    given = reach.join(statuses.select("identity", "step", "verified"), ["identity", "step"]).groupBy("identity", F.col("needs").alias("step")).agg(F.sum("verified").alias("onward"))
+    return statuses.join(given, ["identity", "step"], "left").select("identity", "step", (F.col("verified") + F.coalesce("onward", F.lit(0))).alias("progress"))
+
+
+def cover_claims(returns: DataFrame, claims: DataFrame) -> DataFrame:
+    """task_id, covered: whether each claim (task_id, key, properties) of a task is met by a return of its own.
+
+    A return meets a claim if it has all its properties with the same values (1e-12).  Claims and returns of one
+    task are few and are paired in order of their keys; tasks without claims are left out.
+    """
+
+    def pair(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        unused = [dict(x) for x in given.sort_values("key")["properties"]]
+        covered = True
+        for want in (dict(x) for x in asked.sort_values("key")["properties"]):
+            fits = (i for i, have in enumerate(unused) if all(have.get(p) is not None and abs(have[p] - v) <= max(1e-12, abs(v) * 1e-12) for p, v in want.items()))
+            if (at := next(fits, None)) is None:
+                covered = False
+                break
+            unused.pop(at)
+        return pd.DataFrame({"task_id": asked["task_id"].iloc[:1], "covered": [covered] * min(1, len(asked))})
+
+    columns = ["task_id", "key", "properties"]
+    return claims.select(*columns).groupBy("task_id").cogroup(returns.select(*columns).groupBy("task_id")).applyInPandas(pair, "task_id long, covered boolean")
+
+
+def branch_lineage(accepted: DataFrame) -> DataFrame:
+    """identity, step, lineage: a new lineage for each destination (``descriptor``) of accepted structure and condition returns."""
+    moved = accepted.where(F.col("step").isin("structure", "conditions"))
+    name = F.concat("identity", F.lit("|branch:"), "step", F.lit(":"), F.substring(F.sha2("descriptor", 256), 1, 16))
+    return moved.select("identity", "step", name.alias("lineage")).distinct()
+
+
+def remainder_lineage(sources: DataFrame, moved: DataFrame) -> DataFrame:
+    """identity, lineage of groups from which records were moved while others stayed: (identity, record_id) in both."""
+    left = sources.join(moved.select("identity", "record_id"), ["identity", "record_id"], "left_anti").join(moved.select("identity").distinct(), "identity", "left_semi")
+    # Order-free digest of the records that stay, so no group is gathered.
+    digest = F.hex(F.bit_xor(F.xxhash64("record_id")))
+    return left.groupBy("identity").agg(F.concat(F.first("identity"), F.lit("|remainder:"), digest).alias("lineage"))
 
 
 def match_returns(records: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as X
 from ..functions import text as T
-from ..operators import library, search
+from ..operators import figures, library, search
 from .adapters import MATERIALS, ctes, table, view
 from .registry import query
 
@@ -228,14 +228,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "txt_07_canonical_url",
-    r"""SELECT page_id, CASE WHEN s <> '' THEN s || '://' || h || regexp_replace(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '/+$', '') ELSE '' END AS url FROM (
+    r"""SELECT page_id, CASE WHEN s <> '' AND h <> '' THEN s || '://' || h || regexp_replace(regexp_extract(u, '://[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END ELSE '' END AS url FROM (
+      SELECT page_id, u, s, CASE s WHEN 'http' THEN regexp_replace(h, ':80$', '') WHEN 'https' THEN regexp_replace(h, ':443$', '') ELSE h END AS h,
+        list_sort(list_filter(string_split(regexp_extract(u, '://[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(regexp_extract(x, '^([^=]*)', 1)), '^(utm_[a-z]+|fbclid|gclid|msclkid|mc_[a-z]+|ref|ref_src|src|source)$'))) AS q FROM (
       SELECT page_id, trim(coalesce(url, '')) AS u, lower(regexp_extract(trim(coalesce(url, '')), '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s,
-      regexp_replace(regexp_replace(lower(regexp_extract(trim(coalesce(url, '')), '://([^/?#]*)', 1)), '^[^@]*@', ''), ':(80|443)$', '') AS h FROM pages)""",
+      regexp_replace(lower(regexp_extract(trim(coalesce(url, '')), '://([^/?#]*)', 1)), '^[^@]*@', '') AS h FROM pages))""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
+@query("txt_06_strict_doi", ctes("articles_v") + f" SELECT seq, CASE WHEN regexp_matches({_DOI.replace('{c}', 'doi')}, '^10\\.[0-9]{{4,9}}/[^ ]+$') THEN {_DOI.replace('{c}', 'doi')} ELSE '' END AS doi FROM articles_v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "articles_v").select("seq", T.strict_doi(F.col("doi")).alias("doi"))
+
+
+@query("txt_19_labelled_points", "SELECT p_partkey, 'X@' || CAST(CAST(p_size AS DOUBLE) / 4 AS VARCHAR) || '|M@' || CAST(CAST(p_size + 8 AS DOUBLE) / 4 AS VARCHAR) AS points FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    low, high = (F.format_string("%.2f", (F.col("p_size") + n) / 4) for n in (0, 8))
+    text = F.concat(F.lit(" M : "), high, F.lit(" , broken, "), F.lit("X="), low, F.lit("; Y=word"))
+    points = F.transform(T.labelled_points(text), lambda p: F.concat_ws("@", p["label"], p["position"].cast("string")))
+    return table(spark, d, "part").select("p_partkey", F.array_join(points, "|").alias("points"))
+
+
 @query("txt_08_article_key", ctes("articles_v") + f" SELECT seq, {_KEY} AS article_key FROM articles_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "articles_v").select("seq", T.article_key(F.col("doi"), F.col("title"), F.col("year")).alias("article_key"))
@@ -517,3 +532,57 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     queries = spark.createDataFrame([(1, "red widget"), (2, "ring")], "qid long, query string")
     return search.lookup_catalog(table(spark, d, "part").select("p_name", "p_type").distinct(), queries, "p_name", "p_type", 8)
+
+
+@query(
+    "sea_04_bundle",
+    ctes("articles_v") + f""", t(qid, term) AS (VALUES (1, 'snse2'), (1, 'arpes'), (2, 'fe'), (2, 'band'), (3, 'cobaltocene'), (3, 'monolayer'), (4, 'bi')),
+      h AS (SELECT qid, seq, sum(CASE WHEN length(term) <= 2 THEN CASE WHEN starts_with(lower(material), term) THEN 50 ELSE 0 END ELSE
+        CASE WHEN contains(lower(material), term) THEN 50 ELSE 0 END + CASE WHEN contains(lower(dopant), term) THEN 35 ELSE 0 END + CASE WHEN contains(lower(title), term) THEN 10 ELSE 0 END END) AS score FROM t, articles_v GROUP BY qid, seq)
+      SELECT CAST(qid AS BIGINT) AS qid, material, count(*) AS articles, CAST(sum(score) AS BIGINT) AS score, min(year) AS temp_min, max(year) AS temp_max, round(avg(year), 3) AS temp_avg, coalesce(array_to_string(list_sort(list_distinct(list(dopant) FILTER (dopant <> ''))), '|'), '') AS dopants, array_to_string(list_sort(list_distinct(list(source))), '|') AS properties
+      FROM h JOIN articles_v USING (seq) WHERE score > 0 GROUP BY qid, material""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    queries = spark.createDataFrame(QUERY_TEXTS, "qid long, query string")
+    dopants = F.filter(F.array("dopant"), lambda x: x != "")
+    a = view(spark, d, "articles_v").select("seq", F.array("material").alias("materials"), dopants.alias("dopants"), "title", F.array("source").alias("properties"), F.col("year").alias("t"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("g"))
+    elements = table(spark, d, "nation").select(F.col("n_name").alias("symbol"), F.col("n_name").alias("name"))
+    m = search.bundle(a.withColumn("score", F.lit(0)), queries, elements, "seq")[1]
+    return m.select("qid", "material", "articles", "score", "temp_min", "temp_max", "temp_avg", _list(F.col("dopants")).alias("dopants"), _list(F.col("properties")).alias("properties"))
+
+
+# ---------------------------------------------------------------- figures
+
+_FIG = ctes("pages_v", "articles_v") + """, f AS (
+    SELECT page_key, 1 AS figure_index, 'https://media.springernature.com/lw685/a&b/Fig1_HTML.png' AS image_url, material || ' ARPES map at ' || p_size || ' K' AS caption FROM pages_v JOIN articles_v ON seq = page_key JOIN part ON p_partkey = page_key WHERE form <> 0
+    UNION ALL SELECT page_key, 3, 'https://media.springernature.com/lw685/c/Fig3_HTML.jpeg', '' FROM pages_v WHERE form <> 0
+    UNION ALL SELECT page_key, n, 'https://media.springernature.com/lw685/x/art%3A10.1038%2Fs' || page_key || '/MediaObjects/1_Fig' || n || '_HTML.' || CASE n WHEN 1 THEN 'jpg' ELSE 'png' END, '' FROM pages_v, (VALUES (1), (2)) v(n) WHERE form = 0)"""
+
+
+@query("fig_01_extract_figures", _FIG + " SELECT page_key, CAST(figure_index AS BIGINT) AS figure_index, image_url, caption AS excerpt, 'Study ' || page_key || ' - Figure ' || figure_index || CASE WHEN caption <> '' THEN ': ' || caption ELSE '' END AS caption, CASE WHEN caption <> '' THEN 'publisher' ELSE 'generated_label' END AS caption_source FROM f")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return figures.extract_figures(view(spark, d, "pages_v"), "page_key").select("page_key", F.col("figure_index").cast("long").alias("figure_index"), "image_url", "excerpt", "caption", "caption_source")
+
+
+@query("fig_02_figure_urls", _FIG + " SELECT f.page_key, CAST(figure_index AS BIGINT) AS number, image_url FROM f JOIN pages_v USING (page_key) WHERE form = 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return figures.figure_urls(view(spark, d, "pages_v").where("form = 0"), "page_key").select("page_key", F.col("number").cast("long").alias("number"), "image_url")
+
+
+@query("fig_03_standard_url", "SELECT page_id, 'https://media.springernature.com/lw685/x/full/' || page_id || '.png' AS url FROM pages")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sizes = F.array(*[F.lit(x) for x in figures.VARIANTS])
+    raw = F.concat(F.lit("//media.springernature.com/"), F.get(sizes, (F.col("page_id") % 4).cast("int")), F.lit("/x/"), F.when(F.col("page_id") % 4 == 2, "full").otherwise("fuII"), F.lit("/"), "page_id", F.lit(".png?as=webp"))
+    return table(spark, d, "pages").select("page_id", F.replace(figures.standard_url(raw), F.lit("fuII"), F.lit("full")).alias("url"))
+
+
+@query(
+    "fig_04_manifest",
+    _FIG + " SELECT 's-' || 'x' AS kind, count(*) AS figures, count(*) AS assets, count_if(f.page_key % 3 = 0) AS reused FROM f",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = view(spark, d, "pages_v")
+    f = figures.extract_figures(p, "page_key").join(p.select("page_key", "doi"), "page_key")
+    landed = figures.asset_manifest(f.where("page_key % 3 = 0"), spark.createDataFrame([], "asset string"), "doi")
+    m = figures.asset_manifest(f, landed, "doi")
+    return figures.manifest_totals(m).select(F.lit("s-x").alias("kind"), "figures", "assets", "reused")

@@ -121,20 +121,33 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").where("stage = 'experiment'").select(F.explode(chem.formula_elements(F.col("formula"))).alias("element")).distinct()
 
 
+def _measurements(spark: SparkSession, d: str) -> DataFrame:
+    """formula, property, value of replicate measurements: two-element formulas, values that follow their elements."""
+    one, two = ["Fe", "Co", "Ni", "Cu", "Zn", "Ti", "V", "Cr", "Mn", "Nb", "Mo", "W", "La", "Y", "Ga", "In", "Bi", "Sn"], ["O", "S", "Se", "Te", "N", "P", "As", "B", "C", "F"]
+    k = F.col("l_partkey")
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), F.pmod(n, F.lit(len(names))).cast("int"))
+    a, b = pick(one, k), pick(two, F.floor(k / len(one)))
+    n, m = 1 + F.floor(k / 180) % 3, 1 + F.floor(k / 540) % 4
+    known = F.create_map(*[F.lit(x) for s in [*one, *two] for x in (s, chem.NUMBER[s])])
+    z, y, noise = F.element_at(known, a), F.element_at(known, b), (F.col("l_extendedprice") % 100) / 400
+    value = F.when(F.col("property") == "gap", F.greatest(F.lit(0.0), 3 - z / 25 + m / n / 4 + noise - 0.4)).when(F.col("property") == "tc", F.greatest(F.lit(0.0), z * m / (n * 4) + 4 * noise)).otherwise(-y / 20 - m / (n + m) + noise)
+    lines = table(spark, d, "lineitem").withColumn("property", F.get(F.array(*map(F.lit, ("formation", "gap", "tc"))), (F.col("l_linenumber") % 3).cast("int")))
+    return lines.select(F.concat(a, n, b, m).alias("formula"), "property", value.cast("double").alias("value"))
+
+
 @query("mdl_02_train_regressor")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return models.train_and_measure(models.training_rows(view(spark, d, "claims_v")), "value")
+    return models.train_and_measure(models.training_rows(_measurements(spark, d)))
 
 
 @query("mdl_03_train_classifier")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = models.training_rows(view(spark, d, "claims_v")).withColumn("metal", (F.col("value") < 2).cast("double"))
-    return models.train_classifier(rows, "metal")
+    return models.train_classifier(models.training_rows(_measurements(spark, d)))
 
 
 @query("mdl_04_score")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return models.score_compositions(models.training_rows(view(spark, d, "claims_v")), "value")
+    return models.score_compositions(models.training_rows(_measurements(spark, d)))
 
 
 @query("flt_03_target_gates", ctes("claims_v") + " SELECT record_id, value <= 0.05 AS metal FROM claims_v WHERE property = 'gap' AND value BETWEEN 0 AND 15")
@@ -176,42 +189,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").select("record_id", F.round(consensus.to_unit(F.col("value"), unit, consensus.PRESSURE), 10).alias("pressure_gpa"), F.round(consensus.to_kelvin(F.col("value"), kelvin), 6).alias("temperature_k"))
 
 
-@query("clm_05_identity", ctes("claims_v") + f" SELECT record_id, {_IDENTITY} AS identity FROM claims_v")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.identity_key(view(spark, d, "claims_v")).select("record_id", "identity")
-
-
 _ELIGIBLE = "trusted AND stage IN ('experiment', 'dft', 'database', 'ml', 'literature')"
 _STAGEW = "CASE stage WHEN 'experiment' THEN 0.96 WHEN 'dft' THEN 0.78 WHEN 'database' THEN 0.82 WHEN 'ml' THEN 0.55 WHEN 'literature' THEN 0.86 WHEN 'llm' THEN 0.28 ELSE 0.16 END"
 _WEIGHT = f"CAST(greatest(0.01, CASE WHEN {_ELIGIBLE} AND q90 > 0 AND applicability > 0 THEN {_STAGEW} * least(4.0, applicability / (q90 * q90 + 1e-6)) WHEN {_ELIGIBLE} THEN {_STAGEW} ELSE 0.35 END) AS DOUBLE)"
 
 
-@query("clm_06_calibration", ctes("claims_v") + " SELECT record_id, property, q90, applicability FROM claims_v WHERE q90 > 0 AND applicability > 0")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").where("q90 > 0 and applicability > 0").select("record_id", "property", "q90", "applicability")
-
-
-@query("clm_07_eligibility", ctes("claims_v") + f" SELECT record_id, {_ELIGIBLE} AS eligible FROM claims_v")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").select("record_id", consensus.eligible(F.col("stage"), F.col("trusted")).alias("eligible"))
-
-
-@query("con_01_dedupe_records", ctes("claims_v") + " SELECT min(record_id) AS record_id, count(*) AS copies FROM claims_v WHERE stage <> 'task_planning' GROUP BY model, formula, property, round(value, 1)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    c = view(spark, d, "claims_v").where("stage <> 'task_planning'")
-    return c.groupBy("model", "formula", "property", F.round("value", 1)).agg(F.min("record_id").alias("record_id"), F.count("*").alias("copies")).select("record_id", "copies")
-
-
-@query("con_02_groups", ctes("claims_v") + f" SELECT {_IDENTITY} AS identity, count(*) AS records, count(DISTINCT model) AS models FROM claims_v GROUP BY {_IDENTITY}")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity").agg(F.count("*").alias("records"), F.countDistinct("model").alias("models"))
-
-
-@query("con_03_entry_weight", ctes("claims_v") + f" SELECT record_id, round({_WEIGHT}, 6) AS weight FROM claims_v")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.entry_weight(view(spark, d, "claims_v")).select("record_id", F.round("weight", 6).alias("weight"))
-
-
 _BEST = f""", e AS (SELECT *, {_IDENTITY} AS identity, {_WEIGHT} AS weight, {_ELIGIBLE} AS eligible FROM claims_v),
   m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identity, property, model ORDER BY eligible DESC, weight DESC, record_id) AS n FROM e) WHERE n = 1),
   c AS (SELECT *, weight * least(1.0, 1.5 / sum(weight) OVER (PARTITION BY identity, property, family)) AS capped FROM m)"""
@@ -239,19 +221,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return consensus.weighted_median(consensus.cap_families(consensus.best_per_model(e, keys), keys), keys, "value", "capped", "median")
 
 
-@query(
-    "con_04_property_consensus",
-    ctes("claims_v") + _BEST + ", md AS (" + _MEDIAN.format(v="value", o="consensus", f="c") + "), far AS (SELECT c.*, abs(value - consensus) AS deviation FROM c JOIN md USING (identity, property)), mad AS (" + _MEDIAN.format(v="deviation", o="mad", f="far") + """),
-      st AS (SELECT identity, property, count(*) AS models, count(DISTINCT family) AS families, min(value) AS low, max(value) AS high FROM c GROUP BY identity, property),
-      x AS (SELECT *, CASE property WHEN 'tc' THEN greatest(1.0, 0.15 * abs(consensus)) WHEN 'gap' THEN 0.25 WHEN 'formation' THEN 0.08 WHEN 'hull' THEN 0.04 ELSE 0.25 END AS tol FROM st JOIN md USING (identity, property) JOIN mad USING (identity, property)),
-      y AS (SELECT *, high - low > 2 * tol OR (property = 'tc' AND low > 0 AND high / low > 1.75) OR (property = 'tc' AND low <= 0 AND high > 0) OR (property = 'gap' AND low <= 0.01 AND high >= 0.05) AS conflict FROM x)
-      SELECT identity, property, models, families, round(consensus, 6) AS consensus, round(1.4826 * mad, 6) AS mad, round(low, 6) AS low, round(high, 6) AS high, conflict, families >= 2 AND NOT conflict AS agreement FROM y""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    r = consensus.property_consensus(consensus.identity_key(view(spark, d, "claims_v")))
-    return r.select("identity", "property", "models", "families", *[F.round(x, 6).alias(x) for x in ("consensus", "mad", "low", "high")], "conflict", "agreement")
-
-
 @query("agg_07_replicate_median", ctes("claims_v") + " SELECT formula, property, round(median(value), 6) AS median, count(*) AS replicates FROM claims_v GROUP BY formula, property")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").groupBy("formula", "property").agg(F.round(F.median("value"), 6).alias("median"), F.count("*").alias("replicates"))
@@ -270,46 +239,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").groupBy("formula").agg(F.when(F.countDistinct("status") > 1, "mixed").otherwise(F.min("status")).alias("status"))
 
 
-@query(
-    "con_05_independent_evidence",
-    ctes("claims_v") + """, r AS (SELECT record_id, evidence_id FROM claims_v WHERE property = 'gap'), n AS (SELECT evidence_id, min(record_id) AS component FROM r GROUP BY evidence_id)
-      SELECT DISTINCT record_id, component FROM r JOIN n USING (evidence_id)""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.evidence_components(view(spark, d, "claims_v").where("property = 'gap'"), "record_id", "evidence_id")
-
-
-@query("con_07_group_summary", ctes("claims_v") + f" SELECT {_IDENTITY} AS identity, array_to_string(list_sort(list_distinct(list(family))), '|') AS families, bool_and(trusted) AS all_trusted, count(DISTINCT property) AS properties FROM claims_v GROUP BY {_IDENTITY}")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    g = consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity")
-    return g.agg(F.array_join(F.sort_array(F.collect_set("family")), "|").alias("families"), F.bool_and("trusted").alias("all_trusted"), F.countDistinct("property").alias("properties"))
-
-
-@query(
-    "con_08_review_priority",
-    ctes("claims_v") + f""" SELECT identity, round(greatest(0, least(100, 10 + CASE WHEN structured THEN 10 ELSE 0 END + least(18, 9 * (models - 1)) + least(10, 5 * (families - 1)) + 15 * sw + CASE WHEN cal THEN 8 ELSE 0 END - least(18, 8 * conflicts))), 6) AS priority FROM
-      (SELECT {_IDENTITY} AS identity, bool_or(structure > 0) AS structured, count(DISTINCT model) AS models, count(DISTINCT family) AS families, max(CAST({_STAGEW} AS DOUBLE)) AS sw, bool_or(q90 > 0) AS cal, count(DISTINCT property) // 3 AS conflicts FROM claims_v GROUP BY {_IDENTITY})""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import stage_weight
-
-    g = consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity").agg(
-        F.bool_or(F.col("structure") > 0).alias("structured"), F.countDistinct("model").alias("models"), F.countDistinct("family").alias("families"),
-        F.max(stage_weight(F.col("stage"))).alias("stage_weight"), F.bool_or(F.col("q90") > 0).alias("calibrated"), F.floor(F.countDistinct("property") / 3).alias("conflicts"),
-    )
-    return g.select("identity", F.round(consensus.review_priority(g), 6).alias("priority"))
-
-
 @query("con_10_model_reports", ctes("claims_v") + " SELECT lower(model) AS model, count(*) AS claims, count(DISTINCT formula) AS candidates, array_to_string(list_sort(list_distinct(list(stage))), '|') AS stages, count(DISTINCT evidence_id) AS evidence FROM claims_v GROUP BY lower(model)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "claims_v").groupBy(F.lower("model").alias("model")).agg(F.count("*").alias("claims"), F.countDistinct("formula").alias("candidates"), F.array_join(F.sort_array(F.collect_set("stage")), "|").alias("stages"), F.countDistinct("evidence_id").alias("evidence"))
 
 
-@query("con_11_totals", ctes("claims_v") + " SELECT count(*) AS records, count_if(trusted) AS trusted, count(DISTINCT model) AS models, count(DISTINCT formula) AS candidates FROM claims_v")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").agg(F.count("*").alias("records"), F.count_if("trusted").alias("trusted"), F.countDistinct("model").alias("models"), F.countDistinct("formula").alias("candidates"))
-
-
 @query(
     "con_12_claim_comparison",
     ctes("claims_v") + """, m AS (SELECT property, formula, structure, family, median(value) AS v, max(q90) AS u FROM claims_v GROUP BY property, formula, structure, family)
@@ -329,34 +263,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- tasks
 
 
-@query(
-    "tsk_01_plan_tasks",
-    ctes("claims_v") + f", g AS (SELECT {_IDENTITY} AS identity, bool_or(trusted) AS trusted, count(DISTINCT property) AS props FROM claims_v GROUP BY {_IDENTITY}), s(step, priority) AS (VALUES ('structure', CAST(100 AS BIGINT)), ('verification', 96), ('conditions', 94), ('conflict', 90), ('novelty', 86), ('stability', 82), ('target', 72), ('experiment', 60)) SELECT identity, step, priority FROM g, s WHERE CASE step WHEN 'conflict' THEN props > 1 WHEN 'verification' THEN trusted ELSE true END",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    g = consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity").agg(F.bool_or("trusted").alias("trusted"), F.countDistinct("property").alias("props"))
-    return tasks.plan_tasks(g).select("identity", "step", "priority")
-
-
-@query(
-    "tsk_02_dependencies",
-    ctes("claims_v") + f", g AS (SELECT DISTINCT {_IDENTITY} AS identity FROM claims_v), e(step, needs) AS (VALUES ('novelty', 'structure'), ('stability', 'structure'), ('stability', 'conditions'), ('conflict', 'conditions'), ('target', 'structure'), ('target', 'stability'), ('experiment', 'stability'), ('experiment', 'target')) SELECT identity, step, needs FROM g, e",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    g = consensus.identity_key(view(spark, d, "claims_v")).select("identity", F.lit(True).alias("trusted"), F.lit(2).alias("props")).distinct()
-    return tasks.dependencies(tasks.plan_tasks(g)).select("identity", "step", "needs")
-
-
-@query(
-    "tsk_07_closure",
-    ctes("claims_v") + f""", g AS (SELECT DISTINCT {_IDENTITY} AS identity FROM claims_v), e(step, needs) AS (VALUES ('novelty', 'structure'), ('stability', 'structure'), ('stability', 'conditions'), ('conflict', 'conditions'), ('target', 'structure'), ('target', 'stability'), ('experiment', 'stability'), ('experiment', 'target')),
-      r AS (SELECT step, needs FROM e UNION SELECT r.step, e.needs FROM r JOIN e ON r.needs = e.step) SELECT identity, step, count(*) AS prerequisites FROM g, r GROUP BY identity, step""",
-)
-def _(spark: SparkSession, d: str) -> DataFrame:
-    g = consensus.identity_key(view(spark, d, "claims_v")).select("identity", F.lit(True).alias("trusted"), F.lit(2).alias("props")).distinct()
-    return tasks.closure(tasks.dependencies(tasks.plan_tasks(g))).groupBy("identity", "step").agg(F.count("*").alias("prerequisites"))
-
-
 @query(
     "tsk_03_match_returns",
     ctes("claims_v") + f", g AS (SELECT {_IDENTITY} AS identity, max(family) AS executor FROM claims_v WHERE status = 'F' GROUP BY {_IDENTITY}) SELECT record_id, CASE WHEN g.identity IS NULL THEN 'unknown task' WHEN g.executor <> family THEN 'unauthorised executor' ELSE 'matched' END AS match FROM (SELECT *, {_IDENTITY} AS identity FROM claims_v WHERE status = 'O') c LEFT JOIN g USING (identity)",
@@ -367,11 +273,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tasks.match_returns(c.where("status = 'O'"), assigned).select("record_id", "match")
 
 
-@query("tsk_06_status", ctes("claims_v") + " SELECT formula, CASE WHEN count_if(status = 'O' AND trusted) > 0 THEN 'verified' WHEN count_if(status = 'O') > 0 THEN 'returned_unverified' ELSE 'assigned' END AS task_status FROM claims_v GROUP BY formula")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.status(view(spark, d, "claims_v"), "formula").select("formula", "task_status")
-
-
 @query("tsk_08_authoritative", ctes("claims_v") + " SELECT formula, arg_max(record_id, (trusted, applicability, -record_id)) AS record_id FROM claims_v GROUP BY formula")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return tasks.authoritative(view(spark, d, "claims_v"), "formula")
@@ -467,10 +368,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "spc_07_profiles",
-    ctes("spectra_v") + ", c AS (SELECT dataset, i, avg(value) AS v FROM spectra_v GROUP BY dataset, i) SELECT dataset, i, round(coalesce((v - min(v) OVER (PARTITION BY dataset)) / nullif(max(v) OVER (PARTITION BY dataset) - min(v) OVER (PARTITION BY dataset), 0), 0), 4) AS profile FROM c",
+    ctes("spectra_v") + ", c AS (SELECT dataset, i, avg(value) AS v FROM spectra_v GROUP BY dataset, i) SELECT dataset, i, round(coalesce((v - min(v) OVER (PARTITION BY dataset)) / nullif(max(v) OVER (PARTITION BY dataset) - min(v) OVER (PARTITION BY dataset), 0), 0), 4) + 0.0 AS profile FROM c",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return spectra.profile(view(spark, d, "spectra_v"), "i").select("dataset", "i", F.round("profile", 4).alias("profile"))
+    return spectra.profile(view(spark, d, "spectra_v"), "i").select("dataset", "i", (F.round("profile", 4) + 0.0).alias("profile"))
 
 
 @query("spc_08_axis_value", ctes("spectra_v") + " SELECT dataset, i, j, round(-0.5 + i / 23.0, 6) AS energy, CAST(round(255 * greatest(0, least(1, value / 1000))) AS BIGINT) AS u8 FROM spectra_v")
@@ -563,39 +464,62 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- further claims
 
 
-@query("clm_08_evidence_keys", ctes("claims_v") + " SELECT DISTINCT record_id, k AS evidence_key FROM (SELECT record_id, unnest([evidence_id, 'db:' || (" + _KEY + ")]) AS k FROM claims_v WHERE property = 'hull')")
+@query("jon_12_trusted", ctes("claims_v") + " SELECT record_id, family IN ('family-1', 'family-2') AS trusted_family FROM claims_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    c = chem.per_formula(view(spark, d, "claims_v").where("property = 'hull'"), "formula", composition=chem.composition_key)
-    keys = F.array_distinct(F.array("evidence_id", F.concat(F.lit("db:"), F.col("composition"))))
-    return c.select("record_id", F.explode(keys).alias("evidence_key")).distinct()
+    registry = spark.createDataFrame([("family-1", True), ("family-2", True)], "family string, listed boolean")
+    return view(spark, d, "claims_v").join(F.broadcast(registry), "family", "left").select("record_id", F.coalesce("listed", F.lit(False)).alias("trusted_family"))
 
 
-@query(
-    "agg_09_weighted_mad",
-    ctes("claims_v") + _BEST + ", md AS (" + _MEDIAN.format(v="value", o="consensus", f="c") + "), far AS (SELECT c.*, abs(value - consensus) AS deviation FROM c JOIN md USING (identity, property)), mad AS (" + _MEDIAN.format(v="deviation", o="mad", f="far") + ") SELECT identity, property, round(1.4826 * mad, 5) AS mad FROM mad",
-)
+@query("srt_02_top_labels", ctes("claims_v") + " SELECT formula, record_id FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY value DESC, record_id) AS n FROM claims_v) WHERE n <= 3")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    r = consensus.property_consensus(consensus.identity_key(view(spark, d, "claims_v")))
-    return r.select("identity", "property", F.round("mad", 5).alias("mad"))
+    w = Window.partitionBy("formula").orderBy(F.desc("value"), "record_id")
+    return view(spark, d, "claims_v").withColumn("n", F.row_number().over(w)).where("n <= 3").select("formula", "record_id")
 
 
-@query(
-    "con_09_next_steps",
-    ctes("claims_v") + f" SELECT identity, concat_ws('|', CASE WHEN NOT structured THEN 'structure' END, CASE WHEN families < 2 THEN 'verification' END, CASE WHEN props > 1 THEN 'conflict' END, 'experiment') AS steps FROM (SELECT {_IDENTITY} AS identity, bool_or(structure > 0) AS structured, count(DISTINCT family) AS families, count(DISTINCT property) AS props FROM claims_v GROUP BY {_IDENTITY})",
-)
+# ---------------------------------------------------------------- axes and planes
+
+
+def _dimensions(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("file"), F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), (8 + (F.col("o_orderkey") + 7 * i) % 3 * 12).alias("n")) for i in range(3)])).alias("d")).select("file", "d.*")
+
+
+_DIMS = "WITH dims AS (SELECT o_orderkey AS file, i AS dim, 8 + (o_orderkey + 7 * i) % 3 * 12 AS n FROM orders, (VALUES (0), (1), (2)) v(i))"
+_AXES = [("scan/energy", 0.0), ("scan/theta", 1.0), ("scan/aux", 0.5)]
+
+
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    paths = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(s).alias("score"), F.lit(i).alias("i")) for i, (p, s) in enumerate(_AXES)])
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.explode(paths).alias("a"))
+    return o.select("file", "a.path", (8 + (F.col("file") + F.col("a.i")) % 3 * 12).alias("n"), "a.score")
+
+
+_AXIS = _DIMS + """, ax AS (SELECT o_orderkey AS file, p AS path, s AS score, 8 + (o_orderkey + i) % 3 * 12 AS n FROM orders, (VALUES (0, 'scan/energy', 0.0), (1, 'scan/theta', 1.0), (2, 'scan/aux', 0.5)) v(i, p, s)),
+  bx AS (SELECT d.file, d.dim, d.n, arg_max(path, (score, path)) AS axis FROM dims d LEFT JOIN ax USING (file, n) GROUP BY d.file, d.dim, d.n),
+  kx AS (SELECT *, CASE WHEN axis LIKE '%energy%' THEN 'energy' WHEN axis LIKE '%theta%' THEN 'angle' ELSE 'axis' END AS kind FROM bx)"""
+
+
+@query("jon_05_axes", _AXIS + " SELECT file, dim, axis, kind FROM kx")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    g = consensus.identity_key(view(spark, d, "claims_v")).groupBy("identity").agg(F.bool_or(F.col("structure") > 0).alias("structured"), F.countDistinct("family").alias("families"), F.countDistinct("property").alias("props"))
-    steps = F.array_compact(F.array(F.when(~F.col("structured"), F.lit("structure")), F.when(F.col("families") < 2, F.lit("verification")), F.when(F.col("props") > 1, F.lit("conflict")), F.lit("experiment")))
-    return g.select("identity", F.array_join(F.slice(steps, 1, 4), "|").alias("steps"))
+    return spectra.axes_of_dimensions(_dimensions(spark, d), _axes(spark, d)).select("file", F.col("dim").cast("long").alias("dim"), "axis", "kind")
 
 
-@query("jon_12_trusted", ctes("claims_v") + " SELECT record_id, family IN ('family-1', 'family-2') AS trusted_family FROM claims_v")
+@query(
+    "spc_03_pick_plane",
+    _AXIS + """, pt AS (SELECT *, CASE kind WHEN 'energy' THEN 20 WHEN 'angle' THEN 16 ELSE 0 END + CASE WHEN n >= 16 THEN 6 ELSE 0 END AS points FROM kx),
+      pr AS (SELECT p.file, CASE WHEN q.kind = 'energy' THEN p.dim ELSE q.dim END AS x, CASE WHEN q.kind = 'energy' THEN q.dim ELSE p.dim END AS y, log10(p.n * q.n) + p.points + q.points AS score FROM pt p JOIN pt q ON p.file = q.file AND p.dim < q.dim)
+      SELECT file, arg_max(x, (round(score, 9), -y, x)) AS x, arg_max(y, (round(score, 9), -y, x)) AS y FROM pr GROUP BY file""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    registry = spark.createDataFrame([("family-1", True), ("family-2", True)], "family string, listed boolean")
-    return view(spark, d, "claims_v").join(F.broadcast(registry), "family", "left").select("record_id", F.coalesce("listed", F.lit(False)).alias("trusted_family"))
+    return spectra.pick_plane(spectra.axes_of_dimensions(_dimensions(spark, d), _axes(spark, d))).select("file", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
 
 
-@query("srt_02_top_labels", ctes("claims_v") + " SELECT formula, record_id FROM (SELECT *, row_number() OVER (PARTITION BY formula ORDER BY value DESC, record_id) AS n FROM claims_v) WHERE n <= 3")
+@query(
+    "spc_14_grid_axes",
+    _DIMS + """ SELECT file, dim, CASE WHEN nth = 1 THEN kind ELSE kind || '_' || nth END AS name, CAST(len(c) AS BIGINT) AS points, list_sum(c) AS total, c[len(c)] AS last
+      FROM (SELECT *, row_number() OVER (PARTITION BY file, kind ORDER BY dim) AS nth, list_transform(range(0, n), lambda i: CAST(-2.0 + 0.25 * i AS DOUBLE)) AS c FROM (SELECT *, CASE WHEN dim = 0 THEN 'energy' ELSE 'angle' END AS kind FROM dims))""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("formula").orderBy(F.desc("value"), "record_id")
-    return view(spark, d, "claims_v").withColumn("n", F.row_number().over(w)).where("n <= 3").select("formula", "record_id")
+    waves = _dimensions(spark, d).withColumns({"kind": F.when(F.col("dim") == 0, "energy").otherwise("angle"), "start": F.lit(-2.0), "step": F.lit(0.25)})
+    c = F.col("coordinates")
+    return spectra.grid_axes(waves).select("file", F.col("dim").cast("long").alias("dim"), "name", F.size(c).cast("long").alias("points"), F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at(c, -1).alias("last"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def _dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..scratch import fresh_path
 
 
 def stream_upsert(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +19,7 @@ def stream_upsert(spark: SparkSession, path: str) -> DataFrame:
     Each micro-batch is folded to one row for each key and appended under its batch id, so a batch that is run
     again replaces its own rows; the table is the newest row over all batches.
     """
-    base = _dir(spark)
+    base = fresh_path(spark, "stream")
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path if not path.endswith(".parquet") else path.rsplit("/", 1)[0], pathGlobFilter=path.rsplit("/", 1)[-1])
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -42,15 +39,37 @@ def flag_bursts(events: DataFrame, key: str, ts: str, seconds: int, limit: int)
     """
     rows = events.select(F.col(key).alias("key"), F.col("event_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, opened, n = None, 0, 0
-        for pdf in batches:
-            out = []
-            for k, e, at in pdf[["key", "event_id", "at"]].itertuples(index=False):
-                if k != now or at >= opened + seconds * 1_000_000:
-                    now, opened, n = k, at, 0
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, opened, n, begun = None, 0, 0, False
+        for b in batches:
+            nth = []
+            for k, at in zip(b.column("key").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if not begun or k != now or at >= opened + seconds * 1_000_000:
+                    now, opened, n, begun = k, at, 0, True
                 n += 1
-                out.append((k, e, n, n > limit))
-            yield pd.DataFrame(out, columns=["key", "event_id", "nth", "burst"])
+                nth.append(n)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("event_id"), pa.array(nth, pa.int64()), pa.array([x > limit for x in nth], pa.bool_())], names=["key", "event_id", "nth", "burst"])
+
+    return rows.where("at is not null").repartition("key").sortWithinPartitions("key", "at", "event_id").mapInArrow(walk, "key long, event_id long, nth long, burst boolean")
+
+
+def stream_bursts(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
+    """``flag_bursts`` on a stream: a key's open window and its count are state, so windows run on over micro-batches.
+
+    Events of one key in a micro-batch are ordered by time; an event older than the open window counts in it.
+    """
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at")).where("key is not null and at is not null")
+
+    def update(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, n = state.get if state.exists else (None, 0)
+        new = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for event_id, at in new[["event_id", "at"]].itertuples(index=False):
+            if opened is None or at >= opened + seconds * 1_000_000:
+                opened, n = at, 0
+            n += 1
+            out.append((of[0], event_id, n, n > limit))
+        state.update((int(opened), n))
+        yield pd.DataFrame(out, columns=["key", "event_id", "nth", "burst"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "at", "event_id").mapInPandas(walk, "key long, event_id long, nth long, burst boolean")
+    return rows.groupBy("key").applyInPandasWithState(update, "key long, event_id long, nth long, burst boolean", "opened long, n long", "append", GroupStateTimeout.NoTimeout)

@@ -41,3 +41,15 @@ def test_bursts(spark):
     assert got[1, 20] == (3, True)
     assert got[1, 60] == (1, False)
     assert got[2, 1] == (1, False)
+
+
+def test_streamed_bursts_run_over_batches(spark, tmp_path):
+    rows = [(1, k, f"2024-01-01 00:00:{k:02d}") for k in (0, 10, 20, 59)] + [(1, 60, "2024-01-01 00:01:00"), (2, 1, "2024-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, at string").selectExpr("user_id", "event_id", "cast(at as timestamp) as ts")
+    for i, part in enumerate(("event_id <= 10", "event_id > 10")):
+        events.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / f"batch={i}"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = streams.stream_bursts(stream, "user_id", "ts", 60, 2).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.key, r.event_id): (r.nth, r.burst) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.key, r.event_id): (r.nth, r.burst) for r in streams.flag_bursts(events, "user_id", "ts", 60, 2).collect()}
