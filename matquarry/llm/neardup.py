@@ -237,35 +237,50 @@ def _reach(similarity: float, size: Column, at: Column, other: Column) -> Column
     return (1 + similarity) * (size - at) >= similarity * (size + other) - 1e-6
 
 
-def close_pairs(tokens: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
-    """(a, b) of a minor text and a text of another class that can have the similarity.
-
-    Tokens are in one order for all texts: those that only one class has, then rare ones first.  A text that shares
-    ``similarity * size`` tokens with another has the first of them among its first size - that + 1, and all that follow
-    must nearly suffice.  So most texts that no other class can match have no token left and cost no pair.  The places are
-    those in the minor text; no pair of the similarity is left out, except with ``lead``, where each token is compared with
-    one text only.
+def open_texts(tokens: DataFrame, similarity: float) -> DataFrame:
+    """The tokens of the minor texts that can have the similarity to any other: those with at most
+    size - ``similarity`` * size tokens of their own.  Counting these takes no join of tokens."""
+    own = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("node").alias("node")).where("often = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = tokens.where("minor").select("node", "size").distinct().join(own, "node", "left")
+    able = sizes.where(F.coalesce("own", F.lit(0)) <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6))
+    return shared.cut(tokens.where("minor").select("token", "node", "size").join(shared.cut(able.select("node")), "node"))
+
+
+def prefixes(tokens: DataFrame, minor: DataFrame, similarity: float) -> DataFrame:
+    """token, node, size, at: the tokens that a text of ``minor`` (from ``open_texts``) may share first with another.
+
+    Tokens are in one order for all texts, rare ones first; those that no other text has come first of all.  A text
+    that shares ``similarity * size`` tokens with another has the first of them among its first size - that + 1, and all
+    that follow must nearly suffice, also with the shortest text that has the token.  So most texts that no other can match
+    have no token left.
     """
-    of = label.select("node", "class")
-    tokens = tokens.join(of, "node")
-    led = F.max(F.struct("score", "node", "size", "class")).alias("led")
-    per = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("size").alias("least"), F.min("class").alias("c0"), F.max("class").alias("c1"), led).where("c0 <> c1").drop("c0", "c1")
-    minor = shared.cut(tokens.where("minor").drop("minor", "score"))
+    per = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("size").alias("least")).where("often > 1")
     common = shared.spread_join(minor, per, "token")
     order = Window.partitionBy("node").orderBy("often", "token")
     common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
-    at = F.col("at") + F.col("size") - F.col("common")
-    able = (at <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)) & _reach(similarity, F.col("size"), at, F.greatest(F.col("least"), similarity * F.col("size")))
-    one = common.where(able).select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), at.alias("at"), F.col("class").alias("class_a"), "led")
+    common = common.withColumn("at", F.col("at") + F.col("size") - F.col("common"))
+    able = (F.col("at") <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)) & _reach(similarity, F.col("size"), F.col("at"), F.greatest(F.col("least"), similarity * F.col("size")))
+    return shared.cut(common.where(able).select("token", "node", "size", "at"))
+
+
+def close_pairs(tokens: DataFrame, prefix: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
+    """(a, b) of a text of ``prefix`` and a text of another class that can have the similarity.
+
+    ``tokens`` are all rows of the prefixes' tokens.  No pair of the similarity is left out, except with ``lead``, where
+    each token is compared with one text only.
+    """
+    of = label.select("node", "class")
+    tokens = shared.cut(tokens.join(of, "node"))
+    led = F.max(F.struct("score", "node", "size", "class")).alias("led")
+    per = tokens.groupBy("token").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), led).where("c0 <> c1").select("token", "led")
+    one = shared.cut(prefix.join(of, "node").select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), "at", F.col("class").alias("class_a")))
+    one = shared.spread_join(one, per, "token")
     fit = (F.col("class_a") != F.col("class_b")) & (F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b") - 1e-6) & _reach(similarity, F.col("size_a"), F.col("at"), F.col("size_b"))
     if lead:
         both = one.withColumns({"b": F.col("led.node"), "size_b": F.col("led.size"), "class_b": F.col("led.class")})
     else:
-        other = tokens.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b"))
-        one = shared.cut(one.drop("led"))
-        # Only the tokens that minor texts look for; a small list of them is broadcast by its known size.
-        sought = shared.cut(one.select("token").distinct())
-        both = shared.spread_join(shared.cut(other.join(sought, "token", "left_semi")), one, "token")
+        other = shared.cut(tokens.select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("class").alias("class_b")))
+        both = shared.spread_join(other, shared.cut(one.drop("led")), "token")
     return both.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -350,8 +365,10 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
         most = shares.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("m")).select("bucket", F.col("m.class").alias("most"))
         held = shared.spread_join(large, most, "bucket").groupBy("node").agg(F.bool_or(F.col("class") != F.col("most")).alias("minor"))
         tokens = spelt(shared.cut(held.join(busy, "node")), sets)
+        prefix = prefixes(tokens, open_texts(tokens, similarity), similarity)
+        met = shared.cut(tokens.join(shared.cut(prefix.select("token").distinct()), "token", "left_semi"))
         for lead in (True, False):
-            label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(tokens, label, similarity, lead)), sets, similarity)))
+            label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(met, prefix, label, similarity, lead)), sets, similarity)))
 
     named = shared.cut(texts.join(label, "node", "left").withColumn("class", F.coalesce("class", "node")))
     of_class = named.groupBy("class").agg(F.max("best").alias("class_id"))

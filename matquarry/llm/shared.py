@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import cut, fresh_path, shared_dir  # noqa: F401
+
 #: Rows of an Arrow batch.  Texts are long, so a batch stays small; tasks work through one at a time.
 BATCH_ROWS = 512
 #: A key is heavy if it holds a thousandth of all rows, so at most so many keys are.
@@ -19,36 +18,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Where the session names none, a local master gets a temporary folder (tests); a cluster must name one.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes ``df`` once, as Parquet in the shared folder, and reads it back.
-
-    Lost executors can't lose it, the plan starts anew from a scan of known size, so small tables are broadcast by
-    Spark's own limit, and no constraints pile up in loops.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
