@@ -96,8 +96,8 @@ def strict_doi(c: Column) -> Column:
 
 def labelled_points(c: Column) -> Column:
     """Array of (label, position) of 'G=0, M: 1.25', sorted by position; parts of any other form are skipped."""
-    form = r"^\s*([^=:]+?)\s*[=:]\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[Ee][-+]?\d+)?)\s*$"
-    parts = F.filter(F.split(F.coalesce(c, F.lit("")), "[,;，；]+"), lambda p: p.rlike(form))
+    form = r"^([^=:]+?)\s*[=:]\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[Ee][-+]?\d+)?)$"
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;，；]+"), lambda p: F.trim(p)), lambda p: p.rlike(form))
     points = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, form, 2).cast("double").alias("position"), F.regexp_extract(p, form, 1).alias("label")))
     return F.transform(F.array_sort(points), lambda p: F.struct(p["label"].alias("label"), p["position"].alias("position")))
 

@@ -87,6 +87,15 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", array_to_vector(F.concat("fractions", F.array(*[F.col(c).cast("double") for c in FEATURES]))))
 
 
+def _fitted(estimator, rows: DataFrame):
+    """The fitted model; every tree reads the rows again, so they are kept while it is fitted."""
+    rows = rows.persist()
+    try:
+        return estimator.fit(rows)
+    finally:
+        rows.unpersist()
+
+
 def fit_regressor(rows: DataFrame, target: str, trees: int = 180) -> GBTRegressionModel:
     """Boosted trees for one property, on log1p where ``TARGETS`` says so; gaps are learnt on non-metals alone."""
     train = rows.where(F.col(target).isNotNull() & (F.col("split") == "train"))
@@ -94,7 +103,7 @@ def fit_regressor(rows: DataFrame, target: str, trees: int = 180) -> GBTRegressi
         train = train.where(F.col("gap") > METAL)
     y = F.log1p(target) if TARGETS[target][1] else F.col(target)
     gbt = GBTRegressor(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
-    return gbt.fit(_vectors(train).select("vector", y.alias("y")))
+    return _fitted(gbt, _vectors(train).select("vector", y.alias("y")))
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame, target: str) -> Column:
@@ -118,7 +127,7 @@ def fit_classifier(rows: DataFrame, trees: int = 180) -> GBTClassificationModel:
     """Metal (gap of ``METAL`` at most) or not."""
     train = rows.where(F.col("gap").isNotNull() & (F.col("split") == "train"))
     gbt = GBTClassifier(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
-    return gbt.fit(_vectors(train).select("vector", (F.col("gap") <= METAL).cast("double").alias("y")))
+    return _fitted(gbt, _vectors(train).select("vector", (F.col("gap") <= METAL).cast("double").alias("y")))
 
 
 def train_classifier(rows: DataFrame, trees: int = 180) -> DataFrame:
