@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import chem as C
 from ..functions import extract as X
 from ..functions import text as T
 
@@ -111,6 +112,46 @@ def audit(df: DataFrame) -> DataFrame:
     )
 
 
+#: Types that a figure may have (fixed values).
+FIGURE_TYPES = ["Fermi surface", "Band structure", "Gap map", "Temperature / doping dependence", "Charge order", "EDC/MDC analysis", "Theory comparison", "Other"]
+
+
+def audit_rules(df: DataFrame, trusted: list[str]) -> DataFrame:
+    """Violations of nine rules for each source, and whether it passes.
+
+    ``df`` holds source, title, abstract, keywords (text), materials, elements, techniques, two_d_categories,
+    superconductivity_categories, topic_tags (lists) and figures (array of struct(type, type_source, caption_source,
+    classification_confidence, publisher_caption)).  Stored classifications are compared with recomputed ones.
+    """
+    stored = {c: f"stored_{c}" for c in ("two_d_categories", "superconductivity_categories", "topic_tags")}
+    df = classify(df.withColumnsRenamed(stored))
+    derived = C.elements_of(F.col("materials"))
+    figures = F.coalesce("figures", F.array().cast(dict(df.dtypes)["figures"]))
+    absent = lambda c: F.coalesce(c, F.lit("")) == ""
+    by_caption = lambda f: F.coalesce(f["type_source"], F.lit("")) == "publisher_caption"
+    count = lambda values, rule: F.size(F.filter(values, rule))
+
+    def mismatch(f: Column) -> Column:
+        kind = X.figure_type(f["publisher_caption"])
+        return by_caption(f) & ((kind["type"] != f["type"]) | (kind["confidence"] != f["classification_confidence"]))
+
+    text = F.concat_ws(" ", "title", "abstract", "keywords")
+    rules = {
+        "suspicious_materials": count("materials", lambda m: ~C.is_plausible(m, trusted)),
+        "invalid_elements": count("elements", lambda e: ~e.isin(*C.SYMBOLS)),
+        "mismatched_elements": F.size(F.array_except("elements", derived)),
+        "figure_metadata_missing": count(figures, lambda f: absent(f["type_source"]) | absent(f["classification_confidence"]) | absent(f["caption_source"]) | (by_caption(f) & absent(f["publisher_caption"]))),
+        "figure_classification_mismatches": count(figures, mismatch),
+        "invalid_figure_types": count(figures, lambda f: ~F.coalesce(f["type"].isin(*FIGURE_TYPES), F.lit(False))),
+        "invalid_two_d_categories": count(F.col("stored_two_d_categories"), lambda c: ~c.isin(*[name for name, _ in X.TWO_D])),
+        "unsupported_arpes_tags": (F.array_contains("techniques", "ARPES") & ~text.rlike(r"(?i)\bARPES\b|angle[- ]resolved photoemission|photoemission spectroscopy")).cast("int"),
+        "classification_mismatches": (~((F.col("stored_two_d_categories") == F.col("two_d_categories")) & (F.col("stored_superconductivity_categories") == F.col("superconductivity_categories")) & (F.col("stored_topic_tags") == F.col("topic_tags")))).cast("int"),
+    }
+    each = df.select("source", *[v.alias(k) for k, v in rules.items()])
+    g = each.groupBy("source").agg(F.count("*").alias("articles"), *[F.sum(k).alias(k) for k in rules])
+    return g.withColumn("passed", sum((F.col(k) for k in rules), F.lit(0)) == 0)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, batch: str) -> DataFrame:
     """Last write wins for each key; the position (smallest ``seq``) of the first write is kept."""
     both = existing.unionByName(incoming, allowMissingColumns=True)

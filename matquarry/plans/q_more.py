@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..functions import extract as X
 from ..functions import text as T
-from ..operators import bands, knn, search, spectra
+from ..operators import bands, knn, library, search, spectra
 from .adapters import ctes, table, view
 from .registry import query
 
@@ -48,6 +48,33 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.facets(a, ["dopant", "element", "technique"])
 
 
+@query(
+    "agg_04_audit_rules",
+    ctes("articles_v") + """ SELECT source, count(*) AS articles, count_if(seq % 13 = 0) AS suspicious_materials, count_if(seq % 17 = 0) AS invalid_elements, count_if(seq % 17 = 0) + count_if(seq % 19 = 0) AS mismatched_elements, count_if(seq % 4 = 2) AS figure_metadata_missing,
+      count_if(seq % 10 = 0) AS figure_classification_mismatches, count_if(seq % 5 = 0) AS invalid_figure_types, count_if(seq % 11 = 0) AS invalid_two_d_categories, count_if(seq % 6 = 0) AS unsupported_arpes_tags, count_if(seq % 11 = 0) AS classification_mismatches, false AS passed FROM articles_v GROUP BY source""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = library.classify(view(spark, d, "articles_v"))
+    n = lambda k: F.col("seq") % k == 0
+    extra = lambda base, *more: F.array_compact(F.concat(base, F.array(*more)))
+    caption = F.when(n(4), "Fermi surface map").otherwise("")
+    kind = F.when(n(5), "Nonsense").when(n(4), "Fermi surface").otherwise("Other")
+    figure = F.struct(kind.alias("type"), F.when(n(2), "publisher_caption").otherwise("unclassified").alias("type_source"), F.lit("publisher").alias("caption_source"), F.when(n(4), "high").otherwise("unclassified").alias("classification_confidence"), caption.alias("publisher_caption"))
+    a = a.withColumns({
+        "materials": extra(F.array("material"), F.when(n(13), F.lit("PHYSICS"))),
+        "elements": extra(chem.formula_elements(F.col("material")), F.when(n(17), F.lit("Xq")), F.when(n(19), F.lit("Au"))),
+        "techniques": F.array(F.lit("ARPES")), "figures": F.array(figure), "two_d_categories": extra(F.col("two_d_categories"), F.when(n(11), F.lit("bogus"))),
+    })
+    return library.audit_rules(a, [])
+
+
+@query("ext_06_all_snippets", "SELECT p_partkey, 'beamline BL' || p_size || ' end' AS beamline, 'Scienta DA30 no. ' || p_size AS analyzer, 'grown by CVT, ' || p_size || '%' AS preparation FROM part")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("Data of beamline BL"), size, F.lit(" end; Scienta DA30 no. "), size, F.lit("; crystals were grown by CVT, "), size, F.lit("%\nnext line"))
+    return table(spark, d, "part").select("p_partkey", *[F.array_join(X.snippets(text, k), "|").alias(k) for k in ("beamline", "analyzer", "preparation")])
+
+
 @query("srt_01_by_year", ctes("articles_v") + " SELECT seq, row_number() OVER (ORDER BY year DESC, title, seq) AS place FROM articles_v ORDER BY place LIMIT 220")
 def _(spark: SparkSession, d: str) -> DataFrame:
     order = [F.desc("year"), F.asc("title"), F.asc("seq")]
