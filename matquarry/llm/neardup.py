@@ -34,6 +34,9 @@ BASE = 1 / 16
 #: Buckets of up to so many texts compare all texts of different classes; larger ones are joined on shingles.  Both
 #: ways are exact, so this only chooses the cheaper one.
 SMALL = 32
+#: Tokens that a task counts before it sends them on, and tokens that are sent to all tasks (4 bytes each); more of these are
+#: joined.
+COUNTED, SOUGHT = 4_000_000, 1_000_000
 _U = 2.0**-64
 
 
@@ -220,16 +223,71 @@ def _merged(label: DataFrame, found: DataFrame) -> DataFrame:
     return shared.cut(shared.spread_join(label, to, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
 
 
+def _tokens(s: pd.Series) -> pd.Series:
+    return pd.Series([np.frombuffer(x, np.int32) for x in s], dtype=object)
+
+
 def spelt(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, size, score, minor, token: the tokens (occurrence hashes) of ``texts`` (node, score, minor)."""
+    """node, size, score, token: the tokens (occurrence hashes) of ``texts`` (node, score), one row each."""
+    shared.bounded_batches(texts.sparkSession)
+    size = (F.octet_length("set") / 4).cast("int")
+    return sets.join(texts, "node").select("node", size.alias("size"), "score", F.explode(F.pandas_udf(_tokens, "array<int>")("set")).alias("token"))
 
-    @F.pandas_udf("array<int>")
-    def numbers(s: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.int32) for x in s], dtype=object)
+
+def token_counts(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """token, often, least, node: in how many of ``texts`` a token is, the smallest of them and the least node.
+
+    Each task adds up its own texts first, so a token of very many texts is one row of each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def added() -> tuple[np.ndarray, ...]:
+            token, often, least, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(token, kind="stable")
+            kinds, first = np.unique(token[order], return_index=True)
+            return kinds, np.add.reduceat(often[order], first), np.minimum.reduceat(least[order], first), np.minimum.reduceat(node[order], first)
+
+        for b in batches:
+            some = [np.frombuffer(x.as_py(), np.int32) for x in b.column("set")]
+            sizes = np.array([len(x) for x in some], np.int64)
+            if not sizes.sum():
+                continue
+            held.append((np.concatenate(some), np.ones(sizes.sum(), np.int64), np.repeat(sizes, sizes), np.repeat(b.column("node").to_numpy(), sizes)))
+            if sum(len(x[0]) for x in held) > COUNTED:
+                held = [added()]
+                if len(held[0][0]) > COUNTED // 2:
+                    yield _counted(held.pop())
+        if held:
+            yield _counted(added())
 
     shared.bounded_batches(texts.sparkSession)
+    local = sets.join(texts.select("node"), "node").select("node", "set").mapInArrow(run, "token int, often long, least long, node long")
+    return local.groupBy("token").agg(F.sum("often").alias("often"), F.min("least").cast("int").alias("least"), F.min("node").alias("node"))
+
+
+def _counted(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "often", "least", "node"])
+
+
+def having(tokens: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``spelt(texts, sets)`` whose token is in ``tokens`` (a cut of distinct ones).
+
+    Up to ``SOUGHT`` tokens travel to all tasks, which spell out only these; more are joined.
+    """
+    spark = tokens.sparkSession
+    if tokens.count() > SOUGHT:
+        return shared.cut(spelt(texts, sets).join(tokens, "token", "left_semi"))
+    sent = spark.sparkContext.broadcast(np.sort(tokens.toPandas()["token"].to_numpy(np.int32)))
+
+    @F.pandas_udf("array<int>")
+    def among(s: pd.Series) -> pd.Series:
+        return _tokens(s).map(lambda x: x[np.isin(x, sent.value)])
+
+    shared.bounded_batches(spark)
     size = (F.octet_length("set") / 4).cast("int")
-    return shared.cut(sets.join(texts, "node").select("node", size.alias("size"), "score", "minor", F.explode(numbers("set")).alias("token")))
+    return shared.cut(sets.join(texts, "node").select("node", size.alias("size"), "score", F.explode(among("set")).alias("token")))
 
 
 def _reach(similarity: float, size: Column, at: Column, other: Column) -> Column:
@@ -237,24 +295,24 @@ def _reach(similarity: float, size: Column, at: Column, other: Column) -> Column
     return (1 + similarity) * (size - at) >= similarity * (size + other) - 1e-6
 
 
-def open_texts(tokens: DataFrame, similarity: float) -> DataFrame:
-    """The tokens of the minor texts that can have the similarity to any other: those with at most
-    size - ``similarity`` * size tokens of their own.  Counting these takes no join of tokens."""
-    own = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("node").alias("node")).where("often = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = tokens.where("minor").select("node", "size").distinct().join(own, "node", "left")
-    able = sizes.where(F.coalesce("own", F.lit(0)) <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6))
-    return shared.cut(tokens.where("minor").select("token", "node", "size").join(shared.cut(able.select("node")), "node"))
+def open_texts(minor: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The texts of ``minor`` that can have the similarity to any other: those with at most size - ``similarity`` * size
+    tokens of their own."""
+    own = counts.where("often = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.join(minor, "node").select("node", "score", (F.octet_length("set") / 4).cast("int").alias("size")).join(own, "node", "left")
+    return shared.cut(sizes.where(F.coalesce("own", F.lit(0)) <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)).select("node", "score"))
 
 
-def prefixes(tokens: DataFrame, minor: DataFrame, similarity: float) -> DataFrame:
-    """token, node, size, at: the tokens that a text of ``minor`` (from ``open_texts``) may share first with another.
+def prefixes(texts: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """token, node, size, at: the tokens that one of ``texts`` (from ``open_texts``) may share first with another.
 
     Tokens are in one order for all texts, rare ones first; those that no other text has come first of all.  A text
     that shares ``similarity * size`` tokens with another has the first of them among its first size - that + 1, and all
     that follow must nearly suffice, also with the shortest text that has the token.  So most texts that no other can match
     have no token left.
     """
-    per = tokens.groupBy("token").agg(F.count("*").alias("often"), F.min("size").alias("least")).where("often > 1")
+    minor = shared.cut(spelt(texts, sets).drop("score"))
+    per = counts.where("often > 1").select("token", "often", "least")
     common = shared.spread_join(minor, per, "token")
     order = Window.partitionBy("node").orderBy("often", "token")
     common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
@@ -364,9 +422,10 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
         shares = large.groupBy("bucket", "class").agg(F.count("*").alias("size"))
         most = shares.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("m")).select("bucket", F.col("m.class").alias("most"))
         held = shared.spread_join(large, most, "bucket").groupBy("node").agg(F.bool_or(F.col("class") != F.col("most")).alias("minor"))
-        tokens = spelt(shared.cut(held.join(busy, "node")), sets)
-        prefix = prefixes(tokens, open_texts(tokens, similarity), similarity)
-        met = shared.cut(tokens.join(shared.cut(prefix.select("token").distinct()), "token", "left_semi"))
+        held = shared.cut(held.join(busy, "node"))
+        counts = shared.cut(token_counts(held, sets))
+        prefix = prefixes(open_texts(held.where("minor").select("node", "score"), counts, sets, similarity), counts, sets, similarity)
+        met = having(shared.cut(prefix.select("token").distinct()), held.select("node", "score"), sets)
         for lead in (True, False):
             label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(met, prefix, label, similarity, lead)), sets, similarity)))
 
