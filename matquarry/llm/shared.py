@@ -40,19 +40,21 @@ def spread_join(big: DataFrame, table: DataFrame, on: str, how: str = "inner") -
     return left.join(right, [on, "__part"], how).drop("__part")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, evenly: bool = False) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents, chosen by a hash of doc_id.
 
-    The bound makes the label side small enough to broadcast, so texts aren't shuffled.  Rows with a null
-    id or label are left out; of repeated ids, one label (the largest) counts.
+    With ``evenly`` each label has the same share of the bound, so that rare labels are seen often.  The bound makes
+    the label side small enough to broadcast, so texts aren't shuffled.  Rows with a null id or label are left out; of
+    repeated ids, one label (the largest) counts.
     """
-    pick = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(F.col(column)).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
-    )
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(F.col(column)).cast("int").alias("y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    if evenly:
+        kinds = max(1, known.select("y").distinct().count())
+        nth = F.row_number().over(Window.partitionBy("y").orderBy(*order))
+        pick = known.withColumn("nth", nth).where(F.col("nth") <= max(1, bound // kinds)).drop("nth")
+    else:
+        pick = known.orderBy(*order).limit(bound)
     return docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
 
 

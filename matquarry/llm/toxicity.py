@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import shared, textkit
 
 BITS = 20
-#: Labelled texts that are fitted on, at most; gradient steps; L1 penalty.
+#: Labelled texts that are fitted on, at most (evenly from all grades); gradient steps; L1 penalty.
 LABELLED, STEPS, PENALTY = 10_000, 400, 1e-3
 
 
@@ -76,10 +76,10 @@ def train(row: np.ndarray, cell: np.ndarray, label: np.ndarray, penalty: float =
     y = np.searchsorted(names, label)
     target = (y[:, None] > np.arange(levels - 1)).astype(float)
     weight = 1 / (levels * np.bincount(y, minlength=levels))[y]
-    kinds, column = np.unique(cell, return_inverse=True)
     # A word whose texts weigh no more than the penalty can never get a weight: leaving it out changes nothing.
-    reach = (levels - 1) * np.bincount(column, weight[row], len(kinds)) > penalty
-    row, column, kinds = row[reach[column]], (np.cumsum(reach) - 1)[column[reach[column]]], kinds[reach]
+    reach = (levels - 1) * np.bincount(cell, weight[row], 1 << BITS) > penalty
+    kinds, keep = np.flatnonzero(reach), reach[cell]
+    row, column = row[keep].astype(np.int64), (np.cumsum(reach) - 1)[cell[keep]]
     size = len(kinds)
     if not size:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(levels - 1) + 10.0, names)
@@ -125,16 +125,18 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", bound: int =
         return pd.Series([x.tobytes() for x in np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, len(s))))], dtype=object)
 
     shared.bounded_batches(docs.sparkSession)
-    some = shared.labelled(docs, labels, column, bound).select("y", cells(F.col("text").cast("string")).alias("cells"))
+    some = shared.labelled(docs, labels, column, bound, evenly=True).select("y", cells(F.col("text").cast("string")).alias("cells"))
     got = some.groupBy("cells").agg(F.max("y").alias("y")).orderBy("cells").toPandas()
     cell = [np.frombuffer(x, np.int32) for x in got["cells"]]
-    row = np.repeat(np.arange(len(cell)), np.array([len(x) for x in cell], np.int64))
+    row = np.repeat(np.arange(len(cell), dtype=np.int32), np.array([len(x) for x in cell], np.int64))
     return train(row, np.concatenate([*cell, np.zeros(0, np.int32)]), got["y"].to_numpy(np.int64))
 
 
 def grade(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity (0 to the number of thresholds), grade, toxic of every row; nothing is shuffled.
 
+    A text is toxic if its severity reaches the model's bound; its grade is then the most probable one above the
+    lowest, else the lowest.
     Null and empty texts have no words and so the lowest severity; repeated rows repeat their result; an empty
     table gives no rows.
     """
@@ -144,7 +146,8 @@ def grade(docs: DataFrame, model: Model) -> DataFrame:
     def rate(s: pd.Series) -> pd.DataFrame:
         above = sent.value.above(pa.array(s, pa.string()))
         edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], 1)
-        best = (edge[:, :-1] - edge[:, 1:]).argmax(1)
+        likely = edge[:, :-1] - edge[:, 1:]
+        best = np.where(above.sum(1) >= sent.value.reject, 1 + likely[:, 1:].argmax(1), 0)
         return pd.DataFrame({"severity": above.sum(1), "grade": np.array(sent.value.grades)[best].astype(np.int32)})
 
     shared.bounded_batches(docs.sparkSession)
