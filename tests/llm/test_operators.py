@@ -292,6 +292,26 @@ def test_recall_against_all_pairs(spark):
     assert sum(got[i] == label[i] for i in range(len(texts))) >= 0.99 * len(texts)
 
 
+def test_tokens_are_counted_and_found(spark, monkeypatch):
+    r = random.Random(9)
+    some = {i: sorted(r.sample(range(-40, 40), r.randrange(0, 30))) for i in range(60)}
+    sets = spark.createDataFrame([(i, bytearray(np.array(x, np.int32).tobytes())) for i, x in some.items()], "node long, set binary")
+    texts = spark.createDataFrame([(i, i) for i in range(50)], "node long, score long")
+    expected = {}
+    for i in range(50):
+        for t in some[i]:
+            expected.setdefault(t, []).append((len(some[i]), i))
+    for counted in (20, 10**6):
+        monkeypatch.setattr(neardup, "COUNTED", counted)
+        got = {x.token: (x.often, x.least, x.node) for x in neardup.token_counts(texts, sets).collect()}
+        assert got == {t: (len(x), min(n for n, _ in x), min(i for _, i in x)) for t, x in expected.items()}
+    sought = spark.createDataFrame([(t,) for t in (-3, 5, 17, 999)], "token int")
+    for bound in (0, 10**6):
+        monkeypatch.setattr(neardup, "SOUGHT", bound)
+        got = sorted((x.token, x.node, x.size) for x in neardup.having(sought, texts, sets).collect())
+        assert got == sorted((t, i, len(some[i])) for t in (-3, 5, 17) for i in range(50) if t in some[i])
+
+
 def test_signatures_estimate_weighted_similarity():
     a = [words(3, 5)] * 150 + [words(200, 6)]
     b = [words(3, 5)] * 110 + [words(200, 6)]
