@@ -311,8 +311,10 @@ def prefixes(texts: DataFrame, counts: DataFrame, sets: DataFrame, similarity: f
     that follow must nearly suffice, also with the shortest text that has the token.  So most texts that no other can match
     have no token left.
     """
+    per = shared.cut(counts.where("often > 1").select("token", "often", "least"))
+    if per.count() <= SOUGHT:
+        return shared.cut(_prefixes_sent(texts, per, sets, similarity))
     minor = shared.cut(spelt(texts, sets).drop("score"))
-    per = counts.where("often > 1").select("token", "often", "least")
     common = shared.spread_join(minor, per, "token")
     order = Window.partitionBy("node").orderBy("often", "token")
     common = common.withColumns({"at": F.row_number().over(order) - 1, "common": F.count("*").over(Window.partitionBy("node"))})
@@ -321,6 +323,33 @@ def prefixes(texts: DataFrame, counts: DataFrame, sets: DataFrame, similarity: f
     return shared.cut(common.where(able).select("token", "node", "size", "at"))
 
 
+def _prefixes_sent(texts: DataFrame, per: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``prefixes`` with the counts of shared tokens (``SOUGHT`` at most) sent to all tasks: texts spell out their prefix alone."""
+    spark = texts.sparkSession
+    known = per.toPandas().sort_values("token")
+    sent = spark.sparkContext.broadcast(tuple(known[c].to_numpy(np.int64) for c in ("token", "often", "least")))
+
+    @F.pandas_udf("array<struct<token:int,at:int>>")
+    def first(s: pd.Series) -> pd.Series:
+        token, often, least = sent.value
+        out = []
+        for x in s:
+            own = np.frombuffer(x, np.int32).astype(np.int64)
+            place = np.minimum(np.searchsorted(token, own), max(0, len(token) - 1))
+            shared_ = token[place] == own if len(token) else np.zeros(len(own), bool)
+            place, n = place[shared_], len(own)
+            place = place[np.lexsort((token[place], often[place]))]
+            at = np.arange(len(place)) + n - len(place)
+            other = np.maximum(least[place], similarity * n)
+            able = (at <= n - math.ceil(similarity * n - 1e-6)) & ((1 + similarity) * (n - at) >= similarity * (n + other) - 1e-6)
+            out.append([{"token": int(t), "at": int(a)} for t, a in zip(token[place[able]], at[able], strict=True)])
+        return pd.Series(out, dtype=object)
+
+    shared.bounded_batches(spark)
+    size = (F.octet_length("set") / 4).cast("int")
+    return sets.join(texts, "node").select("node", size.alias("size"), F.explode(first("set")).alias("p")).select("p.token", "node", "size", "p.at")
+
+
 def close_pairs(tokens: DataFrame, prefix: DataFrame, label: DataFrame, similarity: float, lead: bool) -> DataFrame:
     """(a, b) of a text of ``prefix`` and a text of another class that can have the similarity.
 

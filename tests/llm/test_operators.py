@@ -306,8 +306,11 @@ def test_tokens_are_counted_and_found(spark, monkeypatch):
         got = {x.token: (x.often, x.least, x.node) for x in neardup.token_counts(texts, sets).collect()}
         assert got == {t: (len(x), min(n for n, _ in x), min(i for _, i in x)) for t, x in expected.items()}
     sought = spark.createDataFrame([(t,) for t in (-3, 5, 17, 999)], "token int")
+    counts, prefixes = neardup.token_counts(texts, sets), []
     for bound in (0, 10**6):
         monkeypatch.setattr(neardup, "SOUGHT", bound)
+        prefixes.append(sorted((x.node, x.token, x.size, x["at"]) for x in neardup.prefixes(texts, counts, sets, 0.5).collect()))
+        assert prefixes[0] == prefixes[-1] and len(prefixes[0]) > 50
         got = sorted((x.token, x.node, x.size) for x in neardup.having(sought, texts, sets).collect())
         assert got == sorted((t, i, len(some[i])) for t in (-3, 5, 17) for i in range(50) if t in some[i])
 
