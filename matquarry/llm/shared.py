@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +45,37 @@ def spread_join(big: DataFrame, table: DataFrame, on: str, how: str = "inner") -
     return left.join(right, [on, "__part"], how).drop("__part")
 
 
+def by_shard(dealt: DataFrame, shards: int, build: Callable[[pa.Table], Any], answer: Callable[[Any, pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What shards of rows answer to the questions put to them.
+
+    ``dealt`` has ``shard`` and ``asks`` (false for rows, true for questions).  A task holds what ``build`` makes of
+    one shard's rows and gives it the shard's questions batch by batch; a shard without rows isn't asked.
+    """
+    spark = dealt.sparkSession
+    bounded_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, built = None, [], None
+        for b in batches:
+            where, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(where) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(where)], strict=True):
+                if lo == hi:
+                    continue
+                if where[lo] != at:
+                    at, held, built = where[lo], [], None
+                if not asks[lo]:
+                    held.append(b.slice(lo, hi - lo))
+                    continue
+                if held:
+                    built, held = build(pa.Table.from_batches(held)), []
+                if built is not None:
+                    yield from answer(built, pa.Table.from_batches([b.slice(lo, hi - lo)]))
+
+    rows = dealt.repartition(max(tasks(spark), shards), "shard").sortWithinPartitions("shard", "asks")
+    return rows.mapInArrow(run, schema)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, bound: int, evenly: bool = False) -> DataFrame:
     """(doc_id, text, y) of at most ``bound`` labelled documents, chosen by a hash of doc_id.
 
