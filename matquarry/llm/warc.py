@@ -24,6 +24,7 @@ MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member; the line separator between the records of a file (a fixed value).
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 RANGE, BLOCK, LEVEL = 16 << 20, 1 << 18, 4
+RANGES_A_TASK = 16
 #: Records with smaller payloads are never revisits.
 MIN_REVISIT = 0
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,12 +104,14 @@ def read(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """All records of the archives under ``path``, with their payload (null for revisits) and place.
 
     ``payload_bytes`` and ``payload_digest`` are those of the full payload; a response whose payload doesn't
-    match its digest raises, as do bytes between records that are no member and a member cut short.  Ranges of
-    ``size`` bytes are dealt to tasks; memory holds one record at a time.
+    match its digest raises, as do bytes between records that are no member and a member that is damaged or cut short:
+    a range decodes the member that follows its last one too, so the first of a range is never lost unseen.  Ranges
+    of ``size`` bytes are dealt to tasks, ``RANGES_A_TASK`` to each at most; memory holds one record at a time.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") > 0).select("path", "length")
     ranges = shared.cut(files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("begin")))
-    n = max(1, min(shared.tasks(spark) * 4, ranges.count()))
+    count = ranges.count()
+    n = max(1, min(shared.tasks(spark) * 4, count), count // RANGES_A_TASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,8 +169,8 @@ def _scan(file: str, length: int, begin: int, end: int) -> Iterator[tuple]:
             if text:
                 yield _parsed(text, file, at)
             at, aligned = at + used, True
-        # The next range can't tell damage at its start from the end of this record.
-        if aligned and at < length and f.read_at(len(MAGIC), at) != MAGIC:
+        # The next range can't tell a damaged first record from the end of this one, so it is decoded here too.
+        if aligned and at < length and _member(f, at, length) is None:
             raise ValueError(f"{file}, byte {at}: a damaged or truncated record")
 
 

@@ -363,6 +363,25 @@ def test_warc_large_ids_and_damage(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "whole"), 100).count() == 9
 
 
+@pytest.mark.parametrize("between", [b"", warc.EMPTY_MEMBER])
+@pytest.mark.parametrize("size", [64, 500, 3000, 1 << 20])
+def test_warc_no_damage_goes_unseen(tmp_path, between, size):
+    """Every member damaged in turn, read by ranges: one of the ranges raises."""
+    members = [warc.record(i, "http://a.example/", random.Random(i).randbytes(150 + 7 * i), None) for i in range(60)]
+    file = str(tmp_path / "a.warc.gz")
+
+    def ids(raw):
+        (tmp_path / "a.warc.gz").write_bytes(raw)
+        return [row[0] for begin in range(0, len(raw), size) for row in warc._scan(file, len(raw), begin, min(len(raw), begin + size))]
+
+    assert ids(between.join(members)) == list(range(60))
+    for i, m in enumerate(members):
+        for at in (0, len(m) // 2, len(m) - 6):
+            damaged = m[:at] + bytes([m[at] ^ 0x55]) + m[at + 1 :]
+            with pytest.raises(ValueError, match="damaged|digest"):
+                ids(between.join([*members[:i], damaged, *members[i + 1 :]]))
+
+
 def test_url_rules_and_verdicts(spark):
     urls = [f"https://a{i}.example.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/{i}" for i in range(300)]
     odd = ["http://ORG/x", "http://example.org/en/12", "http://org.net/", "no scheme", None, "http://x.com", "http://good.net/fr/1?q"]
