@@ -63,25 +63,54 @@ STOPWORDS = [
 ]
 
 
-def is_plausible(c: Column, trusted: list[str]) -> Column:
+#: Names of materials that need no parsing, and terms that stand for classes of them (fixed values).
+KNOWN_MATERIALS = [
+    "Bi2Se3", "Bi2Te3", "Sb2Te3", "MnBi2Te4", "WTe2", "MoS2", "MoSe2", "MoTe2", "WS2", "WSe2", "FeSe", "FeTe", "LiFeAs", "NaFeAs", "BaFe2As2", "BaK122", "Ba0.6K0.4Fe2As2",
+    "YBCO", "YBa2Cu3O7", "Bi2212", "Bi2Sr2CaCu2O8", "Bi2201", "LSCO", "LBCO", "CuO2", "Nd2CuO4", "Nd1-xSrxNiO2", "La3Ni2O7", "LaNiO3", "SnSe2", "SnSe", "SnS2", "SnS", "MgB2", "Nb3Sn", "NbN",
+    "NbSe2", "2H-NbSe2", "CeCoIn5", "CeIrIn5", "CeCu2Si2", "Hg", "Pb", "Nb", "H3S", "LaH10", "SrTiO3", "KTaO3", "NiPS3", "TaS2", "TaSe2", "TiSe2", "VSe2", "Bi", "Bi111", "1T-TaS2", "2H-TaSe2",
+    "graphene", "h-BN", "BN", "black phosphorus", "phosphorene", "MXene", "Ti3C2Tx", "silicene", "germanene", "stanene", "borophene", "antimonene", "bismuthene", "plumbene",
+]
+GENERIC_MATERIALS = ["cuprate", "cuprates", "nickelate", "nickelates", "iron-based superconductors", "unconventional superconductors", "conventional superconductors", "beamline instrumentation"]
+
+
+def is_plausible(c: Column, trusted: list[str] | Column) -> Column:
+    """Whether a name is a known or trusted material, a class of materials, or a formula.
+
+    A word in capitals is none unless its elements are listed; a formula has two elements, a digit, or is a symbol.
+    """
     s = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    low = F.lower(normalize_formula(s))
+    names = F.transform(F.array(*map(F.lit, trusted)).cast("array<string>") if isinstance(trusted, list) else trusted, lambda t: F.lower(normalize_formula(t)))
+    named = low.isin(*[k.lower() for k in KNOWN_MATERIALS], *GENERIC_MATERIALS) | F.coalesce(F.array_contains(names, low), F.lit(False))
     found = formula_elements(s)
     formula = (F.size(found) >= 2) | ((F.size(found) == 1) & (s.rlike(r"\d") | s.isin(*SYMBOLS)))
+    word = s.rlike(r"^[A-Z][A-Z.]+$") & ~s.isin(*ACRONYMS)
     bad = (s == "") | (F.length(s) > 64) | F.upper(s).isin(*STOPWORDS)
-    return ~bad & (F.lower(s).isin(*[t.lower() for t in trusted]) | (formula & ~s.rlike(r"^[A-Z]{2,}$")))
+    return ~bad & (named | (formula & ~word))
+
+
+#: Where an ASCII word begins or ends, and what a candidate is made of (a fixed value); 64 characters are the most.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+CANDIDATE = r"(?:[0-9]+[HTR]-)?(?:[A-Z][a-z]?(?:[0-9.]+|[xy]|delta|Delta|δ|\+|-|\(|\))*?){2,64}"
 
 
 def formula_candidates(text: Column) -> Column:
-    """Words of a text that are formulas of two elements or more."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b((?:[A-Z][a-z]?[0-9.]*){2,})\b"), F.lit(1))
+    """Formulas of two elements or more in a text, each once, with phase prefix, variables and brackets."""
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_EDGE}{CANDIDATE}{_EDGE})"), F.lit(1))
     clean = F.transform(words, lambda w: F.regexp_replace(w, r"[.,;:]+$", ""))
-    return F.array_distinct(F.filter(clean, lambda w: (F.size(formula_elements(w)) >= 2) & ~w.rlike(r"^[A-Z]{2,}$")))
+    return F.array_distinct(F.filter(clean, lambda w: is_plausible(w, []) & (F.size(formula_elements(w)) >= 2)))
 
 
 def clean_materials(materials: Column, trusted: list[str], most: int = 18) -> Column:
-    from .text import unique_ci
+    """Plausible names without trailing punctuation, the first spelling of each."""
+    clean = F.transform(materials, lambda m: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(m, F.lit("")), r"\s+", " ")), r"[;,.:]+$", ""))
+    key = lambda m: F.lower(normalize_formula(m))
+
+    def first(kept: Column) -> Column:
+        keys = F.transform(kept, key)
+        return F.filter(kept, lambda m, i: F.array_position(keys, key(m)) == i + 1)
 
-    return F.slice(unique_ci(F.filter(materials, lambda m: is_plausible(m, trusted))), 1, most)
+    return F.slice(let(F.filter(clean, lambda m: is_plausible(m, trusted)), first), 1, most)
 
 
 _TOKEN = r"([A-Z][a-z]?|\d+(?:\.\d+)?|[()\[\]{}])"

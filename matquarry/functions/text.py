@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def falsy(c: Column) -> Column:
     """'' and null count as missing."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -25,26 +25,42 @@ def bounded_text(c: Column, n: int) -> tuple[Column, Column]:
     return F.when(cut, F.concat(F.left(c, F.lit(n - 3)), F.lit("..."))).otherwise(c), cut
 
 
-#: Named entities (fixed values).
+#: Named entities of metadata and of pages (fixed values).
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "minus": "-", "ndash": "-", "mdash": "-", "middot": "·"}
+PAGE_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "minus": "-", "ndash": "-", "mdash": "-", "thinsp": " ", "times": "x"}
+
+
+def decode_entities(c: Column, names: dict[str, str]) -> Column:
+    """Decimal, then hexadecimal, then named entities as characters; numbers that are no character stay as they are."""
+
+    def numbered(text: Column, pattern: str, opening: str, number: Callable[[Column], Column]) -> Column:
+        def put(text: Column, code: Column) -> Column:
+            point = number(code)
+            real = point.between(0, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+            char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+            return F.when(F.coalesce(real, F.lit(False)), F.replace(text, F.concat(F.lit(opening), code, F.lit(";")), char)).otherwise(text)
+
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), text, put)
+
+    s = numbered(c, r"&#(\d+);", "&#", lambda code: code.try_cast("long"))
+    hexadecimal = lambda code: F.when(F.length(code) <= 15, F.conv(F.ltrim(F.lower(code), F.lit("x")), 16, 10).try_cast("long"))
+    s = numbered(s, r"&#([xX][0-9a-fA-F]+);", "&#", hexadecimal)
+    # The ampersand comes last, so what it makes isn't read as the start of another entity.
+    order = sorted(names.items(), key=lambda kv: kv[0] == "amp")
+    return reduce(lambda acc, kv: F.regexp_replace(acc, f"(?i)&{kv[0]};", kv[1]), order, s)
 
 
 def clean_metadata(c: Column, n: int = 1200) -> Column:
-    """Tags dropped, entities decoded (named, decimal), white space collapsed, bounded."""
+    """Tags dropped, entities decoded, white space collapsed, bounded."""
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)<middle dot>", "·")
     s = F.regexp_replace(s, r"<[^>]+>", "")
-    codes = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#(\d+);"), F.lit(1)))
-    s = F.aggregate(codes, s, lambda acc, code: F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), F.char(code.cast("long"))))
-    s = reduce(lambda acc, kv: F.regexp_replace(acc, f"(?i)&{kv[0]};", kv[1]), ENTITIES.items(), s)
-    return bounded_text(compact_text(s), n)[0]
+    return bounded_text(compact_text(decode_entities(s, ENTITIES)), n)[0]
 
 
 def strip_html(c: Column) -> Column:
     """Script and style blocks, then tags, dropped; entities decoded; white space collapsed."""
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
-    s = reduce(lambda acc, kv: F.regexp_replace(acc, f"(?i)&{kv[0]};", kv[1]), ENTITIES.items(), s)
-    return compact_text(s)
+    return compact_text(decode_entities(F.regexp_replace(s, r"<[^>]+>", " "), PAGE_ENTITIES))
 
 
 def excerpt(c: Column, words: int = 20) -> Column:
@@ -156,29 +172,27 @@ def bounded01(c: Column) -> Column:
     return F.when((v >= 0) & (v <= 1), v)
 
 
-#: Evidence stages by pattern, first match wins (fixed values).
-STAGES = [
-    (r"^(not|non|no|un|in)[ _-]?(validated|reproduced|experimental|verified)", "unknown"),
-    (r"reproduc|replicat", "reproduction"),
-    (r"experiment|measured|arpes", "experiment"),
-    (r"literature|paper|review", "literature"),
-    (r"database|curated", "database"),
-    (r"dft|first[- ]principles|ab initio", "dft"),
-    (r"validated[ _-]?(ml|model)", "validated_ml"),
-    (r"llm|language model", "llm"),
-    (r"\bml\b|machine[- ]learn|model", "ml"),
-    (r"rule|heuristic", "rule"),
-    (r"task|plan", "task_planning"),
-]
+#: Names of evidence stages (fixed values).
+STAGES = {
+    "ml": "unvalidated_ml unvalidatedml uncalibrated_ml uncalibratedml machine_learning ml mattersim chgnet openlam interatomic_potential ml_potential",
+    "llm": "llm gpt deepseek language_model reported_by_llm",
+    "reproduction": "independent_reproduction independent_replication reproduced replicated",
+    "experiment": "experiment experimental measured observed",
+    "literature": "literature paper peer_reviewed literature_report",
+    "database": "database reference database_record",
+    "dft": "dft ab_initio first_principles quantum_espresso abacus",
+    "validated_ml": "validated_ml calibrated_ml",
+    "rule": "rule rules heuristic",
+    "task_planning": "task task_planning planning suggestion preview task_preview",
+}
 STAGE_WEIGHT = {"reproduction": 1.0, "experiment": 0.96, "literature": 0.86, "database": 0.82, "dft": 0.78, "validated_ml": 0.68, "ml": 0.55, "llm": 0.28, "rule": 0.24, "task_planning": 0.16, "unknown": 0.12}
 
 
 def stage_of(c: Column) -> Column:
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    out = F.lit("unknown")
-    for pattern, stage in reversed(STAGES):
-        out = F.when(s.rlike(pattern), stage).otherwise(out)
-    return out
+    """The stage that a name stands for, whatever its case, blanks and hyphens; others (negated ones too) are unknown."""
+    s = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s-]+", "_")
+    names = F.create_map(*[F.lit(x) for stage, known in STAGES.items() for name in known.split() for x in (name, stage)])
+    return F.coalesce(F.element_at(names, s), F.lit("unknown"))
 
 
 def stage_weight(stage: Column) -> Column:

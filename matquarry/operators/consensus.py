@@ -9,7 +9,7 @@ from ..functions import chem
 from ..functions.text import stage_weight
 
 #: Tolerance, lowest and highest value of each property (fixed values).
-PROPERTIES = {"tc": (1.0, 0.0, 400.0), "gap": (0.25, 0.0, 20.0), "formation": (0.08, -20.0, 20.0), "hull": (0.04, 0.0, 20.0), "moment": (0.25, -100.0, 100.0)}
+PROPERTIES = {"tc": (1.0, 0.0, 1000.0), "gap": (0.25, 0.0, 100.0), "formation": (0.08, -100.0, 100.0), "hull": (0.04, 0.0, 100.0), "moment": (0.25, -1000.0, 1000.0)}
 NUMERIC_STAGES = ["reproduction", "experiment", "literature", "database", "dft", "validated_ml", "ml"]
 FAMILY_CAP = 1.5
 

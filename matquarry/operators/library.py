@@ -68,11 +68,12 @@ def supported_publisher(doi: Column, journal: Column, rules: dict[str, str]) ->
 
 
 def enrich_by_doi(articles: DataFrame, registry: DataFrame) -> DataFrame:
-    """Venue and licence from the registry on the canonical DOI; the registry is added to the sources."""
+    """Venue and licence, where the article has none, from the registry on the canonical DOI; it joins the sources."""
     r = registry.select(F.col("doi").alias("r_doi"), F.col("venue").alias("r_venue"), F.col("licence").alias("r_licence"))
     both = articles.join(r, T.canonical_doi(articles.doi) == F.col("r_doi"), "left")
     sources = F.array_compact(F.array("source", F.when(F.col("r_doi").isNotNull(), "registry")))
-    return both.withColumns({"venue": F.coalesce("r_venue", "source"), "licence": F.coalesce("r_licence", F.lit("")), "sources": sources}).drop("r_doi", "r_venue", "r_licence")
+    own = lambda c: T.falsy(F.col(c)) if c in articles.columns else F.lit(None)
+    return both.withColumns({"venue": F.coalesce(own("venue"), "r_venue"), "licence": F.coalesce(own("licence"), "r_licence", F.lit("")), "sources": sources}).drop("r_doi", "r_venue", "r_licence")
 
 
 def merge_duplicates(df: DataFrame) -> DataFrame:

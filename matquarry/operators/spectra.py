@@ -20,16 +20,22 @@ def axis_kind(path: Column) -> Column:
     return out
 
 
-def dataset_score(path: Column, cells: Column) -> Column:
+#: Words that tell a table of axis values (fixed values).
+AXIS_WORDS = ["axis", "energy", "alpha", "theta", "phi"]
+
+
+def dataset_score(path: Column, cells: Column, shape: Column) -> Column:
+    """Size and words of a dataset; one of two dimensions with a side of 4 at most and an axis word loses points."""
     points = sum((F.when(F.contains(F.lower(path), F.lit(w)), p).otherwise(0) for w, p in DATASET_POINTS.items()), F.lit(0))
-    return F.log10(cells) + points - F.when(axis_kind(path) != "axis", 50).otherwise(0)
+    narrow = (F.size(shape) == 2) & (F.array_min(shape) <= 4) & F.lower(path).rlike("|".join(AXIS_WORDS))
+    return F.log10(cells) + points - F.when(narrow, 50).otherwise(0)
 
 
 def rank_datasets(catalog: DataFrame) -> DataFrame:
     """The best dataset of each file: numeric, two dimensions or more, 64 cells or more."""
     cells = F.aggregate("shape", F.lit(1).cast("long"), lambda a, n: a * n)
     fit = catalog.withColumn("cells", cells).where(F.col("dtype").rlike("^(int|uint|float)") & (F.size("shape") >= 2) & (F.col("cells") >= 64))
-    return fit.withColumn("score", dataset_score(F.col("path"), F.col("cells"))).groupBy("file").agg(F.max_by(F.struct("path", "shape", "score"), F.struct("score", "path")).alias("r")).select("file", "r.*")
+    return fit.withColumn("score", dataset_score(F.col("path"), F.col("cells"), F.col("shape"))).groupBy("file").agg(F.max_by(F.struct("path", "shape", "score"), F.struct("score", "path")).alias("r")).select("file", "r.*")
 
 
 def mid_slice(cells: DataFrame, index: str, size: int) -> DataFrame:

@@ -196,24 +196,38 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.alias("text"), cut.alias("cut"))
 
 
-_ENT = "html"
-for _name, _char in T.ENTITIES.items():
-    _ENT = f"regexp_replace({_ENT}, '(?i)&{_name};', '{_char.replace(chr(39), chr(39) * 2)}', 'g')"
+#: Pages with entities of letters (Greek, by decimal and hexadecimal numbers) and signs added.
+_WITH_ENTITIES = "coalesce(html, '') || ' &#' || CAST(913 + page_id % 57 AS VARCHAR(9)) || '; &#x' || lower(to_hex(945 + page_id % 25)) || '; &amp;lt; &times;&thinsp;x &#1114112;'"
 
 
-@query("txt_03_clean_metadata", r"SELECT page_id, CASE WHEN length(t) > 1200 THEN left(t, 1197) || '...' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace(" + _ENT.replace("html", "regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g')", 1) + r", '\s+', ' ', 'g')) AS t FROM pages)")
+def _decoded(text: str, names: dict[str, str]) -> str:
+    """The entities that ``_WITH_ENTITIES`` adds and all named ones, decoded, as SQL."""
+    out = f"replace({text}, '&#' || CAST(913 + page_id % 57 AS VARCHAR) || ';', chr(CAST(913 + page_id % 57 AS INTEGER)))"
+    out = f"replace({out}, '&#x' || lower(to_hex(945 + page_id % 25)) || ';', chr(CAST(945 + page_id % 25 AS INTEGER)))"
+    for name, char in sorted(names.items(), key=lambda kv: kv[0] == "amp"):
+        out = f"regexp_replace({out}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
+    return out
+
+
+def _entity_pages(spark: SparkSession, d: str) -> DataFrame:
+    code = lambda c: F.concat(F.lit(" &#"), c, F.lit(";"))
+    signs = [code(913 + F.col("page_id") % 57), code(F.concat(F.lit("x"), F.lower(F.hex(945 + F.col("page_id") % 25)))), F.lit(" &amp;lt; &times;&thinsp;x &#1114112;")]
+    return table(spark, d, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), *signs).alias("html"))
+
+
+@query("txt_03_clean_metadata", r"SELECT page_id, CASE WHEN length(t) > 1200 THEN left(t, 1197) || '...' ELSE t END AS text FROM (SELECT page_id, trim(regexp_replace(" + _decoded(f"regexp_replace({_WITH_ENTITIES}, '<[^>]+>', '', 'g')", T.ENTITIES) + r", '\s+', ' ', 'g')) AS t FROM pages)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.clean_metadata(F.col("html")).alias("text"))
+    return _entity_pages(spark, d).select("page_id", T.clean_metadata(F.col("html")).alias("text"))
 
 
 @query(
     "txt_04_strip_html",
     r"SELECT page_id, t AS text, array_to_string(list_slice(string_split(t, ' '), 1, 20), ' ') AS excerpt FROM (SELECT page_id, trim(regexp_replace("
-    + _ENT.replace("html", "regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')", 1)
+    + _decoded(f"regexp_replace(regexp_replace({_WITH_ENTITIES}, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g')", T.PAGE_ENTITIES)
     + r", '\s+', ' ', 'g')) AS t FROM pages)",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text")).withColumn("excerpt", T.excerpt(F.col("text")))
+    return _entity_pages(spark, d).select("page_id", T.strip_html(F.col("html")).alias("text")).withColumn("excerpt", T.excerpt(F.col("text")))
 
 
 @query("txt_05_normalize_title", r"SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')) AS title FROM documents")
@@ -400,11 +414,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "jon_02_enrich_by_doi",
-    ctes("articles_v", "registry_v") + f""" SELECT a.seq, coalesce(r.venue, a.source) AS venue, coalesce(r.licence, '') AS licence, a.source || CASE WHEN r.doi IS NOT NULL THEN '|registry' ELSE '' END AS sources
+    ctes("articles_v", "registry_v") + f""" SELECT a.seq, coalesce(CASE WHEN a.seq % 4 <> 0 THEN a.source END, r.venue) AS venue, coalesce(r.licence, '') AS licence, a.source || CASE WHEN r.doi IS NOT NULL THEN '|registry' ELSE '' END AS sources
       FROM articles_v a LEFT JOIN registry_v r ON {_DOI.replace('{c}', 'a.doi')} = r.doi""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.enrich_by_doi(view(spark, d, "articles_v"), view(spark, d, "registry_v")).select("seq", "venue", "licence", _list(F.col("sources")).alias("sources"))
+    articles = view(spark, d, "articles_v").withColumn("venue", F.when(F.col("seq") % 4 == 0, "").otherwise(F.col("source")))
+    return library.enrich_by_doi(articles, view(spark, d, "registry_v")).select("seq", "venue", "licence", _list(F.col("sources")).alias("sources"))
 
 
 @query("jon_01_describe", ctes("articles_v") + " SELECT seq, material, CASE WHEN material LIKE 'Sn%' THEN 'tin chalcogenide' WHEN material LIKE 'Fe%' THEN 'iron chalcogenide' END AS family FROM articles_v")

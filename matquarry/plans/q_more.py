@@ -108,14 +108,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "spc_02_rank_datasets",
-    """WITH c AS (SELECT user_id AS file, event_id, event_id % 6 AS p, 4 + event_id % 40 AS n, CASE WHEN event_id % 7 = 0 THEN 'string' ELSE 'float64' END AS dtype FROM events),
-      s AS (SELECT *, log10(n * 16) + list_extract([195, 0, 0, 55, 0, 20], CAST(p + 1 AS INTEGER)) - CASE WHEN p IN (1, 2, 3, 4) THEN 50 ELSE 0 END AS score FROM c WHERE dtype = 'float64' AND n * 16 >= 64)
+    """WITH c AS (SELECT user_id AS file, event_id, event_id % 6 AS p, 4 + event_id % 40 AS n, CASE WHEN event_id % 5 = 0 THEN 4 ELSE 16 END AS m, CASE WHEN event_id % 7 = 0 THEN 'string' ELSE 'float64' END AS dtype FROM events),
+      s AS (SELECT *, log10(n * m) + list_extract([195, 0, 0, 55, 0, 20], CAST(p + 1 AS INTEGER)) - CASE WHEN p IN (1, 2) AND least(n, m) <= 4 THEN 50 ELSE 0 END AS score FROM c WHERE dtype = 'float64' AND n * m >= 64)
       SELECT file, arg_max(n, (round(score, 9), p, n)) AS n, round(max(score), 6) AS score FROM s GROUP BY file""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("event_id") % 6
     path = F.concat(F.get(F.array(*map(F.lit, _PATHS)), p.cast("int")), F.lit("/"), p, F.lpad((4 + F.col("event_id") % 40).cast("string"), 3, "0"))
-    catalog = table(spark, d, "events").select(F.col("user_id").alias("file"), path.alias("path"), F.array((4 + F.col("event_id") % 40), F.lit(16).cast("long")).alias("shape"), F.when(F.col("event_id") % 7 == 0, "string").otherwise("float64").alias("dtype"))
+    catalog = table(spark, d, "events").select(F.col("user_id").alias("file"), path.alias("path"), F.array((4 + F.col("event_id") % 40), F.when(F.col("event_id") % 5 == 0, 4).otherwise(16).cast("long")).alias("shape"), F.when(F.col("event_id") % 7 == 0, "string").otherwise("float64").alias("dtype"))
     return spectra.rank_datasets(catalog).select("file", F.get("shape", F.lit(0)).alias("n"), F.round("score", 6).alias("score"))
 
 

@@ -37,14 +37,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "articles_v").select("seq", F.array_join(chem.elements_of(F.array("material", F.lit("the"))), "|").alias("elements"))
 
 
-@query("chm_04_plausible", ctes("articles_v") + " SELECT seq, dopant <> '' AND dopant <> 'CoCp2' AS plausible FROM articles_v")
+@query("chm_04_plausible", ctes("articles_v") + " SELECT seq, dopant = 'cobaltocene' AS plausible, true AS capital, false AS acronym FROM articles_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "articles_v").select("seq", chem.is_plausible(F.col("dopant"), ["cobaltocene"]).alias("plausible"))
+    return view(spark, d, "articles_v").select("seq", *(chem.is_plausible(c, ["cobaltocene", "snse", "SNSES", "sns", "fese", "fete"]).alias(n) for n, c in (("plausible", F.col("dopant")), ("capital", F.upper("material")), ("acronym", F.concat(F.upper("source"), F.lit("X"))))))
 
 
-@query("chm_05_candidates", ctes("articles_v") + " SELECT seq, material AS formulas FROM articles_v")
+@query("chm_05_candidates", ctes("articles_v") + " SELECT seq, '2H-' || material || '|Nd1-xSrxNiO2' AS formulas FROM articles_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "articles_v").select("seq", F.array_join(chem.formula_candidates(F.concat(F.col("material"), F.lit(" The ARPES of a sample"))), "|").alias("formulas"))
+    return view(spark, d, "articles_v").select("seq", F.array_join(chem.formula_candidates(F.concat(F.lit("2H-"), F.col("material"), F.lit(" and Nd1-xSrxNiO2: the ARPES of a sample, again 2H-"), F.col("material"), F.lit("."))), "|").alias("formulas"))
 
 
 @query("chm_06_clean_materials", ctes("articles_v") + " SELECT seq, material || CASE WHEN dopant = 'cobaltocene' THEN '|cobaltocene' ELSE '' END AS materials FROM articles_v")
@@ -168,9 +168,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return bands.band_filter(view(spark, d, "bands_v"), 30, 40, ["A", "N"]).select("dataset", "band", "k").orderBy("dataset", "band", "k").limit(100)
 
 
-@query("flt_06_property_range", ctes("claims_v") + " SELECT record_id, CASE property WHEN 'tc' THEN value BETWEEN 0 AND 400 WHEN 'gap' THEN value BETWEEN 0 AND 20 WHEN 'formation' THEN value BETWEEN -20 AND 20 WHEN 'hull' THEN value BETWEEN 0 AND 20 ELSE value BETWEEN -100 AND 100 END AS valid FROM claims_v")
+@query("flt_06_property_range", ctes("claims_v") + " SELECT record_id, CASE property WHEN 'tc' THEN 400 * value BETWEEN 0 AND 1000 WHEN 'gap' THEN 40 * value BETWEEN 0 AND 100 WHEN 'formation' THEN -40 * value BETWEEN -100 AND 100 WHEN 'hull' THEN 40 * value BETWEEN 0 AND 100 ELSE 400 * value BETWEEN -1000 AND 1000 END AS valid FROM claims_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").select("record_id", consensus.in_range(F.col("property"), F.col("value")).alias("valid"))
+    return view(spark, d, "claims_v").select("record_id", consensus.in_range(F.col("property"), F.col("value") * F.when(F.col("property").isin("tc", "moment"), 400).when(F.col("property") == "formation", -40).otherwise(40)).alias("valid"))
 
 
 # ---------------------------------------------------------------- claims and consensus

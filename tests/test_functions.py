@@ -69,3 +69,31 @@ def test_neighbours(spark):
     assert near[3].similarity == -1.0
     knn.register_labeller("same", lambda q, x: q)
     assert knn.labeller("same")(s, s) is s
+
+
+def test_entities(spark):
+    t = F.col("t")
+    assert one(spark, text.clean_metadata(t), t="&#945; &#x3b1; &#X393; &amp;#945; &#38;lt; &#55296; &#99999999999999999999; <b>&middot;</b>") == "α α Γ &#945; < &#55296; &#99999999999999999999; ·"
+    assert one(spark, text.strip_html(t), t="a<script x>&#945;</script>&thinsp;2&times;3 &#956;m &amp;lt;") == "a 2x3 μm &lt;"
+
+
+@pytest.mark.parametrize(
+    ("name", "stage"),
+    [("preview", "task_planning"), ("unvalidated_ml", "ml"), ("MatterSim", "ml"), ("abacus", "dft"), ("gpt", "llm"), ("reference", "database"), ("observed", "experiment"), ("first-principles", "dft"), ("Peer reviewed", "literature"), ("non-experimental", "unknown"), ("review", "unknown"), ("quantum espresso", "dft"), ("chgnet", "ml"), ("deepseek", "llm"), (None, "unknown")],
+)
+def test_stages(spark, name, stage):
+    assert one(spark, text.stage_of(F.col("t")), t=name) == stage
+
+
+@pytest.mark.parametrize(
+    ("name", "plausible"),
+    [("YBCO", True), ("BSCCO", True), ("graphene", True), ("cuprates", True), ("Iron-based  superconductors", True), ("ARPES", False), ("Pb", True), ("Bi", False), ("2H-NbSe2", True), ("MgB₂", True), ("the", False), ("FeSe" * 20, False), ("my alloy", True), (None, False)],
+)
+def test_plausible_materials(spark, name, plausible):
+    assert one(spark, chem.is_plausible(F.col("t"), ["My Alloy"]), t=name) is plausible
+
+
+def test_candidates(spark):
+    found = one(spark, chem.formula_candidates(F.col("t")), t="2H-NbSe2 and Nd1-xSrxNiO2 in ARPES; Fe2O3. " + "A" * 5000)
+    assert found == ["2H-NbSe2", "Nd1-xSrxNiO2", "Fe2O3"]
+    assert one(spark, chem.clean_materials(F.split(F.col("t"), ";"), ["cobaltocene"]), t="MgB2.;mgb2;MgB₂; Cobaltocene,;OF;YBCO") == ["MgB2", "Cobaltocene", "YBCO"]
