@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Element symbols in order of atomic number (fixed values).
 SYMBOLS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
@@ -16,11 +18,6 @@ SYMBOLS = (
 NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with the value computed once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def normalize_formula(c: Column) -> Column:
     """Subscripts as digits, one kind of dash, delta spelt out."""
     s = F.translate(F.trim(F.coalesce(c, F.lit(""))), "₀₁₂₃₄₅₆₇₈₉ₓ−–—", "0123456789x---")

@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def falsy(c: Column) -> Column:
     """'' and null count as missing."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -106,8 +111,7 @@ def canonical_url(c: Column) -> Column:
 
 def strict_doi(c: Column) -> Column:
     """The canonical DOI if it has the form 10.nnnn/suffix, else ''."""
-    d = canonical_doi(c)
-    return F.when(d.rlike(r"^10\.\d{4,9}/\S+$"), d).otherwise("")
+    return let(canonical_doi(c), lambda d: F.when(d.rlike(r"^10\.\d{4,9}/\S+$"), d).otherwise(""))
 
 
 def labelled_points(c: Column) -> Column:
@@ -149,8 +153,7 @@ PLACEHOLDERS = "n/?a|none|null|unknown|tbd|pending|not (provided|available|repor
 
 
 def is_placeholder(c: Column) -> Column:
-    s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return (s == "") | s.rlike(rf"^({PLACEHOLDERS}|[-–—_.]+)$")
+    return F.lower(F.trim(F.coalesce(c, F.lit("")))).rlike(rf"^({PLACEHOLDERS}|[-–—_.]+)?$")
 
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"

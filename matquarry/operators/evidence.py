@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..functions import text as T
-from ..scratch import cut
+from ..scratch import cut, per_value
 from . import graph
 from .consensus import ENERGY, FAMILY_CAP, NUMERIC_STAGES, PRESSURE, cap_families, in_range, to_kelvin, to_unit, tolerance, weighted_median
 
@@ -60,7 +60,10 @@ STRAIN = {"%": 1.0, "percent": 1.0, "fraction": 100.0, "unitless": 100.0}
 
 
 def canonical_conditions(df: DataFrame) -> DataFrame:
-    """The condition columns of ``CONDITIONS`` that ``df`` has raw, made canonical; pressure in GPa, temperature in K."""
+    """The condition columns of ``CONDITIONS`` that ``df`` has raw, made canonical; pressure in GPa, temperature in K.
+
+    Conditions are told in few ways, so each distinct combination is made canonical once.
+    """
     have, out = set(df.columns), {}
     for c in ("doping", "functional", "gap_type", "magnetic_order", "dimensionality", "substrate", "phase"):
         if c in have:
@@ -77,7 +80,11 @@ def canonical_conditions(df: DataFrame) -> DataFrame:
         out["temperature"] = significant(to_kelvin(F.col("temperature"), F.col("temperature_unit")), 8)
     if "extra" in have:
         out["extra"] = F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), named_condition(e["value"]))), ";")
-    return df.withColumns(out)
+    raw = [c for c in [*out, "hubbard_unit", "strain_unit", "pressure_unit", "temperature_unit"] if c in have and c != "extra"]
+    extra = {c: v for c, v in out.items() if c == "extra"}  # maps can't be grouped
+    plain = {c: v for c, v in out.items() if c != "extra"}
+    df = per_value(df, raw, lambda values: values.withColumns(plain)) if plain else df
+    return df.withColumns(extra)
 
 
 #: Structure databases by the form of an id (fixed values).
@@ -140,16 +147,16 @@ def target_of(explicit: list[Column], properties: Column) -> Column:
 
 def novelty(status: Column, checked: Column, resolved: Column, reference: Column, cutoff: Column) -> Column:
     """not_checked, screened_unverified or known_reference; a screen needs a structure, a reference and a dated snapshot."""
-    raw = F.regexp_replace(F.lower(F.trim(F.coalesce(status, F.lit("")))), r"[\s-]+", "_")
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(status, F.lit("")))), r"[\s-]+", "_")
     cited = reference.isNotNull() & ~T.is_placeholder(reference)
     dated = F.coalesce(cutoff, F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}(T\S+)?$") & (F.left(cutoff, F.lit(10)).try_cast("date").between(F.lit("1900-01-01").cast("date"), F.current_date()))
     screened = F.when(resolved & cited & F.coalesce(dated, F.lit(False)), "screened_unverified").otherwise("not_checked")
-    return (
+    return T.let(name, lambda raw: (
         F.when(raw.rlike(r"^(unknown|not_known|unchecked|not_checked)$"), "not_checked")
         .when(raw.rlike(r"^(no_match|not_found|not_reported|unmatched|screened_unverified|novel_candidate|new_candidate)(_|$)"), screened)
         .when(raw.rlike(r"^(known|known_reference|matched|reference_match|reported|database_match|literature_match)(_|$)"), F.when(cited, "known_reference").otherwise("not_checked"))
         .otherwise(F.when(F.coalesce(checked, F.lit(False)), screened).otherwise("not_checked"))
-    )
+    ))
 
 
 # ---------------------------------------------------------------- evidence and eligibility
@@ -157,10 +164,10 @@ def novelty(status: Column, checked: Column, resolved: Column, reference: Column
 
 def evidence_keys(df: DataFrame) -> Column:
     """DOIs, canonical URLs, evidence ids and, for database records, the structure, each with its kind."""
-    doi = lambda c: F.when(T.strict_doi(c) != "", F.concat(F.lit("doi:"), T.strict_doi(c)))
-    keys = [doi(F.col("doi")), doi(F.col("source_ref"))]
-    url = T.canonical_url(F.col("source_ref"))
-    keys.append(F.when(url != "", F.concat(F.lit("url:"), url)))
+    named = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
+    # Most claims lack one or the other, and then nothing is worked out.
+    keys = [F.when(c.isNotNull(), T.let(F.nullif(T.strict_doi(c), F.lit("")), lambda doi: named("doi:", doi))) for c in (F.col("doi"), F.col("source_ref"))]
+    keys.append(F.when(F.col("source_ref").isNotNull(), T.let(F.nullif(T.canonical_url(F.col("source_ref")), F.lit("")), lambda url: named("url:", url))))
     id_ = F.lower(F.trim(F.col("evidence_id")))
     keys.append(F.when(id_.isNotNull() & ~T.is_placeholder(id_), F.concat(F.lit("evidence:"), id_)))
     structure = F.when(F.col("structure_hash") != "", F.concat(F.lit("database-hash:"), "structure_hash")).otherwise(F.concat(F.lit("database-id:"), "structure_namespace", F.lit(":"), F.lower("structure_id")))
@@ -267,7 +274,8 @@ def property_consensus(claims: DataFrame) -> DataFrame:
     """
     keys = ["identity", "property"]
     columns = [*keys, "record_id", "model", "family", "value", "weight", "counts", "calibrated", "q90", "evidence"]
-    raw = cut(claims.where(F.col("stage").isin(*NUMERIC_STAGES) & F.col("value").isNotNull()).select(*columns))
+    claims = cut(claims.select(*columns, "structure_resolved", F.col("stage").isin(*NUMERIC_STAGES).alias("numeric")))
+    raw = claims.where(F.col("numeric") & F.col("value").isNotNull()).select(*columns)
     counted = raw.where("counts")
     kinds = {"all": raw, "audit": counted, "eligible": independent(best_of_models(counted, keys), keys)}
     capped = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, tasks
-from ..scratch import cut
+from ..scratch import cut, spread
 from .adapters import ctes, view
 from .q_science import _KEY, _STAGEW
 from .registry import query
@@ -32,7 +32,7 @@ _E = ctes("evidence_v") + f""", s AS (SELECT *, CAST(l_q AS BIGINT) AS kind FROM
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
     """All claims of the given table with identity, evidence, eligibility, weight and novelty; planning rows dropped."""
-    df = view(spark, d, "evidence_v").where("role <> 'orchestrator'")
+    df = spread(view(spark, d, "evidence_v")).where("role <> 'orchestrator'")
     df = evidence.identity(evidence.structure_identity(evidence.canonical_conditions(df)))
     df = evidence.with_weight(evidence.with_eligibility(df))
     return df.withColumn("novelty_status", evidence.novelty(F.col("novelty_raw"), F.col("novelty_checked"), F.col("structure_resolved"), F.col("doi"), F.col("data_cutoff")))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,3 +38,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out evenly if its scan has fewer splits than the session has cores, for work that is heavy a row.
+
+    A table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def per_value(df: DataFrame, columns: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``compute(df)`` for a function of ``columns`` alone, worked out once for each distinct combination of them.
+
+    Nulls are values like others.  The combinations are written first, so Spark knows their size when it joins them
+    back: few are broadcast, many are joined by shuffling.
+    """
+    key = F.struct(*columns)
+    known = cut(compute(df.select(key.alias("__raw")).distinct().select("__raw", "__raw.*")))
+    new = [c for c in known.columns if c != "__raw"]
+    return df.withColumn("__raw", key).drop(*new).join(known, "__raw", "left").drop("__raw")
