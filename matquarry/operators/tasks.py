@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
+from ..scratch import cut
 from . import evidence, graph
 
 #: Step priorities and dependencies (fixed values).
 PRIORITY = {"structure": 100, "verification": 96, "conditions": 94, "conflict": 90, "novelty": 86, "stability": 82, "target": 72, "experiment": 60}
+STEPS = ["structure", "verification", "conditions", "novelty", "stability", "conflict", "target", "experiment"]
 NEEDS = [("novelty", "structure"), ("stability", "structure"), ("stability", "conditions"), ("conflict", "conditions"), ("target", "structure"), ("target", "stability"), ("experiment", "stability"), ("experiment", "target")]
 
 
@@ -98,32 +100,185 @@ def blocked(statuses: DataFrame, edges: DataFrame) -> DataFrame:
     return statuses.join(waits, ["identity", "step"], "left").select("identity", "step", F.coalesce("waits", F.lit(False)).alias("blocked"))
 
 
-def progress(statuses: DataFrame, reach: DataFrame) -> DataFrame:
-    """identity, step, progress: verified returns of a task and of all tasks that need it."""
-    given = reach.join(statuses.select("identity", "step", "verified"), ["identity", "step"]).groupBy("identity", F.col("needs").alias("step")).agg(F.sum("verified").alias("onward"))
-    return statuses.join(given, ["identity", "step"], "left").select("identity", "step", (F.col("verified") + F.coalesce("onward", F.lit(0))).alias("progress"))
+def execution_summary(statuses: DataFrame, waits: DataFrame, groups: DataFrame) -> DataFrame:
+    """step, task_status, blocked, tasks, returned, claims: how many tasks stand where, with how many returned records,
+    and how many of them belong to groups whose properties agree."""
+    s = statuses.join(waits, ["identity", "step"]).join(groups.select("identity", "claim"), "identity")
+    return s.groupBy("step", "task_status", "blocked").agg(F.count("*").alias("tasks"), F.sum("returned").alias("returned"), F.count_if("claim").alias("claims"))
+
+
+def progress_vectors(tasks: DataFrame, reach: DataFrame) -> DataFrame:
+    """task_id, progress: verified returns by step, the last step first, of a task and of all tasks that need it.
+
+    ``tasks`` has task_id, step, verified; ``reach`` (a, b) says that task a needs task b, directly or through others.
+    Steps that aren't known count with the first step.  Only tasks with verified returns travel.
+    """
+    order = STEPS[::-1]
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("step")), F.lit(0)), F.lit(len(order)))
+    given = tasks.where("verified > 0").select("task_id", at.alias("at"), "verified")
+    onward = given.join(reach.select(F.col("a").alias("task_id"), "b"), "task_id").select(F.col("b").alias("task_id"), "at", "verified")
+    sums = given.unionByName(onward).groupBy("task_id").agg(F.array(*[F.sum(F.when(F.col("at") == i + 1, F.col("verified")).otherwise(0)) for i in range(len(order))]).alias("progress"))
+    none = F.array_repeat(F.lit(0).cast("long"), len(order))
+    return tasks.select("task_id").join(sums, "task_id", "left").select("task_id", F.coalesce("progress", none).alias("progress"))
+
+
+def authoritative(tasks: DataFrame) -> DataFrame:
+    """logical_key, task_id, active, reason: which of the tasks of each logical key speaks for it.
+
+    ``tasks`` has task_id, logical_key, step, claims (how many source claims it asks for), depends_on and progress
+    (``progress_vectors``).  Keys are settled in order of their step, then of the key: a task can be chosen only if
+    all that it depends on has been chosen for its key before.  Of these the one with the greatest progress vector
+    speaks (the last step counts first), then the one of most claims, or of fewest if there is no progress, then
+    the smallest id.  Others have a reason: duplicate_logical_task (``active`` names the chosen task) or
+    incompatible_dependency_manifest (none could be chosen).  Steps that aren't known come last.
+
+    A round settles all keys of a step that wait for no other key of that step, so there are about as many rounds
+    as steps; each is a join and a grouping of that step's tasks.
+    """
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STEPS)), F.col("step")), F.lit(0)), F.lit(len(STEPS) + 1))
+    tasks = cut(tasks.withColumn("place", place).select("task_id", "logical_key", "place", "claims", "depends_on", "progress"))
+    needs = cut(tasks.select("task_id", "logical_key", "place", F.explode(F.array_distinct("depends_on")).alias("need")))
+    where = tasks.select(F.col("task_id").alias("need"), F.col("logical_key").alias("need_key"), F.col("place").alias("need_place"))
+    # Within a step a key waits for the smaller keys that its tasks depend on.
+    same = needs.join(where, "need").where((F.col("place") == F.col("need_place")) & (F.col("need_key") < F.col("logical_key")))
+    waits = cut(same.select("place", "logical_key", "need_key").distinct())
+    some = F.exists("progress", lambda n: n > 0)
+    best = F.min(F.struct(F.transform("progress", lambda n: -n).alias("p"), F.when(some, -F.col("claims")).otherwise(F.col("claims")).alias("c"), "task_id")).alias("best")
+    chosen = tasks.select("logical_key", "task_id").limit(0)
+    for (place_,) in sorted(tasks.select("place").distinct().collect()):
+        todo = tasks.where(F.col("place") == place_)
+        left = todo.select("logical_key").distinct()
+        while True:
+            open_ = waits.where(F.col("place") == place_).join(left.select(F.col("logical_key").alias("need_key")), "need_key", "left_semi").select("logical_key").distinct()
+            ready = left.join(open_, "logical_key", "left_anti")
+            unmet = needs.where(F.col("place") == place_).join(chosen.select(F.col("task_id").alias("need")), "need", "left_anti").select("task_id").distinct()
+            fit = todo.join(ready, "logical_key", "left_semi").join(unmet, "task_id", "left_anti")
+            chosen = cut(chosen.unionByName(fit.groupBy("logical_key").agg(best).select("logical_key", "best.task_id")))
+            left = cut(left.join(open_, "logical_key", "left_semi"))
+            if left.isEmpty():
+                break
+    active = chosen.select("logical_key", F.col("task_id").alias("active"))
+    reason = F.when(F.col("active").isNull(), "incompatible_dependency_manifest").when(F.col("active") != F.col("task_id"), "duplicate_logical_task")
+    return tasks.join(active, "logical_key", "left").select("logical_key", "task_id", "active", reason.alias("reason"))
+
+
+def _entries(df: DataFrame, column: str = "properties") -> DataFrame:
+    """The map ``column`` as sorted pairs (p, v), which can be grouped and compared; pairs stay as they are."""
+    if df.schema[column].dataType.typeName() != "map":
+        return df
+    return df.withColumn(column, F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("p"), e["value"].alias("v")))))
 
 
 def cover_claims(returns: DataFrame, claims: DataFrame) -> DataFrame:
-    """task_id, covered: whether each claim (task_id, key, properties) of a task is met by a return of its own.
+    """task_id, covered: whether each claim (task_id, properties) of a task is met by a return of its own.
 
-    A return meets a claim if it has all its properties with the same values (1e-12).  Claims and returns of one
-    task are few and are paired in order of their keys; tasks without claims are left out.
+    A return meets a claim if it has all its properties with the same values (1e-12) and, where both tables have a
+    ``model``, the same model.  Equal claims and equal returns of a task are counted first, so a task meets its
+    distinct claims only, in order; tasks without claims are left out.
     """
+    by_model = "model" in returns.columns and "model" in claims.columns
+
+    def counted(df: DataFrame) -> DataFrame:
+        model = F.lower("model") if by_model else F.lit("")
+        return _entries(df).groupBy("task_id", model.alias("model"), "properties").agg(F.count("*").alias("n"))
 
     def pair(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        unused = [dict(x) for x in given.sort_values("key")["properties"]]
-        covered = True
-        for want in (dict(x) for x in asked.sort_values("key")["properties"]):
-            fits = (i for i, have in enumerate(unused) if all(have.get(p) is not None and abs(have[p] - v) <= max(1e-12, abs(v) * 1e-12) for p, v in want.items()))
-            if (at := next(fits, None)) is None:
-                covered = False
-                break
-            unused.pop(at)
+        def rows(df: pd.DataFrame) -> list[list]:
+            return sorted([m or "", [(x["p"], x["v"]) for x in ps], int(n)] for m, ps, n in zip(df["model"], df["properties"], df["n"], strict=True))
+
+        have, covered = rows(given), True
+        for model, want, n in rows(asked):
+            for one in have:
+                known = dict(one[1])
+                if n and one[2] and one[0] == model and all(known.get(p) is not None and abs(known[p] - v) <= max(1e-12, abs(v) * 1e-12) for p, v in want):
+                    used = min(n, one[2])
+                    n, one[2] = n - used, one[2] - used
+            covered = covered and not n
         return pd.DataFrame({"task_id": asked["task_id"].iloc[:1], "covered": [covered] * min(1, len(asked))})
 
-    columns = ["task_id", "key", "properties"]
-    return claims.select(*columns).groupBy("task_id").cogroup(returns.select(*columns).groupBy("task_id")).applyInPandas(pair, "task_id long, covered boolean")
+    kind = claims.schema["task_id"].dataType.simpleString()
+    return counted(claims).groupBy("task_id").cogroup(counted(returns).groupBy("task_id")).applyInPandas(pair, f"task_id {kind}, covered boolean")
+
+
+def resolve(records: DataFrame, tasks: DataFrame) -> DataFrame:
+    """record_id, state: what is active once accepted returns have replaced what they stand for.
+
+    ``records`` has record_id, identity, task_id (null for a record of no task), model, properties (map), evidence and
+    supersedes (ids, compared without case), eligible, novelty_status, matched (of its task's lineage and executor) and
+    satisfies (the rule of its step, ``judge_returns``).  ``tasks`` has task_id, step, source_identity, depends_on and
+    conflict_properties.  In this order, each seeing what those before decided:
+
+    1. returns of no known task are ``manifest_missing``, those that don't match are ``quarantined``;
+    2. structure and conditions returns are accepted if those of the task cover all its source claims, which are then
+       migrated; a verification's are accepted likewise, but replace nothing.  Source claims are records of the source
+       identity of no task, or of a task that this one depends on;
+    3. novelty returns of a source identity are accepted if all say the same status;
+    4. a conflict return is accepted if it is eligible, has a conflicting property, names known evidence of its source
+       identity, and has all properties of the records with that evidence, which are then superseded;
+    5. other steps' returns are accepted if they satisfy; whatever is not accepted is ``rejected``;
+    6. migrated records and those of superseded evidence are ``superseded``, the rest is ``active``.
+    """
+    t = tasks.select("task_id", "step", "source_identity", "depends_on", "conflict_properties")
+    ids = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
+    r = _entries(records).withColumns({"evidence": ids(F.col("evidence")), "supersedes": ids(F.col("supersedes"))})
+    known = r.join(t.withColumn("known", F.lit(True)), "task_id", "left")
+    out = F.when(F.col("task_id").isNull(), None).when(F.col("known").isNull(), "manifest_missing").when(~F.coalesce("matched", F.lit(False)), "quarantined")
+    r = cut(known.withColumn("state", out).drop("known", "matched"))
+    live = r.where("state IS NULL")
+    back = live.where("task_id IS NOT NULL")
+
+    # 2: claims of the source identity against the returns of the task.
+    asks = t.where(F.col("step").isin("structure", "conditions", "verification")).join(back.select("task_id").distinct(), "task_id", "left_semi")
+    source = live.select(F.col("identity").alias("source_identity"), F.col("task_id").alias("of"), "record_id", "model", "properties")
+    claims = asks.join(source, "source_identity").where(F.col("of").isNull() | ((F.col("of") != F.col("task_id")) & F.array_contains("depends_on", F.col("of"))))
+    claims = cut(claims.select("task_id", "step", "source_identity", "record_id", "model", "properties"))
+    items = back.where(F.coalesce("satisfies", F.lit(False)))
+    covered = None
+    for steps, columns in ((["structure"], ["task_id", "properties"]), (["conditions", "verification"], ["task_id", "model", "properties"])):
+        of = lambda df: df.where(F.col("step").isin(*steps)).select(*columns)  # noqa: B023, E731
+        part = cover_claims(of(items), of(claims)).where("covered").select("task_id")
+        covered = part if covered is None else covered.unionByName(part)
+    covered = cut(covered)
+    met = items.join(covered, "task_id", "left_semi")
+    # A return that meets none of the claims is no part of the migration; claims are compared as sorted pairs.
+    want = claims.where("step <> 'verification'").join(covered, "task_id", "left_semi").select("task_id", "step", F.lower("model").alias("m"), F.col("properties").alias("asked")).distinct()
+    close = lambda h, e: (h["p"] == e["p"]) & (F.abs(h["v"] - e["v"]) <= F.greatest(F.lit(1e-12), F.abs(e["v"]) * 1e-12))
+    full = F.forall("asked", lambda e: F.exists("properties", lambda h: close(h, e)))
+    classes = met.where("step <> 'verification'").select("task_id", "model", "properties").distinct()
+    fits = classes.join(want, "task_id").where(((F.col("step") == "structure") | (F.lower("model") == F.col("m"))) & full).select(*classes.columns).distinct()
+    moved = met.where("step <> 'verification'").join(fits, ["task_id", "model", "properties"], "left_semi")
+    accepted = moved.select("record_id").unionByName(met.where("step = 'verification'").select("record_id"))
+    migrated = claims.where("step <> 'verification'").join(covered, "task_id", "left_semi").select("record_id").distinct()
+
+    # 3: one status for each source identity.
+    from_ = F.coalesce("source_identity", "identity")
+    novel = items.where("step = 'novelty'").withColumn("from", from_)
+    agreed = novel.groupBy("from").agg(F.min("novelty_status").alias("low"), F.max("novelty_status").alias("high")).where(F.col("low").eqNullSafe(F.col("high")))
+    accepted = accepted.unionByName(novel.join(agreed, "from", "left_semi").select("record_id"))
+
+    # 4: evidence that a conflict return asks to replace, and the properties of the records that have it.
+    asked = back.where((F.col("step") == "conflict") & F.col("eligible") & (F.size("supersedes") > 0)).withColumn("from", from_).withColumn("given", F.transform("properties", lambda e: e["p"]))
+    asked = cut(asked.where(F.arrays_overlap("given", "conflict_properties")).select("record_id", "task_id", "from", "given", "conflict_properties", F.array_distinct("supersedes").alias("supersedes")))
+    held = r.select(F.col("task_id").alias("of"), F.col("identity").alias("from"), F.transform("properties", lambda e: e["p"]).alias("has"), F.explode(F.array_distinct("evidence")).alias("id"))
+    holders = held.select("from", "id", "of", "has").distinct()
+    hits = asked.select("record_id", "task_id", "from", "given", "conflict_properties", F.explode("supersedes").alias("id")).join(holders, ["from", "id"])
+    hits = hits.where((F.col("of").isNull() | (F.col("of") != F.col("task_id"))) & F.arrays_overlap("has", "conflict_properties"))
+    enough = hits.groupBy("record_id").agg(F.count_distinct("id").alias("ids"), F.bool_and(F.size(F.array_except("has", "given")) == 0).alias("covers"))
+    solved = cut(asked.join(enough, "record_id").where(F.col("covers") & (F.col("ids") == F.size("supersedes"))).select("record_id", "from", "supersedes"))
+    accepted = accepted.unionByName(solved.select("record_id"))
+    replaced = solved.select("from", F.explode("supersedes").alias("id")).distinct()
+
+    # 5 and 6
+    others = items.where(~F.col("step").isin("structure", "conditions", "verification", "novelty", "conflict"))
+    accepted = cut(accepted.unionByName(others.select("record_id")).distinct())
+    old = live.select("record_id", F.col("identity").alias("from"), F.explode("evidence").alias("id")).join(replaced, ["from", "id"], "left_semi").select("record_id").distinct().join(solved, "record_id", "left_anti")
+    # Leaves of a migration that stayed in the source identity aren't replaced by it.
+    leaves = moved.where(F.col("identity") == F.col("source_identity")).select("record_id")
+    old = cut(migrated.join(leaves, "record_id", "left_anti").unionByName(old).distinct())
+    final = r.join(accepted.withColumn("ok", F.lit(True)), "record_id", "left").join(old.withColumn("old", F.lit(True)), "record_id", "left")
+    rejected = F.col("task_id").isNotNull() & F.col("ok").isNull()
+    state = F.coalesce("state", F.when(rejected, "rejected").when(F.col("old"), "superseded").otherwise("active"))
+    return final.select("record_id", state.alias("state"))
 
 
 def branch_lineage(accepted: DataFrame) -> DataFrame:
@@ -145,20 +300,3 @@ def match_returns(records: DataFrame, assigned: DataFrame) -> DataFrame:
     """match: whether a returned record belongs to a task of its lineage and comes from the task's executor."""
     status = F.when(F.col("executor").isNull(), "unknown task").when(F.col("executor") != F.col("family"), "unauthorised executor").otherwise("matched")
     return records.join(assigned, "identity", "left").withColumn("match", status)
-
-
-def status(records: DataFrame, key: str) -> DataFrame:
-    back = F.col("status") == "O"
-    g = records.groupBy(key).agg(F.count_if(back & F.col("trusted")).alias("verified"), F.count_if(back).alias("returned"))
-    return g.withColumn("task_status", F.when(F.col("verified") > 0, "verified").when(F.col("returned") > 0, "returned_unverified").otherwise("assigned"))
-
-
-def authoritative(records: DataFrame, key: str) -> DataFrame:
-    """The record with the best (trusted, applicability, smallest id) of each key."""
-    return records.groupBy(key).agg(F.max_by("record_id", F.struct("trusted", "applicability", -F.col("record_id"))).alias("record_id"))
-
-
-def active(records: DataFrame) -> DataFrame:
-    """Records that no later experimental return with the same evidence supersedes."""
-    last = records.where("status = 'O' and stage = 'experiment'").groupBy("evidence_id").agg(F.max("record_id").alias("last"))
-    return records.join(last, "evidence_id", "left").where(F.col("last").isNull() | (F.col("last") <= F.col("record_id"))).drop("last")

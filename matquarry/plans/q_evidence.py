@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, tasks
+from ..operators import evidence, graph, tasks
 from ..scratch import cut, spread
 from .adapters import ctes, view
 from .q_science import _KEY, _STAGEW
@@ -322,12 +322,90 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tasks.blocked(s, tasks.dependencies(t)).select("identity", "step", "blocked")
 
 
-@query("tsk_07_progress", _STATUS + " SELECT sx.identity, sx.step, CAST(sx.verified + coalesce(sum(v.verified), 0) AS BIGINT) AS progress FROM sx LEFT JOIN cl ON cl.identity = sx.identity AND cl.needs = sx.step LEFT JOIN sx v ON v.identity = cl.identity AND v.step = cl.step GROUP BY sx.identity, sx.step, sx.verified")
+_LAST_FIRST = tasks.STEPS[::-1]
+
+
+@query(
+    "tsk_07_progress",
+    _STATUS
+    + ", w AS (SELECT identity, step AS needs, step, verified FROM sx UNION ALL SELECT cl.identity, cl.needs, cl.step, v.verified FROM cl JOIN sx v ON v.identity = cl.identity AND v.step = cl.step) SELECT sx.identity, sx.step, concat_ws('|', "
+    + ", ".join(f"CAST(sum(CASE WHEN w.step = '{x}' THEN w.verified ELSE 0 END) AS BIGINT)" for x in _LAST_FIRST)
+    + ") AS progress FROM sx JOIN w ON w.identity = sx.identity AND w.needs = sx.step GROUP BY sx.identity, sx.step",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     c, _, g = groups(spark, d)
     t = tasks.plan_tasks(g)
-    s = tasks.task_status(t, tasks.judge_returns(returns(c), c.where("status = 'F'"), g))
-    return tasks.progress(s, tasks.closure(tasks.dependencies(t))).select("identity", "step", "progress")
+    name = lambda step: F.concat_ws("\x1f", "identity", step)
+    s = cut(tasks.task_status(t, tasks.judge_returns(returns(c), c.where("status = 'F'"), g)).withColumn("task_id", name("step")))
+    reach = tasks.closure(tasks.dependencies(t)).select(name("step").alias("a"), name("needs").alias("b"))
+    return s.join(tasks.progress_vectors(s, reach), "task_id").select("identity", "step", F.array_join("progress", "|").alias("progress"))
+
+
+#: Former tasks, one for each line: eight orders are one candidate, and a task depends on the tasks of the steps before
+#: it that the same supplier's half made; where there are several, on the first of them.
+_FORMER = f"""SELECT CAST((l_orderkey * 1000000 + l_partkey) * 10 + l_linenumber AS VARCHAR(30)) || '-' || CAST(l_suppkey AS VARCHAR(20)) || '-' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) AS task_id, CAST(l_orderkey // 32 AS VARCHAR(20)) AS candidate,
+    list_extract([{", ".join(f"'{x}'" for x in tasks.STEPS)}], CAST((l_orderkey + l_linenumber) % 8 + 1 AS INTEGER)) AS step, CAST(l_quantity AS BIGINT) % 3 AS claims,
+    CASE WHEN l_linestatus = 'O' THEN CAST(l_suppkey % 3 AS BIGINT) ELSE 0 END AS verified, l_suppkey % 2 AS half FROM lineitem"""
+_FORMER_SQL = f"""WITH RECURSIVE t AS ({_FORMER}), nd(step, needs) AS ({_NEED}),
+  dp AS (SELECT t.task_id, min(u.task_id) AS need FROM t JOIN nd ON nd.step = t.step JOIN t u ON u.candidate = t.candidate AND u.step = nd.needs AND u.half = t.half GROUP BY t.task_id, nd.needs),
+  cl(a, b) AS (SELECT task_id, need FROM dp UNION SELECT cl.a, dp.need FROM cl JOIN dp ON dp.task_id = cl.b),
+  w AS (SELECT task_id AS of, step, verified FROM t UNION ALL SELECT cl.b, t.step, t.verified FROM cl JOIN t ON t.task_id = cl.a),
+  v AS (SELECT t.task_id, any_value(candidate || '~' || t.step) AS logical_key, any_value(t.step) AS step, any_value(claims) AS claims, {", ".join(f"sum(CASE WHEN w.step = '{x}' THEN w.verified ELSE 0 END) AS p{i}" for i, x in enumerate(_LAST_FIRST))} FROM t JOIN w ON w.of = t.task_id GROUP BY t.task_id)"""
+_BEST = "row_number() OVER (PARTITION BY logical_key ORDER BY " + ", ".join(f"p{i} DESC" for i in range(8)) + f", CASE WHEN {' + '.join(f'p{i}' for i in range(8))} > 0 THEN -claims ELSE claims END, task_id) = 1"
+_CHOICE = ""
+for _i, _step in enumerate(tasks.STEPS):
+    _before = " UNION ALL ".join(f"SELECT task_id FROM c{k}" for k in range(_i)) or "SELECT '' AS task_id"
+    _CHOICE += f", c{_i} AS (SELECT logical_key, task_id FROM v WHERE step = '{_step}' AND task_id NOT IN (SELECT task_id FROM dp WHERE need NOT IN ({_before})) QUALIFY {_BEST})"
+
+
+def former_tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Former tasks, and what each depends on (task_id, need)."""
+    lines = spread(spark.read.parquet(f"{d}/lineitem.parquet"))
+    t = cut(lines.select(
+        F.concat_ws("-", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10 + F.col("l_linenumber"), "l_suppkey", F.col("l_quantity").cast("long")).alias("task_id"), F.floor(F.col("l_orderkey") / 32).cast("string").alias("candidate"),
+        F.get(F.array(*map(F.lit, tasks.STEPS)), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")).alias("step"), (F.col("l_quantity").cast("long") % 3).alias("claims"),
+        F.when(F.col("l_linestatus") == "O", F.col("l_suppkey") % 3).otherwise(0).cast("long").alias("verified"), (F.col("l_suppkey") % 2).alias("half"),
+    ))
+    first = t.groupBy("candidate", F.col("step").alias("needs"), "half").agg(F.min("task_id").alias("need"))
+    edges = spark.createDataFrame(tasks.NEEDS, "step string, needs string")
+    return t, cut(t.join(F.broadcast(edges), "step").join(first, ["candidate", "needs", "half"]).select("task_id", "need"))
+
+
+@query("tsk_08_authoritative", _FORMER_SQL + _CHOICE + ", c AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(8)) + ") SELECT v.task_id, v.logical_key, c.task_id AS active, CASE WHEN c.task_id IS NULL THEN 'incompatible_dependency_manifest' WHEN c.task_id <> v.task_id THEN 'duplicate_logical_task' END AS reason FROM v LEFT JOIN c USING (logical_key)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t, needs = former_tasks(spark, d)
+    vectors = tasks.progress_vectors(t, graph.closure(needs.select(F.col("task_id").alias("a"), F.col("need").alias("b"))))
+    lists = needs.groupBy("task_id").agg(F.collect_list("need").alias("depends_on"))
+    t = t.join(vectors, "task_id").join(lists, "task_id", "left").withColumn("logical_key", F.concat_ws("~", "candidate", "step"))
+    return tasks.authoritative(t.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>")))).select("task_id", "logical_key", "active", "reason")
+
+
+@query("tsk_09_resolve", None)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, _, g = groups(spark, d)
+    back = returns(c)
+    name = F.concat_ws("~", "identity", "step")
+    judged_ = tasks.judge_returns(back, c.where("status = 'F'"), g).select("record_id", F.col("accepted").alias("satisfies"))
+    own = back.select("record_id", name.alias("task_id"), "supersedes")
+    executors = c.where("status = 'F'").groupBy("identity").agg(F.max("family").alias("executor"))
+    evidence_id = F.filter("evidence", lambda k: k.startswith("evidence:"))
+    r = c.join(own, "record_id", "left").join(judged_, "record_id", "left").join(executors, "identity", "left")
+    records = r.select(
+        "record_id", "identity", "task_id", "model", F.create_map("property", "value").alias("properties"), evidence_id.alias("evidence"), F.when(F.col("supersedes"), evidence_id).alias("supersedes"),
+        "eligible", "novelty_status", (F.col("family") >= F.col("executor")).alias("matched"), "satisfies",
+    )
+    needs = {step: [n for s, n in tasks.NEEDS if s == step] for step in tasks.STEPS}
+    of = F.coalesce(*[F.when(F.col("step") == step, F.transform(F.array(*map(F.lit, wanted)).cast("array<string>"), lambda n: F.concat_ws("~", "identity", n))) for step, wanted in needs.items()])
+    planned_ = tasks.plan_tasks(g).select(name.alias("task_id"), "step", F.col("identity").alias("source_identity"), of.alias("depends_on"), F.col("properties").alias("conflict_properties"))
+    return tasks.resolve(records, planned_)
+
+
+@query("tsk_10_execution_summary", _STATUS + ", bl AS (SELECT sx.identity, sx.step, coalesce(bool_or(u.verified = 0), false) AS blocked FROM sx LEFT JOIN dp ON dp.identity = sx.identity AND dp.step = sx.step LEFT JOIN sx u ON u.identity = dp.identity AND u.step = dp.needs GROUP BY sx.identity, sx.step) SELECT sx.step, CASE WHEN sx.verified > 0 THEN 'verified' WHEN sx.returned > 0 THEN 'returned_unverified' ELSE 'assigned' END AS task_status, blocked, count(*) AS tasks, CAST(sum(sx.returned) AS BIGINT) AS returned, count_if(claim) AS claims FROM sx JOIN bl USING (identity, step) JOIN g USING (identity) GROUP BY ALL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c, _, g = groups(spark, d)
+    t = tasks.plan_tasks(g)
+    s = cut(tasks.task_status(t, tasks.judge_returns(returns(c), c.where("status = 'F'"), g)))
+    return tasks.execution_summary(s, tasks.blocked(s, tasks.dependencies(t)), g)
 
 
 @query(

@@ -273,21 +273,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return tasks.match_returns(c.where("status = 'O'"), assigned).select("record_id", "match")
 
 
-@query("tsk_08_authoritative", ctes("claims_v") + " SELECT formula, arg_max(record_id, (trusted, applicability, -record_id)) AS record_id FROM claims_v GROUP BY formula")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.authoritative(view(spark, d, "claims_v"), "formula")
-
-
-@query("tsk_09_active", ctes("claims_v") + " SELECT record_id FROM claims_v c WHERE NOT EXISTS (SELECT 1 FROM claims_v s WHERE s.status = 'O' AND s.stage = 'experiment' AND s.evidence_id = c.evidence_id AND s.record_id > c.record_id)")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return tasks.active(view(spark, d, "claims_v")).select("record_id")
-
-
-@query("tsk_10_summary", ctes("claims_v") + " SELECT status, count(*) AS records, count(DISTINCT formula) AS formulas FROM claims_v GROUP BY status")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "claims_v").groupBy("status").agg(F.count("*").alias("records"), F.countDistinct("formula").alias("formulas"))
-
-
 # ---------------------------------------------------------------- samples, conversations
 
 
