@@ -145,18 +145,21 @@ def authoritative(tasks: DataFrame) -> DataFrame:
     some = F.exists("progress", lambda n: n > 0)
     best = F.min(F.struct(F.transform("progress", lambda n: -n).alias("p"), F.when(some, -F.col("claims")).otherwise(F.col("claims")).alias("c"), "task_id")).alias("best")
     chosen = tasks.select("logical_key", "task_id").limit(0)
+    waiting = {p for (p,) in waits.select("place").distinct().collect()}
     for (place_,) in sorted(tasks.select("place").distinct().collect()):
         todo = tasks.where(F.col("place") == place_)
         left = todo.select("logical_key").distinct()
-        while True:
-            open_ = waits.where(F.col("place") == place_).join(left.select(F.col("logical_key").alias("need_key")), "need_key", "left_semi").select("logical_key").distinct()
-            ready = left.join(open_, "logical_key", "left_anti")
+        unsettled = True
+        while unsettled:
             unmet = needs.where(F.col("place") == place_).join(chosen.select(F.col("task_id").alias("need")), "need", "left_anti").select("task_id").distinct()
-            fit = todo.join(ready, "logical_key", "left_semi").join(unmet, "task_id", "left_anti")
+            ready = todo
+            if unsettled := place_ in waiting:
+                open_ = waits.where(F.col("place") == place_).join(left.select(F.col("logical_key").alias("need_key")), "need_key", "left_semi").select("logical_key").distinct()
+                ready = todo.join(left.join(open_, "logical_key", "left_anti"), "logical_key", "left_semi")
+                left = cut(left.join(open_, "logical_key", "left_semi"))
+                unsettled = not left.isEmpty()
+            fit = ready.join(unmet, "task_id", "left_anti")
             chosen = cut(chosen.unionByName(fit.groupBy("logical_key").agg(best).select("logical_key", "best.task_id")))
-            left = cut(left.join(open_, "logical_key", "left_semi"))
-            if left.isEmpty():
-                break
     active = chosen.select("logical_key", F.col("task_id").alias("active"))
     reason = F.when(F.col("active").isNull(), "incompatible_dependency_manifest").when(F.col("active") != F.col("task_id"), "duplicate_logical_task")
     return tasks.join(active, "logical_key", "left").select("logical_key", "task_id", "active", reason.alias("reason"))
