@@ -23,6 +23,8 @@ from . import shared, textkit
 SPECTRUM, BUCKETS, RIDGE = 3, 1 << 15, 1e-3
 #: Landmarks in all, and of each language at least; training texts of each language, about; texts of one product.
 LANDMARKS, PER_LANG_LANDMARKS, PER_LANG, BATCH = 192, 8, 400, 128
+#: Values of lang that are learnt, and texts of all of them, at most: the bitmaps that the driver holds.
+MAX_LANGS, TEXTS = 2000, 40_000
 #: A learned language's score is turned into a share of all by this factor.
 SHARPNESS = 8.0
 
@@ -98,11 +100,15 @@ def bitmap(text: str) -> bytes:
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """(doc_id, lang, grams) of about ``per_lang`` texts of each language, as bitmaps of ``BUCKETS`` bits.
 
-    Only rows that aren't held out, hold text and have a language; all languages are taken.  A share of each is kept
-    by a hash of doc_id, so no language is gathered in one task.
+    Only rows that aren't held out, hold text and have a language; of over ``MAX_LANGS`` values of lang the most frequent
+    are learnt, and of many values fewer texts of each (``TEXTS`` of all), so a dirty column can't fill the driver.  A share of each is kept by a hash of doc_id, so no language
+    is gathered in one task.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0)).select("doc_id", "text", "lang")
-    share = shared.cut(rows.groupBy("lang").agg((F.lit(per_lang) / F.count("*")).alias("share")))
+    many = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS)
+    many = shared.cut(many)
+    each = min(per_lang, TEXTS // max(1, many.count()))
+    share = many.select("lang", (F.lit(each) / F.col("n")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1_000_000)) / 1_000_000
     grams = F.pandas_udf(lambda s: s.map(bitmap), "binary")
     return rows.join(share, "lang").where(chance < F.col("share")).select("doc_id", "lang", grams(F.col("text").cast("string")).alias("grams"))
