@@ -414,7 +414,7 @@ def cluster_statements(rows: DataFrame, least: float = 0.72) -> DataFrame:
     distinct = cut(said.select("group", "statement").distinct().withColumn("node", F.xxhash64("group", "statement")))
     # Words carry their group, so only statements of one group can share any.
     items = distinct.select("node", F.transform(T.text_features(F.col("statement")), lambda w: F.concat_ws("\x1f", "group", w)).alias("items"))
-    of = graph.components(graph.similar_pairs(items, least))
+    of = graph.similar_components(items, least)
     classed = distinct.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     short = F.length("statement") < 360
     said = said.join(classed, ["group", "statement"])
@@ -430,5 +430,5 @@ def group_texts(rows: DataFrame, least: float = 0.78) -> DataFrame:
     # Records with the same words are one node.
     sets = items.withColumn("items", F.array_sort("items")).groupBy("items").agg(F.min("node").alias("node"))
     members = items.withColumn("items", F.array_sort("items")).select(F.col("node").alias("record_id"), "items").join(sets, "items")
-    of = graph.components(graph.similar_pairs(sets, least))
+    of = graph.similar_components(sets, least)
     return members.join(of, "node", "left").select("record_id", F.coalesce("component", "node").alias("component"))
