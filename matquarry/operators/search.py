@@ -78,14 +78,28 @@ def describe_materials(df: DataFrame, knowledge: DataFrame) -> DataFrame:
     return df.join(knowledge, "material", "left")
 
 
-def material_summary(df: DataFrame) -> DataFrame:
-    """Articles, score and ranges of temperature (t), photon energy (p) and gap (g) for each material."""
+def material_summary(df: DataFrame, knowledge: DataFrame) -> DataFrame:
+    """One row for each material of rows (material, citations, t, p, g, dopants, properties), with what is known of it.
+
+    Articles, score, count, range and mean of temperature (t), photon energy (p) and gap (g), distinct dopants and
+    properties, and the columns of ``knowledge`` (material and others).  ``place`` orders them by score, articles, name.
+    A material's articles are rows of ``material_articles``, as one may hold most of them.
+    """
     aggs = [F.count("*").alias("articles"), F.sum("citations").alias("score")]
     for name, c, digits in (("temp", "t", None), ("photon", "p", None), ("gap", "g", 6)):
+        aggs.append(F.count(c).alias(f"{name}_count"))
         for kind, f in (("min", F.min), ("max", F.max)):
             aggs.append((F.round(f(c), digits) if digits else f(c)).alias(f"{name}_{kind}"))
         aggs.append(F.round(F.avg(c), 3).alias(f"{name}_avg"))
-    return df.groupBy("material").agg(*aggs)
+    lists = [F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("dopants", "properties")]
+    # Materials are names of a dictionary, so their places fit in one task.
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("articles"), "material"))
+    return describe_materials(df.groupBy("material").agg(*aggs, *lists), knowledge).withColumn("place", place.cast("long"))
+
+
+def material_articles(df: DataFrame) -> DataFrame:
+    """(material, id) of each article once."""
+    return df.select("material", "id").distinct()
 
 
 def bundle(articles: DataFrame, queries: DataFrame, elements: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -447,16 +447,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return library.first_wins(keyed, ["article_key"], "seq").select("article_key", "seq", "title")
 
 
-_SUMMARY = f"""SELECT material, count(*) AS articles, sum(citations) AS score, CAST(min(t) AS DOUBLE) AS temp_min, CAST(max(t) AS DOUBLE) AS temp_max, round(avg(t), 3) AS temp_avg,
+_FAMILY = "CASE WHEN material LIKE 'Sn%' THEN 'tin chalcogenide' WHEN material LIKE 'Fe%' THEN 'iron chalcogenide' END"
+_SUMMARY = f"""SELECT *, {_FAMILY} AS family, row_number() OVER (ORDER BY score DESC, articles DESC, material) AS place FROM (SELECT material, count(*) AS articles, count(t) AS temp_count, count(p) AS photon_count, count(g) AS gap_count,
+  coalesce(string_agg(DISTINCT nullif(dopant, ''), '|' ORDER BY nullif(dopant, '')), '') AS dopants,
+  concat_ws('|', CASE WHEN bool_or(lower(abstract) LIKE '%fermi surface%') THEN 'Fermi surface' END, CASE WHEN bool_or(lower(title) LIKE '%band structure%') THEN 'band structure' END, CASE WHEN bool_or(lower(abstract) LIKE '%superconducting gap%') THEN 'superconducting gap' END) AS properties, sum(citations) AS score, CAST(min(t) AS DOUBLE) AS temp_min, CAST(max(t) AS DOUBLE) AS temp_max, round(avg(t), 3) AS temp_avg,
   CAST(min(p) AS DOUBLE) AS photon_min, CAST(max(p) AS DOUBLE) AS photon_max, round(avg(p), 3) AS photon_avg, round(min(g), 6) AS gap_min, round(max(g), 6) AS gap_max, round(avg(g), 3) AS gap_avg
   FROM (SELECT *, CAST({_TEMP}[1] AS DOUBLE) AS t, CAST({_PHOTON}[1] AS DOUBLE) AS p,
-    CASE WHEN lower({_GAPS}[1]) LIKE '%mev' THEN CAST(string_split({_GAPS}[1], ' ')[1] AS DOUBLE) / 1000 ELSE CAST(string_split({_GAPS}[1], ' ')[1] AS DOUBLE) END AS g FROM articles_v) GROUP BY material"""
+    CASE WHEN lower({_GAPS}[1]) LIKE '%mev' THEN CAST(string_split({_GAPS}[1], ' ')[1] AS DOUBLE) / 1000 ELSE CAST(string_split({_GAPS}[1], ' ')[1] AS DOUBLE) END AS g FROM articles_v) GROUP BY material)"""
+
+
+def _facts(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each material of an article, with the article's facts."""
+    rules = [("superconducting gap", "superconducting gap|gap anisotropy"), ("Fermi surface", "fermi surface"), ("band structure", "band structure|band dispersion")]
+    first = lambda numbers: T.first_number(F.get(numbers, F.lit(0)))
+    return view(spark, d, "articles_v").select(
+        F.explode(X.match_names(F.col("abstract"), NAMES)).alias("material"), F.col("seq").alias("id"), "citations", first(X.temperatures(F.col("abstract"))).alias("t"), first(X.photon_energies(F.col("abstract"))).alias("p"),
+        X.gap_eV(F.col("abstract")).alias("g"), F.array_compact(F.array(F.nullif("dopant", F.lit("")))).alias("dopants"), X.flags(F.lower(F.concat_ws(" ", "title", "abstract")), rules).alias("properties"),
+    )
 
 
 @query("agg_03_material_summary", ctes("articles_v") + " " + _SUMMARY)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    a = view(spark, d, "articles_v").select(F.explode(X.match_names(F.col("abstract"), NAMES)).alias("material"), "citations", T.first_number(F.get(X.temperatures(F.col("abstract")), F.lit(0))).alias("t"), T.first_number(F.get(X.photon_energies(F.col("abstract")), F.lit(0))).alias("p"), X.gap_eV(F.col("abstract")).alias("g"))
-    return search.material_summary(a)
+    known = spark.createDataFrame([(m, "tin chalcogenide" if m.startswith("Sn") else "iron chalcogenide") for m in MATERIALS if m[:2] in ("Sn", "Fe")], "material string, family string")
+    s = search.material_summary(_facts(spark, d), known)
+    return s.withColumns({c: _list(F.col(c)) for c in ("dopants", "properties")})
+
+
+@query("agg_03_material_articles", ctes("articles_v") + " SELECT material, seq AS id FROM articles_v")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.material_articles(_facts(spark, d))
 
 
 @query(
