@@ -145,12 +145,17 @@ def target_of(explicit: list[Column], properties: Column) -> Column:
     return F.when(F.size(names) > 1, "error:conflicting target").when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.size(properties) == 1, F.get(properties, F.lit(0))).otherwise("general")
 
 
+def is_snapshot_date(c: Column) -> Column:
+    """Whether a text is a day (or a time of it) of the calendar from 1900 to today."""
+    day = F.left(c, F.lit(10)).try_cast("date").between(F.lit("1900-01-01").cast("date"), F.current_date())
+    return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}(T\S+)?$") & day, F.lit(False))
+
+
 def novelty(status: Column, checked: Column, resolved: Column, reference: Column, cutoff: Column) -> Column:
     """not_checked, screened_unverified or known_reference; a screen needs a structure, a reference and a dated snapshot."""
     name = F.regexp_replace(F.lower(F.trim(F.coalesce(status, F.lit("")))), r"[\s-]+", "_")
     cited = reference.isNotNull() & ~T.is_placeholder(reference)
-    dated = F.coalesce(cutoff, F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}(T\S+)?$") & (F.left(cutoff, F.lit(10)).try_cast("date").between(F.lit("1900-01-01").cast("date"), F.current_date()))
-    screened = F.when(resolved & cited & F.coalesce(dated, F.lit(False)), "screened_unverified").otherwise("not_checked")
+    screened = F.when(resolved & cited & is_snapshot_date(cutoff), "screened_unverified").otherwise("not_checked")
     return T.let(name, lambda raw: (
         F.when(raw.rlike(r"^(unknown|not_known|unchecked|not_checked)$"), "not_checked")
         .when(raw.rlike(r"^(no_match|not_found|not_reported|unmatched|screened_unverified|novel_candidate|new_candidate)(_|$)"), screened)

@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..scratch import cut
+from .ranks import quantiles, running
 
 FEATURES = ["n_elements", "log_total", "entropy", "mean_z", "std_z", "min_z", "max_z", "range_z", "max_fraction", "norm"]
 
@@ -25,13 +26,14 @@ def hash_split(key: Column) -> Column:
 def regression_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     e = F.col(y) - F.col(p)
     total = F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / F.count("*")
-    return df.groupBy(*keys).agg(
+    q90 = quantiles(df.withColumn("__far", F.abs(e)), keys, "__far", {"q90": 0.9})
+    metrics = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.abs(e)), 6).alias("mae"),
         F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"),
         F.round(1 - F.sum(e * e) / F.nullif(total, F.lit(0.0)), 6).alias("r2"),
-        F.round(F.percentile(F.abs(e), 0.9), 6).alias("q90"),
     )
+    return metrics.join(q90, keys, "left").withColumn("q90", F.round("q90", 6))
 
 
 def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, predicted: str) -> DataFrame:
@@ -39,8 +41,7 @@ def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, p
     Y, C = F.col(y), F.col(predicted)
     # One row for each distinct score: average rank = rows below + (rows here + 1) / 2.
     ties = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.count_if(Y).alias("pos"))
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(score)) - F.col("n")
-    ranks = ties.withColumn("rank_sum", F.col("pos") * (below + (F.col("n") + 1) / 2))
+    ranks = running(ties, keys, score).withColumn("rank_sum", F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
     auc = ranks.groupBy(*keys).agg(F.sum("rank_sum").alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     auc = auc.select(*keys, F.round((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * F.col("q"), F.lit(0)), 6).alias("auc"))
     main = df.groupBy(*keys).agg(

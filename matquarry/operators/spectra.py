@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 #: Words in axis paths by kind (fixed values).
 AXIS_KINDS = [("energy", r"energy|eb|ekin|binding"), ("angle", r"angle|theta|phi|polar|tilt|slit"), ("momentum", r"momentum|\bk[xyz]?\b|kpar"), ("temperature", r"temp|kelvin")]
 #: Points for words in dataset paths (fixed values).
@@ -85,7 +87,7 @@ def grid_axes(waves: DataFrame) -> DataFrame:
 
 def clip_normalise(cells: DataFrame, low: float = 1.0, high: float = 99.6) -> DataFrame:
     """Values between two percentiles scaled to 0..1; other values clipped.  One row a dataset is joined back."""
-    p = cells.groupBy("dataset").agg(F.percentile("value", low / 100).alias("lo"), F.percentile("value", high / 100).alias("hi"))
+    p = quantiles(cells, ["dataset"], "value", {"lo": low / 100, "hi": high / 100})
     scaled = (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     return cells.join(p, "dataset").withColumn("value", F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("lo", "hi")
 
@@ -189,8 +191,8 @@ def fingerprint(catalog: DataFrame, columns: list[str]) -> DataFrame:
 
 def features(cells: DataFrame) -> DataFrame:
     """z-scores within the dataset and the size of the step to the next cells."""
-    w = Window.partitionBy("dataset")
-    z = cells.withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_pop("value").over(w), F.lit(0.0)))
+    stats = cells.groupBy("dataset").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("spread"))
+    z = cells.join(stats, "dataset").withColumn("z", (F.col("value") - F.col("mean")) / F.nullif(F.col("spread"), F.lit(0.0))).drop("mean", "spread")
     right = F.lead("z").over(Window.partitionBy("dataset", "i").orderBy("j")) - F.col("z")
     below = F.lead("z").over(Window.partitionBy("dataset", "j").orderBy("i")) - F.col("z")
     return z.withColumn("gradient", F.sqrt(F.pow(F.coalesce(right, F.lit(0.0)), 2) + F.pow(F.coalesce(below, F.lit(0.0)), 2)))
@@ -198,5 +200,6 @@ def features(cells: DataFrame) -> DataFrame:
 
 def array_quality(cells: DataFrame) -> DataFrame:
     finite = ~F.isnan("value") & F.col("value").isNotNull() & (F.abs("value") != float("inf"))
-    p = F.percentile(F.abs("value"), [0.5, 0.95, 0.99])
-    return cells.groupBy("dataset").agg((F.count_if(finite) / F.count("*")).alias("finite"), p.alias("p")).select("dataset", "finite", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    share = cells.groupBy("dataset").agg((F.count_if(finite) / F.count("*")).alias("finite"))
+    p = quantiles(cells.select("dataset", F.abs("value").alias("size")), ["dataset"], "size", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return share.join(p, "dataset", "left")

@@ -67,7 +67,7 @@ def judge_returns(returns: DataFrame, sources: DataFrame, groups: DataFrame) ->
     context = groups.select("identity", F.when(F.size(firm) > 0, firm).otherwise(open_).alias("wanted"), (F.size("conflicts") == 0).alias("settled"))
     r = returns.join(kept, "record_id", "left").join(context, "identity")
     some = lambda c: F.coalesce(F.col(c), F.lit(False))
-    dated = F.coalesce(F.col("data_cutoff"), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}")
+    dated = evidence.is_snapshot_date(F.col("data_cutoff"))
     public = F.exists("evidence", lambda k: k.rlike("^(doi|url|database-(hash|id)):"))
     full = F.col("eligible") & F.col("complete")
     rules = {

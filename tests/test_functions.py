@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matquarry.functions import chem, extract, text
-from matquarry.operators import bands, knn, spectra
+from matquarry.operators import bands, evidence, knn, spectra
 
 
 def one(spark, column, **values):
@@ -97,3 +97,8 @@ def test_candidates(spark):
     found = one(spark, chem.formula_candidates(F.col("t")), t="2H-NbSe2 and Nd1-xSrxNiO2 in ARPES; Fe2O3. " + "A" * 5000)
     assert found == ["2H-NbSe2", "Nd1-xSrxNiO2", "Fe2O3"]
     assert one(spark, chem.clean_materials(F.split(F.col("t"), ";"), ["cobaltocene"]), t="MgB2.;mgb2;MgB₂; Cobaltocene,;OF;YBCO") == ["MgB2", "Cobaltocene", "YBCO"]
+
+
+@pytest.mark.parametrize(("day", "valid"), [("2023-05-01", True), ("2023-05-01T10:00", True), ("9999-99-99", False), ("9998-01-01", False), ("2023-02-30", False), ("soon", False), (None, False)])
+def test_snapshot_dates(spark, day, valid):
+    assert one(spark, evidence.is_snapshot_date(F.col("t")), t=day) is valid
