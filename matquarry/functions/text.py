@@ -156,6 +156,76 @@ def is_placeholder(c: Column) -> Column:
     return F.lower(F.trim(F.coalesce(c, F.lit("")))).rlike(rf"^({PLACEHOLDERS}|[-–—_.]+)?$")
 
 
+#: Names of fields that hold credentials (fixed values).
+CREDENTIAL_FIELDS = (
+    "api[_-]?key|access[_-]?token|auth(?:orization)?|password|passwd|secret|client[_-]?secret|private[_-]?key|signature|credential|x[-_]?(?:api[-_]?key|auth[-_]?token)|"
+    "x[-_]amz[-_](?:credential|signature|security[-_]token)|x[-_]goog[-_](?:credential|signature)|sig|token"
+)
+# Stand-ins for an escaped backslash and quote: JSON text has no raw control characters, so afterwards every '"' bounds a string.
+_SLASH, _QUOTE = "\x01", "\x02"
+
+
+def _shielded(json: Column) -> Column:
+    """JSON text in one spelling, without escaped quotes; null if it isn't JSON."""
+    text = F.to_json(F.try_parse_json(json))
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _string(token: Column) -> Column:
+    """The string of a quoted token."""
+    text = F.replace(F.replace(token, F.lit(_SLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
+    return F.try_variant_get(F.try_parse_json(text), "$", "string")
+
+
+def _tokens(shielded: Column) -> Column:
+    """Quoted strings (names of fields with their ':') and what lies between them, in order."""
+    return F.regexp_extract_all(shielded, F.lit('("[^"]*+"(?::|)|[^"]++)'), F.lit(1))
+
+
+def _between(shielded: Column) -> Column:
+    return F.regexp_replace(shielded, '"[^"]*+"', "0")
+
+
+def _depth(shielded: Column) -> Column:
+    marks = F.split(F.regexp_replace(F.regexp_replace(_between(shielded), r"\[\]|\{\}", ""), r"[^\[\]{}]++", ""), "")
+    step = lambda a, m: F.struct((a["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("now"), F.greatest(a["most"], a["now"] + F.when(m.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda a: a["most"])
+
+
+def nested_depth(json: Column) -> Column:
+    """How many containers hold the deepest value of a JSON text: 0 for a scalar or an empty container, null for no JSON."""
+    return let(_shielded(json), _depth)
+
+
+def redact_nested(json: Column, deepest: int = 6) -> Column:
+    """JSON text with ``redact_secrets`` on every string that is a value, at any place; null for no JSON.
+
+    Values deeper than ``deepest`` raise.  Fields come back in the order of their names.  The walk is one pass over the text
+    of a row: nothing is exploded or shuffled, and only ``deepest`` bounds the nesting.
+    """
+    def clean(token: Column) -> Column:
+        safe = F.to_json(F.array(redact_secrets(_string(token))))
+        return F.when(token.startswith('"') & ~token.endswith(":"), F.substring(safe, F.lit(2), F.length(safe) - 2)).otherwise(F.replace(F.replace(token, F.lit(_SLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"')))
+
+    deep = F.raise_error(F.lit("CREDENTIAL_SCAN_DEPTH_EXCEEDED")).cast("string")
+    return let(_shielded(json), lambda s: F.when(_depth(s) > deepest, deep).otherwise(F.array_join(F.transform(_tokens(s), clean), "")))
+
+
+def has_secrets_nested(json: Column, deepest: int = 8) -> Column:
+    """Whether a field at any place is named like a credential or a string value holds one; true beyond ``deepest``, null for no JSON."""
+    field = lambda t: _string(F.rtrim(t, F.lit(":"))).rlike(rf"(?i)^(?:{CREDENTIAL_FIELDS})$")
+    value = lambda t: has_secrets(F.regexp_replace(_string(t), r"(?i)\[REDACTED\]", ""))
+    told = lambda t: t.startswith('"') & F.when(t.endswith(":"), field(t)).otherwise(value(t))
+    return let(_shielded(json), lambda s: (_depth(s) > deepest) | F.exists(_tokens(s), told))
+
+
+def has_placeholder_nested(json: Column, deepest: int = 6) -> Column:
+    """Whether a value at any place is null, an empty container or a placeholder; true beyond ``deepest`` and for no value."""
+    told = lambda t: t.startswith('"') & ~t.endswith(":") & is_placeholder(_string(t))
+    hollow = lambda s: _between(s).rlike(r"\bnull\b|\[\]|\{\}")
+    return let(_shielded(json), lambda s: F.coalesce((_depth(s) > deepest) | hollow(s) | F.exists(_tokens(s), told), F.lit(True)))
+
+
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.payloads import ALIASES
+
 #: Fixed example materials of the views, in order.
 MATERIALS = ["SnSe2", "SnSeS", "SnS2", "SnSe", "SnS", "Bi2Se3", "Bi2Te3", "Sb2Te3", "WTe2", "MoS2", "FeSe", "FeTe"]
 _MATERIAL = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MATERIALS)) + " END"
@@ -94,8 +96,23 @@ BANDS = """
 SELECT l_returnflag AS dataset, CAST(l_linenumber AS BIGINT) AS band, CAST(l_quantity AS DOUBLE) AS k, avg(l_extendedprice) / 1000 AS energy
 FROM {lineitem} GROUP BY l_returnflag, l_linenumber, l_quantity"""
 
-VIEWS = {"articles_v": ARTICLES, "registry_v": REGISTRY, "claims_v": CLAIMS, "evidence_v": EVIDENCE, "pages_v": PAGES, "spectra_v": SPECTRA, "bands_v": BANDS}
-_TABLES = {"articles_v": "part", "registry_v": "orders", "claims_v": "lineitem", "evidence_v": "lineitem", "pages_v": "part", "spectra_v": "events", "bands_v": "lineitem"}
+#: Landed model results, one payload a line in six shapes; names, units and forms of values vary.  '<' and '>' stand for braces.
+_ALIAS = "CASE l_partkey % 19 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(a for names in ALIASES.values() for a in names)) + " END"
+_NUMBER = "CAST(CAST(floor(l_extendedprice) AS BIGINT) % 1100 AS VARCHAR(20)) || '.5'"
+_UNIT = "CASE l_linenumber WHEN 1 THEN 'K' WHEN 2 THEN 'eV' WHEN 3 THEN 'meV' WHEN 4 THEN 'meV / atom' WHEN 5 THEN 'Bohr magneton' WHEN 6 THEN 'eV/atom' ELSE '' END"
+PAYLOADS = f"""
+SELECT record_id, translate(CASE form WHEN 0 THEN a WHEN 1 THEN '[' || a || ',null,[' || b || ']]'
+  WHEN 2 THEN '<"models":[<"model":"m1","candidates":[' || a || ']>,<"name":"m2","results":[' || b || ',' || a || ']>]>'
+  WHEN 3 THEN '<"model":"m3","results":[' || b || ',7]>' WHEN 4 THEN '<"candidates":[' || a || ',' || b || ']>' ELSE b END, '<>', chr(123) || chr(125)) AS payload
+FROM (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARCHAR(20)), CAST(l_partkey AS VARCHAR(20)), CAST(l_suppkey AS VARCHAR(20)), CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20))) AS record_id, l_orderkey % 6 AS form,
+  '<"formula":"x' || CAST(l_partkey AS VARCHAR(20)) || '","' || {_ALIAS} || '":' ||
+    CASE l_suppkey % 3 WHEN 0 THEN '"' || {_NUMBER} || '"' WHEN 1 THEN '<"value":' || {_NUMBER} || ',"unit":"' || {_UNIT} || '">' ELSE {_NUMBER} || ',"unit":"' || {_UNIT} || '"' END || '>' AS a,
+  '<"property":"' || upper({_ALIAS}) || '","value":' || {_NUMBER} || CASE WHEN l_quantity BETWEEN 1 AND 19 THEN ',"units":<"value":"' || {_UNIT} || '">' ELSE '' END ||
+    CASE WHEN l_quantity BETWEEN 31 AND 99 THEN ',"properties":<"band_gap_eV":' || CAST(l_linenumber AS VARCHAR(20)) || ',"tc_K":<"mean":' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) || '>>' ELSE '' END || '>' AS b
+FROM {{lineitem}}) lines"""
+
+VIEWS = {"payloads_v": PAYLOADS, "articles_v": ARTICLES, "registry_v": REGISTRY, "claims_v": CLAIMS, "evidence_v": EVIDENCE, "pages_v": PAGES, "spectra_v": SPECTRA, "bands_v": BANDS}
+_TABLES = {"payloads_v": "lineitem", "articles_v": "part", "registry_v": "orders", "claims_v": "lineitem", "evidence_v": "lineitem", "pages_v": "part", "spectra_v": "events", "bands_v": "lineitem"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

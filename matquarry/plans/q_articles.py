@@ -295,6 +295,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.has_secrets(F.col("text")).alias("has_secrets"))
 
 
+@query(
+    "txt_10_nested_values",
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(https?://)[^/\s@:]+:[^/\s@]+@', '\1[REDACTED]@', 'g'),
+      '(?i)\b({_SECRET})(\s*[=:]\s*)["'']?[^\s"''&;,]+["'']?', '\1\2[REDACTED]', 'g'), '(?i)\bBearer\s+[A-Za-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'g') AS text,
+      regexp_matches(coalesce(text, ''), '(?i)\b({_SECRET})\s*[=:]\s*["'']?[^\s"''&;,]+|\bBearer\s+[A-Za-z0-9._~+/-]+') AS has_secrets,
+      lang IS NULL OR source IS NULL OR text IS NULL OR regexp_full_match(lower(trim(text)), '({T.PLACEHOLDERS}|[-–—_.]+)?') AS placeholder FROM documents""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    items = F.array(F.struct(F.struct(F.col("text").alias("body")).alias("part"), F.col("source").alias("from")))
+    docs = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("lang"), items.alias("items")), {"ignoreNullFields": "false"}).alias("j"))
+    text = F.try_variant_get(F.parse_json(T.redact_nested(F.col("j"))), "$.items[0].part.body", "string").alias("text")
+    return docs.select("doc_id", text, T.has_secrets_nested(F.col("j")).alias("has_secrets"), T.has_placeholder_nested(F.col("j")).alias("placeholder"))
+
+
 @query("txt_12_placeholder", ctes("articles_v") + " SELECT seq, CASE WHEN dopant = '' THEN true ELSE seq % 4 = 2 END AS placeholder FROM articles_v")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "articles_v").select("seq", T.is_placeholder(F.when(F.col("dopant") == "CoCp2", F.lit("Not Reported")).otherwise(F.col("dopant"))).alias("placeholder"))

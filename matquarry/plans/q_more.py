@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..functions import extract as X
 from ..functions import text as T
-from ..operators import bands, knn, library, search, spectra
+from ..operators import bands, consensus, knn, library, payloads, search, spectra
 from .adapters import ctes, table, view
 from .registry import query
 
@@ -162,3 +162,68 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     parts = F.array(F.array(F.lit("300 K"), F.lit("PBE")), F.array(F.lit("300 K"), F.lit("TBD")), F.array(F.lit("x")), F.array(F.lit("n/a")))
     return table(spark, d, "part").select("p_partkey", F.exists(F.get(parts, (F.col("p_partkey") % 4).cast("int")), lambda x: T.is_placeholder(x)).alias("placeholder"))
+
+
+_SPECS = [(p, names[0], a, False) for p, names in payloads.ALIASES.items() for a in names] + [(p, names[0], names[0], True) for p, names in payloads.ALIASES.items()]
+_SPEC_ROWS = ", ".join(f"({i}, '{p}', '{c}', '{a}', {str(n).lower()})" for i, (p, c, a, n) in enumerate(_SPECS))
+_DIVISORS = ", ".join(f"('{p}', '{u}', {k})" for p, d in payloads.DIVISORS.items() for u, k in d.items())
+_RANGES = ", ".join(f"('{p}', {r[1]}, {r[2]})" for p, r in consensus.PROPERTIES.items())
+_UNIT_SQL = "regexp_replace(replace(replace(lower({}), 'kelvin', 'k'), 'electronvolt', 'ev'), '[·*\\s]+', '', 'g')"
+_WALK = (
+    ctes("payloads_v")
+    + """, walk AS (
+      SELECT record_id, 0 AS level, '' AS path, CAST(NULL AS VARCHAR) AS model, CAST(payload AS JSON) AS j FROM payloads_v
+      UNION ALL
+      SELECT record_id, level + 1, path || '/' || (i - 1), kids[i].m, kids[i].v FROM (
+        SELECT record_id, level, path, kids, unnest(range(1, len(kids) + 1)) AS i FROM (
+          SELECT record_id, level, path, CASE WHEN json_type(j, '$.models') = 'ARRAY' THEN
+              list_transform(json_extract(j, '$.models[*]'), lambda b: {'v': coalesce(json_extract(b, '$.candidates'), json_extract(b, '$.results')), 'm': coalesce(json_extract_string(b, '$.model'), json_extract_string(b, '$.name'), model)})
+            WHEN json_type(j, '$.results') = 'ARRAY' THEN list_transform(json_extract(j, '$.results[*]'), lambda b: {'v': b, 'm': coalesce(json_extract_string(j, '$.model'), model)})
+            WHEN json_type(j, '$.candidates') = 'ARRAY' THEN list_transform(json_extract(j, '$.candidates[*]'), lambda b: {'v': b, 'm': coalesce(json_extract_string(j, '$.model'), model)})
+            WHEN json_type(j) = 'ARRAY' THEN list_transform(json_extract(j, '$[*]'), lambda b: {'v': b, 'm': model}) END AS kids
+          FROM walk) x WHERE kids IS NOT NULL) y),
+    cand AS (SELECT record_id, path, model, j FROM walk WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.models') IS NULL AND json_type(j, '$.results') IS NULL AND json_type(j, '$.candidates') IS NULL)"""
+)
+
+
+@query("src_12_payload_candidates", _WALK + " SELECT record_id, path, model, j->>'$.formula' AS formula, j->>'$.property' AS named FROM cand")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = payloads.candidates(view(spark, d, "payloads_v").withColumn("payload", F.parse_json("payload")))
+    text = lambda name: F.try_variant_get("candidate", f"$.{name}", "string").alias("formula" if name == "formula" else "named")
+    return rows.select("record_id", F.array_join(F.transform("path", lambda p: F.concat(F.lit("/"), p)), "").alias("path"), "model", text("formula"), text("property"))
+
+
+@query(
+    "clm_01_payload_properties",
+    _WALK
+    + f""", specs(rank, property, name, alias, nested) AS (VALUES {_SPEC_ROWS}), divisors(property, unit, divisor) AS (VALUES {_DIVISORS}), ranges(property, low, high) AS (VALUES {_RANGES}),
+    raws AS (
+      SELECT c.record_id, c.path, c.j, s.rank, s.property, s.name, s.alias, json_extract(c.j, CASE WHEN s.nested THEN '$.properties.' ELSE '$.' END || s.alias) AS raw FROM cand c, specs s
+      UNION ALL
+      SELECT c.record_id, c.path, c.j, 99, s.property, s.name, 'value', json_extract(c.j, '$.value') FROM cand c
+        JOIN (SELECT DISTINCT property, name, lower(alias) AS alias FROM specs) s ON s.alias = lower(c.j->>'$.property') WHERE json_extract(c.j, '$.value') IS NOT NULL),
+    found AS (SELECT * FROM raws WHERE raw IS NOT NULL AND trim(raw->>'$') <> ''),
+    counted AS (SELECT record_id, path, count(DISTINCT property) AS n FROM found GROUP BY ALL),
+    readings AS (
+      SELECT f.record_id, f.path, f.rank, f.property, n, {_UNIT_SQL.format("nullif(f.j->>'$.unit', '')")} AS whole,
+        {_UNIT_SQL.format("coalesce(CASE WHEN json_type(f.raw) = 'OBJECT' THEN nullif(f.raw->>'$.unit', '') END, nullif(json_extract_string(f.j, '$.units.' || f.alias), ''))")} AS own,
+        TRY_CAST(CASE WHEN json_type(f.raw) = 'OBJECT' THEN coalesce(f.raw->>'$.value', f.raw->>'$.mean') ELSE f.raw->>'$' END AS DOUBLE) AS x
+      FROM found f JOIN counted USING (record_id, path)),
+    judged AS (
+      SELECT r.record_id, r.path, r.rank, r.property, r.x / coalesce(v.divisor, 1) AS value,
+        CASE WHEN n > 1 AND whole IS NOT NULL AND own IS NULL THEN 'AMBIGUOUS_PROPERTY_UNIT' WHEN n = 1 AND own <> whole THEN 'CONFLICTING_PROPERTY_UNITS' WHEN x IS NULL THEN 'INVALID_PROPERTY_VALUE'
+             WHEN coalesce(own, whole) IS NOT NULL AND v.divisor IS NULL THEN 'UNSUPPORTED_PROPERTY_UNIT' WHEN r.x / coalesce(v.divisor, 1) NOT BETWEEN g.low AND g.high THEN 'INVALID_PROPERTY_RANGE' END AS code
+      FROM readings r JOIN ranges g USING (property) LEFT JOIN divisors v ON v.property = r.property AND v.unit = coalesce(own, whole)),
+    agreed AS (
+      SELECT record_id, path, property, min(rank) AS rank, arg_min(value, rank) AS value,
+        coalesce(arg_min(code, rank) FILTER (code IS NOT NULL), CASE WHEN max(abs(value)) - min(abs(value)) > 1e-12 * greatest(1, max(abs(value))) THEN 'CONFLICTING_PROPERTY_ALIASES' END) AS code
+      FROM judged GROUP BY ALL),
+    failed AS (SELECT record_id, path, arg_min(code, rank) AS code FROM agreed WHERE code IS NOT NULL GROUP BY ALL)
+    SELECT record_id, path, property, round(value, 9) AS value, CAST(NULL AS VARCHAR) AS error FROM agreed ANTI JOIN failed USING (record_id, path)
+    UNION ALL SELECT record_id, path, NULL, NULL, code FROM failed""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = payloads.candidates(view(spark, d, "payloads_v").withColumn("payload", F.parse_json("payload")))
+    rows = payloads.canonical_properties(rows)
+    path = F.array_join(F.transform("path", lambda p: F.concat(F.lit("/"), p)), "").alias("path")
+    return rows.select("record_id", path, "error", F.explode_outer("properties").alias("r")).select("record_id", "path", "r.property", F.round("r.value", 9).alias("value"), "error").where("error IS NOT NULL OR property IS NOT NULL")

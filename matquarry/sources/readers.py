@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import payloads
+
 WORK = (
     "id string, doi string, display_name string, publication_year int, cited_by_count int, authorships array<struct<author:struct<display_name:string>>>, "
     "primary_location struct<source:struct<display_name:string>>, open_access struct<oa_url:string>, concepts array<struct<display_name:string>>, abstract_inverted_index map<string,array<int>>"
@@ -15,7 +17,6 @@ ATOM = ("id string, title string, summary string, published string, author array
 ARTICLE = ("id string, title string, year int, source string, doi string, url string, abstract string, materials array<string>, keywords array<string>")
 DFT = ("jid string, atoms struct<elements:array<string>>, formation_energy_peratom string, optb88vdw_bandgap string")
 SAMPLE = ("id string, material string, features array<double>, createdAt string")
-MODEL = ("name string, model string, candidates array<struct<formula:string,property:string,value:string>>, results array<struct<formula:string,property:string,value:string>>")
 
 
 def read_article_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -98,10 +99,8 @@ def split_errors(rows: DataFrame, code: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def read_model_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each candidate or result of each block; the model's name comes from the block or the file."""
-    b = spark.read.schema(MODEL).json(path).withColumn("file", F.col("_metadata.file_name"))
-    rows = F.concat(F.coalesce("candidates", F.array()), F.coalesce("results", F.array()))
-    return b.select(first_present(F.col("model"), F.col("name"), F.col("file")).alias("model"), F.explode(rows).alias("r")).select("model", "r.formula", "r.property", F.col("r.value").try_cast("double").alias("value"))
+    """The results of ``payloads.model_results``: one row for each property of each candidate, from payloads of any form."""
+    return payloads.model_results(spark, path)[0]
 
 
 def read_samples(spark: SparkSession, path: str, least: int = 20) -> tuple[DataFrame, DataFrame]:
