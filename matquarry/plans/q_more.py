@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import chem
 from ..functions import extract as X
 from ..functions import text as T
-from ..operators import bands, consensus, knn, library, payloads, search, spectra
+from ..operators import bands, consensus, dictionary, knn, library, payloads, search, spectra
 from .adapters import ctes, table, view
 from .registry import query
 
@@ -227,3 +227,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     rows = payloads.canonical_properties(rows)
     path = F.array_join(F.transform("path", lambda p: F.concat(F.lit("/"), p)), "").alias("path")
     return rows.select("record_id", path, "error", F.explode_outer("properties").alias("r")).select("record_id", "path", "r.property", F.round("r.value", 9).alias("value"), "error").where("error IS NOT NULL OR property IS NOT NULL")
+
+
+#: The dictionary of both engines: each benchmark item by its first two words, and each part's brand and name.
+_NAMES = """SELECT 'item-' || CAST(item_id AS VARCHAR(20)) AS name, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS alias, CAST(item_id AS BIGINT) AS position FROM {benchmark} WHERE text <> ''
+  UNION ALL SELECT DISTINCT p_brand, p_brand, CAST(-1 AS BIGINT) FROM {part} UNION ALL SELECT DISTINCT p_name, split_part(p_name, ' ', 2), CAST(-2 AS BIGINT) FROM {part}"""
+
+
+@query(
+    "jon_03_alias_dictionary",
+    "WITH names AS (" + _NAMES.replace("{benchmark}", "benchmark").replace("{part}", "part") + r"""),
+    texts AS (SELECT 'd-' || CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'p-' || CAST(p_partkey AS VARCHAR), p_type || ', ' || lower(p_brand) || ': ' || p_name FROM part),
+    hits AS (SELECT DISTINCT t.id, n.position, n.name FROM texts t JOIN (SELECT DISTINCT * FROM names WHERE trim(alias) <> '') n
+      ON contains(lower(t.text), lower(n.alias)) AND regexp_matches(t.text, '(?i)(^|[^A-Za-z0-9])' || regexp_escape(n.alias) || '($|[^A-Za-z0-9])'))
+    SELECT id, coalesce(string_agg(name, '|' ORDER BY position, name), '') AS names FROM texts LEFT JOIN hits USING (id) GROUP BY id""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = spark.sql(_NAMES, benchmark=table(spark, d, "benchmark"), part=table(spark, d, "part"))
+    documents = table(spark, d, "documents").select(F.concat(F.lit("d-"), "doc_id").alias("id"), "text")
+    parts = table(spark, d, "part").select(F.concat(F.lit("p-"), "p_partkey").alias("id"), F.concat("p_type", F.lit(", "), F.lower("p_brand"), F.lit(": "), "p_name").alias("text"))
+    return dictionary.match_dictionary(documents.unionByName(parts), names).select("id", F.array_join("names", "|").alias("names"))
