@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,35 +175,75 @@ def _entries(df: DataFrame, column: str = "properties") -> DataFrame:
     return df.withColumn(column, F.array_sort(F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("p"), e["value"].alias("v")))))
 
 
+def _spend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task_id, covered) of rows sorted by task: returns (asked false) first, then claims, each in order.
+
+    A task's distinct returns are held, its claims pass by one at a time.  Returns are found by the value of the
+    claim's first property, and used in order.
+    """
+    task, stock, by_model, by_value, covered, seen = None, [], {}, {}, True, False
+    done, flags = [], []
+
+    def near(model: str, want: list[tuple]) -> list[int]:
+        if not want:
+            return by_model.get(model, [])
+        (name, v), *_ = want
+        pairs = by_value.get((model, name), [])
+        if not isinstance(pairs, tuple):
+            pairs.sort()
+            pairs = by_value[model, name] = tuple(pairs)
+        reach = 2 * max(1e-12, abs(v) * 1e-12)
+        return sorted(i for _, i in pairs[bisect_left(pairs, (v - reach,)) : bisect_right(pairs, (v + reach, len(stock)))])
+
+    for batch in batches:
+        for t, asked, model, properties, n in zip(*(batch.column(c).to_pylist() for c in ("task_id", "asked", "model", "properties", "n")), strict=True):
+            if t != task:
+                if seen:
+                    done.append(task)
+                    flags.append(covered)
+                task, stock, by_model, by_value, covered, seen = t, [], {}, {}, True, False
+            pairs = [(x["p"], x["v"]) for x in properties]
+            if not asked:
+                by_model.setdefault(model, []).append(len(stock))
+                for p, v in dict(pairs).items():
+                    if v is not None:
+                        by_value.setdefault((model, p), []).append((v, len(stock)))
+                stock.append([dict(pairs), n])
+                continue
+            seen = True
+            for i in near(model, pairs) if covered else ():
+                known, left = stock[i]
+                if left and all(known.get(p) is not None and abs(known[p] - v) <= max(1e-12, abs(v) * 1e-12) for p, v in pairs):
+                    used = min(n, left)
+                    n, stock[i][1] = n - used, left - used
+                    if not n:
+                        break
+            covered = covered and not n
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done, batch.schema.field("task_id").type), pa.array(flags, pa.bool_())], ["task_id", "covered"])
+            done, flags = [], []
+        kind = batch.schema.field("task_id").type
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([task], kind), pa.array([covered], pa.bool_())], ["task_id", "covered"])
+
+
 def cover_claims(returns: DataFrame, claims: DataFrame) -> DataFrame:
     """task_id, covered: whether each claim (task_id, properties) of a task is met by a return of its own.
 
     A return meets a claim if it has all its properties with the same values (1e-12) and, where both tables have a
     ``model``, the same model.  Equal claims and equal returns of a task are counted first, so a task meets its
-    distinct claims only, in order; tasks without claims are left out.
+    distinct claims only, in order; tasks without claims are left out.  Tasks lie in sorted partitions that are read
+    as a stream, many tasks a batch.
     """
     by_model = "model" in returns.columns and "model" in claims.columns
 
-    def counted(df: DataFrame) -> DataFrame:
-        model = F.lower("model") if by_model else F.lit("")
-        return _entries(df).groupBy("task_id", model.alias("model"), "properties").agg(F.count("*").alias("n"))
-
-    def pair(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        def rows(df: pd.DataFrame) -> list[list]:
-            return sorted([m or "", [(x["p"], x["v"]) for x in ps], int(n)] for m, ps, n in zip(df["model"], df["properties"], df["n"], strict=True))
-
-        have, covered = rows(given), True
-        for model, want, n in rows(asked):
-            for one in have:
-                known = dict(one[1])
-                if n and one[2] and one[0] == model and all(known.get(p) is not None and abs(known[p] - v) <= max(1e-12, abs(v) * 1e-12) for p, v in want):
-                    used = min(n, one[2])
-                    n, one[2] = n - used, one[2] - used
-            covered = covered and not n
-        return pd.DataFrame({"task_id": asked["task_id"].iloc[:1], "covered": [covered] * min(1, len(asked))})
+    def counted(df: DataFrame, asked: bool) -> DataFrame:
+        model = F.coalesce(F.lower("model"), F.lit("")) if by_model else F.lit("")
+        return _entries(df.where("task_id IS NOT NULL")).groupBy("task_id", F.lit(asked).alias("asked"), model.alias("model"), "properties").agg(F.count("*").alias("n"))
 
+    both = counted(returns, False).unionByName(counted(claims, True))
     kind = claims.schema["task_id"].dataType.simpleString()
-    return counted(claims).groupBy("task_id").cogroup(counted(returns).groupBy("task_id")).applyInPandas(pair, f"task_id {kind}, covered boolean")
+    return both.repartition("task_id").sortWithinPartitions("task_id", "asked", "model", "properties").mapInArrow(_spend, f"task_id {kind}, covered boolean")
 
 
 def resolve(records: DataFrame, tasks: DataFrame) -> DataFrame:
