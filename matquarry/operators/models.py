@@ -53,10 +53,11 @@ def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, p
     return main.join(auc, keys)
 
 
-def validate_composition(df: DataFrame, key: str, symbol: str, count: str) -> DataFrame:
-    """Status of each composition: element number, repeated symbols, count and total bounds."""
+def validate_composition(df: DataFrame, key: str, symbol: str, count: str, most: int | None = 18) -> DataFrame:
+    """Status of each composition: element number (``most`` at most, if given), repeated symbols, count and total bounds."""
     g = df.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct(symbol).alias("kinds"), F.max(count).alias("most"), F.sum(count).alias("total"))
-    status = F.when(F.col("n") < 2, "too_few").when(F.col("n") > 18, "too_many").when(F.col("kinds") < F.col("n"), "duplicate").when(F.col("most") > 18, "count").when(F.col("total") > 24, "total").otherwise("ok")
+    many = F.lit(False) if most is None else F.col("n") > most
+    status = F.when(F.col("n") < 2, "too_few").when(many, "too_many").when(F.col("kinds") < F.col("n"), "duplicate").when(F.col("most") > 18, "count").when(F.col("total") > 24, "total").otherwise("ok")
     return g.select(key, status.alias("status"))
 
 
