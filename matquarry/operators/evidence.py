@@ -94,7 +94,13 @@ HASH = r"^((sha256|blake3):[a-f0-9]{64}|sha1:[a-f0-9]{40}|md5:[a-f0-9]{32})$"
 
 
 def structure_identity(df: DataFrame) -> DataFrame:
-    """structure_id, structure_namespace, structure_hash made canonical ('' for none), structure_resolved, structure_key."""
+    """structure_id, structure_namespace, structure_hash made canonical ('' for none), structure_resolved, structure_key;
+    worked out once for each distinct combination."""
+    raw = [c for c in ("structure_id", "structure_namespace", "structure_hash", "space_group") if c in df.columns]
+    return per_value(df, raw, _structure_identity) if raw else _structure_identity(df)
+
+
+def _structure_identity(df: DataFrame) -> DataFrame:
     have = set(df.columns)
     raw = lambda c: F.trim(F.col(c)) if c in have else F.lit("")
     synthetic = lambda s: F.lower(s).rlike(r"^(placeholder|dummy|todo|tbc|temporary)([-_: ].*)?$|^temp([-_: ]|\d|$)")
@@ -167,12 +173,20 @@ def novelty(status: Column, checked: Column, resolved: Column, reference: Column
 # ---------------------------------------------------------------- evidence and eligibility
 
 
+def with_references(df: DataFrame) -> DataFrame:
+    """``df`` and __doi, __ref_doi, __ref_url: canonical names of its references, worked out once for each distinct one."""
+    named = lambda kind, c: T.let(F.nullif(c, F.lit("")), lambda x: F.when(x.isNotNull(), F.concat(F.lit(kind), x)))
+    dois = per_value(df, ["doi"], lambda v: v.withColumn("__doi", named("doi:", T.strict_doi(F.col("doi")))))
+    ref = F.col("source_ref")
+    return per_value(dois, ["source_ref"], lambda v: v.withColumns({"__ref_doi": named("doi:", T.strict_doi(ref)), "__ref_url": named("url:", T.canonical_url(ref))}))
+
+
 def evidence_keys(df: DataFrame) -> Column:
-    """DOIs, canonical URLs, evidence ids and, for database records, the structure, each with its kind."""
-    named = lambda kind, c: F.when(c.isNotNull(), F.concat(F.lit(kind), c))
-    # Most claims lack one or the other, and then nothing is worked out.
-    keys = [F.when(c.isNotNull(), T.let(F.nullif(T.strict_doi(c), F.lit("")), lambda doi: named("doi:", doi))) for c in (F.col("doi"), F.col("source_ref"))]
-    keys.append(F.when(F.col("source_ref").isNotNull(), T.let(F.nullif(T.canonical_url(F.col("source_ref")), F.lit("")), lambda url: named("url:", url))))
+    """DOIs, canonical URLs, evidence ids and, for database records, the structure, each with its kind.
+
+    ``df`` has been through ``with_references``.
+    """
+    keys = [F.col("__doi"), F.col("__ref_doi"), F.col("__ref_url")]
     id_ = F.lower(F.trim(F.col("evidence_id")))
     keys.append(F.when(id_.isNotNull() & ~T.is_placeholder(id_), F.concat(F.lit("evidence:"), id_)))
     structure = F.when(F.col("structure_hash") != "", F.concat(F.lit("database-hash:"), "structure_hash")).otherwise(F.concat(F.lit("database-id:"), "structure_namespace", F.lit(":"), F.lower("structure_id")))
@@ -186,7 +200,8 @@ def with_eligibility(df: DataFrame) -> DataFrame:
     A claim counts if a worker made it, its source is trusted and verified, its family is trusted, it has evidence, its
     stage gives numbers, it is no demo, and an experiment has its method and raw data.
     """
-    df = df.withColumn("evidence", evidence_keys(df))
+    df = with_references(df)
+    df = df.withColumn("evidence", evidence_keys(df)).drop("__doi", "__ref_doi", "__ref_url")
     eligible = (
         (F.col("role") == "worker") & F.col("trusted") & F.col("verified") & F.col("trusted_family") & (F.size("evidence") > 0)
         & F.col("stage").isin(*NUMERIC_STAGES) & ~F.col("demo") & ((F.col("stage") != "experiment") | F.col("structured"))
