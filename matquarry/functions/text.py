@@ -230,7 +230,7 @@ _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strict_number(c: Column) -> Column:
-    return F.when(F.trim(c).rlike(_NUMBER), F.trim(c).try_cast("double"))
+    return let(F.trim(c), lambda t: F.when(t.rlike(_NUMBER), t.try_cast("double")))
 
 
 def fortran_number(c: Column) -> Column:
@@ -239,10 +239,12 @@ def fortran_number(c: Column) -> Column:
 
 def bounded01(c: Column) -> Column:
     """Shares: '80%' is 0.8, a bare number in (1, 100] is a per cent, others outside 0..1 are null."""
-    percent = F.trim(c).endswith("%")
-    v = strict_number(F.regexp_replace(F.trim(c), r"\s*%$", ""))
-    v = F.when(percent, v / 100).when((v > 1) & (v <= 100), v / 100).otherwise(v)
-    return F.when((v >= 0) & (v <= 1), v)
+    def share(t: Column, v: Column) -> Column:
+        return F.when(t.endswith("%") | ((v > 1) & (v <= 100)), v / 100).otherwise(v)
+
+    # Each step is bound once: the branches would otherwise work out the ones below again.
+    number = lambda t: strict_number(F.when(t.endswith("%"), F.regexp_replace(t, r"\s*%$", "")).otherwise(t))
+    return let(F.trim(c), lambda t: let(number(t), lambda v: let(share(t, v), lambda x: F.when((x >= 0) & (x <= 1), x))))
 
 
 #: Names of evidence stages (fixed values).
