@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as X
 from ..functions import text as T
 from ..operators import figures, library, search
+from ..scratch import cut
 from .adapters import MATERIALS, ctes, table, view
 from .registry import query
 
@@ -630,7 +631,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = view(spark, d, "pages_v")
-    f = figures.extract_figures(p, "page_key").join(p.select("page_key", "doi"), "page_key")
+    f = cut(figures.extract_figures(p, "page_key").join(p.select("page_key", "doi"), "page_key"))
     landed = figures.asset_manifest(f.where("page_key % 3 = 0"), spark.createDataFrame([], "asset string"), "doi")
     m = figures.asset_manifest(f, landed, "doi")
     return figures.manifest_totals(m).select(F.lit("s-x").alias("kind"), "figures", "assets", "reused")
