@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chem
@@ -110,6 +111,17 @@ def execution_summary(statuses: DataFrame, waits: DataFrame, groups: DataFrame)
     return s.groupBy("step", "task_status", "blocked").agg(F.count("*").alias("tasks"), F.sum("returned").alias("returned"), F.count_if("claim").alias("claims"))
 
 
+def _step_place() -> Column:
+    """The step's place in ``progress``, from 0; steps that aren't known count with the first step."""
+    order = STEPS[::-1]
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("step")), F.lit(0)), F.lit(len(order))) - 1
+
+
+def _own_progress() -> Column:
+    verified = F.coalesce("verified", F.lit(0)).cast("long")
+    return F.array(*[F.when(_step_place() == i, F.greatest(verified, F.lit(0))).otherwise(F.lit(0)).cast("long") for i in range(len(STEPS))])
+
+
 def progress_vectors(tasks: DataFrame, reach: DataFrame) -> DataFrame:
     """task_id, progress: verified returns by step, the last step first, of a task and of all tasks that need it.
 
@@ -117,14 +129,18 @@ def progress_vectors(tasks: DataFrame, reach: DataFrame) -> DataFrame:
     Steps that aren't known count with the first step.  Only tasks with verified returns travel.
     """
     order = STEPS[::-1]
-    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("step")), F.lit(0)), F.lit(len(order)))
-    given = tasks.where("verified > 0").select("task_id", at.alias("at"), "verified")
+    given = tasks.where("verified > 0").select("task_id", _step_place().alias("at"), "verified")
     onward = given.join(reach.select(F.col("a").alias("task_id"), "b"), "task_id").select(F.col("b").alias("task_id"), "at", "verified")
-    sums = given.unionByName(onward).groupBy("task_id").agg(F.array(*[F.sum(F.when(F.col("at") == i + 1, F.col("verified")).otherwise(0)) for i in range(len(order))]).alias("progress"))
+    sums = given.unionByName(onward).groupBy("task_id").agg(F.array(*[F.sum(F.when(F.col("at") == i, F.col("verified")).otherwise(0)) for i in range(len(order))]).alias("progress"))
     none = F.array_repeat(F.lit(0).cast("long"), len(order))
     return tasks.select("task_id").join(sums, "task_id", "left").select("task_id", F.coalesce("progress", none).alias("progress"))
 
 
+def _placed(tasks: DataFrame) -> DataFrame:
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STEPS)), F.col("step")), F.lit(0)), F.lit(len(STEPS) + 1))
+    return tasks.withColumns({"place": place, "depends_on": F.array_sort(F.array_distinct("depends_on"))})
+
+
 def authoritative(tasks: DataFrame) -> DataFrame:
     """logical_key, task_id, active, reason: which of the tasks of each logical key speaks for it.
 
@@ -134,38 +150,76 @@ def authoritative(tasks: DataFrame) -> DataFrame:
     speaks (the last step counts first), then the one of most claims, or of fewest if there is no progress, then
     the smallest id.  Others have a reason: duplicate_logical_task (``active`` names the chosen task) or
     incompatible_dependency_manifest (none could be chosen).  Steps that aren't known come last.
+    """
+    tasks = cut(_placed(tasks).select("task_id", "logical_key", "place", "claims", "depends_on", "progress"))
+    return _answers(tasks, _settled(tasks, tasks))
+
 
-    A round settles all keys of a step that wait for no other key of that step, so there are about as many rounds
-    as steps; each is a join and a grouping of that step's tasks.
+def authoritative_tasks(tasks: DataFrame) -> DataFrame:
+    """``authoritative`` of tasks (task_id, logical_key, step, claims, verified, depends_on), with progress worked out here.
+
+    Only tasks that others need have more progress than their own returns.  They are looked up once; dependencies are
+    followed among them, and returns are added up for each distinct list of dependencies before they travel.
     """
-    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STEPS)), F.col("step")), F.lit(0)), F.lit(len(STEPS) + 1))
-    tasks = cut(tasks.withColumn("place", place).select("task_id", "logical_key", "place", "claims", "depends_on", "progress"))
-    needs = cut(tasks.select("task_id", "logical_key", "place", F.explode(F.array_distinct("depends_on")).alias("need")))
-    where = tasks.select(F.col("task_id").alias("need"), F.col("logical_key").alias("need_key"), F.col("place").alias("need_place"))
+    tasks = cut(_placed(tasks).select("task_id", "logical_key", "step", "place", "claims", "depends_on", "verified"))
+    own = tasks.withColumn("progress", _own_progress())
+    given = tasks.where((F.size("depends_on") > 0) & (F.col("verified") > 0))
+    given = given.groupBy("depends_on").agg(*[F.sum(F.when(_step_place() == i, F.col("verified")).otherwise(0)).alias(f"p{i}") for i in range(len(STEPS))])
+    given = given.select("depends_on", F.array(*[f"p{i}" for i in range(len(STEPS))]).alias("given"))
+    lists = tasks.where(F.size("depends_on") > 0).select("depends_on").distinct()
+    wanted = cut(lists.select(F.explode("depends_on").alias("task_id")).distinct())
+    needed = cut(own.join(wanted, "task_id", "left_semi"))
+    edges = needed.select(F.col("task_id").alias("a"), F.explode("depends_on").alias("b"))
+    reach = graph.closure(edges).groupBy(F.col("a").alias("need")).agg(F.collect_list("b").alias("far"))
+    step = given.withColumn("need", F.explode("depends_on")).join(reach, "need", "left")
+    met = F.concat(F.array("need"), F.coalesce("far", F.array().cast("array<string>")))
+    all_ = step.groupBy("depends_on").agg(F.any_value("given").alias("given"), F.array_distinct(F.flatten(F.collect_list(met))).alias("all"))
+    sums = all_.select(F.explode("all").alias("task_id"), "given").groupBy("task_id").agg(F.array(*[F.sum(F.get("given", F.lit(i))) for i in range(len(STEPS))]).alias("more"))
+    full = needed.join(sums, "task_id", "left").withColumn("progress", F.when(F.col("more").isNull(), F.col("progress")).otherwise(F.zip_with("progress", "more", lambda x, y: x + y)))
+    columns = ["task_id", "logical_key", "place", "claims", "depends_on", "progress"]
+    # A needed task also stands here with its own returns alone.  With all of them it comes before that row, so the first stays right.
+    return _answers(tasks, _settled(own.select(*columns).unionByName(full.select(*columns)), needed))
+
+
+def _settled(tasks: DataFrame, needed: DataFrame) -> DataFrame:
+    """logical_key, active: the chosen task of each key that has one.  ``needed`` (task_id, logical_key, place) holds all tasks
+    that are depended on.
+
+    Tasks of one key and one list of dependencies can be chosen together or not at all, so the first of each list stands
+    for them.  A round settles all keys of a step that wait for no other key of that step, so there are about as many
+    rounds as steps; each is a join and a grouping of that step's lists.
+    """
+    some = F.exists("progress", lambda n: n > 0)
+    best = F.min(F.struct(F.transform("progress", lambda n: -n).alias("p"), F.when(some, -F.col("claims")).otherwise(F.col("claims")).alias("c"), "task_id")).alias("best")
+    groups = cut(tasks.groupBy("place", "logical_key", "depends_on").agg(best))
+    needs = cut(groups.select("place", "logical_key", "depends_on", F.explode("depends_on").alias("need")))
+    where = needed.select(F.col("task_id").alias("need"), F.col("logical_key").alias("need_key"), F.col("place").alias("need_place"))
     # Within a step a key waits for the smaller keys that its tasks depend on.
     same = needs.join(where, "need").where((F.col("place") == F.col("need_place")) & (F.col("need_key") < F.col("logical_key")))
     waits = cut(same.select("place", "logical_key", "need_key").distinct())
-    some = F.exists("progress", lambda n: n > 0)
-    best = F.min(F.struct(F.transform("progress", lambda n: -n).alias("p"), F.when(some, -F.col("claims")).otherwise(F.col("claims")).alias("c"), "task_id")).alias("best")
-    chosen = tasks.select("logical_key", "task_id").limit(0)
-    waiting = {p for (p,) in waits.select("place").distinct().collect()}
-    for (place_,) in sorted(tasks.select("place").distinct().collect()):
-        todo = tasks.where(F.col("place") == place_)
+    chosen = [groups.select("logical_key", F.col("best.task_id").alias("active")).limit(0)]
+    waiting, needing = ({p for (p,) in df.select("place").distinct().collect()} for df in (waits, needs))
+    for (place_,) in sorted(groups.select("place").distinct().collect()):
+        todo = groups.where(F.col("place") == place_)
         left = todo.select("logical_key").distinct()
         unsettled = True
         while unsettled:
-            unmet = needs.where(F.col("place") == place_).join(chosen.select(F.col("task_id").alias("need")), "need", "left_anti").select("task_id").distinct()
             ready = todo
             if unsettled := place_ in waiting:
                 open_ = waits.where(F.col("place") == place_).join(left.select(F.col("logical_key").alias("need_key")), "need_key", "left_semi").select("logical_key").distinct()
                 ready = todo.join(left.join(open_, "logical_key", "left_anti"), "logical_key", "left_semi")
                 left = cut(left.join(open_, "logical_key", "left_semi"))
                 unsettled = not left.isEmpty()
-            fit = ready.join(unmet, "task_id", "left_anti")
-            chosen = cut(chosen.unionByName(fit.groupBy("logical_key").agg(best).select("logical_key", "best.task_id")))
-    active = chosen.select("logical_key", F.col("task_id").alias("active"))
+            if place_ in needing:
+                unmet = needs.where(F.col("place") == place_).join(reduce(DataFrame.unionByName, chosen).select(F.col("active").alias("need")), "need", "left_anti")
+                ready = ready.join(unmet.select("logical_key", "depends_on").distinct(), ["logical_key", "depends_on"], "left_anti")
+            chosen.append(cut(ready.groupBy("logical_key").agg(F.min("best").alias("best")).select("logical_key", F.col("best.task_id").alias("active"))))
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def _answers(tasks: DataFrame, active: DataFrame) -> DataFrame:
     reason = F.when(F.col("active").isNull(), "incompatible_dependency_manifest").when(F.col("active") != F.col("task_id"), "duplicate_logical_task")
-    return tasks.join(active, "logical_key", "left").select("logical_key", "task_id", "active", reason.alias("reason"))
+    return tasks.select("logical_key", "task_id").join(active, "logical_key", "left").select("logical_key", "task_id", "active", reason.alias("reason"))
 
 
 def _entries(df: DataFrame, column: str = "properties") -> DataFrame:
