@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,13 +13,31 @@ from ..functions import chem as C
 from ..functions import extract as X
 from ..functions import text as T
 
+#: Rows whose words a task holds at a time.
+ROWS = 256
+
 
 def inverted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, words: map from each word to its positions."""
-    words = df.select(key, F.posexplode(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \n\t\r]+"), lambda w: w != "")).alias("pos", "word"))
-    entries = words.groupBy(key, "word").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    maps = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("words"))
-    return df.select(key).distinct().join(maps, key, "left")
+    """key, words: map from each word to its positions, of every row.  Nothing is shuffled: a row's words are its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                words, first, at, start = [], [0], [], [0]
+                for t in b.column("text").to_pylist():
+                    found: dict[str, list[int]] = {}
+                    for i, w in enumerate(w for w in re.split(r"[ \n\t\r]+", t or "") if w):
+                        found.setdefault(w, []).append(i)
+                    words += found
+                    first.append(len(words))
+                    for places in found.values():
+                        at += places
+                        start.append(len(at))
+                places = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("key"), pa.MapArray.from_arrays(pa.array(first, pa.int32()), pa.array(words, pa.string()), places)], names=[key, "words"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"`{key}` {rows.schema['key'].dataType.simpleString()}, words map<string,array<int>>")
 
 
 def from_inverted(df: DataFrame, key: str, out: str) -> DataFrame:
