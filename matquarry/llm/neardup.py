@@ -37,6 +37,8 @@ SMALL = 32
 #: Tokens that a task counts before it sends them on, and tokens that are sent to all tasks (4 bytes each); more of these are
 #: joined.
 COUNTED, SOUGHT = 4_000_000, 1_000_000
+#: Tokens of a range that are added up together.
+RANGE = 65_536
 _U = 2.0**-64
 
 
@@ -234,21 +236,34 @@ def spelt(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(texts, "node").select("node", size.alias("size"), "score", F.explode(F.pandas_udf(_tokens, "array<int>")("set")).alias("token"))
 
 
-def token_counts(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """token, often, least, node: in how many of ``texts`` a token is, the smallest of them and the least node.
+def token_counts(texts: DataFrame, sets: DataFrame, fewest: int = 1) -> DataFrame:
+    """token, often, least, node: in how many of ``texts`` (``fewest`` at least) a token is, the smallest of them and the least node.
 
-    Each task adds up its own texts first, so a token of very many texts is one row of each task.
+    Each task adds up its own texts and sends its tokens on by ranges, a block of sorted tokens each; the blocks of a range
+    are added up together.  Ranges are as many as ``RANGE`` tokens each make, so a block's task holds about as many; a token
+    of very many texts is one entry of each task, and a token of fewer texts than asked for never becomes a row.
     """
+    own = shared.cut(sets.join(texts.select("node"), "node").select("node", "set"))
+    ranges = max(1, (own.agg(F.sum(F.octet_length("set"))).first()[0] or 0) // 4 // RANGE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    names, types = ["token", "often", "least", "node"], [pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+
+    def added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        token, often, least, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(token, kind="stable")
+        kinds, first = np.unique(token[order], return_index=True)
+        return kinds, np.add.reduceat(often[order], first), np.minimum.reduceat(least[order], first), np.minimum.reduceat(node[order], first)
 
-        def added() -> tuple[np.ndarray, ...]:
-            token, often, least, node = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(token, kind="stable")
-            kinds, first = np.unique(token[order], return_index=True)
-            return kinds, np.add.reduceat(often[order], first), np.minimum.reduceat(least[order], first), np.minimum.reduceat(node[order], first)
+    def blocks(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        # Tokens are sorted as signed numbers, so ranges are too.
+        at = ((columns[0].astype(np.int64) + 2**31) * ranges) >> 32
+        kinds, first = np.unique(at, return_index=True)
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int64()), *lists], names=["part", *names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             some = [np.frombuffer(x.as_py(), np.int32) for x in b.column("set")]
             sizes = np.array([len(x) for x in some], np.int64)
@@ -256,19 +271,20 @@ def token_counts(texts: DataFrame, sets: DataFrame) -> DataFrame:
                 continue
             held.append((np.concatenate(some), np.ones(sizes.sum(), np.int64), np.repeat(sizes, sizes), np.repeat(b.column("node").to_numpy(), sizes)))
             if sum(len(x[0]) for x in held) > COUNTED:
-                held = [added()]
+                held = [added(held)]
                 if len(held[0][0]) > COUNTED // 2:
-                    yield _counted(held.pop())
+                    yield blocks(held.pop())
         if held:
-            yield _counted(added())
-
-    shared.bounded_batches(texts.sparkSession)
-    local = sets.join(texts.select("node"), "node").select("node", "set").mapInArrow(run, "token int, often long, least long, node long")
-    return local.groupBy("token").agg(F.sum("often").alias("often"), F.min("least").cast("int").alias("least"), F.min("node").alias("node"))
+            yield blocks(added(held))
 
+    def total(group: pa.Table) -> pa.Table:
+        columns = added([tuple(group.column(c).combine_chunks().flatten().to_numpy() for c in names)])
+        kept = columns[1] >= fewest
+        return pa.table([pa.array(x[kept], t) for x, t in zip(columns, types, strict=True)], names=names)
 
-def _counted(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "often", "least", "node"])
+    shared.bounded_batches(texts.sparkSession)
+    sent = own.mapInArrow(run, "part long, token array<int>, often array<long>, least array<int>, node array<long>")
+    return sent.groupBy("part").applyInArrow(total, "token int, often long, least int, node long")
 
 
 def having(tokens: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,16 +311,8 @@ def _reach(similarity: float, size: Column, at: Column, other: Column) -> Column
     return (1 + similarity) * (size - at) >= similarity * (size + other) - 1e-6
 
 
-def open_texts(minor: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The texts of ``minor`` that can have the similarity to any other: those with at most size - ``similarity`` * size
-    tokens of their own."""
-    own = counts.where("often = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.join(minor, "node").select("node", "score", (F.octet_length("set") / 4).cast("int").alias("size")).join(own, "node", "left")
-    return shared.cut(sizes.where(F.coalesce("own", F.lit(0)) <= F.col("size") - F.ceil(similarity * F.col("size") - 1e-6)).select("node", "score"))
-
-
 def prefixes(texts: DataFrame, counts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """token, node, size, at: the tokens that one of ``texts`` (from ``open_texts``) may share first with another.
+    """token, node, size, at: the tokens that one of ``texts`` may share first with another, by the ``counts`` of shared ones.
 
     Tokens are in one order for all texts, rare ones first; those that no other text has come first of all.  A text
     that shares ``similarity * size`` tokens with another has the first of them among its first size - that + 1, and all
@@ -452,8 +460,7 @@ def _classes(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
         most = shares.groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("m")).select("bucket", F.col("m.class").alias("most"))
         held = shared.spread_join(large, most, "bucket").groupBy("node").agg(F.bool_or(F.col("class") != F.col("most")).alias("minor"))
         held = shared.cut(held.join(busy, "node"))
-        counts = shared.cut(token_counts(held, sets))
-        prefix = prefixes(open_texts(held.where("minor").select("node", "score"), counts, sets, similarity), counts, sets, similarity)
+        prefix = prefixes(held.where("minor").select("node", "score"), token_counts(held, sets, 2), sets, similarity)
         met = having(shared.cut(prefix.select("token").distinct()), held.select("node", "score"), sets)
         for lead in (True, False):
             label = _merged(label, shared.cut(_verify(shared.cut(close_pairs(met, prefix, label, similarity, lead)), sets, similarity)))

@@ -1,11 +1,13 @@
 """Figures that must grow no faster than the input: tasks of heavy scans, steps worked out once, rows and bytes that travel."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from matquarry.functions import text as T
+from matquarry.llm import neardup
 from matquarry.operators import graph, library, tasks
 from matquarry.plans.adapters import view
 
@@ -58,3 +60,20 @@ def test_progress_of_needed_tasks_alone_travels(spark, monkeypatch):
     monkeypatch.setattr(tasks.graph, "closure", lambda e: followed.append({x.a for x in e.collect()}) or closure(e))
     assert sorted(map(repr, tasks.authoritative_tasks(df).collect())) == sorted(map(repr, want.collect()))
     assert followed and followed[0] <= {n for x in rows for n in x[5]}
+
+
+def test_tokens_of_one_text_make_no_rows(spark, monkeypatch):
+    """op6_minhash, pipeline: tokens are added up by blocks; only those of several texts become rows, with right counts."""
+    r = random.Random(2)
+    sets = [(i, sorted({*r.sample(range(-40, 40), 9), *(r.randrange(-(2**31), 2**31) for _ in range(90))})) for i in range(300)]
+    df = spark.createDataFrame([(i, struct.pack(f"{len(x)}i", *x)) for i, x in sets] + [(900, b"")], "node long, set binary").repartition(7)
+    held = df.where("node % 3 > 0 OR node = 900").select("node")
+    often: dict[int, list[int]] = {}
+    for _, x in (x for x in sets if x[0] % 3):
+        for t in x:
+            often.setdefault(t, []).append(len(x))
+    for size in (1000, 10**9):
+        monkeypatch.setattr(neardup, "RANGE", size)
+        got = neardup.token_counts(held, df, 2).collect()
+        assert sorted((x.token, x.often, x.least) for x in got) == sorted((t, len(n), min(n)) for t, n in often.items() if len(n) > 1)
+    assert neardup.token_counts(held.where("node = 900"), df, 2).count() == 0
