@@ -32,17 +32,18 @@ def spread_join(big: DataFrame, table: DataFrame, on: str, how: str = "inner") -
 
     ``big`` should be cheap to read again (a cut).  The rows of a heavy key go to as many parts as there are
     shuffle partitions, and its row of ``table`` to each of them; the list of heavy keys (``HEAVY`` at most) is
-    broadcast.  Null keys match nothing.
+    part of the plan.  Null keys match nothing.
     """
     spark = big.sparkSession
     parts, least = tasks(spark), max(big.count() / HEAVY, HEAVY)
-    heavy = big.groupBy(on).agg(F.count("*").alias("__n")).where((F.col("__n") >= least) & F.col(on).isNotNull()).limit(HEAVY).select(on, F.lit(True).alias("__heavy"))
-    heavy = F.broadcast(cut(heavy))
-    deal = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int")).otherwise(0)
-    copies = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(heavy, on, "left").withColumn("__part", deal).drop("__heavy")
-    right = table.join(heavy, on, "left").withColumn("__part", F.explode(copies)).drop("__heavy")
-    return left.join(right, [on, "__part"], how).drop("__part")
+    counts = big.groupBy(on).agg(F.count("*").alias("__n"))
+    heavy = [x[0] for x in counts.where((F.col("__n") >= least) & F.col(on).isNotNull()).select(on).limit(HEAVY).collect()]
+    if not heavy:
+        return big.join(table, on, how)
+    is_heavy = F.col(on).isin(heavy)
+    left = big.withColumn("__part", F.when(is_heavy, F.pmod(F.xxhash64(*big.columns), F.lit(parts)).cast("int")).otherwise(0))
+    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(table.withColumn("__part", F.explode(copies)), [on, "__part"], how).drop("__part")
 
 
 def by_shard(dealt: DataFrame, shards: int, build: Callable[[pa.Table], Any], answer: Callable[[Any, pa.Table], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matquarry.functions import text as T
-from matquarry.llm import neardup
+from matquarry.llm import neardup, shared
 from matquarry.operators import graph, library, tasks
 from matquarry.plans.adapters import view
 
@@ -77,3 +77,21 @@ def test_tokens_of_one_text_make_no_rows(spark, monkeypatch):
         got = neardup.token_counts(held, df, 2).collect()
         assert sorted((x.token, x.often, x.least) for x in got) == sorted((t, len(n), min(n)) for t, n in often.items() if len(n) > 1)
     assert neardup.token_counts(held.where("node = 900"), df, 2).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_heavy_keys_are_told_apart_without_a_join(spark, kind):
+    """op6_minhash: only the join asked for makes rows, and heavy keys, lone keys and nulls match as in a plain join."""
+    key = F.when(F.col("id") < 3000, F.lit(7)).when(F.col("id") < 5500, F.lit(8)).when(F.col("id") < 5600, F.lit(None)).otherwise(F.col("id"))
+    big = shared.cut(spark.range(6000).select(key.cast("string").cast("binary").alias("k") if kind == "binary" else key.alias("k"), F.col("id").alias("x")))
+    table = shared.cut(big.where("k is not null and x % 2 = 0").groupBy("k").agg(F.min("x").alias("least")))
+    for how in ("inner", "left"):
+        got = shared.spread_join(big, table, "k", how)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("__part") > 0
+        want = big.join(table, "k", how)
+        assert got.columns == want.columns
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    light = shared.spread_join(big.where("x >= 5500"), table, "k")
+    assert "__part" not in light._jdf.queryExecution().analyzed().toString()
+    assert light.count() == 200
