@@ -226,11 +226,11 @@ def has_placeholder_nested(json: Column, deepest: int = 6) -> Column:
     return let(_shielded(json), lambda s: F.coalesce((_depth(s) > deepest) | hollow(s) | F.exists(_tokens(s), told), F.lit(True)))
 
 
-_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strict_number(c: Column) -> Column:
-    return let(F.trim(c), lambda t: F.when(t.rlike(_NUMBER), t.try_cast("double")))
+    return let(F.trim(c), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def fortran_number(c: Column) -> Column:

@@ -7,10 +7,16 @@ functions on arrays), so nothing is shuffled; a payload file is read by one task
 
 from __future__ import annotations
 
+import functools
+import json
+import math
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strict_number
+from ..functions.text import NUMBER, let
 from .consensus import PROPERTIES
 
 #: Names under which a property is reported; the first is the canonical one (fixed values).
@@ -30,17 +36,13 @@ DIVISORS = {
     "moment": {"μb": 1.0, "mub": 1.0, "bohrmagneton": 1.0, "bohrmagnetons": 1.0},
 }
 ERRORS = ["INVALID_PROPERTY_VALUE", "CONFLICTING_PROPERTY_UNITS", "AMBIGUOUS_PROPERTY_UNIT", "UNSUPPORTED_PROPERTY_UNIT", "INVALID_PROPERTY_RANGE", "CONFLICTING_PROPERTY_ALIASES"]
-VARIANTS, STRINGS = "map<string,variant>", "map<string,string>"
+VARIANTS = "map<string,variant>"
 
 
 def _objects(v: Column) -> Column:
     return F.try_variant_get(v, "$", VARIANTS)
 
 
-def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
-
-
 def _present(s: Column) -> Column:
     return F.coalesce((F.trim(s) != "") & (s != "[]"), F.lit(False))
 
@@ -94,41 +96,113 @@ def candidates(payloads: DataFrame, payload: str = "payload", depth: int = 6) ->
     """
     keep = [c for c in payloads.columns if c not in (payload, "model", "path", "candidate")]
     default = F.col("model").cast("string") if "model" in payloads.columns else F.lit(None).cast("string")
-    step = payloads.select(*keep, F.array().cast("array<int>").alias("path"), default.alias("model"), F.col(payload).alias("candidate"))
+    step = payloads.select(*keep, F.array().cast("array<int>").alias("path"), default.alias("model"), F.col(payload).alias("candidate"), F.lit(False).alias("found"))
     lists = lambda p: F.try_variant_get("candidate", p, "array<variant>")
     named = lambda v, *paths: F.coalesce(*[F.nullif(F.try_variant_get(v, p, "string"), F.lit("")) for p in paths])
     given = lambda v, p: F.when(_present(F.try_variant_get(v, p, "string")) | F.try_variant_get(v, p, "array<variant>").isNotNull(), F.variant_get(v, p, "variant"))
-    pair = lambda v, m: F.struct(v.alias("v"), m.alias("m"))
+    item = lambda v, m, found=False: F.struct(v.alias("v"), m.alias("m"), F.lit(found).alias("found"))
     container = F.coalesce(lists("$.models"), lists("$.results"), lists("$.candidates"), lists("$")).isNotNull()
     inherited = F.coalesce(named(F.col("candidate"), "$.model", "$.name"), F.col("model"))
-    block = lambda b: pair(F.coalesce(given(b, "$.candidates"), given(b, "$.results")), F.coalesce(named(b, "$.model", "$.name"), F.col("model")))
-    children = (
-        F.when(lists("$.models").isNotNull(), F.transform(lists("$.models"), block))
-        .when(lists("$.results").isNotNull(), F.transform(lists("$.results"), lambda x: pair(x, inherited)))
-        .when(lists("$.candidates").isNotNull(), F.transform(lists("$.candidates"), lambda x: pair(x, inherited)))
-        .when(lists("$").isNotNull(), F.transform(lists("$"), lambda x: pair(x, F.col("model"))))
-        .when(_objects(F.col("candidate")).isNotNull(), F.array(pair(F.col("candidate"), F.col("model"))))
-    )
+    block = lambda b: item(F.coalesce(given(b, "$.candidates"), given(b, "$.results")), F.coalesce(named(b, "$.model", "$.name"), F.col("model")))
+    # A list is read once, and what was found to be a candidate is passed on as it is.
+    of = lambda p, m: let(lists(p), lambda x: F.when(x.isNotNull(), let(m, lambda name: F.transform(x, lambda v: item(v, name)))))
+    inside = F.coalesce(let(lists("$.models"), lambda x: F.transform(x, block)), of("$.results", inherited), of("$.candidates", inherited), of("$", F.col("model")))
+    itself = F.array(item(F.col("candidate"), F.col("model"), True))
+    children = F.when(F.col("found"), itself).otherwise(F.coalesce(inside, F.when(_objects(F.col("candidate")).isNotNull(), itself)))
     for _ in range(depth):
-        level = step.select(*keep, "path", container.alias("inner"), F.posexplode(children).alias("pos", "x"))
-        place = F.when(F.col("inner"), F.concat("path", F.array("pos"))).otherwise(F.col("path"))
-        step = level.select(*keep, place.alias("path"), F.col("x.m").alias("model"), F.col("x.v").alias("candidate"))
-    left = F.when(container, F.raise_error(F.lit("PAYLOAD_DEPTH_EXCEEDED"))).otherwise(_objects(F.col("candidate")).isNotNull())
-    return step.where(left)
+        level = step.select(*keep, "path", F.posexplode(children).alias("pos", "x"))
+        place = F.when(F.col("x.found"), F.col("path")).otherwise(F.concat("path", F.array("pos")))
+        step = level.select(*keep, place.alias("path"), F.col("x.m").alias("model"), F.col("x.v").alias("candidate"), F.col("x.found").alias("found"))
+    deep = F.when(container, F.raise_error(F.lit("PAYLOAD_DEPTH_EXCEEDED"))).otherwise(_objects(F.col("candidate")).isNotNull())
+    return step.where(F.when(F.col("found"), True).otherwise(deep)).drop("found")
+
+
+_TARGETS = {a.lower(): p for p, names in ALIASES.items() for a in names}
+_SPECS = [(p, names[0], a, False) for p, names in ALIASES.items() for a in names] + [(p, names[0], names[0], True) for p, names in ALIASES.items()]
+_SPELLINGS = [(re.compile(a, re.ASCII), to) for a, to in [("kelvin", "k"), ("electronvolts?", "ev"), ("peratom", "/atom"), (r"atom\^-?1|atom-1", "/atom"), (r"[·*\s]+", "")]]
+_STRICT = re.compile(NUMBER[:-1] + r"(\r\n|[\r\n])?\Z", re.ASCII)  # Java's $
+
+
+class _Number(str):
+    """A number as it is written."""
+
 
+def _plain(x: object) -> str | None:
+    """A JSON value as text: strings and numbers as written, anything else as JSON."""
+    if x is None or isinstance(x, str):
+        return x
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{_nested(v)}" for k, v in x.items()) + "}"
+    return "[" + ",".join(map(_nested, x)) + "]" if isinstance(x, list) else json.dumps(x)
 
-def unit_key(u: Column) -> Column:
+
+def _nested(x: object) -> str:
+    return json.dumps(x) if x is None or isinstance(x, str) and not isinstance(x, _Number) else _plain(x)
+
+
+def _said(x: object) -> str | None:
+    """The text of a value that is there: not null, blank or an empty list."""
+    text = _plain(x)
+    return None if text is None or text.strip(" ") == "" or text == "[]" else text
+
+
+@functools.lru_cache(10_000)
+def unit_key(u: str) -> str:
     """A unit's name without case, blanks and spelling variants."""
-    s = F.translate(F.lower(F.trim(u)), "µ", "μ")
-    for pattern, to in [("kelvin", "k"), ("electronvolts?", "ev"), ("peratom", "/atom"), (r"atom\^-?1|atom-1", "/atom"), (r"[·*\s]+", "")]:
-        s = F.regexp_replace(s, pattern, to)
+    s = u.strip(" ").lower().replace("µ", "μ")
+    for pattern, to in _SPELLINGS:
+        s = pattern.sub(to, s)
     return s
 
 
-def property_name(c: Column) -> Column:
-    """The property of a canonical name or alias in any case, else null."""
-    known = {a.lower(): p for p, names in ALIASES.items() for a in names}
-    return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.lower(F.trim(c)))
+def _number(text: str) -> float | None:
+    t = text.strip(" ")
+    return float(t) if _STRICT.search(t) else None
+
+
+def _reported(v: dict) -> list[tuple[str, str, str, object]]:
+    """property, canonical name, key and value of all that a record reports, in the order of their precedence."""
+    inner = v["properties"] if isinstance(v.get("properties"), dict) else {}
+    out = [(p, name, alias, raw) for p, name, alias, nested in _SPECS if (raw := (inner if nested else v).get(alias)) is not None and _said(raw) is not None]
+    named = next((t for k in ("target_definition", "target", "property") if (t := _said(v.get(k))) is not None), "")
+    target, value = _TARGETS.get(named.strip(" ").lower()), _said(v.get("value"))
+    if target and value is not None and _number(value) is not None:
+        out.append((target, ALIASES[target][0], "value", v["value"]))
+    return out
+
+
+def _read(v: dict, p: str, name: str, alias: str, raw: object, one: bool, whole: str | None) -> tuple[str | None, list[float | None]]:
+    """The error code and the values of one reported property."""
+    fields = raw if isinstance(raw, dict) else {}
+    texts = [t for k in ("value", "mean", "prediction") if (t := _said(fields.get(k))) is not None] if isinstance(raw, dict) else [_plain(raw)]
+    units = v["units"] if isinstance(v.get("units"), dict) else {}
+    given = [v.get(f"{name}_unit"), v.get(f"{alias}_unit"), units.get(name), units.get(alias), fields.get("unit")]
+    own = list(dict.fromkeys(unit_key(u) for u in map(_said, given) if u is not None))
+    unit = own[0] if own else whole if one and whole is not None else ""
+    divisor = 1.0 if unit == "" else DIVISORS[p].get(unit)
+    code = ERRORS[0] if not texts else ERRORS[1] if len(own) > 1 else ERRORS[2] if not one and whole is not None and not own else ERRORS[1] if one and own and whole is not None and own[0] != whole else None
+    numbers = [_number(t) for t in texts]
+    values = [None if x is None or divisor is None else x / divisor for x in numbers]
+    for x, y in zip(numbers, values, strict=True):
+        code = code or (ERRORS[0] if x is None or math.isinf(x) else ERRORS[3] if y is None else None if PROPERTIES[p][1] <= y <= PROPERTIES[p][2] else ERRORS[4])
+    return code, values
+
+
+def _canonical(v: dict) -> tuple[list[tuple[str, float | None]], str | None]:
+    """(properties, error) of one record."""
+    found, unit = _reported(v), _said(v.get("unit"))
+    names, whole = list(dict.fromkeys(f[0] for f in found)), None if unit is None else unit_key(unit)
+    codes, values = {n: None for n in names}, {n: [] for n in names}
+    for f in found:
+        code, some = _read(v, *f, len(names) == 1, whole)
+        codes[f[0]] = codes[f[0]] or code
+        values[f[0]] += some
+    for n in names:
+        first = next(iter(values[n]), None)
+        if codes[n] is None and any(abs(x - first) > max(1e-12, abs(first) * 1e-12) for x in values[n]):
+            codes[n] = ERRORS[5]
+    error = next((codes[n] for n in names if codes[n]), None)
+    return [] if error else [(n, values[n][0]) for n in names], error
 
 
 def canonical_properties(df: DataFrame, column: str = "candidate") -> DataFrame:
@@ -137,77 +211,26 @@ def canonical_properties(df: DataFrame, column: str = "candidate") -> DataFrame:
     A property is read from every alias, from the object ``properties`` (canonical names) and from ``value`` where ``target_definition``,
     ``target`` or ``property`` names it.  A value may be an object with value, mean, prediction and unit.  All that is reported for
     a property has to agree to 1e-12.  A row with an error (the first of ``ERRORS`` met, aliases before nested names before ``value``)
-    has no properties; a row that reports nothing has an empty list and no error.
+    has no properties; a row that reports nothing has an empty list and no error, like one that is no object.
+
+    Candidates travel to Python as JSON: as functions on arrays, which Spark interprets, the rules took many times as long.
     """
-    specs = [(p, names[0], a, False) for p, names in ALIASES.items() for a in names] + [(p, names[0], names[0], True) for p, names in ALIASES.items()]
-    literal = F.array(*[F.struct(F.lit(p).alias("property"), F.lit(c).alias("name"), F.lit(a).alias("alias"), F.lit(n).alias("nested")) for p, c, a, n in specs])
-    at = lambda m, k: F.try_element_at(m, k if isinstance(k, Column) else F.lit(k))
-    item = lambda prop, name, alias, raw: F.struct(
-        prop.alias("property"), name.alias("name"), alias.alias("alias"), _text(raw).alias("text"), F.try_variant_get(raw, "$", STRINGS).alias("fields")
-    )
-    canonical = F.create_map(*[F.lit(x) for p, names in ALIASES.items() for x in (p, names[0])])
-    divisors = F.create_map(*[F.lit(x) for p, d in DIVISORS.items() for u, k in d.items() for x in (f"{p}|{u}", k)])
-    lows = F.create_map(*[F.lit(x) for p, r in PROPERTIES.items() for x in (p, r[1])])
-    highs = F.create_map(*[F.lit(x) for p, r in PROPERTIES.items() for x in (p, r[2])])
-    first_of = lambda codes: F.get(F.array_compact(codes), F.lit(0))
-
-    def measurements(v: Column, nested: Column) -> Column:
-        found = F.filter(F.transform(literal, lambda s: item(s["property"], s["name"], s["alias"], F.when(s["nested"], at(nested, s["alias"])).otherwise(at(v, s["alias"])))), lambda m: _present(m["text"]))
-        targets = [_text(at(v, k)) for k in ("target_definition", "target", "property")]
-        named = property_name(F.coalesce(*[F.when(_present(t), t) for t in targets]))
-        general = let(named, lambda t: F.filter(F.array(item(t, at(canonical, t), F.lit("value"), at(v, "value"))), lambda m: t.isNotNull() & strict_number(m["text"]).isNotNull()))
-        return F.concat(found, general)
-
-    def texts(m: Column) -> Column:
-        inner = F.filter(F.array(*[at(m["fields"], k) for k in ("value", "mean", "prediction")]), _present)
-        return F.when(m["fields"].isNotNull(), inner).otherwise(F.array(m["text"]))
-
-    def given_units(m: Column, v: Column, units: Column) -> Column:
-        names = [_text(at(v, F.concat(m["name"], F.lit("_unit")))), _text(at(v, F.concat(m["alias"], F.lit("_unit")))), at(units, m["name"]), at(units, m["alias"]), at(m["fields"], "unit")]
-        return F.array_distinct(F.transform(F.filter(F.array(*names), _present), unit_key))
-
-    def convert(text: Column, name: Column, divisor: Column) -> Column:
-        """code, value of one reported text."""
-        code = lambda x: (
-            F.when(x.isNull() | (F.abs(x) == float("inf")), ERRORS[0]).when(divisor.isNull(), ERRORS[3]).when((x / divisor < at(lows, name)) | (x / divisor > at(highs, name)), ERRORS[4])
-        )
-        return let(strict_number(text), lambda x: F.struct(code(x).alias("code"), (x / divisor).alias("value")))
-
-    def read(m: Column, one: Column, whole: Column) -> Column:
-        """property, code of the measurement, its values.  ``m`` has property, texts, units."""
-        own = F.get(m["units"], F.lit(0))
-        name = F.coalesce(own, F.when(one, whole), F.lit(""))
-        divisor = let(name, lambda u: F.when(u == "", F.lit(1.0)).otherwise(at(divisors, F.concat(m["property"], F.lit("|"), u))))
-        code = (
-            F.when(F.size(m["texts"]) == 0, ERRORS[0]).when(F.size(m["units"]) > 1, ERRORS[1])
-            .when(~one & whole.isNotNull() & own.isNull(), ERRORS[2]).when(one & (own != whole), ERRORS[1])
-        )
-        values = let(divisor, lambda d: F.transform(m["texts"], lambda t: convert(t, m["property"], d)))
-        return let(values, lambda x: F.struct(m["property"].alias("property"), F.coalesce(code, first_of(F.transform(x, lambda y: y["code"]))).alias("code"), F.transform(x, lambda y: y["value"]).alias("values")))
-
-    def agreed(name: Column, readings: Column) -> Column:
-        own = F.filter(readings, lambda m: m["property"] == name)
-        apart = lambda values, first: F.exists(values, lambda x: F.abs(x - first) > F.greatest(F.lit(1e-12), F.abs(first) * 1e-12))
-        judge = lambda o, values: let(
-            F.get(values, F.lit(0)),
-            lambda first: F.struct(name.alias("property"), first.alias("value"), F.coalesce(first_of(F.transform(o, lambda m: m["code"])), F.when(apart(values, first), ERRORS[5])).alias("code")),
-        )
-        return let(own, lambda o: let(F.flatten(F.transform(o, lambda m: m["values"])), lambda values: judge(o, values)))
-
-    def whole_record(v: Column, nested: Column, units: Column) -> Column:
-        unit = let(_text(at(v, "unit")), lambda u: F.when(_present(u), unit_key(u)))
-        step = lambda m: F.struct(m["property"].alias("property"), texts(m).alias("texts"), given_units(m, v, units).alias("units"))
-        readings = lambda found, names: let(unit, lambda w: F.transform(found, lambda m: let(step(m), lambda x: read(x, F.size(names) == 1, w))))
-        both = lambda found, names: let(readings(found, names), lambda r: F.transform(names, lambda n: agreed(n, r)))
-        return let(measurements(v, nested), lambda found: let(F.array_distinct(F.transform(found, lambda m: m["property"])), lambda names: both(found, names)))
-
-    # Everything is bound once: the optimizer would otherwise repeat a column inside each function that names it.
-    strings = lambda raw: F.try_variant_get(raw, "$", STRINGS)
-    record = let(_objects(F.col(column)), lambda v: let(_objects(at(v, "properties")), lambda n: let(strings(at(v, "units")), lambda u: whole_record(v, n, u))))
-    plain = lambda r: F.transform(r, lambda x: F.struct(x["property"].alias("property"), x["value"].alias("value")))
-    fail = lambda r: first_of(F.transform(r, lambda x: x["code"]))
-    out = let(record, lambda r: let(fail(r), lambda e: F.struct(F.when(e.isNull(), plain(r)).otherwise(F.slice(plain(r), 1, 0)).alias("properties"), e.alias("error"))))
-    result = df.withColumn("_result", out)
+
+    @F.arrow_udf("struct<properties:array<struct<property:string,value:double>>,error:string>")
+    def judged(texts: pa.Array) -> pa.Array:
+        ends, names, values, errors = [0], [], [], []
+        for t in texts.to_pylist():
+            record = None if t is None else json.loads(t, parse_int=_Number, parse_float=_Number)
+            properties, error = _canonical(record) if isinstance(record, dict) else ([], None)
+            names += [p for p, _ in properties]
+            values += [x for _, x in properties]
+            ends.append(len(names))
+            errors.append(error)
+        rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["property", "value"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+        return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], ["properties", "error"])
+
+    result = df.withColumn("_result", judged(F.to_json(column)))
     return result.withColumns({"properties": F.col("_result.properties"), "error": F.col("_result.error")}).drop("_result")
 
 
