@@ -64,6 +64,8 @@ def validate_composition(df: DataFrame, key: str, symbol: str, count: str, most:
 #: Largest value of each target and whether its logarithm is learnt (fixed values).
 TARGETS = {"formation": (None, False), "gap": (15.0, True), "tc": (400.0, True)}
 METAL = 0.05
+#: Training rows that are worth a task of their own in each job of each tree.
+ROWS_A_TASK = 20_000
 
 
 def training_rows(measured: DataFrame) -> DataFrame:
@@ -89,9 +91,14 @@ def _vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("vector", array_to_vector(F.concat("fractions", F.array(*[F.col(c).cast("double") for c in FEATURES]))))
 
 
-def _fitted(estimator, rows: DataFrame):
-    """The fitted model; every tree reads the rows again, so they are kept while it is fitted."""
-    rows = rows.persist()
+def _fitted(estimator, rows: DataFrame, y: Column):
+    """The model fitted to ``rows`` (with a key) and ``y``; every tree reads the rows again, so they are kept while it is fitted.
+
+    A tree is several jobs, so rows are dealt to no more tasks than ``ROWS_A_TASK`` each asks for.  They are sorted by key, so
+    the sample of each tree doesn't depend on how the rows were stored.
+    """
+    parts = -(-rows.count() // ROWS_A_TASK) or 1
+    rows = _vectors(rows).select("key", "vector", y.alias("y")).repartitionByRange(parts, "key").sortWithinPartitions("key").select("vector", "y").persist()
     try:
         return estimator.fit(rows)
     finally:
@@ -105,7 +112,7 @@ def fit_regressor(rows: DataFrame, target: str, trees: int = 180) -> GBTRegressi
         train = train.where(F.col("gap") > METAL)
     y = F.log1p(target) if TARGETS[target][1] else F.col(target)
     gbt = GBTRegressor(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
-    return _fitted(gbt, _vectors(train).select("vector", y.alias("y")))
+    return _fitted(gbt, train, y)
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame, target: str) -> Column:
@@ -129,7 +136,7 @@ def fit_classifier(rows: DataFrame, trees: int = 180) -> GBTClassificationModel:
     """Metal (gap of ``METAL`` at most) or not."""
     train = rows.where(F.col("gap").isNotNull() & (F.col("split") == "train"))
     gbt = GBTClassifier(labelCol="y", featuresCol="vector", maxIter=trees, maxDepth=3, stepSize=0.045, minInstancesPerNode=14, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=7)
-    return _fitted(gbt, _vectors(train).select("vector", (F.col("gap") <= METAL).cast("double").alias("y")))
+    return _fitted(gbt, train, (F.col("gap") <= METAL).cast("double"))
 
 
 def train_classifier(rows: DataFrame, trees: int = 180) -> DataFrame:
